@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import bpe, quality_rules, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op10_url_filter": url_filter.op10_url_filter,
 }
