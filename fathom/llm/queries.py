@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, url_filter
+from . import bpe, language_id, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_language_id": language_id.op7_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {
