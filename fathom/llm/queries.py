@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, quality_classifier, quality_rules, url_filter
+from . import bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_minhash": near_dedup.op2_minhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
