@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_classifier, quality_rules, url_filter
+from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
