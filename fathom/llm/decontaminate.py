@@ -147,21 +147,43 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
     return one.runs(min(SHINGLE, len(h)))[1]
 
 
+def loaded(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """The benchmark as broadcasts, each of PART_BYTES of text or so."""
+    size = benchmark.selectExpr("coalesce(sum(length(text)), 0) as n").first().n
+    parts = 1 + int(size) // PART_BYTES
+    for k in range(parts):
+        items = benchmark.where("text is not null").select("item_id", F.lower("text").alias("text"))
+        if parts > 1:
+            items = items.where(f"pmod(xxhash64(item_id, text), {parts}) = {k}")
+        rows = items.orderBy("item_id", "text").collect()
+        yield docs.sparkSession.sparkContext.broadcast(Benchmark([r.item_id for r in rows], [r.text for r in rows]))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text holds no window similar to an item; nothing is shuffled."""
+    for shared in loaded(docs, benchmark):
+        named = docs.withColumn("_lower", F.lower(F.coalesce("text", F.lit(""))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = shared.value
+            for part, data, offsets in chunks(batches, "_lower"):
+                found = bench.search(Words(data, offsets)) if len(bench.ids) else []
+                clean = np.ones(part.num_rows, dtype=bool)
+                clean[[t for t, *_ in found]] = False
+                yield part.drop_columns(["_lower"]).filter(pa.array(clean))
+
+        docs = named.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the columns in keep, item_id, first_word, n_words and similarity of every text's best window
     for each item that it holds."""
-    size = benchmark.selectExpr("coalesce(sum(length(text)), 0) as n").first().n
     source = texts(docs, *keep).withColumn("text", F.lower("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text"]
     schema = ", ".join([*fields, "item_id bigint, first_word bigint, n_words bigint, similarity double"])
-    parts = 1 + int(size) // PART_BYTES
     out = None
-    for k in range(parts):
-        items = benchmark.where("text is not null").select("item_id", F.lower("text").alias("text"))
-        if parts > 1:
-            items = items.where(f"pmod(xxhash64(item_id, text), {parts}) = {k}")
-        rows = items.orderBy("item_id", "text").collect()  # PART_BYTES of text or so
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r.item_id for r in rows], [r.text for r in rows]))
+    for shared in loaded(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value

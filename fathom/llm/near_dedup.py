@@ -221,5 +221,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return worded.unionByName(signed.where("bands is null").select("doc_id", "th", F.col("doc_id").alias("class_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without all but one document of each class, the one with the least doc_id and text key.
+
+    Rows without words and without a doc_id count as one class here.
+    """
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_id")
+    named = near_duplicates(docs).select(key, F.col("th").alias("_th"), "class_id")
+    kept = named.groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
+    rows = docs.withColumns({"_id": key, "_th": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

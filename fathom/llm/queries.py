@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_classifier, quality_rules, substring_dedup, url_filter
+from . import bpe, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality_classifier, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_minhash": near_dedup.op2_minhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
