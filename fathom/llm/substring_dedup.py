@@ -39,6 +39,7 @@ FLUSH, TASK_BYTES = 1_000_000, 24 << 20
 _SPAN = DEPTH - ANCHOR + 1
 _U = np.uint64
 _CAND = np.dtype([("hash", "u8"), ("doc", "i8"), ("start", "i4"), ("many", "i4")])
+_PLACE = np.dtype([("doc", "i8"), ("place", "i4")])
 _HEAD = np.dtype([("key", "u8"), ("id", "i8"), ("doc", "i8"), ("start", "i4"), ("n", "i4")])
 
 
@@ -80,12 +81,30 @@ def _deal(x: np.ndarray, key: np.ndarray, parts: int) -> Iterator[tuple[int, np.
         yield int(k), x[order[cut[k] : cut[k + 1]]]
 
 
-def _per_doc(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """doc, places (int32 array as bytes): one row for each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order].astype(np.int32)
-    who, first = np.unique(doc, return_index=True)
-    return pa.RecordBatch.from_pydict({"dk": pa.array(who, pa.int64()), "places": pa.array([v.tobytes() for v in np.split(value, first[1:])] if len(who) else [], pa.binary())})
+def _places(doc: np.ndarray, place: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Places dealt by document: a row for each part, not for each document."""
+    x = np.zeros(len(doc), dtype=_PLACE)
+    x["doc"], x["place"] = doc, place
+    rows = list(_deal(x, mix(x["doc"].view(np.uint64)), parts))
+    return pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in rows], pa.int32()), "data": pa.array([y.tobytes() for _, y in rows], pa.binary())})
+
+
+def _by_document(dealt: DataFrame, parts: int) -> DataFrame:
+    """dk, places (int32 array as bytes): one row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.frombuffer(b, dtype=_PLACE) for batch in batches for b in batch.column("data").to_pylist()]
+        if not kept:
+            return
+        x = np.concatenate(kept)
+        x = x[np.argsort(x["doc"], kind="stable")]
+        who, first = np.unique(x["doc"], return_index=True)
+        bounds = np.r_[first, len(x)]
+        for lo in range(0, len(who), 5000):
+            hi = min(lo + 5000, len(who))
+            yield pa.RecordBatch.from_pydict({"dk": pa.array(who[lo:hi], pa.int64()), "places": pa.array([x["place"][bounds[k] : bounds[k + 1]].tobytes() for k in range(lo, hi)], pa.binary())})
+
+    return dealt.repartition(parts, "part").mapInArrow(run, "dk bigint, places binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -129,7 +148,7 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             for sure, data in zip(batch.column("sure").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 x = np.frombuffer(data, dtype=_CAND)
                 if sure:
-                    yield _per_doc(x["doc"], x["start"] * 2 + 1)
+                    yield _places(x["doc"], x["start"] * 2 + 1, parts)
                 else:
                     kept.append(x)
         if kept:
@@ -140,10 +159,10 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             rows, most = np.repeat(n, n), np.repeat(np.maximum.reduceat(x["many"], first), n)
             again = (rows > 1) | (most > 1)
             heavy = (np.maximum(rows, most) > HEAVY) | (most > HEAVY // 16)
-            yield _per_doc(x["doc"][again], x["start"][again] * 2 + heavy[again])
+            yield _places(x["doc"][again], x["start"][again] * 2 + heavy[again], parts)
 
     dealt = docs.select("dk", "text").mapInArrow(read, "part int, sure int, data binary").repartition(parts, "part")
-    return dealt.mapInArrow(count, "dk bigint, places binary").groupBy("dk").agg(F.collect_list("places").alias("places"))
+    return _by_document(dealt.mapInArrow(count, "part int, data binary"), parts)
 
 
 def _pack(heads: np.ndarray, content: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> bytes:
@@ -154,13 +173,13 @@ def _pack(heads: np.ndarray, content: np.ndarray, bounds: np.ndarray, which: np.
 
 
 def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
-    """dk, places: first words of all suffixes that begin earlier too, as lists of byte runs."""
+    """dk, places: first words of all suffixes that begin earlier too."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches):
             words = Words(data, offsets)
             rows, start, n, anchor = stretches(words)
-            listed = [np.concatenate([np.frombuffer(b, dtype=np.int32) for b in x]) for x in part.column("places").to_pylist()]
+            listed = [np.frombuffer(x, dtype=np.int32) for x in part.column("places").to_pylist()]
             owner = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
             marks = np.concatenate(listed).astype(np.int64)
             big = 1 << 40
@@ -211,7 +230,7 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
                 if sure:
                     x = np.frombuffer(data, dtype=_HEAD)
                     of, inside = every(x)
-                    yield _per_doc(x["doc"][of], x["start"][of] + inside)
+                    yield _places(x["doc"][of], x["start"][of] + inside, parts)
                 else:
                     n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
                     heads.append(np.frombuffer(data, dtype=_HEAD, count=n, offset=8))
@@ -248,11 +267,11 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
         lead = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
         first = np.repeat(by[lead], np.diff(np.r_[lead, len(by)]))
         later = by[(docs[by] != docs[first]) | (start[by] != start[first])]
-        return _per_doc(docs[later], start[later])
+        return _places(docs[later], start[later], parts)
 
     joined = keyed.join(anchors.hint("shuffle_hash"), "dk").select("id", "dk", "text", "places")
     dealt = joined.mapInArrow(cut, "part int, sure int, data binary").repartition(parts, "part")
-    return dealt.mapInArrow(tree, "dk bigint, places binary").groupBy("dk").agg(F.collect_list("places").alias("places"))
+    return _by_document(dealt.mapInArrow(tree, "part int, data binary"), parts)
 
 
 def substring_dedup(docs: DataFrame, outputs: tuple[str, ...] = ("text", "spans")) -> DataFrame:
@@ -276,7 +295,7 @@ def substring_dedup(docs: DataFrame, outputs: tuple[str, ...] = ("text", "spans"
                 n.append(len(words))
                 runs: list[list[int]] = []
                 if x:
-                    at = np.concatenate([np.frombuffer(b, dtype=np.int32) for b in x])
+                    at = np.frombuffer(x, dtype=np.int32)
                     step = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + DEPTH, -1)
