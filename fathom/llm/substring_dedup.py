@@ -108,8 +108,8 @@ def _by_document(dealt: DataFrame, parts: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """id (doc_id, null first), dk (a key of doc_id and text) and text."""
-    return texts(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("doc_id", "text").alias("dk"), "text", "doc_id")
+    """doc_id, dk (a key of doc_id and text) and text."""
+    return texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
 
 
 def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
@@ -269,7 +269,8 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
         later = by[(docs[by] != docs[first]) | (start[by] != start[first])]
         return _places(docs[later], start[later], parts)
 
-    joined = keyed.join(anchors.hint("shuffle_hash"), "dk").select("id", "dk", "text", "places")
+    # the same columns as the join that deletes the words, so that texts are dealt by dk once for both
+    joined = keyed.join(anchors.hint("shuffle_hash"), "dk").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), "dk", "text", "places")
     dealt = joined.mapInArrow(cut, "part int, sure int, data binary").repartition(parts, "part")
     return _by_document(dealt.mapInArrow(tree, "part int, data binary"), parts)
 
