@@ -209,3 +209,25 @@ def test_incremental_merge(spark, tmp_path):
     assert incremental.merge_new(*args).count() == 1
     spark.createDataFrame([(1, "c"), (2, "d")], "id long, v string").coalesce(1).write.parquet(f"{tmp_path}/in/two")
     assert sorted(r.id for r in incremental.merge_new(*args).collect()) == [1, 2]
+
+
+def test_principal_components(spark):
+    from fathom.operators import features
+
+    x = np.random.default_rng(1).normal(size=(200, 4)) * [5, 2, 1, 0.1]
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "v array<double>")
+    mean, v = features.principal_components(df, "v", 4, 2)
+    _, w = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(np.abs(v @ w[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+
+
+def test_range_split_and_key():
+    from fathom.operators import features
+
+    parts = {"train": (0.0, 0.6), "val": (0.6, 1.0)}
+    names = [f"s{i}" for i in range(10)]
+    a = features.range_split(names, parts, 7)
+    assert a == features.range_split(reversed(names), parts, 7) and not set(a["train"]) & set(a["val"]) and len(a["train"]) == 6
+    assert len(features.cache_key({"b": 1, "a": 2})) == 12 and features.cache_key({"b": 1, "a": 2}) == features.cache_key({"a": 2, "b": 1})
+    lo, hi = features.indicator_interval([True] * 5 + [False] * 5, 200)
+    assert 0 <= lo < 0.5 < hi <= 1
