@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chunks, table, texts
 
 #: Words are batched up to this tree width; most words that a task keeps encoded.
-WIDEST, KEPT_WORDS = 64, 500_000
+WIDEST, KEPT_WORDS = 64, 300_000
 _NONE = np.iinfo(np.int64).max
 #: Unicode white space, as a regex class.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -151,8 +151,7 @@ class WordBpe:
         """Encode words between blanks that aren't kept yet."""
         new = words.difference(self.ids_of)
         if len(self.ids_of) + len(new) > KEPT_WORDS:
-            self.ids_of.clear()
-            self.decoded_of.clear()
+            self.forget()
             new = words
         split: dict[str, list[str]] = {}
         for w in new:
@@ -166,6 +165,10 @@ class WordBpe:
             ids = [i for p in ps for i in known[p]]
             self.ids_of[w], self.decoded_of[w] = " ".join(map(str, ids)).encode(), self.decode(ids).encode()
 
+    def forget(self) -> None:
+        self.ids_of.clear()
+        self.decoded_of.clear()
+
     def words(self, text: str) -> list[str]:
         for s in self.special:
             if s in text:
@@ -226,6 +229,7 @@ def bpe(docs: DataFrame, path: str, *keep: str, outputs: tuple[str, ...] = ("ids
                 else:
                     out[o] = pa.array([hashlib.sha256(x).hexdigest() for x in (ids if o == "ids_sha256" else decoded)], pa.string())
             yield pa.RecordBatch.from_pydict(out)
+        coder.forget()  # the worker may serve other operators next
 
     return source.mapInArrow(run, schema)
 
