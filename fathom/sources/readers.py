@@ -101,3 +101,14 @@ def first_existing(rows: DataFrame, key: str, candidates: Sequence[str], listing
     """The first of a row's candidate paths that the listing has."""
     long = rows.select(key, F.posexplode(F.array(*candidates)).alias("pos", "path")).where("path is not null")
     return long.join(listing.select("path").distinct(), "path").groupBy(key).agg(F.min_by("path", "pos").alias("path"))
+
+
+def docking_scores(lines_of: DataFrame, key: str) -> DataFrame:
+    """Scores of result remarks in the order of their lines."""
+    rows = lines_of.select(key, "line_no", F.regexp_extract("value", r"^REMARK VINA RESULT:\s+(-?\d+(?:\.\d+)?)", 1).try_cast("double").alias("score")).where("score is not null")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("line_no")))
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """All Parquet files below a path; an error where there is none."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
