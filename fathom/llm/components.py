@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point each node's larger (or smaller) neighbours to the least of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    rows = both.join(least, "u")
+    # with a hash in the key both sides are dealt anew, and Spark may split a node of very many links
+    rows = both.withColumn("h", F.xxhash64("u")).join(least.withColumn("h", F.xxhash64("u")), ["h", "u"])
     if large:
         return rows.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rows.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

@@ -158,8 +158,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """id, th, removed (sorted line positions) of every document that has aligned blocks in an earlier one."""
     lines = cut_lineage(lines_of(docs).dropDuplicates(["id", "th"]))
     posts = postings(lines)
-    first = posts.groupBy("h").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    pairs = posts.join(first, "h").where(F.struct("id", "th") != F.col("first")).select("id", "th", "first").distinct()
+    first = posts.groupBy("h").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # joined by another key than it was grouped by: both sides are then dealt anew, and Spark may split a line of very many documents
+    first = first.select(F.bitwise_not("h").alias("line"), "first")
+    pairs = posts.withColumn("line", F.bitwise_not("h")).join(first, "line").where(F.struct("id", "th") != F.col("first")).select("id", "th", "first").distinct()
     pairs = pairs.select("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"))
     earlier = lines.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0"))
     rows = pairs.join(earlier, ["id0", "th0"]).join(lines, ["id", "th"])
