@@ -4,7 +4,8 @@ Features are byte trigrams of the letters, hashed to BUCKETS. Counts by language
 texts; a text's proportions maximise its likelihood under a mixture of the languages' trigram
 distributions, and the set of languages is the one with the best penalised likelihood.
 
-Cases: a null text, or one without letters, is `und` with score 0; rows with a null lang teach nothing; with
+Cases: a null text, or one without letters, is `und` with score 0; one with letters but no trigram gets the
+language with the most training trigrams, and its share of them; rows with a null lang teach nothing; with
 no training rows every text is `und`; repeated rows are predicted row by row; other columns are ignored.
 """
 
@@ -74,6 +75,9 @@ class Languages:
         n = np.full((len(self.names), BUCKETS), SMOOTHING)
         n[np.searchsorted(self.names, counts["lang"]) if len(counts) else [], counts["bucket"].astype(int)] += counts["n"]
         self.p = (n / n.sum(axis=1, keepdims=True)).astype(np.float32) if len(self.names) else n
+        total = n.sum(axis=1)
+        self.common = int(total.argmax()) if len(total) else -1
+        self.share = float(total.max() / total.sum()) if len(total) else 0.0
 
     def mixture(self, p: np.ndarray, c: np.ndarray, size: np.ndarray, first: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """EM over texts of `size` entries each: proportions (languages x texts) and log likelihoods.
@@ -140,6 +144,8 @@ def language_id(docs: DataFrame, model: Languages, *keep: str) -> DataFrame:
         names = np.array([*model.names, "und"], dtype=object)
         for part, data, offsets in chunks(batches):
             best, score = model.predict(data, offsets)
+            bare = best < 0
+            best[bare], score[bare] = model.common, model.share
             plain = (data >= 65) & ((data <= 90) | ((data >= 97) & (data <= 122)))
             n = np.r_[0, np.cumsum(plain)]
             for k in np.flatnonzero(n[offsets[1:]] == n[offsets[:-1]]):

@@ -102,6 +102,9 @@ def test_language_of_mixed_and_odd_texts(spark, odd):
     mixed = spark.createDataFrame([(1, en[:800] + " " + de[:400])], "doc_id long, text string")
     r = language_id.language_id(mixed, model).first()
     assert r.lang_pred == "en" and 0.5 < r.score < 0.85
+    short = spark.createDataFrame([(1, "a"), (2, "é"), (3, "7"), (4, "ab")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.language_id(short, model).collect()}
+    assert got[3].lang_pred == "und" and all(got[k].lang_pred in model.names and 0 < got[k].score <= 1 for k in (1, 2, 4))
     none = language_id.train(train.limit(0))
     assert {r.lang_pred for r in language_id.language_id(odd, none).collect()} == {"und"}
 
