@@ -11,6 +11,7 @@ columns of the input are ignored unless asked for.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -45,38 +46,41 @@ class WordBpe:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        self.tokens = {i: t for t, i in vocab.items()}
+        tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
+        tokens |= {i: t for t, i in self.special.items()}
         end = spec["model"]["end_of_word_suffix"] or ""
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.final = np.array([vocab[c + end] for c in letters], dtype=np.int64)
-        self.base = max(self.tokens) + 1
+        self.base = max(tokens) + 1
+        self.tokens = [tokens.get(i, "").encode() for i in range(self.base)]
+        self.numbers = [str(i).encode() for i in range(self.base)]
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in merges], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         ranks = np.arange(len(keys))
         order = np.lexsort((ranks, keys))
         first = np.r_[True, np.diff(keys[order]) != 0] if len(keys) else np.zeros(0, dtype=bool)
         self.pairs, self.ranks, self.made = keys[order][first], ranks[order][first], made[order][first]
+        self.by_rank = made
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{_BLANK}"))
         self.blanks = regex.compile(f"[{_BLANK}]+")
         self.ids_of: dict[str, bytes] = {}
         self.decoded_of: dict[str, bytes] = {}
 
-    def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (or _NONE) and row in the merge table of each pair; a symbol of -1 has no pair."""
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank (or _NONE) of each pair; a symbol of -1 has no pair."""
         key = left * self.base + right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], _NONE), at
+        return np.where(hit, self.ranks[at], _NONE)
 
     def merge_rows(self, symbols: np.ndarray, width: int) -> np.ndarray:
         """Merge every row of symbols (-1 behind a word's end) to the end; merged-away places are -1."""
         m, n = symbols.shape
         tree = np.full((m, 2 * width), _NONE, dtype=np.int64)
-        rank, _ = self.rank(symbols[:, :-1], symbols[:, 1:])
+        rank = self.rank(symbols[:, :-1], symbols[:, 1:])
         tree[:, width : width + n - 1] = np.where(rank == _NONE, _NONE, rank * width + np.arange(n - 1))
         for node in range(width - 1, 0, -1):
             np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
@@ -94,16 +98,15 @@ class WordBpe:
                 node = node >> 1
 
         def pair(rows: np.ndarray, at: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-            rank, _ = self.rank(wide[rows, at], wide[rows, nxt])
+            rank = self.rank(wide[rows, at], wide[rows, nxt])
             return np.where(rank == _NONE, _NONE, rank * width + at)
 
         none = np.full(m, _NONE, dtype=np.int64)
         while live.size:
-            at = tree[live, 1] % width
+            rank, at = np.divmod(tree[live, 1], width)  # the root says which merge, and where
             gone = after[live, at]
-            _, row = self.rank(wide[live, at], wide[live, gone])
             nxt = after[live, gone]
-            wide[live, at], wide[live, gone] = self.made[row], -1
+            wide[live, at], wide[live, gone] = self.by_rank[rank], -1
             after[live, at] = nxt
             before[live, nxt] = at
             inside = gone < width
@@ -143,9 +146,9 @@ class WordBpe:
                     out[k] = ids[bounds[i] : bounds[i + 1]]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int]) -> bytes:
         """Tokens joined by one space, as the file names no decoder."""
-        return " ".join(self.tokens[i] for i in ids)
+        return b" ".join(map(self.tokens.__getitem__, ids))
 
     def learn(self, words: set[str]) -> None:
         """Encode words between blanks that aren't kept yet."""
@@ -158,12 +161,12 @@ class WordBpe:
             if w in self.special:
                 self.ids_of[w], self.decoded_of[w] = str(self.special[w]).encode(), w.encode()
             else:
-                split[w] = self.piece.findall(unicodedata.normalize("NFC", w).replace("Σ", "σ").lower())
+                split[w] = self.piece.findall(w.lower() if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ").lower())
         pieces = list({p for ps in split.values() for p in ps})
         known = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
         for w, ps in split.items():
-            ids = [i for p in ps for i in known[p]]
-            self.ids_of[w], self.decoded_of[w] = " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+            ids = known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]]
+            self.ids_of[w], self.decoded_of[w] = b" ".join(map(self.numbers.__getitem__, ids)), self.decode(ids)
 
     def forget(self) -> None:
         self.ids_of.clear()
@@ -186,7 +189,11 @@ class WordBpe:
             while to < len(split) and len(seen) < KEPT_WORDS // 2:
                 seen.update(split[to])
                 to += 1
-            self.learn(seen)
+            gc.disable()  # many short lists, none in a cycle
+            try:
+                self.learn(seen)
+            finally:
+                gc.enable()
             a, b = self.ids_of, self.decoded_of
             for ws in split[at:to]:
                 ids.append(b" ".join(map(a.__getitem__, ws)))
