@@ -79,19 +79,41 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "id bigint, th bigint, hashes binary, sizes binary")
 
 
+def run_hashes(h: np.ndarray, n: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of every run of lines that is the shortest with BLOCK_WORDS words from its first line on, or back from its last.
+
+    Each line of a block that may be deleted is in such a run of that block. h, n, owner: hash, words and
+    document of lines, a document's together; a run of one line has the line's hash.
+    """
+    count = len(h)
+    words, blanks = np.r_[0, np.cumsum(n, dtype=np.int64)], np.r_[0, np.cumsum(h == 0)]
+    ahead, back = np.searchsorted(words, words[:-1] + BLOCK_WORDS, "left"), np.searchsorted(words, words[1:] - BLOCK_WORDS, "right") - 1
+    start, stop = np.r_[np.arange(count), back], np.r_[ahead, np.arange(1, count + 1)]
+    good = (start >= 0) & (stop <= count)
+    start, stop = start[good], stop[good]
+    good = (blanks[start] == blanks[stop]) & (owner[start] == owner[stop - 1])
+    start, stop = start[good], stop[good]
+    up, down = powers(count + 1)
+    run = sums(h.view(np.uint64) * up[:count])
+    got = np.where(stop - start == 1, h.view(np.uint64)[start], mix((run[stop] - run[start]) * down[start]))
+    return owner[start], got.view(np.int64)
+
+
 def postings(lines: DataFrame) -> DataFrame:
-    """h, id, th of every distinct line of MIN_WORDS words or more of every document."""
+    """h, id, th of every distinct line of MIN_WORDS words or more, and of every run of run_hashes, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("id", "th"))
-            hs, owner = [], []
-            for k, (h, n) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("sizes").to_pylist(), strict=True)):
-                u = np.unique(np.frombuffer(h, dtype=np.int64)[np.frombuffer(n, dtype=np.int32) >= MIN_WORDS])
-                hs.append(u)
-                owner.append(np.full(len(u), k))
-            at = np.concatenate(owner) if owner else np.zeros(0, dtype=int)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hs) if hs else np.zeros(0, np.int64)), "id": pa.array(ids[at]), "th": pa.array(ths[at])})
+            hs, ns = ([np.frombuffer(x, dtype=kind) for x in batch.column(c).to_pylist()] for c, kind in (("hashes", np.int64), ("sizes", np.int32)))
+            owner = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+            h, n = np.concatenate([np.zeros(0, np.int64), *hs]), np.concatenate([np.zeros(0, np.int32), *ns])
+            at, runs = run_hashes(h, n, owner)
+            at, h = np.r_[owner[n >= MIN_WORDS], at], np.r_[h[n >= MIN_WORDS], runs]
+            order = np.lexsort((h, at))
+            at, h = at[order], h[order]
+            new = np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])][: len(h)]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[new]), "id": pa.array(ids[at[new]]), "th": pa.array(ths[at[new]])})
 
     return lines.mapInArrow(run, "h bigint, id bigint, th bigint")
 

@@ -140,6 +140,21 @@ def test_line_dedup_of_odd_texts(spark):
     assert [r.text for r in twice] == [block, block]
 
 
+def test_a_block_whose_lines_have_other_first_holders(spark):
+    a, b, c = (" ".join(sentence(k, n)) for k, n in ((50, 5), (51, 5), (52, 2)))
+    block = f"{a}\n{b}\n{c}"
+    docs = docs_of(spark, [a, b, f"{b}\n{a}", f"x\n{block}\ny", f"z\n\n{block}\n\nu", f"{a}\n\n{b}"])
+    assert {r.doc_id: r.removed for r in line_dedup.line_dedup(docs).collect()} == {0: [], 1: [], 2: [], 3: [], 4: [2, 3, 4], 5: []}
+
+
+def test_runs_of_lines():
+    h, n, owner = np.array([1, 2, 3, 0, 4, 5, 4, 5]), np.array([3, 9, 2, 0, 4, 4, 4, 4]), np.array([0, 0, 0, 0, 0, 0, 1, 1])
+    at, got = line_dedup.run_hashes(h, n, owner)
+    assert sorted(at.tolist()) == [0] * 6 + [1] * 2  # [1, 2], [2] twice, [2, 3], [4, 5] twice
+    assert len(set(got[at == 0].tolist())) == 4 and set(got[at == 1].tolist()) <= set(got[at == 0].tolist())
+    assert all(len(x) == 0 for x in line_dedup.run_hashes(h[:0], n[:0], owner[:0]))
+
+
 def substring_by_force(docs):
     seen, out = set(), {}
     for i, t in docs:
