@@ -118,11 +118,36 @@ def postings(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "h bigint, id bigint, th bigint")
 
 
+def longest_block(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """Where the longest block of lines common to a and b begins in each, and its length; 0 matches nothing."""
+    if not {*a} & {*b} - {0}:
+        return 0, 0, 0
+    code = np.unique(np.array([*a, *b], dtype=np.int64), return_inverse=True)[1].astype(np.uint64)
+    both = np.array([*a, *b], dtype=np.int64)
+    code[both == 0] = np.arange(len(code), 2 * len(code), dtype=np.uint64)[both == 0]
+    up, down = powers(len(code) + 1)
+    run = sums(mix(code) * up[: len(code)])
+    runs = lambda lo, hi, n: (run[lo + n : hi + 1] - run[lo : hi + 1 - n]) * down[lo : hi + 1 - n]
+    found, least, most = (0, 0, 0), 1, min(len(a), len(b))
+    while least <= most:
+        n = (least + most) // 2
+        own, where = np.unique(runs(len(a), len(code), n), return_index=True)
+        h = runs(0, len(a), n)
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        hit = np.flatnonzero(own[at] == h)
+        if len(hit):
+            found, least = (int(hit[0]), int(where[at[hit[0]]]), n), n + 1
+        else:
+            most = n - 1
+    return found
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched positions of patience diff, in order; 0 matches nothing.
 
     Works on a stack of ranges: common ends are matched first, then lines unique on both sides by a
-    longest increasing run, and the ranges between those matches in turn.
+    longest increasing run, and the ranges between those matches in turn. A range without such lines is
+    split at its longest common block.
     """
     out: list[tuple[int, int]] = []
     stack = [(0, len(a), 0, len(b))]
@@ -140,6 +165,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         place = {x: p for p, x in enumerate(b[k:m], k) if x and in_b[x] == 1}
         pairs = [(p, place[x]) for p, x in enumerate(a[i:j], i) if in_a[x] == 1 and x in place]
         if not pairs:
+            x, y, n = longest_block(a[i:j], b[k:m])
+            if n:
+                out += [(i + x + q, k + y + q) for q in range(n)]
+                stack += [(i, i + x, k, k + y), (i + x + n, j, k + y + n, m)]
             continue
         tails: list[int] = []
         ends: list[int] = []

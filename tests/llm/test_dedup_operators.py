@@ -155,6 +155,19 @@ def test_runs_of_lines():
     assert all(len(x) == 0 for x in line_dedup.run_hashes(h[:0], n[:0], owner[:0]))
 
 
+def test_patience_without_unique_lines():
+    assert line_dedup.patience([9, 1, 2, 8, 1, 2, 7], [6, 1, 2, 5, 1, 2, 4]) == [(1, 1), (2, 2), (4, 4), (5, 5)]
+    assert line_dedup.patience([8, 1, 1, 7], [6, 1, 5]) == [(1, 1)]
+    assert line_dedup.patience([8, 0, 0, 7], [6, 0, 0, 5]) == []
+    assert line_dedup.longest_block([0, 3, 1, 2, 0], [1, 2, 0, 3, 1, 2, 0]) == (1, 3, 3)
+
+
+def test_line_dedup_of_a_passage_that_stands_twice(spark):
+    p = "\n".join(" ".join(sentence(k, 6)) for k in range(60, 62))
+    docs = docs_of(spark, [f"a\n{p}\nb\n{p}\nc", f"d\n{p}\ne\n{p}\nf"])
+    assert {r.doc_id: r.removed for r in line_dedup.line_dedup(docs).collect()} == {0: [], 1: [1, 2, 4, 5]}
+
+
 def substring_by_force(docs):
     seen, out = set(), {}
     for i, t in docs:
