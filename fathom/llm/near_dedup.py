@@ -201,10 +201,10 @@ def verify_blocks(hot: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return rows.groupBy("key", "lo", "hi").applyInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th, class_id of every row: class_id is the least doc_id of its class."""
+def near_roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th, root of every row: root is a key of its class, whatever the doc_ids."""
     signed = cut_lineage(sign(docs))
-    nodes = signed.where("bands is not null").groupBy("th").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    nodes = signed.where("bands is not null").groupBy("th").agg(F.first("bands").alias("bands"))
     nodes = cut_lineage(nodes)
     members = nodes.select("th", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -215,20 +215,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sets = shingle_sets(docs, members)
     links = verify_pairs(pairs, sets, similarity).unionByName(verify_blocks(members.where(F.col("n") > SMALL), sets, similarity))
     roots = components(links)
-    named = nodes.select("th", "least").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("th", "class_id")
-    worded = signed.where("bands is not null").select("doc_id", "th").join(named, "th").select("doc_id", "th", "class_id")
-    return worded.unionByName(signed.where("bands is null").select("doc_id", "th", F.col("doc_id").alias("class_id")))
+    named = nodes.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    worded = signed.where("bands is not null").select("doc_id", "th").join(named, "th").select("doc_id", "th", "root")
+    # a text without words is in a class with its equals of the same doc_id only; 17 bytes, where a text key has 16
+    alone = F.concat(F.unhex(F.md5(F.concat_ws(" ", F.hex("th"), F.col("doc_id").cast("string")))), F.lit(b"\0"))
+    return worded.unionByName(signed.where("bands is null").select("doc_id", "th", alone.alias("root")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th, class_id of every row: class_id is the least doc_id of its class.
+
+    Where that is null, or the least of another class too, class_id is made from the class: a negative number,
+    or a text where doc_id is one.
+    """
+    rooted = cut_lineage(near_roots(docs, similarity))
+    own = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    same = own.groupBy("least").agg(F.count("*").alias("n"))
+    made = F.concat(F.lit("class-"), F.hex("root")) if dict(docs.dtypes)["doc_id"] == "string" else F.xxhash64("root").bitwiseOR(F.lit(-(2**63)))
+    named = own.join(same.where("n = 1 and least is not null"), "least", "left").select("root", F.when(F.col("n").isNull(), made).otherwise(F.col("least")).alias("class_id"))
+    return rooted.join(named, "root").select("doc_id", "th", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one document of each class, the one with the least doc_id and text key.
 
-    Rows without words and without a doc_id count as one class here.
+    Rows without words count as one class where their doc_id and text are equal.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_id")
-    named = near_duplicates(docs).select(key, F.col("th").alias("_th"), "class_id")
-    kept = named.groupBy("class_id").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
+    named = near_roots(docs).select(key, F.col("th").alias("_th"), "root")
+    kept = named.groupBy("root").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
     rows = docs.withColumns({"_id": key, "_th": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
     return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
 

@@ -77,6 +77,21 @@ def test_near_classes_with_a_large_band(spark, monkeypatch):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_unlike_texts_with_null_and_equal_doc_ids(spark):
+    a, b, c, d, e = (" ".join(sentence(k, 30)) for k in range(70, 75))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, ""), (7, None), (None, ""), (None, " "), (8, e), (None, e + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.keep_one(docs).collect()
+    assert sorted((r.text or "").strip() for r in kept) == sorted(["", "", "", a, b, c, d, e + " more"])
+    key = lambda t: hashlib.md5((t or "").encode()).digest()
+    got = defaultdict(set)
+    for r in near_dedup.near_duplicates(docs).collect():
+        got[r.doc_id, bytes(r.th)].add(r.class_id)
+    assert set(got) == {(i, key(t)) for i, t in rows} and all(len(x) == 1 and None not in x for x in got.values())
+    assert got[8, key(e)] == got[None, key(e + " more")] == {8}
+    assert len({min(x) for x in got.values()}) == 8
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 600).astype(np.uint64)
