@@ -3,7 +3,8 @@
 Every benchmark item has a 64-bit SimHash of its words. Each window of a text that is as long as an item and
 holds at least one of the item's five-word shingles is fingerprinted; RADIUS + 1 blocks of fingerprint bits
 index the items, so that any fingerprint within RADIUS bits of an item's shares a whole block with it. Pairs
-within the radius are verified by the weighted Jaccard similarity of their five-word shingles.
+within the radius are verified by the weighted Jaccard similarity of their five-word shingles. So are pairs
+beyond the radius that share as many shingles as that similarity needs: none is lost to its fingerprint.
 
 A window that shares no shingle with an item has similarity 0, so passing it over loses nothing. Words
 are compared in lower case.
@@ -114,6 +115,15 @@ class Benchmark:
         start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         wanted = np.unique(np.stack([start, np.repeat(size, n)], axis=1), axis=0)
         best: dict[tuple[int, int], tuple[float, int]] = {}
+        done = [np.zeros(0, dtype=np.int64)]
+
+        def verify(s: np.ndarray, m: np.ndarray, k: np.ndarray) -> None:
+            owner = np.searchsorted(words.first, s, side="right") - 1
+            for t, s, m, k in zip(owner.tolist(), s.tolist(), m.tolist(), k.tolist(), strict=True):
+                sim = self.similarity(words.hash[s : s + m], k)
+                if sim >= SIMILARITY and (-sim, s) < best.get((t, k), (1.0, 0)):
+                    best[t, k] = (-sim, s)
+
         for part in np.array_split(wanted, max(1, int(wanted[:, 1].sum()) >> 18)):
             if not len(part):
                 continue
@@ -123,11 +133,16 @@ class Benchmark:
             window, which = self.near(simhash(hashes, first))
             owner = np.searchsorted(words.first, s, side="right") - 1
             fits = m[window] == np.minimum(self.size[which], (words.first[owner + 1] - words.first[owner])[window])
-            for w, k in zip(window[fits].tolist(), which[fits].tolist(), strict=True):
-                sim = self.similarity(words.hash[s[w] : s[w] + m[w]], k)
-                key = (int(owner[w]), k)
-                if sim >= SIMILARITY and (-sim, int(s[w])) < best.get(key, (1.0, 0)):
-                    best[key] = (-sim, int(s[w]))
+            verify(s[window[fits]], m[window[fits]], which[fits])
+            done.append(s[window[fits]] * len(self.ids) + which[fits])
+        # similarity s of windows of a and b shingles needs s / (1 + s) * (a + b) common ones
+        pairs, common = np.unique(start * len(self.ids) + np.repeat(item, n), return_counts=True)
+        s, k = pairs // len(self.ids), pairs % len(self.ids)
+        owner = np.searchsorted(words.first, s, side="right") - 1
+        m = np.minimum(self.size[k], words.first[owner + 1] - words.first[owner])
+        total = np.maximum(m - SHINGLE + 1, 1) + np.maximum(self.size[k] - SHINGLE + 1, 1)
+        rest = (common * (1 + SIMILARITY) >= SIMILARITY * total - 1e-6) & ~np.isin(pairs, np.concatenate(done))
+        verify(s[rest], m[rest], k[rest])
         return [(t, k, s - int(words.first[t]), -sim) for (t, k), (sim, s) in sorted(best.items())]
 
     def similarity(self, hashes: np.ndarray, item: int) -> float:

@@ -177,3 +177,25 @@ def test_contamination(spark):
     kept = {r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()}
     assert kept == set(range(len(texts))) - {r.doc_id for r in got}
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_contamination_beyond_the_radius():
+    import numpy as np
+
+    from fathom.llm.common import Words
+
+    draw, far, near = random.Random(5), 0, 0
+    vocabulary = [f"w{k}" for k in range(400)]
+    for _ in range(40):
+        item = draw.choices(vocabulary, k=draw.randint(15, 59))
+        bench = decontaminate.Benchmark([1], [" ".join(item)])
+        for edits in range(1, len(item) // 5):
+            window = item[:-edits] + draw.choices(vocabulary, k=edits)
+            words = lambda w: Words(np.frombuffer(x := " ".join(w).encode(), dtype=np.uint8), np.array([0, len(x)]))
+            own = words(window).hash
+            similar = bench.similarity(own, 0) >= decontaminate.SIMILARITY
+            bits = int(np.bitwise_count(decontaminate.simhash(own, np.zeros(1, dtype=np.int64))[0] ^ bench.prints[0]))
+            found = bench.search(words(["before", *window, "after"]))
+            assert bool(found) == similar or (found and not similar and found[0][3] >= decontaminate.SIMILARITY)
+            near, far = near + similar, far + (similar and bits > decontaminate.RADIUS)
+    assert near > 50 and far > 0
