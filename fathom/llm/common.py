@@ -38,32 +38,50 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder the cluster names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one where none is set and all runs in one process."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() in the folder the cluster names."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the folder for checkpoints, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df with rows in the same order each time a task reads them: stored first if anything was shuffled."""
+    return stored(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate: it follows the input and costs no job; 0 where it isn't known."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if n < 1 << 60 else 0
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts, counted."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
+def order_id(df: DataFrame, column: str = "doc_id") -> Column:
+    """A bigint in the order of doc_id, nulls first; ids that aren't integers are ordered by a hash of them."""
+    whole = df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(column).cast("bigint") if whole else F.xxhash64(column), F.lit(-(2**63)))
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -111,31 +129,43 @@ def sums(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of texts: byte bounds, hash, and for each text its first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, folded: bool = False, hashed: bool = True):
-        """offsets: len(texts) + 1 bounds into data, the first one 0."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, folded: bool = False):
+        """offsets: len(texts) + 1 bounds into data, the first one 0. A long text is taken in pieces, so that
+        what is kept grows with its words and only a piece's bytes are held as numbers."""
         self.data, self.offsets = data, offsets
-        n = int(offsets[-1])
+        n, codes = int(offsets[-1]), _FOLDED if folded else _BYTE
+        parts, lo = [], 0
+        while lo < n or not parts:
+            hi = min(n, lo + 4 * CHUNK_BYTES)
+            while hi < n:  # a word isn't cut
+                blank = np.flatnonzero(_IS_BLANK[data[hi : hi + CHUNK_BYTES]])
+                hi = min(n, hi + (int(blank[0]) if len(blank) else CHUNK_BYTES))
+                if len(blank):
+                    break
+            parts.append(self._piece(data[lo:hi], offsets, lo, codes))
+            lo = hi
+        self.starts, self.ends, self.hash = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
+        self.first = np.searchsorted(self.starts, offsets)
+
+    @staticmethod
+    def _piece(data: np.ndarray, offsets: np.ndarray, lo: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(data)
         solid = np.empty(n + 2, dtype=bool)
         solid[0] = solid[-1] = False
-        np.logical_not(_IS_BLANK[data[:n]], out=solid[1:-1])
-        edge = solid[1:] != solid[:-1]
-        edge_at = np.flatnonzero(edge)
+        np.logical_not(_IS_BLANK[data], out=solid[1:-1])
+        edge_at = np.flatnonzero(solid[1:] != solid[:-1])
         starts, ends = edge_at[0::2], edge_at[1::2]
-        inner = offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < n)]
+        inner = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, lo + n, "left")] - lo
         if len(inner):
             inner = np.unique(inner)
             glued = inner[solid[inner] & solid[inner + 1]]  # a word may not run on into the next text
             if len(glued):
                 starts = np.sort(np.concatenate([starts, glued]))
                 ends = np.sort(np.concatenate([ends, glued]))
-        self.starts, self.ends = starts, ends
-        self.first = np.searchsorted(starts, offsets)
-        if hashed:
-            up, down = powers(n + 1)
-            run = sums((_FOLDED if folded else _BYTE)[data[:n]] * up[:n])
-            h = (run[ends] - run[starts]) * down[starts]
-            self.hash = mix(h + (ends - starts).astype(np.uint64))
+        up, down = powers(n + 1)
+        run = sums(codes[data] * up[:n])
+        h = (run[ends] - run[starts]) * down[starts]
+        return starts + lo, ends + lo, mix(h + (ends - starts).astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.starts)

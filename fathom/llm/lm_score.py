@@ -1,23 +1,28 @@
-"""LM scoring with a log-frequency Bloom filter of quantised n-gram counts.
+"""LM scoring with log-frequency Bloom filters of quantised n-gram counts.
 
-The n-grams are tokens and pairs of frequent tokens. A count is quantised to a level of a geometric scale, and
-the pairs (n-gram, 1) to (n-gram, level) enter one Bloom filter of at most MOST_BITS bits, which is broadcast.
-A level is read back by probing 1, 2, 3 ... until a probe fails.
+The n-grams are tokens and pairs of neighbouring tokens, all of them. A count is quantised to a level of a
+geometric scale (LEVELS; exact up to 6), and (n-gram, 1) to (n-gram, level) enter a Bloom filter. A level is
+read back by probing 1, 2, 3 ... until a probe fails, and stands for the middle of its counts.
 
-The events are those of the base score: each training token, and one for any unknown token. The unknown
-event gets the share of training tokens seen once. A token in the filter gets its count's share of the rest;
-known tokens that the filter doesn't hold share their total count evenly. After a frequent token, pairs in
-the filter get their share of its successors and all else the remaining mass, in proportion to the above.
+With q() for these values, U for the number of tokens seen once (1 at least), S for the sum of q over tokens:
 
-The filter's bound is a parameter: if the tokens of a larger corpus don't fit, the rarest counts are left
-out, up to the least count with which they do.
+    P(w)     = q(w) / (S + U), and U / (S + U) for the one event of any unknown token
+    P(w | v) = (q(v, w) + PRIOR * P(w)) / (Q(v) + PRIOR), where Q(v) is the sum of q(v, w) over w
 
-The base score is exact: tokens that make up 1 / FREQUENT of all tokens or more are at most FREQUENT, and
-their counts are broadcast; all others are joined by token, dealt by hash, and a task gets of each batch of
-texts a token's hash once, with the texts that hold it.
+so that the known tokens and the unknown one sum to 1 after every v. A text begins after an end.
+
+The filter grows with the corpus, so only a part with a proven bound is broadcast: n-grams that are 1 / HOT of
+all tokens or more, at most HOT tokens and HOT pairs. The other n-grams are in filters of TASK_TOKENS tokens
+each, a shard by hash of w; a text's tokens are dealt to the tasks that own their shards, with the number of
+the text and 40 bits of the hash of v, and are scored there: P(w | v)'s numerator needs w and (v, w), and the
+denominators of a text are those of its own tokens. Tokens with a large share of all are split over shards by
+v. No n-gram is left out, and the results don't depend on HOT or TASK_TOKENS but for false positives, 2**-24
+for each probed level.
+
+The base score is exact: the shards hold the exact count and Q of each token.
 
 Cases: a null or empty text is one end token; with no training text every token is unknown, N and V are 0
-and the score is 0; repeated rows are scored row by row and each counts in training; other columns are
+and the scores are 0; repeated rows are scored row by row and each counts in training; other columns are
 ignored.
 """
 
@@ -28,23 +33,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Words, chunks, crc_mod, cut_lineage, mix, plan_bytes, table, texts
+from .common import Words, chunks, crc_mod, cut_lineage, mix, steady, stored, table, texts
 
-PROBES, SCALE = 9, 1.15
-MOST_BITS, MOST_GRAMS = 1 << 28, 2_000_000
-#: Bounds of the tokens with exact counts at hand, and of those whose pairs are counted.
-FREQUENT, PAIRED = 20_000, 1_500
-#: Texts' tokens that a task gathers before it deals them out; tokens whose counts a worker keeps.
-FLUSH, KEPT = 700_000, 250_000
-#: Bytes of input for each task that joins tokens.
-TASK_BYTES = 8 << 20
+PROBES, SCALE, PRIOR = 24, 1.15, 100.0
+#: Bounds of the tokens, and of the pairs, that are broadcast; tokens of a shard.
+HOT, TASK_TOKENS = 20_000, 1_500_000
+#: Tokens that a task gathers before it deals them out.
+FLUSH = 700_000
 _U = np.uint64
-_REST, _KINDS = _U(0xA5A5A5A5A5A5A5A5), _U(0x3C3C3C3C3C3C3C3C)
 _END = 0x0E0D0C0B0A090807
-_SUM = np.dtype([("uid", "i8"), ("known", "i8"), ("base", "f8")])
+_CONTEXT = 24  # a context is known by the upper 40 bits of its token's hash, a shard by the lower 24
+_SUM = np.dtype([("uid", "i8"), ("known", "i8"), ("base", "f8"), ("score", "f8")])
 
 
 def _scale() -> np.ndarray:
@@ -59,39 +62,62 @@ LEVELS = _scale()
 _VALUE = np.r_[0.0, (LEVELS[:-1] + LEVELS[1:] - 1) / 2]
 
 
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """The value that stands for each count; 0 for 0."""
+    return _VALUE[np.searchsorted(LEVELS, counts, side="right")]
+
+
 class Filter:
     """Levels of keys, as memberships of (key, level)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, data: np.ndarray, bits: int):
+        self.data, self.bits = data, bits
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Filter:
         level = np.searchsorted(LEVELS, counts, side="right")
-        order = np.argsort(-counts, kind="stable")
-        room = np.cumsum(level[order]) * PROBES / np.log(2) <= MOST_BITS
-        keys, level = keys[order][room], level[order][room]
-        self.cut = float(counts[order][room][-1]) if room.any() else 0.0
-        need = max(64, int(level.sum() * PROBES / np.log(2)))
-        self.bits = min(MOST_BITS, 1 << (need - 1).bit_length())
-        self.data = np.zeros(self.bits // 8, dtype=np.uint8)
+        bits = -(-max(64, int(level.sum() * PROBES / np.log(2))) // 64) * 64
+        out = cls(np.zeros(bits // 8, dtype=np.uint8), bits)
         for j in range(1, int(level.max(initial=0)) + 1):
             own = keys[level >= j]
-            for p in range(PROBES):
-                at = self.place(own, j, p)
-                np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-
-    def place(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
-        seed = _U((level * 0x9E3779B97F4A7C15 + probe * 0xD1B54A32D192ED03) % 2**64)
-        return (mix(keys ^ seed) & _U(self.bits - 1)).astype(np.int64)
+            for at in out.places(own, j):
+                np.bitwise_or.at(out.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return out
+
+    def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        """The bit of each key for every probe."""
+        a = mix(keys ^ _U(level * 0x9E3779B97F4A7C15 % 2**64))
+        step = mix(a) | _U(1)
+        for _ in range(PROBES):
+            yield ((a >> _U(32)) * _U(self.bits) >> _U(32)).astype(np.int64) if self.bits < 1 << 32 else (a % _U(self.bits)).astype(np.int64)
+            a = a + step
+
+    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        live = np.arange(len(keys))
+        a = mix(keys ^ _U(level * 0x9E3779B97F4A7C15 % 2**64))
+        step = mix(a) | _U(1)
+        for _ in range(PROBES):
+            at = ((a >> _U(32)) * _U(self.bits) >> _U(32)).astype(np.int64) if self.bits < 1 << 32 else (a % _U(self.bits)).astype(np.int64)
+            hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if not hit.all():
+                live, a, step = live[hit], a[hit], step[hit]
+            a = a + step
+        out = np.zeros(len(keys), dtype=bool)
+        out[live] = True
+        return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key's level, found by probing level after level."""
         level = np.zeros(len(keys), dtype=np.int64)
-        live = np.arange(len(keys))
-        j = 1
-        while len(live) and j < len(LEVELS):
-            for p in range(PROBES):
-                at = self.place(keys[live], j, p)
-                live = live[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            level[live] = j
-            j += 1
+        live = np.flatnonzero(self.has(keys, 1))
+        if len(live):
+            own, back = np.unique(keys[live], return_inverse=True)
+            top, left, j = np.ones(len(own), dtype=np.int64), np.arange(len(own)), 2
+            while len(left) and j < len(LEVELS):
+                left = left[self.has(own[left], j)]
+                top[left] = j
+                j += 1
+            level[live] = top[back]
         return _VALUE[level]
 
 
@@ -108,6 +134,14 @@ def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(docs), size), token, before
 
 
+def context(token: np.ndarray) -> np.ndarray:
+    return (token.view(_U) >> _U(_CONTEXT)).view(np.int64)
+
+
+def pair_key(token: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    return mix(token.view(_U) * _U(0x9E3779B97F4A7C15) ^ ctx.view(_U))
+
+
 def _index(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in sorted_keys, -1 for those that aren't there."""
     if not len(sorted_keys):
@@ -116,73 +150,49 @@ def _index(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left.view(np.uint64) * _U(0x9E3779B97F4A7C15) ^ right.view(np.uint64))
+class Dealer:
+    """The shard of a token after a context: tokens with a large share of all are split by context."""
 
+    def __init__(self, shards: int, tokens: int, keys: np.ndarray, counts: np.ndarray):
+        split = np.ceil(counts * shards * 4 / max(tokens, 1)).astype(np.int64)
+        self.shards, self.keys, self.split = shards, keys[split > 1], split[split > 1]
 
-class Model:
-    """The filter, what normalises it, N, V, and the exact counts of frequent tokens."""
-
-    def __init__(self, unigrams: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, once: int, frequent: dict[int, int], paired: np.ndarray):
-        self.tokens, self.distinct = tokens, distinct
-        self.filter = Filter(np.concatenate([unigrams[0], more[0]]), np.concatenate([unigrams[1], more[1]]).astype(np.float64))
-        held = unigrams[1][unigrams[1] >= self.filter.cut] if len(unigrams[1]) else unigrams[1]
-        self.unknown = (once + 1) / (tokens + 2) if tokens else 1.0
-        rest = (1 - self.unknown) * (1 - held.sum() / max(tokens, 1))
-        self.rare = rest / max(1, distinct - len(held))
-        value = _VALUE[np.searchsorted(LEVELS, held, side="right")].sum()
-        self.unit = (1 - self.unknown) * held.sum() / max(tokens, 1) / max(value, 1)
-        self.frequent_keys = np.array(sorted(frequent), dtype=np.int64)
-        self.frequent_counts = np.array([frequent[k] for k in sorted(frequent)], dtype=np.int64)
-        self.paired = paired
-        self.known: dict[int, float] = {}
-        self.pairs: np.ndarray | None = None
+    def shard(self, token: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        out = (token & 0xFFFFFF) % self.shards
+        at = _index(self.keys, token)
+        big = np.flatnonzero(at >= 0)
+        out[big] = (out[big] + 7919 * (ctx[big] % self.split[at[big]])) % self.shards
+        return out
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "pairs": None}
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Filter values of distinct keys; each is probed once as long as it is kept."""
-        listed = keys.tolist()
-        got = np.array([self.known.get(k, -1.0) for k in listed])
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            got[new] = self.filter.count(keys[new].view(np.uint64))
-            if len(self.known) > KEPT:
-                self.known.clear()
-            self.known.update(zip((listed[i] for i in new), got[new].tolist(), strict=True))
-        return got
-
-    def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Values of pairs by their places among the paired tokens; a table of those probed so far is kept."""
-        n = len(self.paired)
-        if self.pairs is None:
-            self.pairs = np.full(n * n, np.nan, dtype=np.float32)
-            k = self.paired.view(np.uint64)
-            self.rest, self.kinds = self.filter.count(k ^ _REST), self.filter.count(k ^ _KINDS)
-        at = left * n + right
-        new = np.unique(at[np.isnan(self.pairs[at])])
-        if len(new):
-            self.pairs[new] = self.filter.count(pair_key(self.paired[new // n], self.paired[new % n]))
-        return self.pairs[at]
-
-    def score(self, token: np.ndarray, before: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's probability and whether the filter has it; without that of the events
-        unknown and rare, which only the exact counts tell apart. value: the tokens' filter values."""
-        has = value > 0
-        p = np.where(has, value * self.unit, 1.0)
-        left = _index(self.paired, before)
-        at = np.flatnonzero(left >= 0)
-        if len(at):
-            right = _index(self.paired, token[at])
-            both = np.zeros(len(at))
-            pair = np.flatnonzero(right >= 0)
-            both[pair] = self.follow(left[at[pair]], right[pair]) if len(pair) else 0
-            rest, kinds = self.rest[left[at]] + 0.5, self.kinds[left[at]]
-            total = _VALUE[np.searchsorted(LEVELS, self.frequent_counts[_index(self.frequent_keys, before[at])], side="right")]
-            total = np.maximum(total, rest) + kinds
-            p[at] = np.minimum(1.0, both / total + (rest + kinds) / total * p[at])
-        return np.log10(p), has
+
+def _packed(head: list[int], key: np.ndarray, ctx: np.ndarray, extra: np.ndarray) -> bytes:
+    """Entries sorted by key: each key once with its number of entries, the contexts in five bytes."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)]).astype(np.int32)
+    wide = extra.max(initial=0) >= 2**16
+    return b"".join([
+        np.array([*head, len(first), len(key), wide], dtype=np.int64).tobytes(), key[first].tobytes(), size.tobytes(),
+        (ctx & 0xFFFFFFFF).astype(np.uint32).tobytes(), (ctx >> 32).astype(np.uint8).tobytes(), extra.astype(np.int64 if wide else np.uint16).tobytes(),
+    ])
+
+
+def _unpacked(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    head, m, n, wide = np.frombuffer(data, dtype=np.int64, count=4)
+    at, out = 32, []
+    for kind, k in ((np.int64, m), (np.int32, m), (np.uint32, n), (np.uint8, n), (np.int64 if wide else np.uint16, n)):
+        out.append(np.frombuffer(data, dtype=kind, count=k, offset=at))
+        at += int(k) * np.dtype(kind).itemsize
+    key, size, low, high, extra = out
+    return int(head), np.repeat(key, size), low.astype(np.int64) | high.astype(np.int64) << 32, extra.astype(np.int64)
+
+
+def _slices(part: np.ndarray, parts: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Arrays in order, cut by part."""
+    order = np.lexsort((arrays[0], part))
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    arrays = [a[order] for a in arrays]
+    for k in np.flatnonzero(np.diff(cut)):
+        yield int(k), [a[cut[k] : cut[k + 1]] for a in arrays]
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -210,183 +220,242 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(docs: DataFrame, paired: np.ndarray) -> DataFrame:
-    """left, right (places in paired), n over all texts."""
+def count_pairs(docs: DataFrame, dealer: Dealer, tokens: int) -> DataFrame:
+    """A row for each shard: its filter of pairs; the contexts whose pairs' values differ from their counts, with
+    the sum of the differences; and the hot pairs, which the filter leaves out."""
+    parts = dealer.shards
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+
+        def send() -> pa.RecordBatch:
+            token, ctx = (np.concatenate(x) for x in zip(*kept, strict=True))
+            _, first, n = np.unique(pair_key(token, ctx), return_index=True, return_counts=True)
+            token, ctx = token[first], ctx[first]
+            rows = [(k, _packed([0], *a)) for k, a in _slices(dealer.shard(token, ctx), parts, token, ctx, n)]
+            return pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(paired)
-        n = np.zeros(m * m, dtype=np.int64)
         for _, data, offsets in chunks(batches):
             _, token, before = tokens_of(Words(data, offsets, folded=True))
-            left = _index(paired, before)
-            token, left = token[left >= 0], left[left >= 0]
-            right = _index(paired, token)
-            pair, c = np.unique(left[right >= 0] * m + right[right >= 0], return_counts=True)
-            n[pair] += c
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"left": pa.array(at // m, pa.int32()), "right": pa.array(at % m, pa.int32()), "n": pa.array(n[at])})
+            kept.append((token, context(before)))
+            held += len(token)
+            if held > 2 * FLUSH:
+                yield send()
+                kept, held = [], 0
+        if held:
+            yield send()
 
-    return texts(docs).mapInArrow(run, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [_unpacked(x)[1:] for b in batches for x in b.column("data").to_pylist()]
+        if not kept:
+            return
+        token, ctx, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        del kept
+        key, first, back = np.unique(pair_key(token, ctx), return_index=True, return_inverse=True)
+        n = np.bincount(back, n, len(key)).astype(np.int64)
+        ctx, owner = ctx[first], token[first]
+        hot = n * HOT >= tokens
+        f = Filter.of(key[~hot], n[~hot])
+        off = quantised(n) - n
+        who, at = np.unique(ctx[off != 0], return_inverse=True)
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([dealer.shard(owner[:1], ctx[:1])[0]], pa.int32()), "pairs": pa.array([f.data.tobytes()], pa.binary()), "pair_bits": pa.array([f.bits], pa.int64()),
+            "off_ctx": one(who, pa.int64()), "off": one(np.bincount(at, off[off != 0], len(who)), pa.float64()),
+            "hot_key": one(key[hot].view(np.int64), pa.int64()), "hot_n": one(n[hot], pa.int64()),
+        })
+
+    dealt = texts(docs).mapInArrow(read, "part int, data binary").repartitionById(parts, "part")
+    return dealt.mapInArrow(count, "part int, pairs binary, pair_bits bigint, off_ctx array<bigint>, off array<double>, hot_key array<bigint>, hot_n array<bigint>")
+
+
+def _token_rows(counted: DataFrame, dealer: Dealer) -> DataFrame:
+    """A row for each shard: its tokens in order with counts and Q, their filter, and the sum of their values."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [[b.column(c).to_numpy() for c in ("key", "n", "q")] for b in batches if b.num_rows]
+        if not t:
+            return
+        key, n, q = (np.concatenate(x) for x in zip(*t, strict=True))
+        order = np.argsort(key)
+        key, n, q = key[order], n[order], q[order]
+        f = Filter.of(key.view(_U), n)
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([(key[0] & 0xFFFFFF) % dealer.shards], pa.int32()), "values": pa.array([float(quantised(n).sum())]),
+            "tokens": pa.array([b"".join((np.int64(len(key)).tobytes(), np.int64(f.bits).tobytes(), key.tobytes(), n.tobytes(), q.tobytes(), f.data.tobytes()))], pa.binary()),
+        })
 
+    shard = F.pmod(F.col("key").bitwiseAND(0xFFFFFF), F.lit(dealer.shards)).cast("int")
+    return counted.repartitionById(dealer.shards, shard).mapInArrow(pack, "part int, values double, tokens binary")
 
-def _arrays(df: DataFrame) -> list[np.ndarray]:
-    return [c.to_numpy() for c in df.toArrow().columns]
 
+class Model:
+    """N, V, the filter and exact counts of the hot n-grams, and the tables of all shards."""
+
+    def __init__(self, tokens: int, distinct: int, once: int, values: float, dealer: Dealer, hot: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], prior: float):
+        self.prior = prior
+        self.tokens, self.distinct, self.dealer = tokens, distinct, dealer
+        self.once, self.values = max(1, once), values
+        self.keys, self.counts, self.following = hot
+        self.filter = Filter.of(np.r_[self.keys.view(_U), pairs[0]], np.r_[self.counts, pairs[1]])
+        self.token_table: DataFrame | None = None
+        self.pair_table: DataFrame | None = None
 
-def train(docs: DataFrame) -> Model:
-    """Fit on all rows of docs. The driver gets the counts of MOST_GRAMS tokens at most, the most frequent
-    ones, and PAIRED * PAIRED pairs."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"token_table": None, "pair_table": None}
+
+    def single(self, value: np.ndarray) -> np.ndarray:
+        """P(w) by the token's value."""
+        return np.where(value > 0, value, self.once) / (self.values + self.once)
+
+    def log(self, pair: np.ndarray, single: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """log10 of P(w | v)'s numerator and of the denominator that w has where it comes before another token."""
+        return np.log10(pair + self.prior * single) - np.log10(following + self.prior)
+
+
+def train(docs: DataFrame, prior: float = PRIOR) -> Model:
+    """Fit on all rows of docs. The driver gets hot n-grams, sums, and nothing that grows with the corpus."""
     counted = cut_lineage(count_tokens(docs))
     few = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).first()
-    frequent = {r.key: int(r.n) for r in counted.where(F.col("n") * FREQUENT >= few.tokens).collect()}
-    paired = np.array(sorted(k for k, n in frequent.items() if n * PAIRED >= few.tokens), dtype=np.int64)
-    least, total = 1, 0
-    for r in counted.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():
-        total += r["count"]
-        if total > MOST_GRAMS:
-            least = 2 ** (int(r.power) + 1)
-            break
-    key, n = _arrays(counted.where(F.col("n") >= least))
-    left, right, c = _arrays(count_pairs(docs, paired))
-    followed = np.bincount(left, c, len(paired))
-    whole = np.array([frequent[k] for k in paired.tolist()], dtype=np.float64)
-    k = paired.view(np.uint64)
-    keys = [pair_key(paired[left], paired[right]), k ^ _REST, k ^ _KINDS]
-    values = [c, np.maximum(whole - followed, 0), np.bincount(left, minlength=len(paired))]
-    keys, values = np.concatenate(keys), np.concatenate(values)
-    return Model((key.view(np.uint64), n), (keys[values > 0], values[values > 0]), int(few.tokens), int(few.distinct), int(few.once), frequent, paired)
-
-
-def lm_score(docs: DataFrame, model: Model, trained: Column) -> DataFrame:
-    """doc_id, trained, n_tokens, n_known, base_sum and score of every text.
-
-    trained says which rows the model was fitted on: their tokens make up the exact counts. base_sum is the
-    sum of log10(count + 1); the base score follows from it, N and V.
+    total = int(few.tokens)
+    hot = counted.where(F.col("n") * HOT >= total)
+    frequent = sorted((r.key, int(r.n)) for r in hot.collect())
+    dealer = Dealer(total // TASK_TOKENS + 1, total, np.array([k for k, _ in frequent], dtype=np.int64), np.array([n for _, n in frequent], dtype=np.int64))
+    pairs = stored(count_pairs(docs, dealer, total))
+    off = pairs.select(F.explode(F.arrays_zip("off_ctx", "off")).alias("x")).groupBy(F.col("x.off_ctx").alias("ctx")).agg(F.sum("x.off").alias("off"))
+    # tokens that share their 40 bits are one context
+    contexts = counted.groupBy(F.shiftrightunsigned("key", _CONTEXT).alias("ctx")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", "n")).alias("own"))
+    known = contexts.join(off, "ctx", "left").select((F.col("n") + F.coalesce("off", F.lit(0.0))).alias("q"), F.explode("own").alias("x")).select("x.key", "x.n", "q")
+    known = cut_lineage(known)
+    rows = stored(_token_rows(known, dealer))
+    listed = sorted((r.key, int(r.n), float(r.q)) for r in known.where(F.col("n") * HOT >= total).collect())
+    column = lambda k, kind: np.array([r[k] for r in listed], dtype=kind)
+    both = pairs.select(F.explode(F.arrays_zip("hot_key", "hot_n")).alias("x")).select("x.hot_key", "x.hot_n").collect()
+    values = float(rows.agg(F.coalesce(F.sum("values"), F.lit(0.0))).first()[0])
+    model = Model(total, int(few.distinct), int(few.once), values, dealer, (column(0, np.int64), column(1, np.int64), column(2, np.float64)), (np.array([r[0] for r in both], dtype=np.int64).view(_U), np.array([r[1] for r in both], dtype=np.int64)), prior)
+    model.token_table, model.pair_table = rows.select("part", "tokens"), pairs.select("part", "pairs", "pair_bits")
+    return model
+
+
+def lm_score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """doc_id, the columns in keep, n_tokens, n_known, base_sum and score of every text.
+
+    base_sum is the sum of log10(count + 1); the base score follows from it, N and V.
     """
-    parts = max(12, plan_bytes(docs) // TASK_BYTES + 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = texts(docs, trained.alias("trained"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    fields = f"part int, data binary, uid bigint, doc_id {kind}, trained boolean, n_tokens bigint, n_known bigint, n_held bigint, base_sum double, score double"
-
-    def row(**columns) -> dict:
+    source = texts(steady(docs), *keep)
+    own = [f for f in source.schema if f.name != "text"]
+    kinds = {f"x{k}": (to_arrow_type(f.dataType), f.dataType.simpleString()) for k, f in enumerate(own)}
+    kinds |= {"part": (pa.int32(), "int"), "kind": (pa.int8(), "tinyint"), "data": (pa.binary(), "binary"), "bits": (pa.int64(), "bigint")}
+    kinds |= {c: (pa.int64(), "bigint") for c in ("uid", "n_tokens", "n_known")} | {c: (pa.float64(), "double") for c in ("base_sum", "score")}
+    fields = ", ".join(f"{c} {k[1]}" for c, k in kinds.items())
+    parts = model.dealer.shards
+
+    def row(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        empty = {"part": pa.int32(), "data": pa.binary(), "uid": pa.int64(), "doc_id": doc_type, "trained": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "n_held": pa.int64(), "base_sum": pa.float64(), "score": pa.float64()}
-        return {c: columns[c] if isinstance(columns.get(c), (pa.Array, pa.ChunkedArray)) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in empty.items()}
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    doc_type = to_arrow_type(source.schema["doc_id"].dataType)
-
-    def send(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]], base: int) -> pa.RecordBatch:
-        key, doc, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-        part = (mix(key.view(np.uint64)) % _U(parts)).astype(np.int64)
-        order = np.lexsort((key, part))
-        key, doc, n, part = key[order], doc[order], n[order], part[order]
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        out = []
-        for k in np.flatnonzero(np.diff(cut)):
-            a, b = cut[k], cut[k + 1]
-            first = np.flatnonzero(np.r_[True, key[a + 1 : b] != key[a : b - 1]])
-            size = np.diff(np.r_[first, b - a]).astype(np.int32)
-            head = np.array([base, len(first), b - a], dtype=np.int64)
-            out.append((int(k), head.tobytes() + key[a:b][first].tobytes() + size.tobytes() + doc[a:b].astype(np.int32).tobytes() + np.minimum(n[a:b], 2**16 - 1).astype(np.uint16).tobytes() if n[a:b].max() < 2**16 else head.tobytes() + b"".join((key[a:b][first].tobytes(), size.tobytes(), doc[a:b].astype(np.int32).tobytes(), n[a:b].astype(np.int64).tobytes()))))
-        return pa.RecordBatch.from_pydict(row(part=[o[0] for o in out], data=[o[1] for o in out]))
+        return pa.RecordBatch.from_pydict({c: columns[c] if isinstance(columns.get(c), (pa.Array, pa.ChunkedArray)) else pa.array(columns[c], k[0]) if c in columns else pa.nulls(n, k[0]) for c, k in kinds.items()})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, uid = shared.value, TaskContext.get().partitionId() << 33
+        single = model.single(quantised(model.counts))
         base, kept, held = uid, [], 0
+
+        def send() -> pa.RecordBatch:
+            token, ctx, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
+            rows = [(k, _packed([base], *a)) for k, a in _slices(model.dealer.shard(token, ctx), parts, token, ctx, doc)]
+            return row(part=[k for k, _ in rows], kind=[2] * len(rows), data=[x for _, x in rows])
+
         for part, data, offsets in chunks(batches):
             words = Words(data, offsets, folded=True)
-            own, token, before = tokens_of(words)
-            docs_n = part.num_rows
-            keys, back = np.unique(token, return_inverse=True)
-            logs, has = model.score(token, before, model.counts(keys)[back])
-            score, held_tokens = np.bincount(own, logs, docs_n), np.bincount(own, has, docs_n).astype(np.int64)
-            at = _index(model.frequent_keys, keys)
-            often = at >= 0
-            c = np.where(often, model.frequent_counts[at], 0) if len(model.frequent_keys) else np.zeros(len(keys))
-            base_sum = np.bincount(own, np.where(often, np.log10(c + 1.0), 0)[back], docs_n)
-            known = np.bincount(own, often[back], docs_n).astype(np.int64)
-            rest = ~often[back]
-            pair, n = np.unique(back[rest] * np.int64(docs_n) + own[rest], return_counts=True)
-            fitted = np.asarray(part.column("trained").to_numpy(zero_copy_only=False), dtype=bool)
-            doc = pair % docs_n
-            kept.append((keys[pair // docs_n], ((uid - base + doc) * 2 + fitted[doc]), n))
-            held += len(pair)
-            yield pa.RecordBatch.from_pydict(row(part=((uid + np.arange(docs_n)) % parts).astype(np.int32), uid=uid + np.arange(docs_n), doc_id=part.column("doc_id"), trained=part.column("trained"), n_tokens=words.counts() + 1, n_known=known, n_held=held_tokens, base_sum=base_sum, score=score))
-            uid += docs_n
+            of, token, before = tokens_of(words)
+            n, ctx = part.num_rows, context(before)
+            # hot pairs are scored here: their tokens are hot too
+            pair = model.filter.count(pair_key(token, ctx))
+            at = np.full(len(token), -1)
+            at[pair > 0] = _index(model.keys, token[pair > 0])
+            here, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            a = at[here]
+            own_sum = lambda x: np.bincount(of[here], x, n)
+            kept.append((token[rest], ctx[rest], of[rest] + (uid - base)))
+            held += len(rest)
+            ids = uid + np.arange(n)
+            yield row(
+                part=(ids % parts).astype(np.int32), kind=np.ones(n, np.int8), uid=ids, n_tokens=words.counts() + 1, n_known=own_sum(None).astype(np.int64), base_sum=own_sum(np.log10(model.counts[a] + 1.0)),
+                score=own_sum(model.log(pair[here], single[a], model.following[a])), **{f"x{k}": part.column(f.name) for k, f in enumerate(own)},
+            )
+            uid += n
             if held >= FLUSH:
-                yield send(kept, base)
+                yield send()
                 base, kept, held = uid, [], 0
         if held:
-            yield send(kept, base)
+            yield send()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, ns = [], [], []
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, kept = shared.value, []
+        known, pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), Filter(np.zeros(8, np.uint8), 64)), Filter(np.zeros(8, np.uint8), 64)
         for batch in batches:
-            blob = batch.column("data")
-            whole = batch.filter(blob.is_null())
-            if whole.num_rows:
-                yield whole
-            for data in blob.drop_null().to_pylist():
-                base, m, n = np.frombuffer(data, dtype=np.int64, count=3)
-                at = 24
-                key = np.frombuffer(data, dtype=np.int64, count=m, offset=at)
-                size = np.frombuffer(data, dtype=np.int32, count=m, offset=at + 8 * m)
-                doc = np.frombuffer(data, dtype=np.int32, count=n, offset=at + 12 * m)
-                count = np.frombuffer(data, dtype=np.uint16 if len(data) == at + 12 * m + 6 * n else np.int64, count=n, offset=at + 12 * m + 4 * n)
-                keys.append(np.repeat(key, size))
-                docs_.append((doc >> 1).astype(np.int64) * 2 + base * 2 + (doc & 1))
-                ns.append(count.astype(np.int64))
-        if not keys:
+            kind = batch.column("kind").to_numpy()
+            if (kind == 1).any():
+                yield batch.filter(pa.array(kind == 1))
+            for k in np.flatnonzero(kind != 1):
+                x = batch.column("data")[int(k)].as_py()
+                if kind[k] == 2:
+                    head, token, ctx, doc = _unpacked(x)
+                    kept.append((token, ctx, doc + head))
+                elif kind[k] == 3:
+                    pairs = Filter(np.frombuffer(x, dtype=np.uint8), batch.column("bits")[int(k)].as_py())
+                else:
+                    m, bits = np.frombuffer(x, dtype=np.int64, count=2).tolist()
+                    columns = [np.frombuffer(x, dtype=t, count=m, offset=16 + 8 * m * j) for j, t in enumerate((np.int64, np.int64, np.float64))]
+                    known = (*columns, Filter(np.frombuffer(x, dtype=np.uint8, offset=16 + 24 * m), bits))
+        if not kept:
             return
-        key, doc, n = np.concatenate(keys), np.concatenate(docs_), np.concatenate(ns)
-        del keys, docs_, ns
-        order = np.argsort(key, kind="stable")
-        key, doc, n = key[order], doc[order], n[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        c = np.repeat(np.add.reduceat(n * (doc & 1), first), np.diff(np.r_[first, len(key)]))
-        uid, back = np.unique(doc >> 1, return_inverse=True)
-        x = np.zeros(len(uid), dtype=_SUM)
-        x["uid"], x["known"], x["base"] = uid, np.bincount(back, n * (c > 0), len(uid)), np.bincount(back, n * np.log10(c + 1.0), len(uid))
-        order = np.argsort(uid % parts, kind="stable")
-        cut = np.searchsorted(uid[order] % parts, np.arange(parts + 1))
-        at = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_pydict(row(part=at.astype(np.int32), data=[x[order[cut[k] : cut[k + 1]]].tobytes() for k in at]))
+        token, ctx, uid = (np.concatenate(x) for x in zip(*kept, strict=True))
+        del kept
+        own, back = np.unique(token, return_inverse=True)
+        count, following, value = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own))
+        for keys, n, q, f in ((model.keys, model.counts, model.following, model.filter), known):
+            at = _index(keys, own)
+            hit = np.flatnonzero(at >= 0)
+            count[hit], following[hit] = n[at[hit]], q[at[hit]]
+            value = np.maximum(value, f.count(own.view(_U)))
+        score = model.log(pairs.count(pair_key(token, ctx)), model.single(value)[back], following[back])
+        base = np.log10(count + 1.0)
+        who, at = np.unique(uid, return_inverse=True)
+        x = np.zeros(len(who), dtype=_SUM)
+        x["uid"], x["known"], x["base"], x["score"] = who, np.bincount(at, (count > 0)[back], len(who)), np.bincount(at, base[back], len(who)), np.bincount(at, score, len(who))
+        rows = list(_slices(who % parts, parts, np.arange(len(who))))
+        yield row(part=[k for k, _ in rows], kind=[2] * len(rows), data=[x[a].tobytes() for _, (a,) in rows])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, found = [], []
+        whole, found = [], [np.zeros(0, dtype=_SUM)]
         for batch in batches:
             blob = batch.column("data")
             found += [np.frombuffer(b, dtype=_SUM) for b in blob.drop_null().to_pylist()]
-            whole.append(batch.filter(blob.is_null()))
-        if not whole:
+            whole.append(batch.filter(blob.is_null()).drop_columns(["data"]))
+        rows = pa.Table.from_batches(whole).combine_chunks() if whole else None
+        if not rows:
             return
-        rows = pa.Table.from_batches(whole).combine_chunks()
-        uid = rows.column("uid").to_numpy()
+        uid, add = rows.column("uid").to_numpy(), np.concatenate(found)
         order = np.argsort(uid)
-        add = np.concatenate(found) if found else np.zeros(0, dtype=_SUM)
         at = order[np.searchsorted(uid[order], add["uid"])] if len(add) else np.zeros(0, dtype=np.int64)
-        known = rows.column("n_known").to_numpy() + np.bincount(at, add["known"], len(uid)).astype(np.int64)
-        base = rows.column("base_sum").to_numpy() + np.bincount(at, add["base"], len(uid))
-        rows = rows.set_column(rows.schema.get_field_index("n_known"), "n_known", pa.array(known)).set_column(rows.schema.get_field_index("base_sum"), "base_sum", pa.array(base))
-        yield from rows.to_batches()
+        for name, part in (("n_known", "known"), ("base_sum", "base"), ("score", "score")):
+            x = rows.column(name).to_numpy() + np.bincount(at, add[part], len(uid))
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(x.astype(np.int64) if part == "known" else x))
+        for batch in rows.to_batches():
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) if c in batch.schema.names else pa.nulls(batch.num_rows, k[0]) for c, k in kinds.items()})
 
-    dealt = source.mapInArrow(read, fields).repartition(parts, "part").mapInArrow(join, fields)
-    out = dealt.repartition(parts, "part").mapInArrow(total, fields)
-    # tokens that the filter lacks: the exact counts say how many of them are known
-    lacking = F.col("n_tokens") - F.col("n_held")
-    rare = F.least(lacking, F.greatest(F.lit(0), F.col("n_known") - F.col("n_held")))
-    log = lambda p: float(np.log10(max(p, 1e-300)))
-    score = F.col("score") + rare * log(model.rare or model.unknown) + (lacking - rare) * log(model.unknown)
-    return out.select("doc_id", "trained", "n_tokens", "n_known", "base_sum", score.alias("score"))
+    blank = lambda c: F.lit(None).cast(kinds[c][1]).alias(c)
+    given = lambda df, kind, data, bits=None: df.select(*(F.col(data).alias(c) if c == "data" else F.lit(kind).cast("tinyint").alias(c) if c == "kind" else F.col("part") if c == "part" else F.col(bits).alias(c) if c == "bits" and bits else blank(c) for c in kinds))
+    dealt = source.mapInArrow(read, fields)
+    dealt = dealt.unionByName(given(model.pair_table, 3, "pairs", "pair_bits")).unionByName(given(model.token_table, 4, "tokens"))
+    out = dealt.repartitionById(parts, "part").mapInArrow(probe, fields).repartitionById(parts, "part").mapInArrow(total, fields)
+    return out.select(*(F.col(f"x{k}").alias(f.name) for k, f in enumerate(own)), "n_tokens", "n_known", "base_sum", "score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    trained = crc_mod("doc_id", 7) != 2
-    model = train(docs.where(trained))
-    out = lm_score(docs, model, trained)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 7) == 2)
+    model = train(docs.where(~F.col("held_out")))
+    out = lm_score(docs, model, "held_out")
     base = F.col("base_sum") - F.col("n_tokens") * float(np.log10(model.tokens + model.distinct + 1))
-    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")

@@ -11,12 +11,13 @@ the words of their anchor, and neighbouring suffixes with one anchor travel as o
    the suffix tree at that depth or below; all its leaves but the earliest are repeats.
 4. Repeats are joined back to their texts; the words they cover go.
 
-Stretches that are equal within a task are dealt once, with their earliest place; the later ones are repeats
-already. So a passage that a third of all documents share makes a row for each task.
+Stretches travel as the bytes of their words, so that equality of words, not of hashes, decides. Stretches
+that are equal within a chunk of texts are dealt once, with their earliest place; the later ones are repeats
+already. So a passage that a third of all documents share makes a row for each chunk.
 
 Cases: null or empty texts have no words; texts shorter than DEPTH words keep all; rows equal in doc_id and
-text are one document and keep the same words; a null doc_id comes before all others; other columns are
-ignored.
+text are one document and keep the same words; a null doc_id comes before all others; ids that aren't
+integers are ordered by a hash; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, plan_bytes, table, texts
+from .common import Words, chunks, mix, order_id, table, text_bytes, texts
 
 DEPTH, ANCHOR = 20, 5
 #: Stretches that share an anchor before its prefix is lengthened.
 HEAVY = 50_000
-#: Rows of arrays that a task gathers before it deals them out; bytes of input for each reading task.
+#: Rows of arrays that a task gathers before it deals them out; bytes of text for each task.
 FLUSH, TASK_BYTES = 1_000_000, 24 << 20
 _SPAN = DEPTH - ANCHOR + 1
 _U = np.uint64
@@ -104,7 +105,7 @@ def _by_document(dealt: DataFrame, parts: int) -> DataFrame:
             hi = min(lo + 5000, len(who))
             yield pa.RecordBatch.from_pydict({"dk": pa.array(who[lo:hi], pa.int64()), "places": pa.array([x["place"][bounds[k] : bounds[k + 1]].tobytes() for k in range(lo, hi)], pa.binary())})
 
-    return dealt.repartition(parts, "part").mapInArrow(run, "dk bigint, places binary")
+    return dealt.repartitionById(parts, "part").mapInArrow(run, "dk bigint, places binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -161,15 +162,23 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             heavy = (np.maximum(rows, most) > HEAVY) | (most > HEAVY // 16)
             yield _places(x["doc"][again], x["start"][again] * 2 + heavy[again], parts)
 
-    dealt = docs.select("dk", "text").mapInArrow(read, "part int, sure int, data binary").repartition(parts, "part")
+    dealt = docs.select("dk", "text").mapInArrow(read, "part int, sure int, data binary").repartitionById(parts, "part")
     return _by_document(dealt.mapInArrow(count, "part int, data binary"), parts)
 
 
-def _pack(heads: np.ndarray, content: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> bytes:
+def _spaced(words: Words) -> tuple[bytes, np.ndarray]:
+    """All words, each with one space behind it, and where each begins; the end of the last comes last."""
+    size = words.ends - words.starts + 1
+    at = np.r_[0, np.cumsum(size)]
+    data = np.append(words.data, np.uint8(32))
+    out = data[np.repeat(words.starts - at[:-1], size) + np.arange(at[-1])]
+    out[at[1:] - 1] = 32
+    return out.tobytes(), at
+
+
+def _pack(heads: np.ndarray, content: list[bytes], which: np.ndarray) -> bytes:
     """Heads and words of the chosen stretches as one run of bytes."""
-    size = np.diff(bounds)[which]
-    at = np.repeat(bounds[:-1][which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return np.int64(len(which)).tobytes() + heads[which].tobytes() + content[at].tobytes()
+    return np.int64(len(which)).tobytes() + heads[which].tobytes() + b"".join([content[k] for k in which.tolist()])
 
 
 def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
@@ -193,29 +202,31 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
             row = np.concatenate([rows[rest], np.repeat(rows[lone], n[lone])])
             begin = np.concatenate([start[rest], np.repeat(start[lone], n[lone]) + np.arange(n[lone].sum()) - np.repeat(np.cumsum(n[lone]) - n[lone], n[lone])])
             many = np.concatenate([n[rest], np.ones(len(row) - len(rest), dtype=np.int64)])
-            size = many + DEPTH - 1
-            bounds = np.r_[0, np.cumsum(size)]
-            place = np.repeat(words.first[row] + begin - bounds[:-1], size) + np.arange(bounds[-1])
-            content = (words.hash[place] >> _U(32)).astype(np.uint32)
-            mixed = np.r_[_U(0), np.cumsum(mix(words.hash[place] + (np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), dtype=np.uint64)]
-            whole = mix(mixed[bounds[1:]] - mixed[bounds[:-1]])
+            spaced, edge = _spaced(words)
+            lo = words.first[row] + begin
+            content = [spaced[i:j] for i, j in zip(edge[lo].tolist(), edge[lo + many + DEPTH - 1].tolist(), strict=True)]
             heads = np.zeros(len(row), dtype=_HEAD)
-            heads["key"] = np.concatenate([anchor[rest], whole[len(rest) :]])
+            lengthened = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in content[len(rest) :]], dtype=np.uint64)
+            heads["key"] = np.concatenate([anchor[rest], lengthened])
             heads["id"], heads["doc"], heads["start"], heads["n"] = np.asarray(part.column("id"))[row], np.asarray(part.column("dk"))[row], begin, many
-            # of equal stretches in this chunk the earliest is dealt, the others are repeats
-            order = np.lexsort((heads["start"], heads["doc"], heads["id"], many, whole))
-            same = np.r_[False, (whole[order][1:] == whole[order][:-1]) & (many[order][1:] == many[order][:-1])] if len(order) else np.zeros(0, dtype=bool)
-            # rows equal in doc_id and text are one document: their suffixes begin at the same places
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-            twin = same & (heads["doc"][order] == heads["doc"][order[lead]]) & (heads["start"][order] == heads["start"][order[lead]])
-            later = order[same & ~twin]
-            firsts = np.sort(order[~same])
+            # of equal stretches in this chunk the earliest is dealt, the others are repeats; rows equal in
+            # doc_id and text are one document: their suffixes begin at the same places
+            lead: dict[bytes, int] = {}
+            firsts, later = [], []
+            places = list(zip(heads["doc"].tolist(), begin.tolist(), strict=True))
+            for k in np.lexsort((begin, heads["doc"], heads["id"])).tolist():
+                j = lead.setdefault(content[k], k)
+                if j == k:
+                    firsts.append(k)
+                elif places[j] != places[k]:
+                    later.append(k)
+            firsts = np.array(firsts, dtype=np.int64)
             group = (mix(heads["key"][firsts]) % _U(parts)).astype(np.int64)
             by = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[by], np.arange(parts + 1))
-            out = [(int(k), 0, _pack(heads, content, bounds, firsts[by[edges[k] : edges[k + 1]]])) for k in np.flatnonzero(np.diff(edges))]
-            if len(later):
-                out.append((int(later[0]) % parts, 1, heads[later].tobytes()))
+            out = [(int(k), 0, _pack(heads, content, firsts[by[edges[k] : edges[k + 1]]])) for k in np.flatnonzero(np.diff(edges))]
+            if later:
+                out.append((later[0] % parts, 1, heads[later].tobytes()))
             yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in out], pa.int32()), "sure": pa.array([r[1] for r in out], pa.int32()), "data": pa.array([r[2] for r in out], pa.binary())})
 
     def every(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,10 +245,15 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
                 else:
                     n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
                     heads.append(np.frombuffer(data, dtype=_HEAD, count=n, offset=8))
-                    content.append(np.frombuffer(data, dtype=np.uint32, offset=8 + n * _HEAD.itemsize))
+                    content.append(data[8 + n * _HEAD.itemsize :])
         if not heads:
             return
-        heads, content = np.concatenate(heads), np.concatenate(content)
+        heads, data = np.concatenate(heads), np.frombuffer(b"".join(content), dtype=np.uint8)
+        del content
+        # a number for each different word
+        bounds = np.r_[0, np.flatnonzero(data == 32) + 1]
+        words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        content = words.dictionary_encode().indices.to_numpy().astype(">u4")
         size = heads["n"].astype(np.int64) + DEPTH - 1
         base = np.cumsum(size) - size
         order = np.argsort(heads["key"], kind="stable")
@@ -254,9 +270,7 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
 
     def leaves(heads: np.ndarray, base: np.ndarray, content: np.ndarray) -> pa.RecordBatch:
         of, inside = every(heads)
-        suffix = content[(base[of] + inside)[:, None] + np.arange(DEPTH)]
-        suffix = np.concatenate([(heads["key"][of] >> _U(32)).astype(np.uint32)[:, None], suffix], axis=1)
-        flat = np.ascontiguousarray(suffix.astype(">u4")).view(f"V{4 * (DEPTH + 1)}").ravel()
+        flat = np.ascontiguousarray(content[(base[of] + inside)[:, None] + np.arange(DEPTH)]).view(f"V{4 * DEPTH}").ravel()
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         node = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])  # neighbours that agree to the full depth share a node
@@ -270,8 +284,8 @@ def repeats(keyed: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
         return _places(docs[later], start[later], parts)
 
     # the same columns as the join that deletes the words, so that texts are dealt by dk once for both
-    joined = keyed.join(anchors.hint("shuffle_hash"), "dk").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), "dk", "text", "places")
-    dealt = joined.mapInArrow(cut, "part int, sure int, data binary").repartition(parts, "part")
+    joined = keyed.join(anchors.hint("shuffle_hash"), "dk").select(order_id(keyed).alias("id"), "dk", "text", "places")
+    dealt = joined.mapInArrow(cut, "part int, sure int, data binary").repartitionById(parts, "part")
     return _by_document(dealt.mapInArrow(tree, "part int, data binary"), parts)
 
 
@@ -281,7 +295,7 @@ def substring_dedup(docs: DataFrame, outputs: tuple[str, ...] = ("text", "spans"
     outputs: text (kept words joined by one space), spans (first word and length of each removed run,
     as arrays of two), kept_sha256 (of that text in UTF-8).
     """
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // TASK_BYTES + 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // TASK_BYTES + 1)
     keyed = _keyed(docs)
     found = repeats(keyed, repeated_anchors(keyed, parts), parts)
     joined = keyed.join(found.hint("shuffle_hash"), "dk", "left").select("doc_id", "text", "places")

@@ -1,8 +1,6 @@
 """Near dedup, line dedup, substring dedup, LM scores and the pipeline against brute force."""
 
 import hashlib
-import math
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathom.llm import line_dedup, lm_score, near_dedup, substring_dedup
+from fathom.llm import line_dedup, near_dedup, substring_dedup
 from fathom.llm.components import components
 from fathom.llm.queries import QUERIES
 
@@ -216,41 +214,29 @@ def test_substring_dedup_of_odd_texts(spark, monkeypatch, heavy):
     assert [r.n_removed for r in substring_dedup.substring_dedup(same.unionByName(same)).collect()] == [0, 0]
 
 
-def test_lm_base_and_gain(spark):
-    rows = QUERIES["op5_lm_score"](spark, SF).collect()
-    fold = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-    docs = {i: [*(t or "").encode().translate(fold).split(), None] for i, t in whole()}
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for i, ws in docs.items() if not held(i) for w in ws)
-    n, v = sum(c.values()), len(c)
-    for r in rows:
-        ws = docs[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-    out = [r for r in rows if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
-
-
-def test_lm_on_odd_texts(spark):
-    docs = docs_of(spark, [None, "", "a a b", "A a", "new words", "a " * 3000])
-    model = lm_score.train(docs.where("doc_id < 4"))
-    got = {r.doc_id: r for r in lm_score.lm_score(docs, model, F.col("doc_id") < 4).collect()}
-    assert model.tokens == 9 and model.distinct == 3
-    assert (got[0].n_tokens, got[2].n_known, got[4].n_known, got[5].n_tokens) == (1, 4, 1, 3001)
-    assert all(r.score <= 0 and math.isfinite(r.score) for r in got.values())
-    empty = lm_score.train(docs.limit(0))
-    assert [r.n_known for r in lm_score.lm_score(docs, empty, F.lit(False)).collect()] == [0] * 6
-    assert lm_score.lm_score(docs.limit(0), model, F.lit(True)).count() == 0
-
-
-def test_filter_levels():
-    rng = np.random.default_rng(4)
-    keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    counts = np.floor(np.exp(rng.uniform(0, 12, 5000)))
-    kept = lm_score.Filter(keys, counts)
-    got = kept.count(keys)
-    assert np.all(got >= counts / 1.4) and np.mean(got <= counts * 1.4) > 0.97
-    assert np.mean(kept.count(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0) < 0.02
+def test_words_whose_hashes_have_equal_halves(spark):
+    from fathom.llm.common import Words
+
+    names = np.array([f"id{k}" for k in range(400_000)])
+    raw = " ".join(names).encode()
+    upper = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).hash >> np.uint64(32)
+    order = np.argsort(upper, kind="stable")
+    twins = np.flatnonzero(upper[order][1:] == upper[order][:-1])
+    assert len(twins)
+    texts = [" ".join([*sentence(k, 19), names[order[j]]]) for k, i in enumerate(twins) for j in (i, i + 1)]
+    out = substring_dedup.substring_dedup(docs_of(spark, texts), ("text",)).collect()
+    assert {r.doc_id: r.text for r in out} == dict(enumerate(texts))
+
+
+def test_substring_dedup_of_null_and_text_ids(spark):
+    p = " ".join(sentence(3, 25))
+    rows = [(5, p), (None, p), (None, p + " z"), (5, p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs, ()).collect())
+    assert [x for x in got if x[0] == "5"] == [("5", 25, 25)] * 2
+    assert sorted(x[2] for x in got if x[0] == "None") in ([0, 25], [0, 26])
+    named = docs.where("doc_id is not null").withColumn("doc_id", F.lit("a")).unionByName(docs.limit(1).withColumn("doc_id", F.lit("b")))
+    assert sorted(r.n_removed for r in substring_dedup.substring_dedup(named, ()).collect()) in ([0, 0, 25], [0, 25, 25])
 
 
 def test_pipeline_stages(spark):
