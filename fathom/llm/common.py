@@ -84,6 +84,14 @@ def order_id(df: DataFrame, column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("bigint") if whole else F.xxhash64(column), F.lit(-(2**63)))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

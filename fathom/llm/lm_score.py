@@ -1,25 +1,27 @@
-"""LM scoring with log-frequency Bloom filters of quantised n-gram counts.
+"""LM scoring with log-frequency Bloom filters of n-gram counts.
 
-The n-grams are tokens and pairs of neighbouring tokens, all of them. A count is quantised to a level of a
-geometric scale (LEVELS; exact up to 6), and (n-gram, 1) to (n-gram, level) enter a Bloom filter. A level is
-read back by probing 1, 2, 3 ... until a probe fails, and stands for the middle of its counts.
+The n-grams are tokens and pairs of neighbouring tokens, all of them. A count of d binary digits enters a Bloom
+filter as (n-gram, 1) to (n-gram, d) and as (n-gram, place) for each further digit that is 1: the number of
+entries grows with the logarithm of the count. It is read back by probing 1, 2, 3 ... until a probe fails,
+then the places below. Counts are kept to the last digit, as coarser steps can't be summed up to 1 after a
+token without a second shuffle of all pairs.
 
-With q() for these values, U for the number of tokens seen once (1 at least), S for the sum of q over tokens:
+With c() for these counts, N for their sum over tokens, and U for the number of tokens seen once (1 at least):
 
-    P(w)     = q(w) / (S + U), and U / (S + U) for the one event of any unknown token
-    P(w | v) = (q(v, w) + PRIOR * P(w)) / (Q(v) + PRIOR), where Q(v) is the sum of q(v, w) over w
+    P(w)     = c(w) / (N + U), and U / (N + U) for the one event of any unknown token
+    P(w | v) = (c(v, w) + PRIOR * P(w)) / (c(v) + PRIOR)
 
 so that the known tokens and the unknown one sum to 1 after every v. A text begins after an end.
 
-The filter grows with the corpus, so only a part with a proven bound is broadcast: n-grams that are 1 / HOT of
-all tokens or more, at most HOT tokens and HOT pairs. The other n-grams are in filters of TASK_TOKENS tokens
-each, a shard by hash of w; a text's tokens are dealt to the tasks that own their shards, with the number of
-the text and 40 bits of the hash of v, and are scored there: P(w | v)'s numerator needs w and (v, w), and the
-denominators of a text are those of its own tokens. Tokens with a large share of all are split over shards by
-v. No n-gram is left out, and the results don't depend on HOT or TASK_TOKENS but for false positives, 2**-24
-for each probed level.
+The filter grows with the corpus, so only a part with a proven bound is broadcast: tokens that are 1 / HOT of
+all tokens or more, and pairs that are so by what single tasks saw of them, HOT of each at most. Every other
+token of a text is dealt to the task that owns its shard, by a hash of w (of a token with a large share of all,
+also of v), with the number of the text and 40 bits of the hash of v. That task enters its shard's n-grams
+of training texts in a filter, and scores all tokens dealt to it by probing that. P(w | v)'s numerator needs
+w and (v, w), which are in one shard, and the denominators of a text are those of its own tokens. No n-gram
+is left out, and results don't depend on HOT or TASK_TOKENS but for false positives, 2**-24 a probe.
 
-The base score is exact: the shards hold the exact count and Q of each token.
+The base score is exact: it takes the counts of tokens themselves.
 
 Cases: a null or empty text is one end token; with no training text every token is unknown, N and V are 0
 and the scores are 0; repeated rows are scored row by row and each counts in training; other columns are
@@ -33,71 +35,54 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Words, chunks, crc_mod, cut_lineage, mix, steady, stored, table, texts
+from .common import Words, chunks, crc_mod, cut_lineage, mix, steady, table, texts, unused
 
-PROBES, SCALE, PRIOR = 24, 1.15, 100.0
+PROBES, PRIOR = 24, 100.0
 #: Bounds of the tokens, and of the pairs, that are broadcast; tokens of a shard.
-HOT, TASK_TOKENS = 20_000, 1_500_000
+HOT, TASK_TOKENS = 100_000, 2_500_000
 #: Tokens that a task gathers before it deals them out.
 FLUSH = 700_000
 _U = np.uint64
 _END = 0x0E0D0C0B0A090807
 _CONTEXT = 24  # a context is known by the upper 40 bits of its token's hash, a shard by the lower 24
-_SUM = np.dtype([("uid", "i8"), ("known", "i8"), ("base", "f8"), ("score", "f8")])
-
-
-def _scale() -> np.ndarray:
-    """The least count of each level."""
-    out = [1]
-    while out[-1] < 2**62:
-        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * SCALE))))
-    return np.array(out, dtype=np.float64)
-
-
-LEVELS = _scale()
-_VALUE = np.r_[0.0, (LEVELS[:-1] + LEVELS[1:] - 1) / 2]
-
-
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """The value that stands for each count; 0 for 0."""
-    return _VALUE[np.searchsorted(LEVELS, counts, side="right")]
+_SUM = np.dtype([("uid", "i8"), ("known", "u4"), ("base", "f8"), ("score", "f4")])
 
 
 class Filter:
-    """Levels of keys, as memberships of (key, level)."""
-
-    def __init__(self, data: np.ndarray, bits: int):
-        self.data, self.bits = data, bits
-
-    @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Filter:
-        level = np.searchsorted(LEVELS, counts, side="right")
-        bits = -(-max(64, int(level.sum() * PROBES / np.log(2))) // 64) * 64
-        out = cls(np.zeros(bits // 8, dtype=np.uint8), bits)
-        for j in range(1, int(level.max(initial=0)) + 1):
-            own = keys[level >= j]
-            for at in out.places(own, j):
-                np.bitwise_or.at(out.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        return out
-
-    def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """The bit of each key for every probe."""
-        a = mix(keys ^ _U(level * 0x9E3779B97F4A7C15 % 2**64))
-        step = mix(a) | _U(1)
-        for _ in range(PROBES):
-            yield ((a >> _U(32)) * _U(self.bits) >> _U(32)).astype(np.int64) if self.bits < 1 << 32 else (a % _U(self.bits)).astype(np.int64)
+    """Counts of keys, as memberships of (key, number of digits so far) and (key, place of a digit)."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        digits = np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+        entries = digits.sum() + np.bitwise_count(counts.astype(_U)).sum(dtype=np.int64) - len(keys)
+        self.bits = -(-max(64, int(entries * PROBES / np.log(2))) // 64) * 64
+        self.data = np.zeros(self.bits // 8, dtype=np.uint8)
+        for j in range(1, int(digits.max(initial=0)) + 1):
+            self._enter(keys[digits >= j], j)
+            self._enter(keys[(digits > j) & (counts >> (j - 1) & 1 == 1)], -j)
+
+    def _start(self, keys: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray]:
+        a = mix(keys ^ _U(entry * 0x9E3779B97F4A7C15 % 2**64))
+        return a, mix(a) | _U(1)
+
+    def _place(self, a: np.ndarray) -> np.ndarray:
+        return ((a >> _U(32)) * _U(self.bits) >> _U(32)).astype(np.int64) if self.bits < 1 << 32 else (a % _U(self.bits)).astype(np.int64)
+
+    def _enter(self, keys: np.ndarray, entry: int) -> None:
+        a, step = self._start(keys, entry)
+        for _ in range(PROBES if len(keys) else 0):
+            at = self._place(a)
+            np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
             a = a + step
 
-    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+    def has(self, keys: np.ndarray, entry: int) -> np.ndarray:
         live = np.arange(len(keys))
-        a = mix(keys ^ _U(level * 0x9E3779B97F4A7C15 % 2**64))
-        step = mix(a) | _U(1)
-        for _ in range(PROBES):
-            at = ((a >> _U(32)) * _U(self.bits) >> _U(32)).astype(np.int64) if self.bits < 1 << 32 else (a % _U(self.bits)).astype(np.int64)
+        a, step = self._start(keys, entry)
+        for _ in range(PROBES if len(keys) else 0):
+            at = self._place(a)
             hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             if not hit.all():
                 live, a, step = live[hit], a[hit], step[hit]
@@ -107,18 +92,22 @@ class Filter:
         return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key's level, found by probing level after level."""
-        level = np.zeros(len(keys), dtype=np.int64)
+        """The count of each key, found by probing."""
+        out = np.zeros(len(keys), dtype=np.int64)
         live = np.flatnonzero(self.has(keys, 1))
         if len(live):
             own, back = np.unique(keys[live], return_inverse=True)
-            top, left, j = np.ones(len(own), dtype=np.int64), np.arange(len(own)), 2
-            while len(left) and j < len(LEVELS):
+            digits, left, j = np.ones(len(own), dtype=np.int64), np.arange(len(own)), 2
+            while len(left) and j < 63:
                 left = left[self.has(own[left], j)]
-                top[left] = j
+                digits[left] = j
                 j += 1
-            level[live] = top[back]
-        return _VALUE[level]
+            n = np.left_shift(1, digits - 1)
+            for j in range(1, int(digits.max())):
+                more = np.flatnonzero(digits > j)
+                n[more[self.has(own[more], -j)]] += 1 << (j - 1)
+            out[live] = n[back]
+        return out
 
 
 def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +154,13 @@ class Dealer:
         return out
 
 
-def _packed(head: list[int], key: np.ndarray, ctx: np.ndarray, extra: np.ndarray) -> bytes:
+def _packed(head: int, key: np.ndarray, ctx: np.ndarray, extra: np.ndarray) -> bytes:
     """Entries sorted by key: each key once with its number of entries, the contexts in five bytes."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)]).astype(np.int32)
     wide = extra.max(initial=0) >= 2**16
     return b"".join([
-        np.array([*head, len(first), len(key), wide], dtype=np.int64).tobytes(), key[first].tobytes(), size.tobytes(),
+        np.array([head, len(first), len(key), wide], dtype=np.int64).tobytes(), key[first].tobytes(), size.tobytes(),
         (ctx & 0xFFFFFFFF).astype(np.uint32).tobytes(), (ctx >> 32).astype(np.uint8).tobytes(), extra.astype(np.int64 if wide else np.uint16).tobytes(),
     ])
 
@@ -196,157 +185,99 @@ def _slices(part: np.ndarray, parts: int, *arrays: np.ndarray) -> Iterator[tuple
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """key (hash of a token in lower case, or the end), n over all texts; tasks count before a shuffle."""
+    """key, pair, n: counts over all texts of each token (in lower case, or the end), pair = false; and of pairs,
+    as far as tasks found them to be 1 / HOT of what they had read. Tasks count before a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
+        kept, pairs, held, read = [], [], 0, 0
+
+        def rows(key: np.ndarray, n: np.ndarray, pair: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": pa.array(key), "pair": pa.array(np.full(len(key), pair)), "n": pa.array(n)})
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
             key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
             own, back = np.unique(key, return_inverse=True)
             return own, np.bincount(back, n, len(own)).astype(np.int64)
 
+        def likely() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(pairs), return_counts=True)
+            often = n * HOT >= read
+            return rows(key[often].view(np.int64), n[often].astype(np.int64), True)
+
         for _, data, offsets in chunks(batches):
-            kept.append(np.unique(tokens_of(Words(data, offsets, folded=True))[1], return_counts=True))
-            held += len(kept[-1][0])
+            _, token, before = tokens_of(Words(data, offsets, folded=True))
+            kept.append(np.unique(token, return_counts=True))
+            pairs.append(pair_key(token, context(before)))
+            held, read = held + len(kept[-1][0]), read + len(token)
+            if read > FLUSH:
+                yield likely()
+                pairs, read = [], 0
             if held > 2 * FLUSH:
                 kept, held = [counted()], 0
                 if len(kept[0][0]) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], ["key", "n"])
+                    yield rows(*kept[0], False)
                     kept = []
+        if read:
+            yield likely()
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted()], ["key", "n"])
-
-    return texts(docs).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+            yield rows(*counted(), False)
 
+    return texts(docs).mapInArrow(run, "key bigint, pair boolean, n bigint").groupBy("key", "pair").agg(F.sum("n").alias("n"))
 
-def count_pairs(docs: DataFrame, dealer: Dealer, tokens: int) -> DataFrame:
-    """A row for each shard: its filter of pairs; the contexts whose pairs' values differ from their counts, with
-    the sum of the differences; and the hot pairs, which the filter leaves out."""
-    parts = dealer.shards
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
 
-        def send() -> pa.RecordBatch:
-            token, ctx = (np.concatenate(x) for x in zip(*kept, strict=True))
-            _, first, n = np.unique(pair_key(token, ctx), return_index=True, return_counts=True)
-            token, ctx = token[first], ctx[first]
-            rows = [(k, _packed([0], *a)) for k, a in _slices(dealer.shard(token, ctx), parts, token, ctx, n)]
-            return pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
+def count_pairs(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """key, n over all texts of the pairs in keys (sorted)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(keys), dtype=np.int64)
         for _, data, offsets in chunks(batches):
             _, token, before = tokens_of(Words(data, offsets, folded=True))
-            kept.append((token, context(before)))
-            held += len(token)
-            if held > 2 * FLUSH:
-                yield send()
-                kept, held = [], 0
-        if held:
-            yield send()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [_unpacked(x)[1:] for b in batches for x in b.column("data").to_pylist()]
-        if not kept:
-            return
-        token, ctx, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-        del kept
-        key, first, back = np.unique(pair_key(token, ctx), return_index=True, return_inverse=True)
-        n = np.bincount(back, n, len(key)).astype(np.int64)
-        ctx, owner = ctx[first], token[first]
-        hot = n * HOT >= tokens
-        f = Filter.of(key[~hot], n[~hot])
-        off = quantised(n) - n
-        who, at = np.unique(ctx[off != 0], return_inverse=True)
-        one = lambda x, kind: pa.array([x], pa.list_(kind))
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([dealer.shard(owner[:1], ctx[:1])[0]], pa.int32()), "pairs": pa.array([f.data.tobytes()], pa.binary()), "pair_bits": pa.array([f.bits], pa.int64()),
-            "off_ctx": one(who, pa.int64()), "off": one(np.bincount(at, off[off != 0], len(who)), pa.float64()),
-            "hot_key": one(key[hot].view(np.int64), pa.int64()), "hot_n": one(n[hot], pa.int64()),
-        })
-
-    dealt = texts(docs).mapInArrow(read, "part int, data binary").repartitionById(parts, "part")
-    return dealt.mapInArrow(count, "part int, pairs binary, pair_bits bigint, off_ctx array<bigint>, off array<double>, hot_key array<bigint>, hot_n array<bigint>")
-
-
-def _token_rows(counted: DataFrame, dealer: Dealer) -> DataFrame:
-    """A row for each shard: its tokens in order with counts and Q, their filter, and the sum of their values."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = [[b.column(c).to_numpy() for c in ("key", "n", "q")] for b in batches if b.num_rows]
-        if not t:
-            return
-        key, n, q = (np.concatenate(x) for x in zip(*t, strict=True))
-        order = np.argsort(key)
-        key, n, q = key[order], n[order], q[order]
-        f = Filter.of(key.view(_U), n)
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([(key[0] & 0xFFFFFF) % dealer.shards], pa.int32()), "values": pa.array([float(quantised(n).sum())]),
-            "tokens": pa.array([b"".join((np.int64(len(key)).tobytes(), np.int64(f.bits).tobytes(), key.tobytes(), n.tobytes(), q.tobytes(), f.data.tobytes()))], pa.binary()),
-        })
+            at = _index(keys, pair_key(token, context(before)).view(np.int64))
+            n += np.bincount(at[at >= 0], minlength=len(keys))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[some]), "n": pa.array(n[some])})
 
-    shard = F.pmod(F.col("key").bitwiseAND(0xFFFFFF), F.lit(dealer.shards)).cast("int")
-    return counted.repartitionById(dealer.shards, shard).mapInArrow(pack, "part int, values double, tokens binary")
+    return texts(docs).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """N, V, the filter and exact counts of the hot n-grams, and the tables of all shards."""
-
-    def __init__(self, tokens: int, distinct: int, once: int, values: float, dealer: Dealer, hot: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], prior: float):
-        self.prior = prior
-        self.tokens, self.distinct, self.dealer = tokens, distinct, dealer
-        self.once, self.values = max(1, once), values
-        self.keys, self.counts, self.following = hot
-        self.filter = Filter.of(np.r_[self.keys.view(_U), pairs[0]], np.r_[self.counts, pairs[1]])
-        self.token_table: DataFrame | None = None
-        self.pair_table: DataFrame | None = None
+    """N, V, and the filter and exact counts of the n-grams that are broadcast."""
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"token_table": None, "pair_table": None}
+    def __init__(self, tokens: int, distinct: int, once: int, hot: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], prior: float):
+        self.tokens, self.distinct, self.once, self.prior = tokens, distinct, max(1, once), prior
+        self.keys, self.counts = hot
+        self.filter = Filter(np.r_[hot[0], pairs[0]].view(_U), np.r_[hot[1], pairs[1]])
+        self.dealer = Dealer(tokens // TASK_TOKENS + 1, tokens, *hot)
 
-    def single(self, value: np.ndarray) -> np.ndarray:
-        """P(w) by the token's value."""
-        return np.where(value > 0, value, self.once) / (self.values + self.once)
-
-    def log(self, pair: np.ndarray, single: np.ndarray, following: np.ndarray) -> np.ndarray:
+    def log(self, pair: np.ndarray, single: np.ndarray) -> np.ndarray:
         """log10 of P(w | v)'s numerator and of the denominator that w has where it comes before another token."""
-        return np.log10(pair + self.prior * single) - np.log10(following + self.prior)
+        p = np.where(single > 0, single, self.once) / (self.tokens + self.once)
+        return np.log10(pair + self.prior * p) - np.log10(single + self.prior)
 
 
 def train(docs: DataFrame, prior: float = PRIOR) -> Model:
-    """Fit on all rows of docs. The driver gets hot n-grams, sums, and nothing that grows with the corpus."""
+    """Fit on all rows of docs. The driver gets N, V and at most HOT tokens and HOT pairs with their counts."""
     counted = cut_lineage(count_tokens(docs))
-    few = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).first()
-    total = int(few.tokens)
-    hot = counted.where(F.col("n") * HOT >= total)
-    frequent = sorted((r.key, int(r.n)) for r in hot.collect())
-    dealer = Dealer(total // TASK_TOKENS + 1, total, np.array([k for k, _ in frequent], dtype=np.int64), np.array([n for _, n in frequent], dtype=np.int64))
-    pairs = stored(count_pairs(docs, dealer, total))
-    off = pairs.select(F.explode(F.arrays_zip("off_ctx", "off")).alias("x")).groupBy(F.col("x.off_ctx").alias("ctx")).agg(F.sum("x.off").alias("off"))
-    # tokens that share their 40 bits are one context
-    contexts = counted.groupBy(F.shiftrightunsigned("key", _CONTEXT).alias("ctx")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", "n")).alias("own"))
-    known = contexts.join(off, "ctx", "left").select((F.col("n") + F.coalesce("off", F.lit(0.0))).alias("q"), F.explode("own").alias("x")).select("x.key", "x.n", "q")
-    known = cut_lineage(known)
-    rows = stored(_token_rows(known, dealer))
-    listed = sorted((r.key, int(r.n), float(r.q)) for r in known.where(F.col("n") * HOT >= total).collect())
-    column = lambda k, kind: np.array([r[k] for r in listed], dtype=kind)
-    both = pairs.select(F.explode(F.arrays_zip("hot_key", "hot_n")).alias("x")).select("x.hot_key", "x.hot_n").collect()
-    values = float(rows.agg(F.coalesce(F.sum("values"), F.lit(0.0))).first()[0])
-    model = Model(total, int(few.distinct), int(few.once), values, dealer, (column(0, np.int64), column(1, np.int64), column(2, np.float64)), (np.array([r[0] for r in both], dtype=np.int64).view(_U), np.array([r[1] for r in both], dtype=np.int64)), prior)
-    model.token_table, model.pair_table = rows.select("part", "tokens"), pairs.select("part", "pairs", "pair_bits")
-    return model
-
-
-def lm_score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    few = counted.where("not pair").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).first()
+    hot = counted.where(F.col("n") * HOT >= few.tokens)
+    column = lambda rows, k: np.array([r[k] for r in rows], dtype=np.int64)
+    tokens = sorted((r.key, r.n) for r in hot.where("not pair").collect())
+    keys = np.sort(column(hot.where("pair").select("key").collect(), 0))
+    pairs = sorted((r.key, r.n) for r in count_pairs(docs, keys).collect()) if len(keys) else []
+    return Model(int(few.tokens), int(few.distinct), int(few.once), (column(tokens, 0), column(tokens, 1)), (column(pairs, 0), column(pairs, 1)), prior)
+
+
+def lm_score(docs: DataFrame, model: Model, trained: Column, *keep: str) -> DataFrame:
     """doc_id, the columns in keep, n_tokens, n_known, base_sum and score of every text.
 
-    base_sum is the sum of log10(count + 1); the base score follows from it, N and V.
+    trained says which rows of docs the model was fitted on: all of those must be there, as the shards learn
+    from them. base_sum is the sum of log10(count + 1); the base score follows from it, N and V.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = texts(steady(docs), *keep)
+    source = texts(steady(docs), *keep, trained.alias(unused(docs, "trained")))
     own = [f for f in source.schema if f.name != "text"]
     kinds = {f"x{k}": (to_arrow_type(f.dataType), f.dataType.simpleString()) for k, f in enumerate(own)}
-    kinds |= {"part": (pa.int32(), "int"), "kind": (pa.int8(), "tinyint"), "data": (pa.binary(), "binary"), "bits": (pa.int64(), "bigint")}
+    kinds |= {"part": (pa.int32(), "int"), "data": (pa.binary(), "binary")}
     kinds |= {c: (pa.int64(), "bigint") for c in ("uid", "n_tokens", "n_known")} | {c: (pa.float64(), "double") for c in ("base_sum", "score")}
     fields = ", ".join(f"{c} {k[1]}" for c, k in kinds.items())
     parts = model.dealer.shards
@@ -357,31 +288,32 @@ def lm_score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, uid = shared.value, TaskContext.get().partitionId() << 33
-        single = model.single(quantised(model.counts))
         base, kept, held = uid, [], 0
 
         def send() -> pa.RecordBatch:
             token, ctx, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
-            rows = [(k, _packed([base], *a)) for k, a in _slices(model.dealer.shard(token, ctx), parts, token, ctx, doc)]
-            return row(part=[k for k, _ in rows], kind=[2] * len(rows), data=[x for _, x in rows])
+            rows = [(k, _packed(base, *a)) for k, a in _slices(model.dealer.shard(token, ctx), parts, token, ctx, doc)]
+            return row(part=[k for k, _ in rows], data=[x for _, x in rows])
 
         for part, data, offsets in chunks(batches):
             words = Words(data, offsets, folded=True)
             of, token, before = tokens_of(words)
             n, ctx = part.num_rows, context(before)
-            # hot pairs are scored here: their tokens are hot too
+            fitted = part.column(own[-1].name).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
+            # pairs in the broadcast filter are scored here: their tokens are in it too
             pair = model.filter.count(pair_key(token, ctx))
             at = np.full(len(token), -1)
             at[pair > 0] = _index(model.keys, token[pair > 0])
             here, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-            a = at[here]
+            hot, back = np.unique(token[here], return_inverse=True)
+            single = model.filter.count(hot.view(_U))[back]
             own_sum = lambda x: np.bincount(of[here], x, n)
-            kept.append((token[rest], ctx[rest], of[rest] + (uid - base)))
+            kept.append((token[rest], ctx[rest], (of[rest] + (uid - base)) * 2 + fitted[of[rest]]))
             held += len(rest)
             ids = uid + np.arange(n)
             yield row(
-                part=(ids % parts).astype(np.int32), kind=np.ones(n, np.int8), uid=ids, n_tokens=words.counts() + 1, n_known=own_sum(None).astype(np.int64), base_sum=own_sum(np.log10(model.counts[a] + 1.0)),
-                score=own_sum(model.log(pair[here], single[a], model.following[a])), **{f"x{k}": part.column(f.name) for k, f in enumerate(own)},
+                part=(ids % parts).astype(np.int32), uid=ids, n_tokens=words.counts() + 1, n_known=own_sum(None).astype(np.int64), base_sum=own_sum(np.log10(model.counts[at[here]] + 1.0)),
+                score=own_sum(model.log(pair[here], single)), **{f"x{k}": part.column(f.name) for k, f in enumerate(own)},
             )
             uid += n
             if held >= FLUSH:
@@ -392,47 +324,54 @@ def lm_score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, kept = shared.value, []
-        known, pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), Filter(np.zeros(8, np.uint8), 64)), Filter(np.zeros(8, np.uint8), 64)
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            if (kind == 1).any():
-                yield batch.filter(pa.array(kind == 1))
-            for k in np.flatnonzero(kind != 1):
-                x = batch.column("data")[int(k)].as_py()
-                if kind[k] == 2:
-                    head, token, ctx, doc = _unpacked(x)
-                    kept.append((token, ctx, doc + head))
-                elif kind[k] == 3:
-                    pairs = Filter(np.frombuffer(x, dtype=np.uint8), batch.column("bits")[int(k)].as_py())
-                else:
-                    m, bits = np.frombuffer(x, dtype=np.int64, count=2).tolist()
-                    columns = [np.frombuffer(x, dtype=t, count=m, offset=16 + 8 * m * j) for j, t in enumerate((np.int64, np.int64, np.float64))]
-                    known = (*columns, Filter(np.frombuffer(x, dtype=np.uint8, offset=16 + 24 * m), bits))
+            blob = batch.column("data")
+            if blob.null_count:
+                yield batch.filter(blob.is_null())
+            kept += blob.drop_null().to_pylist()
         if not kept:
             return
-        token, ctx, uid = (np.concatenate(x) for x in zip(*kept, strict=True))
-        del kept
-        own, back = np.unique(token, return_inverse=True)
-        count, following, value = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own))
-        for keys, n, q, f in ((model.keys, model.counts, model.following, model.filter), known):
-            at = _index(keys, own)
-            hit = np.flatnonzero(at >= 0)
-            count[hit], following[hit] = n[at[hit]], q[at[hit]]
-            value = np.maximum(value, f.count(own.view(_U)))
-        score = model.log(pairs.count(pair_key(token, ctx)), model.single(value)[back], following[back])
-        base = np.log10(count + 1.0)
-        who, at = np.unique(uid, return_inverse=True)
-        x = np.zeros(len(who), dtype=_SUM)
-        x["uid"], x["known"], x["base"], x["score"] = who, np.bincount(at, (count > 0)[back], len(who)), np.bincount(at, base[back], len(who)), np.bincount(at, score, len(who))
-        rows = list(_slices(who % parts, parts, np.arange(len(who))))
-        yield row(part=[k for k, _ in rows], kind=[2] * len(rows), data=[x[a].tobytes() for _, (a,) in rows])
+        # the shard's n-grams of training texts: pairs, and tokens that aren't broadcast
+        keys, singles = [], []
+        for x in kept:
+            _, token, ctx, doc = _unpacked(x)
+            fitted = np.flatnonzero(doc & 1)
+            keys.append(pair_key(token[fitted], ctx[fitted]))
+            singles.append(token[fitted])
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        known, c = np.unique(np.concatenate(singles), return_counts=True)
+        rare = _index(model.keys, known) < 0
+        known, c = known[rare], c[rare]
+        del keys, singles
+        grams = Filter(np.r_[key, known.view(_U)], np.r_[n, c])
+        del key, n
+        found = []
+        for x in kept:
+            head, token, ctx, doc = _unpacked(x)
+            new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            one, size = token[new], np.diff(np.r_[new, len(token)])
+            exact, single = np.zeros(len(one), dtype=np.int64), grams.count(one.view(_U))
+            for own_keys, counts in ((model.keys, model.counts), (known, c)):
+                at = _index(own_keys, one)
+                exact[at >= 0] = counts[at[at >= 0]]
+                if own_keys is model.keys:
+                    single[at >= 0] = model.filter.count(one[at >= 0].view(_U))
+            score = model.log(grams.count(pair_key(token, ctx)), np.repeat(single, size))
+            who, at = np.unique(doc >> 1, return_inverse=True)
+            sums = np.zeros(len(who), dtype=_SUM)
+            sums["uid"], sums["known"], sums["score"] = who + head, np.bincount(at, np.repeat(exact > 0, size), len(who)), np.bincount(at, score, len(who))
+            sums["base"] = np.bincount(at, np.repeat(np.log10(exact + 1.0), size), len(who))
+            found.append(sums)
+        x = np.concatenate(found)
+        rows = list(_slices(x["uid"] % parts, parts, np.arange(len(x))))
+        yield row(part=[k for k, _ in rows], data=[x[a].tobytes() for _, (a,) in rows])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, found = [], [np.zeros(0, dtype=_SUM)]
         for batch in batches:
             blob = batch.column("data")
             found += [np.frombuffer(b, dtype=_SUM) for b in blob.drop_null().to_pylist()]
-            whole.append(batch.filter(blob.is_null()).drop_columns(["data"]))
+            whole.append(batch.filter(blob.is_null()))
         rows = pa.Table.from_batches(whole).combine_chunks() if whole else None
         if not rows:
             return
@@ -442,20 +381,15 @@ def lm_score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         for name, part in (("n_known", "known"), ("base_sum", "base"), ("score", "score")):
             x = rows.column(name).to_numpy() + np.bincount(at, add[part], len(uid))
             rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(x.astype(np.int64) if part == "known" else x))
-        for batch in rows.to_batches():
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) if c in batch.schema.names else pa.nulls(batch.num_rows, k[0]) for c, k in kinds.items()})
+        yield from rows.to_batches()
 
-    blank = lambda c: F.lit(None).cast(kinds[c][1]).alias(c)
-    given = lambda df, kind, data, bits=None: df.select(*(F.col(data).alias(c) if c == "data" else F.lit(kind).cast("tinyint").alias(c) if c == "kind" else F.col("part") if c == "part" else F.col(bits).alias(c) if c == "bits" and bits else blank(c) for c in kinds))
-    dealt = source.mapInArrow(read, fields)
-    dealt = dealt.unionByName(given(model.pair_table, 3, "pairs", "pair_bits")).unionByName(given(model.token_table, 4, "tokens"))
-    out = dealt.repartitionById(parts, "part").mapInArrow(probe, fields).repartitionById(parts, "part").mapInArrow(total, fields)
-    return out.select(*(F.col(f"x{k}").alias(f.name) for k, f in enumerate(own)), "n_tokens", "n_known", "base_sum", "score")
+    out = source.mapInArrow(read, fields).repartitionById(parts, "part").mapInArrow(probe, fields).repartitionById(parts, "part").mapInArrow(total, fields)
+    return out.select(*(F.col(f"x{k}").alias(f.name) for k, f in enumerate(own[:-1])), "n_tokens", "n_known", "base_sum", "score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 7) == 2)
     model = train(docs.where(~F.col("held_out")))
-    out = lm_score(docs, model, "held_out")
+    out = lm_score(docs, model, ~F.col("held_out"), "held_out")
     base = F.col("base_sum") - F.col("n_tokens") * float(np.log10(model.tokens + model.distinct + 1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
