@@ -16,6 +16,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,9 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a tokenizer file with word-end marks, lower case and split words."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, text: str):
+        """text: the tokenizer file's."""
+        spec = json.loads(text)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
         tokens = {i: t for t, i in vocab.items()}
@@ -205,25 +206,32 @@ class WordBpe:
 _LOADED: dict[str, WordBpe] = {}
 
 
+def coder_of(text: str) -> WordBpe:
+    """One coder for each tokenizer file and process."""
+    key = hashlib.sha256(text.encode()).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = WordBpe(text)
+    return _LOADED[key]
+
+
 def loaded(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return coder_of(Path(path).read_text(encoding="utf-8"))
 
 
 def bpe(docs: DataFrame, path: str, *keep: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """doc_id, n_tokens, the columns in keep, and of each whole text the outputs asked for.
 
     outputs: ids (array<int>), decoded (string), ids_sha256 and decoded_sha256 (of the decimal ids joined
-    by one space, and of the decoded text in UTF-8).
+    by one space, and of the decoded text in UTF-8). path: a tokenizer file that the driver reads; it is broadcast.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())} | dict.fromkeys(("ids_sha256", "decoded_sha256"), ("string", pa.string()))
     source = texts(docs, *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text"]
     schema = ", ".join([*fields, "n_tokens bigint", *(f"{o} {kinds[o][0]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = loaded(path)
+        coder = coder_of(shared.value)
         for part, _, _ in chunks(batches):
             ids, decoded = coder.encode_many(part.column("text").to_pylist())
             out = {n: part.column(n) for n in part.schema.names if n != "text"}

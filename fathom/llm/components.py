@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by alternating large and small stars.
+
+Cases: links to itself, and those with a null end, link nothing; repeated links count once; a node without a link
+has no row; no links give no rows.
+"""
 
 from __future__ import annotations
 
