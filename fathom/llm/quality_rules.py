@@ -1,8 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection, with no user function.
 
 Cases: a null text counts as the empty text; a text without words has ratios of 0 and fails the
-length rule; equal lines and repeated rows are judged row by row; columns of the input that share a
-name with a measure are left out of the result unless asked for.
+length rule; equal lines and repeated rows are judged row by row; columns of the input may have any name,
+those asked for in keep any but a measure's.
 """
 
 from __future__ import annotations
@@ -32,44 +32,39 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("repeat_word_ratio", None, 0.2),
 )
 
-_POSITION_BITS = 26
-_POSITIONS = (1 << _POSITION_BITS) - 1
-
-
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
     """Counts and ratios of each text; n_repeat_words counts words in 5-word runs found twice or more.
 
     Runs are compared by a 64-bit hash of their five words. Hashes are sorted together with their
-    positions inside each text's own array, so nothing is shuffled. A text may have 2**26 words.
+    positions inside each text's own array, so nothing is shuffled, and a run that occurs again has
+    an equal neighbour, however long the text.
     """
-    df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    df = docs.select(*(F.col(c).alias(f"keep {k}") for k, c in enumerate(keep)), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    kept = [f"keep {k}" for k in range(len(keep))]
     df = df.select(
-        *keep,
+        *kept,
         F.array_remove(F.split("_t", WORD_SPLIT), "").alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    five = lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(5)))
+    run = lambda i: F.struct(F.xxhash64(*(F.get("_w", i + k) for k in range(5))).alias("h"), i.alias("i"))
     df = df.select(
-        *keep,
+        *kept,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.when(F.size("_w") >= 5, F.transform(F.sequence(F.lit(0), F.size("_w") - 5), five)).otherwise(F.array().cast("array<bigint>")).alias("_h"),
+        F.when(F.size("_w") >= 5, F.array_sort(F.transform(F.sequence(F.lit(0), F.size("_w") - 5), run))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_s"),
     )
-    packed = lambda h, i: h.bitwiseAND(~_POSITIONS).bitwiseOR(i.cast("long"))
-    df = df.select("*", F.sort_array(F.transform("_h", packed)).alias("_s"))
-    at = f"get(_h, cast({{}} & {_POSITIONS} as int))"
-    near = (f"coalesce(shiftright({y}, {_POSITION_BITS}) = shiftright(x, {_POSITION_BITS}) and {at.format(y)} = {at.format('x')}, false)" for y in (f"get(_s, j + {k})" for k in (1, -1, 2, -2)))
-    df = df.select("*", F.expr(f"sort_array(transform(filter(_s, (x, j) -> {' or '.join(near)}), x -> x & {_POSITIONS})) as _p")).drop("_h", "_s")
-    steps = F.transform("_p", lambda x, j: F.least(F.lit(5).cast("long"), F.coalesce(F.get("_p", j + 1) - x, F.lit(5).cast("long"))))
+    again = F.filter("_s", lambda x, j: (x["h"] == F.get("_s", j + 1)["h"]) | (x["h"] == F.get("_s", j - 1)["h"]))
+    df = df.select("*", F.sort_array(F.transform(again, lambda x: x["i"])).alias("_p")).drop("_s")
+    steps = F.transform("_p", lambda x, j: F.least(F.lit(5), F.coalesce(F.get("_p", j + 1) - x, F.lit(5))).cast("long"))
     df = df.select("*", F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_repeat_words")).drop("_p")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return df.select(
-        "*",
+        *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), *(c for c in df.columns if c not in kept),
         share("word_chars", "n_words").alias("mean_word_chars"),
         share("n_symbols", "n_words").alias("symbol_ratio"),
         share("n_stop_words", "n_words").alias("stop_word_ratio"),
