@@ -1,12 +1,13 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A text is a bag of passages, each a line or part of one of at most PASSAGE_WORDS words. Every passage is
-encoded; gated attention weighs the encodings; the weighted sum gives the text's score. Only texts have
+encoded from its words and word pairs, hashed to WORD_DIMS signed sums, and from shares of kinds of letters,
+repeats and lengths; gated attention weighs the encodings; the weighted sum gives the text's score. Only texts have
 labels: the weights of the passages are learned from them.
 
 Cases: a null text, or one without words, has no passage and scores 0; null labels teach nothing; where no
-text is labelled every text with words scores 0.5; repeated rows are scored row by row; a doc_id labelled
-twice counts twice; other columns of the input are ignored unless asked for.
+text is labelled every text with words scores 0.5; repeated rows are scored row by row and teach once; a doc_id
+labelled twice counts twice; other columns of the input are ignored unless asked for.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, crc_mod, table, texts
 
-#: Fitted on at most this many labelled texts, those of the least hash of doc_id.
-SAMPLE = 2000
+#: Fitted on at most this many labelled texts, those of the least hash of doc_id, of at most BAG passages each.
+SAMPLE, BAG = 2000, 256
 PASSAGE_WORDS = 48
 THRESHOLD = 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 150, 0.03, 1e-4
@@ -32,7 +33,9 @@ _CLASS[[32, *range(9, 14)]] = 4
 for _c, _k in (("!", 5), ("|", 6), ("#*$%&<>", 7), (".,;:'\"?-", 8)):
     _CLASS[[ord(x) for x in _c]] = _k
 _CLASSES, _LAGS = 10, (1, 2, 3, 4)
-N_FEATURES = _CLASSES + len(_LAGS) + 7
+WORD_DIMS = 64
+_SHAPE = _CLASSES + len(_LAGS) + 7
+N_FEATURES = _SHAPE + WORD_DIMS
 
 
 def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,12 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     wide = (words.ends - words.starts).astype(np.float64)
     mean = np.bincount(of, wide, len(at)) / size
     var = np.bincount(of, wide * wide, len(at)) / size - mean * mean
-    out[:, _CLASSES + len(_LAGS) :] = np.stack(
+    pair, pair_hash = words.runs(2)
+    owner, h = np.r_[of, of[pair]], np.r_[words.hash, pair_hash]
+    sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+    hashed = np.bincount(owner * WORD_DIMS + (h % np.uint64(WORD_DIMS)).astype(np.int64), sign, len(at) * WORD_DIMS).reshape(len(at), WORD_DIMS)
+    out[:, _SHAPE:] = hashed / np.sqrt(2.0 * size)[:, None]
+    out[:, _CLASSES + len(_LAGS) : _SHAPE] = np.stack(
         [np.bincount(of, again, len(at)) / size, mean / 10, np.sqrt(np.maximum(var, 0)) / 10, np.log1p(size) / 4, np.bincount(of, wide <= 3, len(at)) / size, np.bincount(of, wide >= 20, len(at)) / size, np.log1p(np.bincount(rows, minlength=len(offsets) - 1))[rows] / 5],
         axis=1,
     )
@@ -146,15 +154,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     """Fit on a bounded sample of the labelled texts. The driver gets their passages' features only."""
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "label").limit(sample)
-    source = texts(docs).join(F.broadcast(known), "doc_id")
+    source = texts(docs).join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id").alias("id"), "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches):
             x, rows = encode(data, offsets)
             cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "label": part.column("label"), "x": pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "x": pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
+            yield out.filter(pa.array(np.diff(cut) <= BAG))
 
-    got = sorted(source.mapInArrow(run, "doc_id bigint, label double, x binary").collect(), key=lambda r: (r.doc_id, r.label, bytes(r.x)))
+    bags = source.mapInArrow(run, "id bigint, label double, x binary").distinct().orderBy("id", "label", "x").limit(sample)
+    got = bags.collect()
     return fit([np.frombuffer(r.x, dtype=np.float32).reshape(-1, N_FEATURES) for r in got], np.array([r.label for r in got]))
 
 
