@@ -1,8 +1,8 @@
 """URL filters: path rules, then a blocked Bloom filter of listed canonical URLs with an exact join behind it.
 
-Only DataFrame functions are used. Cases: a null url, or one without "://", has an empty host, path and
+Only DataFrame functions are used. Cases: a null url, or one without "://", has an empty host and path and no
 canonical form, fits no rule and is never listed; repeated rows are judged row by row; an empty list blocks
-nothing; other columns of the input are ignored unless asked for.
+nothing; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +35,19 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def canonical(host: str = "host", path: str = "path") -> Column:
-    """Host without a leading www., path without closing slashes; null where there is no host."""
-    return F.when(F.col(host) != "", F.concat(F.regexp_replace(host, r"^www\.", ""), F.rtrim(F.col(path), F.lit("/"))))
+def canonical(host: str = "host", path: str = "path", url: str = "url") -> Column:
+    """One form of all spellings of a page's address; null where there is no host.
+
+    Host without user, default port, closing dots and a leading www.; path with escapes decoded (as it stands if
+    that isn't UTF-8), without empty, . and .. segments and closing slashes; scheme and query don't count.
+    """
+    port = F.when(F.startswith(F.lower(url), F.lit("https:")), F.lit(":443")).otherwise(":80")
+    bare = F.regexp_replace(host, r"^[^@]*@", "")
+    bare = F.regexp_replace(bare, F.concat(port, F.lit("$")), F.lit(""))
+    bare = F.regexp_replace(F.rtrim(bare, F.lit(".")), r"^www\.", "")
+    plain = F.coalesce(F.try_url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), F.col(path))
+    step = lambda got, x: F.when(x == "..", F.regexp_replace(got, r"/[^/]*$", "")).when((x == ".") | (x == ""), got).otherwise(F.concat(got, F.lit("/"), x))
+    return F.when(bare != "", F.concat(bare, F.aggregate(F.split(plain, "/"), F.lit(""), step)))
 
 
 def match_rule(rules=RULES) -> tuple[Column, Column]:
@@ -66,24 +76,23 @@ def bloom_filter(listed: DataFrame, n_entries: int) -> tuple[DataFrame, int]:
     return rows.groupBy("block").agg(*(F.bit_or(f"bits{i}").alias(f"word{i}") for i in range(WORDS))), n
 
 
-def in_list(urls: DataFrame, listed: DataFrame, salt: str) -> DataFrame:
+def in_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """urls with `possible` (the filter's answer) and `is_listed` (the exact one), by column `canonical`.
 
-    The exact join sees possible hits only: the others get keys of their own, so that no key is hot
-    but a canonical URL which many pages share, and that side Spark may split.
+    Only possible hits go to the exact join; all else passes. The keys of that join are hot only where many
+    pages share a listed URL, and that side Spark may split.
     """
     listed = cut_lineage(listed.select("canonical").where("canonical is not null").distinct())
     words, n = bloom_filter(listed, listed.count())
     if n * WORDS * 8 <= BROADCAST_BYTES:
         words = F.broadcast(words)
-    urls = urls.withColumn("block", F.when(F.col("canonical").isNotNull(), _block(n)).otherwise(-1 - F.pmod(F.xxhash64(salt), F.lit(1 << 20))))
-    urls = urls.join(words, "block", "left").drop("block")
+    # rows without a canonical form get keys of their own, which no block has
+    none = -1 - F.pmod(F.xxhash64(*urls.columns), F.lit(1 << 20))
+    rows = urls.withColumn("block", F.when(F.col("canonical").isNotNull(), _block(n)).otherwise(none)).join(words, "block", "left")
     bits = [F.col(f"word{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits())]
-    possible = F.coalesce(reduce(Column.__and__, bits), F.lit(False))
-    urls = urls.withColumn("possible", possible).drop(*(f"word{i}" for i in range(WORDS)))
-    key = F.when(F.col("possible"), F.concat(F.lit("="), F.col("canonical"))).otherwise(F.concat(F.lit("-"), F.xxhash64(salt).cast("string")))
-    exact = listed.select(F.concat(F.lit("="), "canonical").alias("key"), F.lit(True).alias("is_listed"))
-    return urls.withColumn("key", key).join(exact, "key", "left").drop("key").withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
+    rows = rows.select(*urls.columns, F.coalesce(reduce(Column.__and__, bits), F.lit(False)).alias("possible"))
+    exact = rows.where("possible").join(listed.withColumn("is_listed", F.lit(True)), "canonical", "left").select(*rows.columns, F.coalesce("is_listed", F.lit(False)).alias("is_listed"))
+    return exact.unionByName(rows.where("not possible").withColumn("is_listed", F.lit(False)))
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
@@ -92,16 +101,16 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     `listed` has the column canonical. A rule's verdict comes first; else a listed URL is blocked.
     """
     rule, kind = match_rule(rules)
-    df = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    df = df.withColumn("canonical", canonical()).withColumn("rule", rule).withColumn("kind", kind)
-    df = in_list(df, listed, "page_id")
+    df = pages.select("page_id", "url", host_of("url").alias("host"), path_of("url").alias("path"))
+    df = df.withColumn("canonical", canonical()).withColumn("rule", rule).withColumn("kind", kind).drop("url")
+    df = in_list(df, listed)
     return df.withColumn("verdict", F.coalesce("kind", F.when(F.col("is_listed"), "block").otherwise("allow"))).drop("kind")
 
 
 def abusive(pages: DataFrame, terms: str = LISTED_TERMS) -> DataFrame:
     """The canonical URLs of pages whose markup has a listed term."""
     found = pages.where(F.col("html").rlike(terms))
-    return found.select(host_of("url").alias("host"), path_of("url").alias("path")).select(canonical().alias("canonical"))
+    return found.select("url", host_of("url").alias("host"), path_of("url").alias("path")).select(canonical().alias("canonical"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +125,13 @@ _FIT = " ".join(
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0]))
 OP10_SQL = f"""
 WITH s AS (
-  SELECT page_id, html, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, html, coalesce(url, '') AS url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
-p AS (SELECT page_id, html, translate(raw_host, '{_UPPER}', '{_LOWER}') AS host, path FROM h),
-c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') END AS canonical FROM p),
+p AS (SELECT page_id, html, url, translate(raw_host, '{_UPPER}', '{_LOWER}') AS host, path FROM h),
+b AS (SELECT *, regexp_replace(rtrim(regexp_replace(regexp_replace(host, '^[^@]*@', ''), CASE WHEN starts_with(lower(url), 'https:') THEN ':443$' ELSE ':80$' END, ''), '.'), '^www\\.', '') AS bare,
+      list_prepend('', string_split(coalesce(try(url_decode(path)), path), '/')) AS segments FROM p),
+c AS (SELECT page_id, html, host, path, CASE WHEN bare <> '' THEN bare || list_reduce(segments, lambda got, x: CASE WHEN x = '..' THEN regexp_replace(got, '/[^/]*$', '')
+      WHEN x IN ('.', '') THEN got ELSE got || '/' || x END) END AS canonical FROM b),
 l AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND regexp_matches(html, '{LISTED_TERMS}')),
 r AS (SELECT c.*, CASE {_FIT.format(*(r for r, _ in _BY_LENGTH))} END AS rule, CASE {_FIT.format(*(v for _, v in _BY_LENGTH))} END AS kind,
       (canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l)) AS is_listed FROM c)
