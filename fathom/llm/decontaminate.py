@@ -1,17 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Every benchmark item has a 64-bit SimHash of its words. Each window of a text that is as long as an item and
-holds at least one of the item's five-word shingles is fingerprinted; RADIUS + 1 blocks of fingerprint bits
-index the items, so that any fingerprint within RADIUS bits of an item's shares a whole block with it. Pairs
-within the radius are verified by the weighted Jaccard similarity of their five-word shingles. So are pairs
-beyond the radius that share as many shingles as that similarity needs: none is lost to its fingerprint.
+A benchmark item has two 64-bit SimHashes of its words: of its head and of its tail of as many words as the
+largest size of a grid that is at most SIMILARITY of the item's. Every window of a text of a size that an item
+has is fingerprinted, from running sums of the words' votes. Fingerprints within RADIUS bits of an item's are
+all found by a multi-index: of BLOCKS blocks of 16 bits one differs in RADIUS // BLOCKS bits at most, and the index lists
+each item under all such values. The item's window around it is then verified by the weighted Jaccard
+similarity of five-word shingles. That a similar window lies within RADIUS is likely, not sure; so windows
+that share as many shingles with an item as SIMILARITY needs are verified too, and none is lost to its fingerprint.
 
-A window that shares no shingle with an item has similarity 0, so passing it over loses nothing. Words
-are compared in lower case.
+Words are compared in lower case.
 
 Cases: null or empty texts, and items of no word, match nothing; an item of fewer than five words is one
-shingle, all its words; equal items are reported each; repeated rows of documents are searched row by row;
-an empty benchmark gives no rows; other columns are ignored unless asked for.
+shingle, all its words; a text shorter than an item is one window; equal items are reported each; repeated rows
+of documents are searched row by row; an empty benchmark gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,24 +23,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Words, chunks, mix, table, texts
+from .common import Words, chunks, mix, table, texts, unused
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 11, 4
 #: The benchmark is sent to all workers up to this many bytes of text; beyond, it is searched in parts of this size.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
+#: Words whose votes are held at once.
+RUN = 1 << 16
 _BITS = np.arange(64, dtype=np.uint64)
+#: All 16-bit values with at most RADIUS // BLOCKS bits set.
+_NEAR = np.array([x for x in range(1 << 16) if x.bit_count() <= RADIUS // BLOCKS], dtype=np.uint64)
+_GRID = np.unique(np.round(2.0 ** (np.arange(61) / 2)).astype(np.int64))
 
 
-def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash of each run of word hashes that begins at one of `first`; all runs together cover the array."""
-    signs = ((mix(hashes)[:, None] >> _BITS) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
-    votes = np.add.reduceat(signs, first, axis=0, dtype=np.int32)
-    return ((votes > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """Running sums of the words' votes, +1 or -1 for each bit; they may wrap around, their differences don't."""
+    signs = np.unpackbits(mix(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16) * np.int16(2) - np.int16(1)
+    out = np.zeros((len(hashes) + 1, 64), dtype=np.int16)
+    np.cumsum(signs, axis=0, out=out[1:])
+    return out
+
+
+def windows(sums: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of every run of `size` words."""
+    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def simhash(hashes: np.ndarray) -> int:
+    return int(windows(votes(hashes), len(hashes))[0])
+
+
+class Index:
+    """Fingerprints of one size, listed by every value near each of their blocks."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.blocks = prints, []
+        for k in range(BLOCKS):
+            key = (((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF))[:, None] ^ _NEAR).ravel().astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            self.blocks.append((np.r_[0, np.cumsum(np.bincount(key, minlength=1 << 16))], (order // len(_NEAR)).astype(np.int32)))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, fingerprint) pairs within RADIUS bits."""
+        found = []
+        for k, (start, listed) in enumerate(self.blocks):
+            key = ((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+            n = start[key + 1] - start[key]
+            who = np.flatnonzero(n)
+            n = n[who]
+            at = np.repeat(start[key[who]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            who, which = np.repeat(who, n), listed[at]
+            close = np.bitwise_count(prints[who] ^ self.prints[which]) <= RADIUS
+            found.append(who[close] * len(self.prints) + which[close])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
 
 
 class Benchmark:
-    """Items by their fingerprints' blocks and by their shingles."""
+    """Items by their fingerprints and by their shingles."""
 
     def __init__(self, ids: list, item_texts: list[str]):
         raw = [t.encode() for t in item_texts]
@@ -47,23 +90,21 @@ class Benchmark:
         words = Words(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
         self.ids, self.size = ids, words.counts()
         self.shingles: list[dict[int, int]] = []
-        prints, grams, owners = [], [], []
+        grams, owners, parts = [], [], {}
         for k in range(len(ids)):
             h = words.hash[words.first[k] : words.first[k + 1]]
             g = shingle_hashes(h)
             u, c = np.unique(g, return_counts=True)
             self.shingles.append(dict(zip(u.tolist(), c.tolist(), strict=True)))
-            prints.append(simhash(h, np.zeros(1, dtype=np.int64))[0] if len(h) else np.uint64(0))
+            if len(h):
+                size = int(_GRID[_GRID <= max(1, SIMILARITY * len(h))][-1])
+                for shift in {0, len(h) - size}:
+                    parts.setdefault(size, []).append((simhash(h[shift : shift + size]), k, shift))
             grams.append(u)
             owners.append(np.full(len(u), k))
-        self.prints = np.array(prints, dtype=np.uint64)
-        edges = np.linspace(0, 64, RADIUS + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.by_block = []
-        for shift, mask in self.blocks:
-            key = (self.prints >> shift) & mask
-            order = np.argsort(key, kind="stable")
-            self.by_block.append((key[order], order))
+        #: By size: fingerprints, their items, and where in the item each begins.
+        self.parts = {size: (np.array([x[0] for x in rows], dtype=np.uint64), *(np.array([x[j] for x in rows]) for j in (1, 2))) for size, rows in sorted(parts.items())}
+        self.indexes: dict[int, Index] = {}
         grams = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(grams, kind="stable")
         self.grams, self.owners = grams[order], (np.concatenate(owners) if owners else np.zeros(0, dtype=int))[order]
@@ -72,6 +113,9 @@ class Benchmark:
         self.seen[(self.grams >> np.uint64(44)).astype(np.int64)] = True
         self.short = sorted({int(s) for s in self.size if 0 < s < SHINGLE})
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"indexes": {}}  # workers make them anew: they are larger than the fingerprints
+
     def anchors(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word positions at which an item's shingle begins, and the item; a row for each pair."""
         at, h = [], []
@@ -86,63 +130,62 @@ class Benchmark:
         skip = np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.owners[np.repeat(lo, n) + np.arange(n.sum()) - skip]
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, item) pairs within RADIUS bits: candidates share a block of the index."""
-        found = []
-        for (shift, mask), (keys, order) in zip(self.blocks, self.by_block, strict=True):
-            key = (prints >> shift) & mask
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            who = np.repeat(np.arange(len(prints)), n)
-            item = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            close = np.bitwise_count(prints[who] ^ self.prints[item]) <= RADIUS
-            found.append(who[close] * len(self.ids) + item[close])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // len(self.ids), pairs % len(self.ids)
-
-    def search(self, words: Words) -> list[tuple[int, int, int, float]]:
-        """(text, item, first word of the best window in the text, similarity), a row for each text and item."""
+    def fingerprinted(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First word and item of the windows whose fingerprint is near an item's."""
+        starts, items = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        last = np.repeat(words.first[1:], words.counts())
+        for lo in range(0, len(words), RUN):
+            sums = votes(words.hash[lo : lo + RUN + max(self.parts, default=0)])
+            for size, (prints, owner, shift) in self.parts.items():
+                if size not in self.indexes:
+                    self.indexes[size] = Index(prints)
+                if len(sums) <= size:
+                    continue
+                at = np.arange(lo, min(lo + RUN, lo + len(sums) - size))
+                at = at[at + size <= last[at]]
+                window, which = self.indexes[size].near(windows(sums, size)[at - lo])
+                starts.append(at[window] - shift[which])
+                items.append(owner[which])
+                # the item's window may not leave the text that the fingerprint is in
+                text = np.searchsorted(words.first, at[window], side="right") - 1
+                m = np.minimum(self.size[owner[which]], words.first[text + 1] - words.first[text])
+                starts[-1] = np.clip(starts[-1], words.first[text], words.first[text + 1] - m)
+        return np.concatenate(starts), np.concatenate(items)
+
+    def sharing(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First word and item of the windows that share as many shingles with an item as SIMILARITY needs."""
         at, item = self.anchors(words)
-        if not len(at):
-            return []
         text = np.searchsorted(words.first, at, side="right") - 1
         lo, hi = words.first[text], words.first[text + 1]
-        # the windows of the item's size that hold the anchor; a text shorter than the item is one window
+        # the windows of the item's size that hold the shingle; a text shorter than the item is one window
         size = np.minimum(self.size[item], hi - lo)
         room = np.minimum(SHINGLE, self.size[item])
         begin, end = np.maximum(at + room - size, lo), np.minimum(at, hi - size)
         n = np.maximum(end - begin + 1, 0)
         start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wanted = np.unique(np.stack([start, np.repeat(size, n)], axis=1), axis=0)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        done = [np.zeros(0, dtype=np.int64)]
-
-        def verify(s: np.ndarray, m: np.ndarray, k: np.ndarray) -> None:
-            owner = np.searchsorted(words.first, s, side="right") - 1
-            for t, s, m, k in zip(owner.tolist(), s.tolist(), m.tolist(), k.tolist(), strict=True):
-                sim = self.similarity(words.hash[s : s + m], k)
-                if sim >= SIMILARITY and (-sim, s) < best.get((t, k), (1.0, 0)):
-                    best[t, k] = (-sim, s)
-
-        for part in np.array_split(wanted, max(1, int(wanted[:, 1].sum()) >> 18)):
-            if not len(part):
-                continue
-            s, m = part[:, 0], part[:, 1]
-            first = np.cumsum(m) - m
-            hashes = words.hash[np.repeat(s - first, m) + np.arange(m.sum())]
-            window, which = self.near(simhash(hashes, first))
-            owner = np.searchsorted(words.first, s, side="right") - 1
-            fits = m[window] == np.minimum(self.size[which], (words.first[owner + 1] - words.first[owner])[window])
-            verify(s[window[fits]], m[window[fits]], which[fits])
-            done.append(s[window[fits]] * len(self.ids) + which[fits])
-        # similarity s of windows of a and b shingles needs s / (1 + s) * (a + b) common ones
         pairs, common = np.unique(start * len(self.ids) + np.repeat(item, n), return_counts=True)
         s, k = pairs // len(self.ids), pairs % len(self.ids)
         owner = np.searchsorted(words.first, s, side="right") - 1
         m = np.minimum(self.size[k], words.first[owner + 1] - words.first[owner])
+        # similarity x of windows of a and b shingles needs x / (1 + x) * (a + b) common ones
         total = np.maximum(m - SHINGLE + 1, 1) + np.maximum(self.size[k] - SHINGLE + 1, 1)
-        rest = (common * (1 + SIMILARITY) >= SIMILARITY * total - 1e-6) & ~np.isin(pairs, np.concatenate(done))
-        verify(s[rest], m[rest], k[rest])
+        enough = common * (1 + SIMILARITY) >= SIMILARITY * total - 1e-6
+        return s[enough], k[enough]
+
+    def search(self, words: Words) -> list[tuple[int, int, int, float]]:
+        """(text, item, first word of the best window in the text, similarity), a row for each text and item."""
+        if not len(words):
+            return []
+        found = [self.fingerprinted(words), self.sharing(words)]
+        pairs = np.unique(np.concatenate([s * len(self.ids) + k for s, k in found]))
+        s, k = pairs // len(self.ids), pairs % len(self.ids)
+        owner = np.searchsorted(words.first, s, side="right") - 1
+        m = np.minimum(self.size[k], words.first[owner + 1] - words.first[owner])
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for t, s, m, k in zip(owner.tolist(), s.tolist(), m.tolist(), k.tolist(), strict=True):
+            sim = self.similarity(words.hash[s : s + m], k)
+            if sim >= SIMILARITY and (-sim, s) < best.get((t, k), (1.0, 0)):
+                best[t, k] = (-sim, s)
         return [(t, k, s - int(words.first[t]), -sim) for (t, k), (sim, s) in sorted(best.items())]
 
     def similarity(self, hashes: np.ndarray, item: int) -> float:
@@ -177,15 +220,16 @@ def loaded(docs: DataFrame, benchmark: DataFrame) -> Iterator:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no window similar to an item; nothing is shuffled."""
     for shared in loaded(docs, benchmark):
-        named = docs.withColumn("_lower", F.lower(F.coalesce("text", F.lit(""))))
+        lower = unused(docs, "lower")
+        named = docs.withColumn(lower, F.lower(F.coalesce("text", F.lit(""))))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, lower=lower) -> Iterator[pa.RecordBatch]:
             bench = shared.value
-            for part, data, offsets in chunks(batches, "_lower"):
+            for part, data, offsets in chunks(batches, lower):
                 found = bench.search(Words(data, offsets)) if len(bench.ids) else []
                 clean = np.ones(part.num_rows, dtype=bool)
                 clean[[t for t, *_ in found]] = False
-                yield part.drop_columns(["_lower"]).filter(pa.array(clean))
+                yield part.drop_columns([lower]).filter(pa.array(clean))
 
         docs = named.mapInArrow(run, docs.schema)
     return docs
@@ -196,7 +240,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
     for each item that it holds."""
     source = texts(docs, *keep).withColumn("text", F.lower("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text"]
-    schema = ", ".join([*fields, "item_id bigint, first_word bigint, n_words bigint, similarity double"])
+    kind = benchmark.schema["item_id"].dataType
+    schema = ", ".join([*fields, f"item_id {kind.simpleString()}, first_word bigint, n_words bigint, similarity double"])
     out = None
     for shared in loaded(docs, benchmark):
 
@@ -208,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
                     text, item, first, sim = zip(*found, strict=True)
                     rows = part.take(pa.array(text, pa.int64()))
                     cols = {n: rows.column(n) for n in rows.schema.names if n != "text"}
-                    cols |= {"item_id": pa.array([bench.ids[i] for i in item], pa.int64()), "first_word": pa.array(first, pa.int64()), "n_words": pa.array([int(bench.size[i]) for i in item], pa.int64()), "similarity": pa.array(sim, pa.float64())}
+                    cols |= {"item_id": pa.array([bench.ids[i] for i in item], to_arrow_type(kind)), "first_word": pa.array(first, pa.int64()), "n_words": pa.array([int(bench.size[i]) for i in item], pa.int64()), "similarity": pa.array(sim, pa.float64())}
                     yield pa.RecordBatch.from_pydict(cols)
 
         got = source.mapInArrow(run, schema)

@@ -65,6 +65,19 @@ def test_rules_on_odd_texts(spark, odd):
     assert got[(5, 3)].n_dup_lines == 2
     assert got[(7, 3000)].n_repeat_words == 3000
     assert quality_rules.quality_rules(odd.limit(0), quality_rules.RULES, "doc_id").count() == 0
+    # names that clash with those of the projection
+    clash = odd.select("doc_id", "text", F.lit(1).alias("_w"), F.lit(2).alias("_t"), F.lit(3).alias("n_words"))
+    assert {(r.doc_id, r._w, r._t) for r in quality_rules.quality_rules(clash, quality_rules.RULES, "doc_id", "_w", "_t").collect()} == {(r.doc_id, 1, 2) for r in odd.collect()}
+
+
+def test_repeats_in_one_text_by_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (4, 5, 6, 30, 400)] + [" ".join(f"w{rng.randint(0, 99)}" for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.measures(docs, "doc_id").collect():
+        w = texts[r.doc_id].split()
+        runs = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        assert r.n_repeat_words == len({k + j for k, x in enumerate(runs) if runs.count(x) > 1 for j in range(5)})
 
 
 def test_urls(spark):
@@ -79,11 +92,23 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, listed.limit(0)).where("rule is null").collect()} == {"allow"}
 
 
-def test_bloom_has_no_false_negative(spark):
+def test_canonical_urls(spark):
+    same = ["http://www.Ab.org:80/x/y/", "https://ab.org/x/./y", "https://AB.org.:443//x/z/../y?q=1", "http://u:p@ab.org/%78/y#t", "ftp://ab.org/x/y"]
+    other = ["http://ab.org:443/x/y", "http://ab.org/x/Y", "http://ab.org/x%2Gy", "http://ab.org/x+y", "http:///x/y", "ab.org/x/y", None]
+    rows = spark.createDataFrame([(u,) for u in same + other], "url string").select("url", url_filter.host_of("url").alias("host"), url_filter.path_of("url").alias("path"))
+    got = [r.c for r in rows.select(url_filter.canonical().alias("c")).collect()]
+    assert set(got[: len(same)]) == {"ab.org/x/y"}
+    assert got[len(same) :] == ["ab.org:443/x/y", "ab.org/x/Y", "ab.org/x%2Gy", "ab.org/x+y", None, None, None]
+
+
+def test_bloom_has_no_false_negative(spark, monkeypatch):
     urls = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("h/"), F.col("id").cast("string")).alias("canonical"))
-    got = url_filter.in_list(urls, urls.where("page_id % 2 = 0").select("canonical"), "page_id").collect()
-    assert all(r.is_listed == (r.page_id % 2 == 0) and (r.possible or not r.is_listed) for r in got)
-    assert sum(r.possible for r in got) < 300
+    urls = urls.unionByName(spark.createDataFrame([(None, None), (7, None), (None, None)], "page_id long, canonical string"))
+    for most in (url_filter.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most)
+        got = url_filter.in_list(urls, urls.where("page_id % 2 = 0").select("canonical")).collect()
+        assert len(got) == 503 and all(r.is_listed == (r.canonical is not None and r.page_id % 2 == 0) and (r.possible or not r.is_listed) for r in got)
+        assert sum(r.possible for r in got) < 300
 
 
 def test_language_held_out(spark):
@@ -125,6 +150,20 @@ def test_quality_of_odd_texts(spark, odd):
     assert {r.score for r in quality_classifier.score_quality(odd.drop("score"), empty).collect()} == {0.0, 0.5}
 
 
+def test_quality_by_words_alone(spark):
+    """Labels that only words tell: the classes differ in no share of letters or lengths."""
+    rng = random.Random(1)
+    good, bad = "gone tide moor leaf".split(), "node diet room flea".split()
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(30)), k % 2) for k in range(160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    model = quality_classifier.train(docs.unionByName(docs), labels.where("doc_id % 5 <> 0"))
+    got = {r.doc_id: r.score for r in quality_classifier.score_quality(docs, model).collect()}
+    assert sum((got[k] >= 0.5) == (y == 1) for k, _, y in rows if k % 5 == 0) >= 30
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality_classifier.train(named, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).w
+
+
 def test_attention_finds_the_bad_passage():
     import numpy as np
 
@@ -177,25 +216,66 @@ def test_contamination(spark):
     kept = {r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()}
     assert kept == set(range(len(texts))) - {r.doc_id for r in got}
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    named = bench.withColumn("item_id", F.concat(F.lit("i"), "item_id"))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.withColumn("lower", F.lit(1)), named).collect()} == {(r.doc_id, f"i{r.item_id}") for r in got}
+    assert "lower" in decontaminate.without_contaminated(docs.withColumn("lower", F.lit(1)), bench).columns
+
+
+def test_contamination_of_documents(spark):
+    """All documents against all items, by force."""
+    import duckdb
+
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    # by force only where a document has a shingle of the item, as the similarity is 0 elsewhere
+    words = {d: t.lower().encode().split() for d, t in docs}
+    held = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, w in words.items()}
+    want = set()
+    for k, item in items:
+        v = item.lower().encode().split()
+        own = {tuple(v[j : j + 5]) for j in range(len(v) - 4)}
+        want |= contaminated_by_force([(d, t) for d, t in docs if held[d] & own], [(k, item)])
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op3_decontaminate"](spark, SF).collect()}
+    assert got == want and want
+
+
+def one_text(words):
+    import numpy as np
+
+    from fathom.llm.common import Words
 
+    raw = " ".join(words).encode()
+    return Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
 
-def test_contamination_beyond_the_radius():
+
+def test_index_finds_all_within_the_radius():
     import numpy as np
 
-    from fathom.llm.common import Words
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    asked = prints.copy()
+    for k in range(len(asked)):
+        for b in rng.choice(64, rng.integers(0, 16), replace=False):
+            asked[k] ^= np.uint64(1) << np.uint64(b)
+    got = set(zip(*(x.tolist() for x in decontaminate.Index(prints).near(asked))))
+    far = np.bitwise_count(asked[:, None] ^ prints[None, :])
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS))))
+
 
-    draw, far, near = random.Random(5), 0, 0
+def test_fingerprints_find_edited_items(monkeypatch):
+    """Most edited items are found by fingerprints, and what they miss by shared shingles."""
+    draw, by_print, near = random.Random(5), 0, 0
     vocabulary = [f"w{k}" for k in range(400)]
+    monkeypatch.setattr(decontaminate, "RUN", 50)
     for _ in range(40):
         item = draw.choices(vocabulary, k=draw.randint(15, 59))
         bench = decontaminate.Benchmark([1], [" ".join(item)])
-        for edits in range(1, len(item) // 5):
-            window = item[:-edits] + draw.choices(vocabulary, k=edits)
-            words = lambda w: Words(np.frombuffer(x := " ".join(w).encode(), dtype=np.uint8), np.array([0, len(x)]))
-            own = words(window).hash
-            similar = bench.similarity(own, 0) >= decontaminate.SIMILARITY
-            bits = int(np.bitwise_count(decontaminate.simhash(own, np.zeros(1, dtype=np.int64))[0] ^ bench.prints[0]))
-            found = bench.search(words(["before", *window, "after"]))
-            assert bool(found) == similar or (found and not similar and found[0][3] >= decontaminate.SIMILARITY)
-            near, far = near + similar, far + (similar and bits > decontaminate.RADIUS)
-    assert near > 50 and far > 0
+        for edits in range(len(item) // 5):
+            window = item[: len(item) - edits] + draw.choices(vocabulary, k=edits)
+            text = one_text([*draw.choices(vocabulary, k=45), *window, "after"])
+            similar = bench.similarity(one_text(window).hash, 0) >= decontaminate.SIMILARITY
+            found = bench.search(text)
+            assert bool(found) == similar or (found and found[0][3] >= decontaminate.SIMILARITY)
+            near += similar
+            by_print += similar and 45 in bench.fingerprinted(text)[0]
+    assert near > 50 and by_print > 0.9 * near
