@@ -1,17 +1,20 @@
-"""Line dedup by pairwise alignment of documents that share rare lines.
+"""Line dedup by pairwise alignment of documents that share rare runs of lines.
 
-Each line of MIN_WORDS words or more points from every document that holds it to the first one that does:
-the rarer a line, the fewer such pairs, and a line of a thousand documents makes a thousand, not a
-million. Each pair is aligned by patience diff over all its lines: lines that occur once in both are matched
-by a longest increasing run, then extended over equal neighbours. Aligned common blocks are deleted from
-the later document if they have BLOCK_WORDS words or more.
+A key is a run of lines with BLOCK_WORDS words, the shortest from its first line on or back from its last:
+far rarer than a line. Each key points from every document that holds it to the first one that does, so a key
+of a thousand documents makes a thousand pairs, not a million, and none is passed over as too common. Each
+pair is aligned by patience diff over all its lines: lines that occur once in both are matched by a longest
+increasing run, then extended over equal neighbours. Aligned common blocks of BLOCK_WORDS words or more are
+deleted from the later document. So are common blocks that the alignment crosses, as they stand elsewhere in
+the earlier one; the result therefore doesn't depend on which holder of a block is aligned: a line goes if a
+run of lines of BLOCK_WORDS words around it stands in any earlier document.
 
-Documents are ordered by doc_id, nulls first, then by a key of the text. A line is compared without the
-blanks at its ends.
+Documents are ordered by doc_id, nulls first (ids that aren't integers by a hash), then by a key of the text.
+A line is compared without the blanks at its ends.
 
 Cases: null and empty texts have no lines; lines without words are kept and never matched; rows that are
 equal in doc_id and text are one document and all keep their text; a text all of whose lines are deleted
-becomes empty; other columns are ignored unless asked for.
+becomes empty; other columns are ignored unless asked for, and may have any name but those returned.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut_lineage, mix, powers, sums, table, texts
+from .common import Words, chunks, cut_lineage, mix, order_id, powers, sums, table, texts
 
-MIN_WORDS, BLOCK_WORDS = 3, 8
+BLOCK_WORDS = 8
 
 
-def doc_key() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th")]
+def doc_key(docs: DataFrame) -> list[Column]:
+    return [order_id(docs).alias("id"), F.xxhash64("text").alias("th")]
 
 
 def line_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,15 +78,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
             both = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_pydict({"id": part.column("id"), "th": part.column("th"), "hashes": both(h), "sizes": both(n.astype(np.int32))})
 
-    source = texts(docs).select(*doc_key(), "text")
+    source = texts(docs).select(*doc_key(docs), "text")
     return source.mapInArrow(run, "id bigint, th bigint, hashes binary, sizes binary")
 
 
-def run_hashes(h: np.ndarray, n: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every run of lines that is the shortest with BLOCK_WORDS words from its first line on, or back from its last.
+def line_runs(h: np.ndarray, n: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, end and hash of every run of lines that is the shortest with BLOCK_WORDS words from its first line on, or back from its last.
 
     Each line of a block that may be deleted is in such a run of that block. h, n, owner: hash, words and
-    document of lines, a document's together; a run of one line has the line's hash.
+    document of lines, a document's together.
     """
     count = len(h)
     words, blanks = np.r_[0, np.cumsum(n, dtype=np.int64)], np.r_[0, np.cumsum(h == 0)]
@@ -95,21 +98,19 @@ def run_hashes(h: np.ndarray, n: np.ndarray, owner: np.ndarray) -> tuple[np.ndar
     start, stop = start[good], stop[good]
     up, down = powers(count + 1)
     run = sums(h.view(np.uint64) * up[:count])
-    got = np.where(stop - start == 1, h.view(np.uint64)[start], mix((run[stop] - run[start]) * down[start]))
-    return owner[start], got.view(np.int64)
+    return start, stop, mix((run[stop] - run[start]) * down[start]).view(np.int64)
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """h, id, th of every distinct line of MIN_WORDS words or more, and of every run of run_hashes, of every document."""
+    """h, id, th of every distinct run of line_runs, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("id", "th"))
             hs, ns = ([np.frombuffer(x, dtype=kind) for x in batch.column(c).to_pylist()] for c, kind in (("hashes", np.int64), ("sizes", np.int32)))
             owner = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-            h, n = np.concatenate([np.zeros(0, np.int64), *hs]), np.concatenate([np.zeros(0, np.int32), *ns])
-            at, runs = run_hashes(h, n, owner)
-            at, h = np.r_[owner[n >= MIN_WORDS], at], np.r_[h[n >= MIN_WORDS], runs]
+            start, _, h = line_runs(np.concatenate([np.zeros(0, np.int64), *hs]), np.concatenate([np.zeros(0, np.int32), *ns]), owner)
+            at = owner[start]
             order = np.lexsort((h, at))
             at, h = at[order], h[order]
             new = np.r_[True, (at[1:] != at[:-1]) | (h[1:] != h[:-1])][: len(h)]
@@ -190,7 +191,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(first: np.ndarray, later: np.ndarray, sizes: np.ndarray) -> list[int]:
+def aligned_blocks(first: np.ndarray, later: np.ndarray, sizes: np.ndarray) -> list[int]:
     """Positions of the later document's lines in aligned blocks of BLOCK_WORDS words or more."""
     out: list[int] = []
     block: list[int] = []
@@ -205,6 +206,22 @@ def common_blocks(first: np.ndarray, later: np.ndarray, sizes: np.ndarray) -> li
     return out
 
 
+def common_blocks(first: np.ndarray, first_sizes: np.ndarray, later: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Positions of the later document's lines in aligned blocks, and in common blocks that the alignment crosses."""
+    gone = np.zeros(len(later) + 1, dtype=np.int64)
+    gone[aligned_blocks(first, later, sizes)] = 1
+    start, stop, h = line_runs(later, sizes, np.zeros(len(later), dtype=np.int64))
+    done = np.r_[0, np.cumsum(gone)]
+    left = np.flatnonzero(done[stop] - done[start] < stop - start)
+    if len(left):
+        left = left[np.isin(h[left], line_runs(first, first_sizes, np.zeros(len(first), dtype=np.int64))[2])]
+        cover = np.zeros(len(later) + 1, dtype=np.int64)
+        np.add.at(cover, start[left], 1)
+        np.add.at(cover, stop[left], -1)
+        gone |= np.cumsum(cover)
+    return np.flatnonzero(gone[:-1]).tolist()
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """id, th, removed (sorted line positions) of every document that has aligned blocks in an earlier one."""
     lines = cut_lineage(lines_of(docs).dropDuplicates(["id", "th"]))
@@ -214,15 +231,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first = first.select(F.bitwise_not("h").alias("line"), "first")
     pairs = posts.withColumn("line", F.bitwise_not("h")).join(first, "line").where(F.struct("id", "th") != F.col("first")).select("id", "th", "first").distinct()
     pairs = pairs.select("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"))
-    earlier = lines.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0"))
+    earlier = lines.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0"), F.col("sizes").alias("sizes0"))
     rows = pairs.join(earlier, ["id0", "th0"]).join(lines, ["id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [common_blocks(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), np.frombuffer(n, dtype=np.int32)) for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("hashes0", "hashes", "sizes")), strict=True)]
+            got = [common_blocks(*(np.frombuffer(x, dtype=kind) for x, kind in zip(r, (np.int64, np.int32, np.int64, np.int32), strict=True))) for r in zip(*(batch.column(c).to_pylist() for c in ("hashes0", "sizes0", "hashes", "sizes")), strict=True)]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "th": batch.column("th"), "gone": pa.array(got, pa.list_(pa.int32()))}).filter(pa.array([bool(g) for g in got], pa.bool_()))
 
-    found = rows.select("id", "th", "hashes0", "hashes", "sizes").mapInArrow(run, "id bigint, th bigint, gone array<int>")
+    found = rows.select("id", "th", "hashes0", "sizes0", "hashes", "sizes").mapInArrow(run, "id bigint, th bigint, gone array<int>")
     return found.groupBy("id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
 
 
@@ -232,12 +249,13 @@ def line_dedup(docs: DataFrame, *keep: str) -> DataFrame:
     removed: positions of the deleted lines; a text without deletions stays as it is, null too.
     """
     gone = repeated_lines(docs)
-    source = docs.select("doc_id", *keep, F.col("text").alias("raw"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    source = source.select("doc_id", *keep, "raw", *doc_key()).join(gone, ["id", "th"], "left")
+    mine = docs.select("doc_id", *keep, F.col("text").alias("raw")).toDF("x_id", *(f"x{k}" for k in range(len(keep))), "raw")
+    key = [order_id(mine, "x_id").alias("id"), F.xxhash64(F.coalesce("raw", F.lit(""))).alias("th")]
+    source = mine.select("*", *key).join(gone, ["id", "th"], "left")
     line = F.split("raw", "\n")
     left = F.array_join(F.filter(line, lambda _, i: ~F.array_contains("removed", i)), "\n")
     return source.select(
-        "doc_id", *keep, F.when(F.col("removed").isNull(), F.col("raw")).otherwise(left).alias("text"),
+        F.col("x_id").alias("doc_id"), *(F.col(f"x{k}").alias(c) for k, c in enumerate(keep)), F.when(F.col("removed").isNull(), F.col("raw")).otherwise(left).alias("text"),
         F.when(F.coalesce(F.col("raw"), F.lit("")) == "", 0).otherwise(F.size(line)).alias("n_lines"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )

@@ -70,6 +70,18 @@ def test_near_classes_with_a_large_band(spark, monkeypatch):
     docs = docs_of(spark, texts)
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
     assert got == classes_by_force(enumerate(texts))
+    # texts outside the class of a band's pivot: two groups of near copies that share bands
+    far = [*base]
+    for j in range(0, 120, 15):
+        far[j] = f"y{j}"
+    for k in range(40):
+        w = [*far]
+        for j in np.random.default_rng(100 + k).integers(0, 120, k % 4):
+            w[j] = f"z{k}"
+        texts.append(" ".join(w))
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == classes_by_force(enumerate(texts))
     kept = sorted(r.doc_id for r in near_dedup.keep_one(docs.unionByName(docs)).collect())
     assert kept == sorted(set(got.values()))
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
@@ -101,7 +113,7 @@ def test_signatures_estimate_similarity():
 
 
 def test_components(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 31), (31, 30), (40, 40)], "u long, v long")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 31), (31, 30), (40, 40), (None, 5), (5, None)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(21)}, 30: 30, 31: 30}
     assert components(edges.limit(0)).count() == 0
@@ -114,23 +126,59 @@ def test_patience():
 
 
 def line_dedup_by_force(docs):
-    blank = " \t\n\r\x0b\x0c"
-    words = lambda x: len(x.encode().split())
-    lines = {i: [x.strip(blank) for x in t.split("\n")] if t else [] for i, t in docs}
-    first, code, out = {}, {}, {}
-    for i, ls in lines.items():
-        for x in ls:
-            if words(x) >= line_dedup.MIN_WORDS:
-                first.setdefault(x, i)
-    coded = lambda ls: np.array([code.setdefault(x, len(code) + 1) if words(x) else 0 for x in ls])
-    for i, ls in lines.items():
-        gone = set()
-        for p in {first[x] for x in ls if words(x) >= line_dedup.MIN_WORDS and first[x] != i}:
-            gone |= set(line_dedup.common_blocks(coded(lines[p]), coded(ls), np.array([words(x) for x in ls])))
-        out[i] = sorted(gone)
+    """Lines in a run of eight words or more that stands in an earlier document; a shortest one has eight lines at most."""
+    seen, out = set(), {}
+    for i, t in docs:
+        lines = [x.strip(" \t\n\r\x0b\x0c") for x in t.split("\n")] if t else []
+        words = [len(x.encode().split()) for x in lines]
+        runs = [(k, m) for k in range(len(lines)) for m in range(k + 1, min(k + 8, len(lines)) + 1) if sum(words[k:m]) >= 8 and all(words[k:m])]
+        out[i] = sorted({j for k, m in runs if tuple(lines[k:m]) in seen for j in range(k, m)})
+        seen |= {tuple(lines[k:m]) for k, m in runs}
     return out
 
 
+def diff_by_force(a, b):
+    """Aligned positions of a small patience diff, written apart from the library's."""
+    if not a or not b:
+        return []
+    if a[0] and a[0] == b[0]:
+        return [(0, 0), *((x + 1, y + 1) for x, y in diff_by_force(a[1:], b[1:]))]
+    if a[-1] and a[-1] == b[-1]:
+        return [*diff_by_force(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    once = [(a.index(x), y) for y, x in enumerate(b) if x and a.count(x) == 1 and b.count(x) == 1]
+    best = [[]]
+    for k, (x, y) in enumerate(once):
+        best.append(max((c for c in best if not c or c[-1][0] < x), key=len) + [(x, y)])
+    chain, out, x0, y0 = max(best, key=len), [], 0, 0
+    if not chain:
+        return []
+    for x, y in [*chain, (len(a), len(b))]:
+        out += [(x0 + p, y0 + q) for p, q in diff_by_force(a[x0:x], b[y0:y])] + ([(x, y)] if x < len(a) else [])
+        x0, y0 = x + 1, y + 1
+    return out
+
+
+def test_what_alignment_with_any_earlier_document_deletes(spark):
+    docs = whole()[:120]
+    lines = {i: [x.strip(" \t\n\r\x0b\x0c") for x in t.split("\n")] for i, t in docs}
+    got = {r.doc_id: set(r.removed) for r in line_dedup.line_dedup(docs_of(spark, [t for _, t in docs], docs[0][0])).collect()}
+    size = lambda x: len(x.encode().split())
+    n = 0
+    for i, b in lines.items():
+        for j, a in lines.items():
+            if j < i and {x for x in a if size(x) > 1} & {x for x in b if size(x) > 1} and max(len(a), len(b)) < 300:
+                block, before = [], None
+                for x, y in [*diff_by_force([x if size(x) else "" for x in a], [x if size(x) else "" for x in b]), (-9, -9)]:
+                    if before and (x, y) != (before[0] + 1, before[1] + 1):
+                        if sum(size(b[k]) for k in block) >= 8:
+                            assert set(block) <= got[i]
+                            n += len(block)
+                        block = []
+                    block.append(y)
+                    before = (x, y)
+    assert n > 10
+
+
 def test_line_dedup_of_documents(spark):
     got = {r.doc_id: r for r in QUERIES["op9_line_dedup"](spark, SF).collect()}
     docs = whole()
@@ -162,10 +210,16 @@ def test_a_block_whose_lines_have_other_first_holders(spark):
 
 def test_runs_of_lines():
     h, n, owner = np.array([1, 2, 3, 0, 4, 5, 4, 5]), np.array([3, 9, 2, 0, 4, 4, 4, 4]), np.array([0, 0, 0, 0, 0, 0, 1, 1])
-    at, got = line_dedup.run_hashes(h, n, owner)
-    assert sorted(at.tolist()) == [0] * 6 + [1] * 2  # [1, 2], [2] twice, [2, 3], [4, 5] twice
-    assert len(set(got[at == 0].tolist())) == 4 and set(got[at == 1].tolist()) <= set(got[at == 0].tolist())
-    assert all(len(x) == 0 for x in line_dedup.run_hashes(h[:0], n[:0], owner[:0]))
+    start, stop, got = line_dedup.line_runs(h, n, owner)
+    assert {(a, b) for a, b in zip(start.tolist(), stop.tolist())} == {(0, 2), (1, 2), (1, 3), (4, 6), (6, 8)}
+    assert len(set(got.tolist())) == 4
+    assert all(len(x) == 0 for x in line_dedup.line_runs(h[:0], n[:0], owner[:0]))
+
+
+def test_moved_blocks(spark):
+    a, b, c = ("\n".join(" ".join(sentence(k + j, 5)) for j in range(2)) for k in (80, 83, 86))
+    docs = docs_of(spark, [f"{a}\nx\n{b}\ny\n{c}", f"{c}\nz\n{b}\n\n{a}\nw"])
+    assert {r.doc_id: r.removed for r in line_dedup.line_dedup(docs).collect()} == {0: [], 1: [0, 1, 3, 4, 6, 7]}
 
 
 def test_patience_without_unique_lines():
@@ -264,8 +318,22 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_of_odd_texts(spark):
-    rows = [(k, t, None, None, None) for k, t in enumerate([None, "", "\n", "a b", "a b"])]
+    """What each stage keeps of null, empty and repeated texts."""
+    long = " ".join(sentence(1, 30))
+    rows = [(k, t, None, None, None) for k, t in enumerate([None, "", "\n", "a b", "a b", long, long])] + [(None, long, "x", "y", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("more", F.lit(1))
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() <= 5
+    everything = sorted([None, *range(7)], key=str)
+    keeps = {
+        "quality_classifier": None,  # those without words go
+        "line_dedup": [None, *range(5)],  # 5 and 6 hold what the row without an id holds, and lose all their words
+        "near_dedup": [None, 0, 1, 2, 3],  # one of the three, the first; texts without words aren't alike
+        "decontamination": everything,
+        "bpe": everything,
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = [r.doc_id for r in stage(spark, docs, SF).collect()]
+        if keeps[name] is None:
+            assert len(got) == len(set(got)) and not {0, 1, 2} & set(got)
+        else:
+            assert sorted(got, key=str) == sorted(keeps[name], key=str), name
         assert stage(spark, docs.limit(0), SF).count() == 0
