@@ -9,12 +9,15 @@ propose pairs, exact similarity of SIMILARITY or more links them, and linked tex
 similarity of 0.8 a pair shares no band with probability 4e-4, at 0.85 with 5e-6.
 
 Equal texts are one node from the start. A band that up to SMALL different texts share proposes their pairs.
-A larger one is cut into blocks of about BLOCK texts; each pair of blocks is compared exactly in one task, by
-bit sets of shared shingles, and only a spanning forest of its links is returned: no partner is left out.
+In a larger one every text is compared with the band's pivot, its least text, and linked texts form classes.
+Texts outside the pivot's class are then compared with all others of the band, in blocks of about BLOCK texts,
+of which only a spanning forest of links is returned: no partner is left out, and a band of n near copies
+takes n comparisons.
 
 Cases: null or empty texts, and those without a word, are classes of their own; a text of fewer than five
 words is one shingle, all its words; repeated rows and equal texts share a class; a null doc_id joins a class
-like any other; other columns are ignored.
+like any other; an id that isn't an integer is ordered by a hash of it where one document is kept; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut_lineage, mix, table, texts
+from .common import Words, chunks, cut_lineage, mix, order_id, table, texts, unused
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SIGNATURE, ROWS = 156, 6
 SMALL, BLOCK = 24, 512
+#: Bytes of a block's bit sets; longer texts are compared pair by pair.
+BIT_BYTES = 64 << 20
 _U = np.uint64
 
 
@@ -168,9 +173,11 @@ def forest(sets: list[np.ndarray], left: np.ndarray, similarity: float) -> list[
     column = np.cumsum(shared) - 1
     keep = shared[code]
     width = (int(shared.sum()) + 63) // 64
-    bits = np.zeros((m, max(1, width)), dtype=np.uint64)
-    col = column[code[keep]]
-    np.bitwise_or.at(bits, (owner[keep], col >> 6), _U(1) << (col & 63).astype(np.uint64))
+    packed = m * width * 8 <= BIT_BYTES
+    if packed:
+        bits = np.zeros((m, max(1, width)), dtype=np.uint64)
+        col = column[code[keep]]
+        np.bitwise_or.at(bits, (owner[keep], col >> 6), _U(1) << (col & 63).astype(np.uint64))
     root = np.arange(m)
     links = []
     one_side = left.all() or not left.any()
@@ -178,7 +185,7 @@ def forest(sets: list[np.ndarray], left: np.ndarray, similarity: float) -> list[
         others = np.flatnonzero((root != root[i]) & ((np.arange(m) > i) if one_side else (left != left[i])))
         others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i])]
         if len(others):
-            both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+            both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64) if packed else np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others])
             hit = others[both >= similarity * (size[others] + size[i] - both) - 1e-9]
             for j in hit:
                 if root[j] != root[i]:
@@ -188,17 +195,37 @@ def forest(sets: list[np.ndarray], left: np.ndarray, similarity: float) -> list[
 
 
 def verify_blocks(hot: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of the large bands. hot: key, n, th."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = hot.withColumn("b", F.pmod(F.xxhash64("th", "key"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), (F.col("b") <= F.col("j")).alias("left"), "th").join(sets, "th")
+    """Links between open texts of large bands, and between open and other ones.
+
+    hot: key, th, open, n_open and n_other, where n_open > 0.
+    """
+    opens, others = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_open", "n_other"))
+    b = F.pmod(F.xxhash64("th", "key"), F.when(F.col("open"), opens).otherwise(others)).cast("int")
+    pair = lambda cross, lo, hi, left: F.struct(F.lit(cross).alias("cross"), lo.alias("lo"), hi.alias("hi"), left.alias("left"))
+    every = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<cross:boolean,lo:int,hi:int,left:boolean>>"))
+    among = every(opens, lambda j: pair(False, F.least(b, j), F.greatest(b, j), b <= j))
+    across = every(others, lambda j: pair(True, b, j, F.lit(True)))
+    tasks = F.when(F.col("open"), F.concat(among, across)).otherwise(every(opens, lambda i: pair(True, i, b, F.lit(False))))
+    rows = hot.select("key", "th", F.explode(tasks).alias("t")).select("key", "t.*", "th").join(sets, "th")
 
     def run(group: pa.Table) -> pa.Table:
         th, left = group.column("th").to_pylist(), np.array(group.column("left").to_pylist(), dtype=bool)
         links = forest([np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()], left, similarity)
         return pa.table({"u": pa.array([th[i] for i, _ in links], pa.binary()), "v": pa.array([th[j] for _, j in links], pa.binary())})
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "u binary, v binary")
+    return rows.groupBy("key", "cross", "lo", "hi").applyInArrow(run, "u binary, v binary")
+
+
+def open_texts(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, th, open, n_open and n_other of the large bands that have texts outside their pivot's class."""
+    root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
+    pivots = large.select("key", "pivot").distinct().join(root("pivot", "pivot_root"), "pivot", "left")
+    # joined by another key than it was grouped by, so that Spark may split a band of very many texts
+    pivots = pivots.select(F.bitwise_not("key").alias("band"), F.coalesce("pivot_root", "pivot").alias("pivot_root"))
+    rows = large.select("key", "th").join(root("th", "root"), "th", "left").withColumn("band", F.bitwise_not("key")).join(pivots, "band")
+    rows = cut_lineage(rows.select("band", "key", "th", (F.coalesce("root", "th") != F.col("pivot_root")).alias("open")))
+    count = rows.groupBy("key").agg(F.count_if("open").alias("n_open"), F.count_if(~F.col("open")).alias("n_other")).where("n_open > 0")
+    return rows.join(count.select(F.bitwise_not("key").alias("band"), "n_open", "n_other"), "band").drop("band")
 
 
 def near_roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -207,14 +234,18 @@ def near_roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = signed.where("bands is not null").groupBy("th").agg(F.first("bands").alias("bands"))
     nodes = cut_lineage(nodes)
     members = nodes.select("th", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("th").alias("pivot")).where("n > 1")
     members = cut_lineage(members.join(shared, "key"))
     small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("th")).alias("ths"))
-    pairs = small.select(F.posexplode("ths").alias("i", "u"), "ths").select("u", F.explode(F.slice("ths", F.col("i") + 2, SMALL)).alias("v")).distinct()
-    pairs = cut_lineage(pairs)
+    pairs = small.select(F.posexplode("ths").alias("i", "u"), "ths").select("u", F.explode(F.slice("ths", F.col("i") + 2, SMALL)).alias("v"))
+    large = members.where(F.col("n") > SMALL)
+    pairs = cut_lineage(pairs.unionByName(large.where("th <> pivot").select(F.col("pivot").alias("u"), F.col("th").alias("v"))).distinct())
     sets = shingle_sets(docs, members)
-    links = verify_pairs(pairs, sets, similarity).unionByName(verify_blocks(members.where(F.col("n") > SMALL), sets, similarity))
-    roots = components(links)
+    roots = components(verify_pairs(pairs, sets, similarity))
+    hot = cut_lineage(open_texts(large, roots))
+    if not hot.isEmpty():
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verify_blocks(hot, sets, similarity))
+        roots = components(links)
     named = nodes.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     worded = signed.where("bands is not null").select("doc_id", "th").join(named, "th").select("doc_id", "th", "root")
     # a text without words is in a class with its equals of the same doc_id only; 17 bytes, where a text key has 16
@@ -241,11 +272,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without words count as one class where their doc_id and text are equal.
     """
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_id")
-    named = near_roots(docs).select(key, F.col("th").alias("_th"), "root")
-    kept = named.groupBy("root").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
-    rows = docs.withColumns({"_id": key, "_th": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+    i, t = unused(docs, "order"), unused(docs, "key")
+    named = near_roots(docs)
+    kept = named.select(order_id(docs).alias(i), F.col("th").alias(t), "root").groupBy("root").agg(F.min(F.struct(i, t)).alias("k")).select(f"k.{i}", f"k.{t}")
+    rows = docs.withColumns({i: order_id(docs), t: F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    return rows.join(kept, [i, t], "left_semi").dropDuplicates([i, t]).drop(i, t)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
