@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 from collections.abc import Mapping, Sequence
 
@@ -25,11 +26,41 @@ def rescaled(rows: DataFrame, column: str, by: list[str], most: float = 1.5) ->
     return F.when(big, F.col(column) / 100.0).otherwise(F.col(column))
 
 
-def sequence_features(letter: str, idx: str, alphabet: str, places: int = 16) -> Column:
-    """One-hot of the letter, one-hot of the place, and its phase."""
-    kind = F.transform(F.sequence(F.lit(0), F.lit(len(alphabet) - 1)), lambda i: (F.instr(F.lit(alphabet), F.col(letter)) - 1 == i).cast("double"))
-    place = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: (F.col(idx) % places == i).cast("double"))
-    return F.concat(kind, place, F.array(F.sin(F.col(idx) / 10.0), F.cos(F.col(idx) / 10.0)))
+def sequence_features(letter: str, idx: str, n: str, alphabet: str, dim: int = 128) -> Column:
+    """dim numbers that stand in for a residue's learned ones: a one for the letter (an unknown one counts as the
+    alphabet's last), a one for the place modulo what is left, and in the last two the phase of the place among n."""
+    size = min(len(alphabet), dim)
+    found = F.instr(F.lit(alphabet), F.upper(letter))
+    own = F.when((found > 0) & (F.length(letter) == 1), found - 1).otherwise(len(alphabet) - 1) % dim
+    place = size + F.col(idx) % (dim - size) if dim > size else F.lit(-1)
+    turn = 2 * math.pi * F.col(idx) / F.greatest(F.lit(1), F.col(n) - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.when(k == dim - 2, F.sin(turn)).when(k == dim - 1, F.cos(turn)).otherwise(((k == own) | (k == place)).cast("double")))
+
+
+def backbone_angles(residues: DataFrame) -> DataFrame:
+    """residues with dihedrals: sin and cos of phi, psi and omega, from atoms n, a and c (columns nx to cz).
+
+    phi and omega need the residue before, psi the one behind; an angle whose atoms aren't all there is 0.
+    """
+    w = Window.partitionBy("sample_id").orderBy("idx")
+    near = {f"{side}_{atom}{c}": f(f"{atom}{c}").over(w) for side, f in (("before", F.lag), ("behind", F.lead)) for atom in "nac" for c in "xyz"}
+    rows = residues.withColumns(near)
+    angles = (dihedral("before_c", "n", "a", "c"), dihedral("n", "a", "c", "behind_n"), dihedral("before_a", "before_c", "n", "a"))
+    return rows.withColumn("dihedrals", F.array(*(f(x) for x in angles for f in (F.sin, F.cos)))).drop(*near)
+
+
+def node_features(rows: DataFrame, base: str = "base") -> Column:
+    """The base features (128) and 16 more, each scaled to 0 to 1 but for the dihedrals: confidence (percent), area
+    (250), relative exposure, depth (20), neighbours (32), half spheres up and down (32), dihedrals, 3 structure states."""
+    scaled = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / most))
+    parts = [scaled(c, m) for c, m in (("plddt", 100.0), ("sasa", 250.0), ("rsa", 1.0), ("depth", 20.0), ("cn", 32.0), ("up", 32.0), ("down", 32.0))]
+    return F.concat(base, F.array(*parts), "dihedrals", "states")
+
+
+def length_mismatch(samples: DataFrame, expected: str, counts: Sequence[str]) -> Column:
+    """Names of the counts that differ from the expected one, null where all agree."""
+    names = F.filter(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(expected)), c) for c in counts)), lambda x: x.isNotNull())
+    return F.when(F.size(names) > 0, F.array_join(names, ","))
 
 
 def dihedral(a: str, b: str, c: str, d: str) -> Column:

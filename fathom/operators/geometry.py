@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def kabsch(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -22,78 +24,228 @@ def kabsch(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, b - r @ a
 
 
-def trimmed_kabsch(p: np.ndarray, q: np.ndarray, share: float = 0.6, least: int = 10, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Refit on the closest points while their deviation falls; also gives the points used."""
-    keep = np.arange(len(p))
-    best, last = None, np.inf
+def trimmed_kabsch(p: np.ndarray, q: np.ndarray, share: float = 0.6, least: int = 10, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Refit on the closest points as long as their deviation, after the refit, falls."""
+    if rounds <= 0 or not 0 < share <= 1:
+        raise ValueError("need a positive number of rounds and a share in (0, 1]")
+    best, low = kabsch(p, q), np.inf
     for _ in range(rounds):
-        r, t = kabsch(p[keep], q[keep])
-        d = np.linalg.norm(p @ r.T + t - q, axis=1)
-        core = np.argsort(d, kind="stable")[: min(len(p), max(least, int(share * len(p))))]
-        rms = float(np.sqrt((d[core] ** 2).mean()))
-        if rms >= last - 1e-9:
+        r, t = best
+        core = np.argsort(np.linalg.norm(p @ r.T + t - q, axis=1), kind="stable")[: min(len(p), max(least, int(share * len(p))))]
+        if len(core) < 3:
             break
-        best, last, keep = (r, t, keep), rms, core
+        r, t = kabsch(p[core], q[core])
+        rms = float(np.sqrt(((p[core] @ r.T + t - q[core]) ** 2).sum(axis=1).mean()))
+        if rms >= low:
+            break
+        best, low = (r, t), rms
     return best
 
 
-def aligned(pairs: DataFrame, core: str | None = None) -> DataFrame:
-    """sample_id, idx, dx, dy, dz: displacement of x, y, z (moved onto the target) to u, v, w.
+_MOTION = [*(f"r{i}{j}" for i in range(3) for j in range(3)), "t0", "t1", "t2"]
+
+
+def fits(pairs: DataFrame, core: str | None = None) -> DataFrame:
+    """sample_id and the rigid motion (r00 to r22, t0 to t2) of x, y, z onto u, v, w; null below three points.
 
-    core: a boolean column; the fit uses these points where there are three or more of them.
+    core: a boolean column; the fit uses these points where there are three or more of them. One aggregate
+    makes the sums of a sample, and the 3 x 3 systems of many samples are solved together.
     """
+    inner = lambda c: F.when(F.col(core), F.col(c)) if core else F.col(c)
+    aggs = []
+    for tag, at in (("a", F.col), ("c", inner)):
+        aggs.append(F.count(at("x")).alias(f"{tag}n"))
+        aggs += [F.avg(at(c)).alias(f"{tag}{c}") for c in "xyzuvw"]
+        aggs += [F.covar_pop(at(i), at(j)).alias(f"{tag}{i}{j}") for i in "xyz" for j in "uvw"]
+    sums = pairs.groupBy("sample_id").agg(*aggs)
+
+    def run(batches):
+        for pdf in batches:
+            use = pdf["cn"].to_numpy() >= 3
+            value = lambda name: np.where(use, pdf[f"c{name}"].to_numpy(float), pdf[f"a{name}"].to_numpy(float))  # noqa: E731, B023
+            a, b = (np.stack([value(c) for c in cs], axis=1) for cs in ("xyz", "uvw"))
+            h = np.stack([value(i + j) for i in "xyz" for j in "uvw"], axis=1).reshape(-1, 3, 3)
+            good = value("n") >= 3
+            u, _, vt = np.linalg.svd(np.where(good[:, None, None], h, 0.0))
+            v, ut = vt.transpose(0, 2, 1), u.transpose(0, 2, 1)
+            d = np.sign(np.linalg.det(v @ ut))
+            v = v * np.stack([np.ones_like(d), np.ones_like(d), np.where(d == 0, 1.0, d)], axis=1)[:, None, :]
+            r = v @ ut
+            t = b - (r @ a[:, :, None])[:, :, 0]
+            cells = np.concatenate([r.reshape(-1, 9), t], axis=1)
+            cells[~good] = np.nan
+            yield pd.DataFrame({"sample_id": pdf["sample_id"], **{c: cells[:, k] for k, c in enumerate(_MOTION)}})
+
+    kind = pairs.schema["sample_id"].dataType.simpleString()
+    out = sums.mapInPandas(run, f"sample_id {kind}, " + ", ".join(f"{c} double" for c in _MOTION))
+    return out.select("sample_id", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in _MOTION))
+
+
+def _turned(xyz: tuple[str, str, str], shift: bool) -> list[Column]:
+    """The point or vector in the columns xyz after the motion."""
+    return [sum((F.col(f"r{i}{j}") * F.col(c) for j, c in enumerate(xyz)), F.col(f"t{i}") if shift else F.lit(0.0)) for i in range(3)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf[["x", "y", "z"]].to_numpy(float), pdf[["u", "v", "w"]].to_numpy(float)
-        use = pdf[core].to_numpy(bool) if core and pdf[core].sum() >= 3 else np.ones(len(pdf), dtype=bool)
-        d = np.zeros_like(p)
-        if use.sum() >= 3:
-            r, t = kabsch(p[use], q[use])
-            d = q - (p @ r.T + t)
-        return pd.DataFrame({"sample_id": pdf["sample_id"], "idx": pdf["idx"], "dx": d[:, 0], "dy": d[:, 1], "dz": d[:, 2]})
 
-    return pairs.groupBy("sample_id").applyInPandas(run, "sample_id bigint, idx bigint, dx double, dy double, dz double")
+def aligned(pairs: DataFrame, core: str | None = None) -> DataFrame:
+    """sample_id, idx, dx, dy, dz: displacement of x, y, z (moved onto the target) to u, v, w; 0 where no fit is possible."""
+    moved = pairs.join(fits(pairs, core), "sample_id")
+    d = [F.coalesce(F.col(q) - p, F.lit(0.0)).alias(f"d{c}") for q, p, c in zip("uvw", _turned(("x", "y", "z"), True), "xyz", strict=True)]
+    return moved.select("sample_id", "idx", *d)
+
+
+class Tables:
+    """Best scores of prefixes of a and b that end in a match, in a gap of b, or in a gap of a; by antidiagonal and place in a."""
+
+    def __init__(self, a: str, b: str, match: float, mismatch: float, gap_open: float, gap_more: float, local: bool):
+        n, m, low = len(a), len(b), -1e9
+        x, y = (np.array([ord(c) for c in t], dtype=np.int64) for t in (a, b))
+        best, gap_b, gap_a = (np.full((n + m + 1, n + 1), low) for _ in range(3))
+        best[0, 0] = 0
+        i, j = np.arange(n + 1), np.arange(m + 1)
+        if local:
+            best[i, i] = best[j, 0] = 0
+        else:
+            gap_b[i[1:], i[1:]] = gap_open + gap_more * np.arange(n)
+            gap_a[j[1:], 0] = gap_open + gap_more * np.arange(m)
+        for d in range(2, n + m + 1):
+            lo, hi = max(1, d - m), min(n, d - 1) + 1
+            if lo >= hi:
+                continue
+            here, before = slice(lo, hi), slice(lo - 1, hi - 1)
+            gap_b[d, here] = np.maximum(gap_b[d - 1, before] + gap_more, np.maximum(best[d - 1, before], gap_a[d - 1, before]) + gap_open)
+            gap_a[d, here] = np.maximum(gap_a[d - 1, here] + gap_more, np.maximum(best[d - 1, here], gap_b[d - 1, here]) + gap_open)
+            own = np.arange(lo, hi)
+            s = np.maximum(np.maximum(best[d - 2, before], gap_a[d - 2, before]), gap_b[d - 2, before]) + np.where(x[own - 1] == y[d - own - 1], match, mismatch)
+            best[d, here] = np.maximum(0.0, s) if local else s
+        self.best, self.gap_b, self.gap_a = best, gap_b, gap_a
+        self.n, self.m, self.gap_more, self.local = n, m, gap_more, local
+
+    def score(self) -> float:
+        return float(self.best.max()) if self.local else float(max(t[self.n + self.m, self.n] for t in (self.best, self.gap_b, self.gap_a)))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """Matched places of a best alignment; of equal ones that with matches latest, then gaps in b."""
+        low, layers = -1e9, (self.best, self.gap_b, self.gap_a)
+        i, j = self.n, self.m
+        if self.local:
+            d, at = np.nonzero(self.best == self.best.max())
+            k = np.lexsort((d - at, at))[0]
+            i, j = int(at[k]), int(d[k] - at[k])
+        at = lambda k, i, j: layers[k][i + j, i]
+        choose = lambda i, j, ban=None: int(np.argmax([low if k == ban else at(k, i, j) for k in range(3)]))
+        layer = choose(i, j)
+        out: list[tuple[int, int]] = []
+        while i > 0 or j > 0:
+            if layer == 0:
+                if i == 0 or j == 0 or (self.local and at(0, i, j) <= 0):
+                    break
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+                layer = choose(i, j)
+                if self.local and at(0, i, j) <= 0 and layer == 0:
+                    break
+            elif layer == 1:
+                more = i > 1 and np.isclose(at(1, i, j), at(1, i - 1, j) + self.gap_more)
+                i -= 1
+                layer = 1 if more else choose(i, j, 1)
+            else:
+                more = j > 1 and np.isclose(at(2, i, j), at(2, i, j - 1) + self.gap_more)
+                j -= 1
+                layer = 2 if more else choose(i, j, 2)
+        return out[::-1]
 
 
 def align(a: str, b: str, match: float = 2, mismatch: float = -3, gap_open: float = -8, gap_more: float = -0.5, local: bool = False) -> list[tuple[int, int]]:
-    """Matched places of the best alignment with affine gaps; of equal ones that with matches latest, then gaps in b."""
-    n, m = len(a), len(b)
-    low = -1e9
-    best, gap_b, gap_a = (np.full((n + 1, m + 1), low) for _ in range(3))
-    best[0, 0] = 0
-    if not local:
-        gap_b[1:, 0] = gap_open + gap_more * np.arange(n)
-        gap_a[0, 1:] = gap_open + gap_more * np.arange(m)
-    else:
-        best[:, 0] = best[0, :] = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            up, left = (max(best[i - 1, j], gap_a[i - 1, j]), max(best[i, j - 1], gap_b[i, j - 1]))
-            gap_b[i, j] = max(gap_b[i - 1, j] + gap_more, up + gap_open)
-            gap_a[i, j] = max(gap_a[i, j - 1] + gap_more, left + gap_open)
-            s = max(best[i - 1, j - 1], gap_a[i - 1, j - 1], gap_b[i - 1, j - 1]) + (match if a[i - 1] == b[j - 1] else mismatch)
-            best[i, j] = max(0.0, s) if local else s
-    i, j = np.unravel_index(best.argmax(), best.shape) if local else (n, m)
-    layer = int(np.argmax([best[i, j], gap_b[i, j], gap_a[i, j]]))
-    out: list[tuple[int, int]] = []
-    while i > 0 or j > 0:
-        if layer == 0:
-            if i == 0 or j == 0 or (local and best[i, j] <= 0):
-                break
-            out.append((int(i) - 1, int(j) - 1))
-            i, j = i - 1, j - 1
-            layer = int(np.argmax([best[i, j], gap_b[i, j], gap_a[i, j]]))
-            if local and best[i, j] <= 0 and layer == 0:
-                break
-        elif layer == 1:
-            more = i > 1 and np.isclose(gap_b[i, j], gap_b[i - 1, j] + gap_more)
-            i -= 1
-            layer = 1 if more else int(np.argmax([best[i, j], low, gap_a[i, j]]))
+    """Matched places of the best alignment with affine gaps."""
+    return Tables(a, b, match, mismatch, gap_open, gap_more, local).pairs()
+
+
+def select_chain(chains: DataFrame, requested: str | None = None) -> DataFrame:
+    """One chain of each sample: the one that the column `requested` names, an error where it isn't there; the longest, of equal ones the first, where it is null.
+
+    chains: sample_id, pos, chain, sequence.
+    """
+    wish = F.col(requested) if requested else F.lit(None).cast("string")
+    key = F.struct(F.coalesce(F.col("chain") == wish, F.lit(False)), F.length("sequence"), -F.col("pos"))
+    best = chains.groupBy("sample_id").agg(F.max_by(F.struct(*chains.columns), key).alias("c"), F.max(wish).alias("wish"))
+    found = F.when(F.col("wish").isNull() | (F.col("c.chain") == F.col("wish")), F.col("c.chain")).otherwise(F.raise_error(F.concat(F.lit("no chain "), "wish")).cast("string"))
+    return best.select(*(found.alias(c) if c == "chain" else F.col(f"c.{c}").alias(c) for c in chains.columns))
+
+
+def displacement_target(first: DataFrame, second: DataFrame, core: DataFrame | None = None, ratio: float = 0.4, least: int = 15, identity: float = 0.9) -> DataFrame:
+    """Displacement of every aligned residue between the best pair of chains of two structures.
+
+    first, second: sample_id, pos, chain, sequence, ids (array<string>), xyz (array<array<double>>), a row for each
+    chain. Pairs of chains whose lengths have a ratio of `ratio` or more are scored by local alignment; the
+    best one, of equal ones the first, is fitted: on the residues of `core` (sample_id, ids: array<string>) if
+    given, else on the closest residues, refitted. A sample without a target has one row that says why in
+    `status`: no_alignable_chains, alignment_too_short, low_identity or core_too_small. A structure's chains are
+    one row of the job, as their number and length are bounded by the molecule.
+    """
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chain", "sequence", "ids", "xyz"))).alias(name))
+
+    rows = packed(first, "a").join(packed(second, "b"), "sample_id", "full")
+    rows = rows.join(core.select("sample_id", F.col("ids").alias("core")), "sample_id", "left") if core is not None else rows.withColumn("core", F.lit(None).cast("array<string>"))
+    kind = first.schema["sample_id"].dataType.simpleString()
+    columns = ["sample_id", "status", "chain_a", "chain_b", "n", "identity", "idx", "a_idx", "b_idx", "residue_id", "dx", "dy", "dz", "ax", "ay", "az"]
+
+    def target(a: list, b: list, ids) -> dict | str:
+        best, chosen = -np.inf, None
+        for x in a:
+            for y in b:
+                small, large = sorted((len(x["sequence"]), len(y["sequence"])))
+                if large and small / large >= ratio:
+                    tables = Tables(x["sequence"], y["sequence"], 2.0, -4.0, -10.0, -0.5, True)
+                    if tables.score() > best:
+                        best, chosen = tables.score(), (x, y, tables)
+        if chosen is None:
+            return "no_alignable_chains"
+        x, y, tables = chosen
+        at = np.array(tables.pairs(), dtype=np.int64).reshape(-1, 2)
+        if len(at) < least:
+            return "alignment_too_short"
+        same = float(np.mean([x["sequence"][i] == y["sequence"][j] for i, j in at]))
+        if same < identity:
+            return "low_identity"
+        p, q = np.stack(list(x["xyz"]))[at[:, 0]], np.stack(list(y["xyz"]))[at[:, 1]]
+        names = [x["ids"][i] for i in at[:, 0]]
+        if ids is not None:
+            use = np.isin(names, list(ids))
+            if use.sum() < 3:
+                return "core_too_small"
+            r, t = kabsch(p[use], q[use])
         else:
-            more = j > 1 and np.isclose(gap_a[i, j], gap_a[i, j - 1] + gap_more)
-            j -= 1
-            layer = 2 if more else int(np.argmax([best[i, j], gap_b[i, j], low]))
-    return out[::-1]
+            r, t = trimmed_kabsch(p, q)
+        moved = p @ r.T + t
+        n = len(at)
+        out = {"status": ["ok"] * n, "chain_a": [x["chain"]] * n, "chain_b": [y["chain"]] * n, "n": [n] * n, "identity": [same] * n, "idx": range(n), "a_idx": at[:, 0], "b_idx": at[:, 1], "residue_id": names}
+        return out | {f"d{c}": (q - moved)[:, k] for k, c in enumerate("xyz")} | {f"a{c}": moved[:, k] for k, c in enumerate("xyz")}
+
+    number, text = pa.int64(), pa.string()
+    kinds = dict(zip(columns, (to_arrow_type(first.schema["sample_id"].dataType), text, text, text, number, pa.float64(), number, number, number, text, *[pa.float64()] * 6), strict=True))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                got = target(row["a"] or [], row["b"] or [], row["core"])
+                got = {"status": [got]} if isinstance(got, str) else got
+                n = len(got["status"])
+                got["sample_id"] = [row["sample_id"]] * n
+                yield pa.RecordBatch.from_pydict({c: pa.array(got[c], t) if c in got else pa.nulls(n, t) for c, t in kinds.items()})
+
+    schema = f"sample_id {kind}, status string, chain_a string, chain_b string, n bigint, identity double, idx bigint, a_idx bigint, b_idx bigint, residue_id string, dx double, dy double, dz double, ax double, ay double, az double"
+    return rows.mapInArrow(run, schema)
+
+
+def pair_samples(targets: DataFrame, features: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Training residues: targets that are ok with their regions' features and their sample's conditions.
+
+    features: sample_id, residue_id and columns such as region_id, loss_weight, is_eval; a residue without a row
+    has nulls. manifest: sample_id and columns such as family_id and split, one row for each sample; a sample
+    that it lacks is left out.
+    """
+    return targets.where("status = 'ok'").join(features, ["sample_id", "residue_id"], "left").join(manifest, "sample_id")
 
 
 def alignment_pairs(pairs: DataFrame, **scores) -> DataFrame:
@@ -164,16 +316,9 @@ def mobility(points: DataFrame, radius: float, modes: int = 20) -> DataFrame:
 
 
 def transferred(rows: DataFrame) -> DataFrame:
-    """Donor displacements dx, dy, dz turned into each target's frame: the fit of x, y, z onto u, v, w rotates them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q, d = (pdf[list(c)].to_numpy(float) for c in (("x", "y", "z"), ("u", "v", "w"), ("dx", "dy", "dz")))
-        core = pdf["core"].to_numpy(bool)
-        use = core if core.sum() >= 3 else np.ones(len(pdf), dtype=bool)
-        out = d @ kabsch(p[use], q[use])[0].T if use.sum() >= 3 else np.zeros_like(d)
-        return pd.DataFrame({"sample_id": pdf["sample_id"], "idx": pdf["idx"], "px": out[:, 0], "py": out[:, 1], "pz": out[:, 2]})
-
-    return rows.groupBy("sample_id").applyInPandas(run, "sample_id bigint, idx bigint, px double, py double, pz double")
+    """Donor displacements dx, dy, dz turned into each target's frame: the fit of x, y, z onto u, v, w, by `core`, rotates them."""
+    moved = rows.join(fits(rows, "core"), "sample_id")
+    return moved.select("sample_id", "idx", *(F.coalesce(c, F.lit(0.0)).alias(p) for c, p in zip(_turned(("dx", "dy", "dz"), False), ("px", "py", "pz"), strict=True)))
 
 
 def averaged_transfers(rows: DataFrame) -> DataFrame:

@@ -19,24 +19,51 @@ def feature_ranges(features: str, marks: Sequence[str]) -> Column:
     return F.array_sort(F.transform(F.filter(features, lambda f: test(f) & (f["start"] <= f["end"])), lambda f: F.array(f["start"], f["end"])))
 
 
-def annotation(rows: DataFrame, key: str, lo: str = "modelled_lo", hi: str = "modelled_hi") -> DataFrame:
-    """key, annotation: regions as JSON.
+#: The regions' names, those that are evaluated, and the weights of their residues.
+REGIONS = ("barrel_core", "plug", "extracellular_loop", "tonb_box", "substrate_contact")
+EVALUATED = ("plug", "extracellular_loop", "tonb_box", "substrate_contact")
+WEIGHTS = {"default": 1.0, "barrel_core": 0.1, "plug": 2.0, "extracellular_loop": 2.0, "tonb_box": 3.0, "substrate_contact": 3.0}
 
-    The plug comes from the plug ranges, the barrel from its own, else from behind the plug, else from behind
-    the first quarter of the modelled span; the box is a window before the plug where it isn't given.
+
+def windows(lo: Column, hi: Column, count: int, size: int) -> Column:
+    """[start, end] of even windows of a size between lo and hi, distinct and sorted; one window where they are the whole."""
+    size, half = max(3, size), max(3, size) // 2
+    length = hi - lo + 1
+    if count <= 1:
+        centres = F.array(F.floor((lo + hi) / 2))
+    else:
+        centres = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(lo + half + i * (length - size) / F.lit(float(count - 1))))
+
+    def window(centre: Column) -> Column:
+        end = F.least(hi, F.greatest(lo, centre - half) + size - 1)
+        return F.array(F.greatest(lo, end - size + 1).cast("int"), end.cast("int"))
+
+    return F.when(length <= size, F.array(F.array(lo.cast("int"), hi.cast("int")))).otherwise(F.array_sort(F.array_distinct(F.transform(centres, window))))
+
+
+def annotation(rows: DataFrame, key: str, lo: str = "modelled_lo", hi: str = "modelled_hi", count: int = 16, size: int = 10, box: int = 7) -> DataFrame:
+    """key, annotation: regions as JSON, made from ranges plug and barrel (arrays of [start, end]) and the modelled span.
+
+    Without barrel ranges the barrel begins behind the plug, at the model's end at most, else behind the first
+    quarter of the span; its core is sampled by `count` even windows of `size` residues. The box is the first
+    `box` modelled residues, cut before the plug but never below one residue.
     """
-    span = F.col(hi) - F.col(lo) + 1
-    plug_end = F.array_max(F.transform("plug", lambda x: x[1]))
-    plug_start = F.array_min(F.transform("plug", lambda x: x[0]))
-    start = F.when(F.size("plug") > 0, plug_end + 1).otherwise(F.col(lo) + F.floor(span * 0.25).cast("int"))
+    first, last = F.col(lo), F.col(hi)
     none = F.array().cast("array<array<int>>")
-    barrel = F.when(F.size("barrel") > 0, F.col("barrel")).when(start <= F.col(hi), F.array(F.array(start, F.col(hi)))).otherwise(none)
-    before = F.greatest(F.col(lo), F.coalesce(plug_start, F.col(lo)) - 10)
-    box = F.when(F.size("box") > 0, F.col("box")).when(before < F.coalesce(plug_start, F.col(lo)), F.array(F.array(before, plug_start - 1))).otherwise(none)
-    entry = lambda ranges: F.when(F.size(ranges) > 0, F.array(F.struct(F.col("chain").alias("chain"), ranges.alias("ranges")))).otherwise(F.array().cast("array<struct<chain:string,ranges:array<array<int>>>>"))
-    regions = F.struct(entry(barrel).alias("barrel_core"), entry(F.col("plug")).alias("plug"), entry(box).alias("tonb_box"))
-    weights = F.struct(F.lit(0.3).alias("default"), F.lit(0.1).alias("barrel_core"), F.lit(2.0).alias("plug"), F.lit(3.0).alias("tonb_box"))
-    body = F.struct(F.col("chain").alias("default_chain"), regions.alias("regions"), F.array(F.lit("plug"), F.lit("tonb_box")).alias("eval_regions"), weights.alias("loss_weights"))
+    sides = lambda ranges, k: F.transform(ranges, lambda x: x[k])
+    start = F.when(F.size("plug") > 0, F.least(last, F.array_max(sides("plug", 1)) + 1)).otherwise(first + F.floor((last - first + 1) * 0.25).cast("int"))
+    barrel = F.when(F.size("barrel") > 0, F.col("barrel")).when(start <= last, F.array(F.array(start, last))).otherwise(none)
+    core = F.when(F.size(barrel) > 0, windows(F.array_min(sides(barrel, 0)), F.array_max(sides(barrel, 1)), count, size)).otherwise(none)
+    end = first + max(1, box) - 1
+    end = F.when(F.size("plug") > 0, F.least(end, F.greatest(first, F.array_min(sides("plug", 0)) - 1))).otherwise(end)
+    boxed = F.when(end >= first, F.array(F.array(first, end))).otherwise(none)
+    entry = lambda ranges: F.array(F.struct(F.col("chain").alias("chain"), ranges.alias("ranges")))
+    empty = F.array().cast("array<struct<chain:string,ranges:array<array<int>>>>")
+    ranges = {"barrel_core": entry(core), "plug": entry(F.col("plug")), "tonb_box": entry(boxed)}
+    body = F.struct(
+        F.col("chain").alias("default_chain"), F.struct(*(ranges.get(n, empty).alias(n) for n in REGIONS)).alias("regions"),
+        F.array(*map(F.lit, EVALUATED)).alias("eval_regions"), F.struct(*(F.lit(w).alias(n) for n, w in WEIGHTS.items())).alias("loss_weights"),
+    )
     return rows.select(key, F.to_json(body).alias("annotation"))
 
 

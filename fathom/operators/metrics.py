@@ -82,8 +82,53 @@ def centroids(rows: DataFrame, by: list[str], prefix: str = "") -> DataFrame:
 
 
 def exposure_state(delta: Column, threshold: float) -> Column:
-    """Three states around +- threshold, both ends inclusive."""
-    return F.when(delta >= threshold, "exposed").when(delta <= -threshold, "buried").otherwise("unchanged")
+    """Three states around +- threshold, both ends inclusive; missing where the difference isn't finite."""
+    finite = delta.isNotNull() & ~F.isnan(delta) & (F.abs(delta) < float("inf"))
+    return F.when(~finite, "missing").when(delta >= threshold, "exposed_like").when(delta <= -threshold, "buried_like").otherwise("unchanged")
+
+
+def state_metrics(rows: DataFrame, threshold: float) -> DataFrame:
+    """A row for each sample that has a box and a barrel: how far the box's centre moves, and towards what state.
+
+    rows: sample_id, region (a residue once for each of its regions), position x, y, z, displacement tx, ty, tz and
+    its prediction px, py, pz. The plug's reference is plug_core where there is one, else plug. Angles and distances
+    that aren't defined are null.
+    """
+    def centre(region: str, *more: str) -> tuple[Column, Column, Column]:
+        return tuple(F.avg(F.when(F.col("region") == region, sum((F.col(m + c) for m in more), F.col(c)))) for c in "xyz")
+
+    parts = {"b0": centre("tonb_box"), "bt": centre("tonb_box", "t"), "bp": centre("tonb_box", "p"), "ref": centre("barrel_core"), "pc": centre("plug_core"), "pl": centre("plug")}
+    aggs = [F.count_if(F.col("region") == "tonb_box").alias("n_box"), F.count_if(F.col("region") == "barrel_core").alias("n_barrel")]
+    sums = rows.groupBy("sample_id").agg(*aggs, *(v.alias(f"{k}{c}") for k, vs in parts.items() for c, v in zip("xyz", vs, strict=True))).where("n_box > 0 and n_barrel > 0")
+    sums = sums.withColumns({f"plug{c}": F.coalesce(f"pc{c}", f"pl{c}") for c in "xyz"})
+    at = lambda k: vector(*(f"{k}{c}" for c in "xyz"))
+    far = lambda a, b: norm(minus(at(a), at(b)))
+    angle = lambda u, v: F.when((norm(u) > 1e-8) & (norm(v) > 1e-8), dot(u, v) / (norm(u) * norm(v)))
+    moved, guess = minus(at("bt"), at("b0")), minus(at("bp"), at("b0"))
+    change = {k: far(k, "ref") - far("b0", "ref") for k in ("bt", "bp")}
+    out = sums.select(
+        "sample_id", F.col("n_box").alias("n_residues"), norm(moved).alias("target_displacement"), norm(guess).alias("predicted_displacement"), norm(minus(guess, moved)).alias("displacement_error"),
+        angle(guess, moved).alias("displacement_cosine"), far("b0", "ref").alias("start_distance"), far("bt", "ref").alias("target_distance"), far("bp", "ref").alias("predicted_distance"),
+        change["bt"].alias("target_exposure"), change["bp"].alias("predicted_exposure"), (change["bp"] - change["bt"]).alias("exposure_error"),
+        exposure_state(change["bt"], threshold).alias("target_state"), exposure_state(change["bp"], threshold).alias("predicted_state"),
+        angle(minus(at("bt"), at("ref")), minus(at("b0"), at("ref"))).alias("target_axis_cosine"), angle(minus(at("bp"), at("ref")), minus(at("bt"), at("ref"))).alias("predicted_axis_cosine"),
+        (far("bt", "plug") - far("b0", "plug")).alias("target_plug_change"), (far("bp", "plug") - far("b0", "plug")).alias("predicted_plug_change"),
+    )
+    return out.withColumns({"direction_compatible": F.coalesce(F.col("displacement_cosine") >= 0.5, F.lit(False)), "state_correct": F.col("target_state") == F.col("predicted_state"), "plug_change_error": F.col("predicted_plug_change") - F.col("target_plug_change")})
+
+
+#: What a summary of states averages.
+STATE_FIELDS = ("target_displacement", "predicted_displacement", "displacement_error", "displacement_cosine", "target_exposure", "predicted_exposure", "exposure_error", "predicted_axis_cosine")
+
+
+def state_summary(states: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and median of each field, rates, and the counts of each pair of states ("target->predicted") in order."""
+    counts = states.groupBy(*by, F.concat_ws("->", "target_state", "predicted_state").alias("pair")).agg(F.count("*").alias("n"))
+    confusion = counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", "n")))).alias("confusion"))
+    means = [f(c).alias(f"{c}_{n}") for c in STATE_FIELDS for n, f in (("mean", F.avg), ("median", F.median))]
+    rates = [F.avg(F.col(c).cast("double")).alias(n) for c, n in (("state_correct", "state_accuracy"), ("direction_compatible", "direction_compatible_rate"))]
+    out = states.groupBy(*by).agg(F.count("*").alias("n_targets"), *means, *rates)
+    return out.join(confusion, by) if by else out.crossJoin(confusion)
 
 
 def fitted_scale(rows: DataFrame, by: list[str], most: float = 2.0, least_residues: int = 3) -> DataFrame:

@@ -78,3 +78,39 @@ def running_windows(count: int, low: str, high: str, width: int) -> Column:
     """Starts of `count` even windows of a width between low and high, distinct and sorted."""
     room = F.greatest(F.col(high) - F.col(low) + 1 - width, F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.col(low) + F.bround(room * i / F.lit(float(max(1, count - 1)))).cast("int"))))
+
+
+def count_maps(rows: DataFrame, fields: Sequence[str], by: list[str]) -> DataFrame:
+    """Rows and, for each field, a map from its values (blanks as missing) to their counts, in order.
+
+    by: columns of which the values are few; the maps have an entry for each distinct value.
+    """
+    blank = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("missing"))
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), blank(f).alias("value")) for f in fields))).alias("c"))
+    counts = long.groupBy(*by, "c.field", "c.value").agg(F.count("*").alias("n"))
+    maps = counts.groupBy(*by).pivot("field", list(fields)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))))
+    maps = maps.select(*by, *(F.col(f"`{f}`").alias(f"{f}_counts") for f in fields))
+    n = rows.groupBy(*by).agg(F.count("*").alias("rows"))
+    return n.join(maps, by) if by else n.crossJoin(maps)
+
+
+def template_selection(rows: DataFrame) -> DataFrame:
+    """One row on the templates chosen for all targets: numbers of candidates, identities, coverages, and how many have none.
+
+    rows: candidate_count, nearest_identity and nearest_coverage as numbers (null where there is no template).
+    """
+    stats = [f(c).alias(f"{c}_{n}") for c in ("candidate_count", "nearest_identity", "nearest_coverage") for n, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
+    return rows.agg(F.count("*").alias("rows"), *stats, F.count_if(F.coalesce("candidate_count", F.lit(0)) == 0).alias("targets_with_no_candidate"))
+
+
+def first_in_tiers(rows: DataFrame, tier: str, most: dict[str, int], order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The first rows of each tier in order, as many as `most` says, and of those the first `limit`; a tier without a number has none."""
+    place = F.row_number().over(Window.partitionBy(tier).orderBy(*order))
+    room = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in most.items() for x in kv)), F.col(tier)), F.lit(0))
+    kept = rows.withColumn("_k", place).where(F.col("_k") <= room).drop("_k")
+    return kept if limit is None else kept.orderBy(*order).limit(limit)
+
+
+def latest_run(runs: DataFrame, by: list[str]) -> DataFrame:
+    """The newest file of each group: by the folder's name, then the time, then the file's name."""
+    return runs.groupBy(*by).agg(F.max_by("path", F.struct("folder", "modified", "name")).alias("path"))

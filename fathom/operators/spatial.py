@@ -59,12 +59,20 @@ def chain_steps(points: DataFrame) -> DataFrame:
 
 
 def half_sphere(points: DataFrame, radius: float) -> DataFrame:
-    """Neighbours on either side of the plane through a point across the chain's direction."""
-    axis = chain_steps(points).select("sample_id", F.col("idx").alias("src"), "mid_x", "mid_y", "mid_z")
-    at = lambda k, p: points.select("sample_id", F.col("idx").alias(k), *(F.col(c).alias(f"{p}{c}") for c in "xyz"))
-    rows = contacts(points, radius).join(at("src", "s"), ["sample_id", "src"]).join(at("dst", "d"), ["sample_id", "dst"]).join(axis, ["sample_id", "src"])
-    side = sum((F.col(f"d{c}") - F.col(f"s{c}")) * F.col(f"mid_{c}") for c in "xyz")
-    return rows.groupBy("sample_id", F.col("src").alias("idx")).agg(F.count_if(side > 0).alias("up"), F.count_if(side < 0).alias("down"))
+    """sample_id, idx, up, down: neighbours on either side of the plane through a point across the chain's direction.
+
+    The direction is that from the point before to the one after, at a chain's end the step that there is,
+    for a lone point the x axis; a neighbour in the plane itself counts as up.
+    """
+    w = Window.partitionBy("sample_id").orderBy("idx")
+    step = lambda c: F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))
+    lone = F.lag("x").over(w).isNull() & F.lead("x").over(w).isNull()
+    axis = points.select("sample_id", F.col("idx").alias("src"), *(F.col(c).alias(f"s{c}") for c in "xyz"), *(F.when(lone, F.lit(float(c == "x"))).otherwise(step(c)).alias(f"a{c}") for c in "xyz"))
+    at = points.select("sample_id", F.col("idx").alias("dst"), *(F.col(c).alias(f"d{c}") for c in "xyz"))
+    rows = contacts(points, radius, eps=-1.0).join(axis, ["sample_id", "src"]).join(at, ["sample_id", "dst"])
+    side = sum((F.col(f"d{c}") - F.col(f"s{c}")) * F.col(f"a{c}") for c in "xyz")
+    n = rows.groupBy("sample_id", F.col("src").alias("idx")).agg(F.count_if(side >= 0).alias("up"), F.count_if(side < 0).alias("down"))
+    return points.select("sample_id", "idx").join(n, ["sample_id", "idx"], "left").fillna(0, ["up", "down"])
 
 
 def radial_basis(distance: str, centres: int = 16, most: float = 20.0):

@@ -86,7 +86,7 @@ def region_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("exposure_states", f"""WITH {SQL_ROWS}, c AS (SELECT sample_id, avg(tx) FILTER ({SQL_REGION} = 'tonb_box') - avg(tx) FILTER ({SQL_REGION} = 'barrel_core') AS t, avg(px) FILTER ({SQL_REGION} = 'tonb_box') - avg(px) FILTER ({SQL_REGION} = 'barrel_core') AS p FROM both_rows GROUP BY sample_id),
- s AS (SELECT CASE WHEN t >= 0.05 THEN 'exposed' WHEN t <= -0.05 THEN 'buried' ELSE 'unchanged' END AS target_state, CASE WHEN p >= 0.05 THEN 'exposed' WHEN p <= -0.05 THEN 'buried' ELSE 'unchanged' END AS predicted_state FROM c)
+ s AS (SELECT CASE WHEN t IS NULL THEN 'missing' WHEN t >= 0.05 THEN 'exposed_like' WHEN t <= -0.05 THEN 'buried_like' ELSE 'unchanged' END AS target_state, CASE WHEN p IS NULL THEN 'missing' WHEN p >= 0.05 THEN 'exposed_like' WHEN p <= -0.05 THEN 'buried_like' ELSE 'unchanged' END AS predicted_state FROM c)
  SELECT target_state, predicted_state, count(*) AS n FROM s GROUP BY ALL""")
 def exposure_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts of the three exposure states."""
@@ -149,7 +149,9 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rank_split", """WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256(o_orderkey::VARCHAR), o_orderkey) AS k, count(*) OVER () AS n FROM orders),
- c AS (SELECT *, round_even(n * 0.7, 0) AS a, round_even(n * 0.7, 0) + round_even(n * 0.15, 0) AS b FROM k) SELECT o_orderkey, CASE WHEN k <= a THEN 'train' WHEN k <= b THEN 'val' ELSE 'test' END AS split FROM c""")
+ c AS (SELECT *, greatest(1, round_even(n * 0.7, 0)) AS a, CASE WHEN n >= 3 THEN greatest(1, round_even(n * 0.15, 0)) ELSE 0 END AS b FROM k),
+ f AS (SELECT *, n >= 3 AND a + b >= n AS tight FROM c), e AS (SELECT o_orderkey, k, CASE WHEN tight THEN n - 2 ELSE a END AS a, CASE WHEN tight THEN 1 ELSE b END AS b FROM f)
+ SELECT o_orderkey, CASE WHEN k <= a THEN 'train' WHEN k <= a + b THEN 'val' ELSE 'test' END AS split FROM e""")
 def rank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.rank_split(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey").select("o_orderkey", "split")
 

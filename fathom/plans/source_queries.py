@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -150,8 +149,7 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("incremental_events", "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1")
 def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events merged by id from a stream of files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{incremental.shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     rows = incremental.merge_new(spark, sf_dir, read(spark, sf_dir, "events").schema, ["event_id"], f"{folder}/rows", f"{folder}/state", "events.parquet")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 

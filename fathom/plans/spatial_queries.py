@@ -50,8 +50,9 @@ def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(spatial.chain_steps(points(spark, sf_dir)))
 
 
-@query("half_sphere", f"""WITH {_CHAIN}, e AS (SELECT a.sample_id, a.idx, (b.x-a.x)*coalesce(a.dmx,0) + (b.y-a.y)*coalesce(a.dmy,0) + (b.z-a.z)*coalesce(a.dmz,0) AS side FROM s a JOIN pt b ON a.sample_id = b.sample_id AND a.idx <> b.idx AND {_D} <= 0.2 AND {_D} > 1e-9)
- SELECT sample_id, idx, count(*) FILTER (side > 0) AS up, count(*) FILTER (side < 0) AS down FROM e GROUP BY ALL""")
+@query("half_sphere", f"""WITH {_PTS}, s AS (SELECT *, {', '.join(f'coalesce(lead({c}) OVER w, {c}) - coalesce(lag({c}) OVER w, {c}) AS a{c}' for c in 'xyz')} FROM pt WINDOW w AS (PARTITION BY sample_id ORDER BY idx)),
+ e AS (SELECT a.sample_id, a.idx, (b.x-a.x)*a.ax + (b.y-a.y)*a.ay + (b.z-a.z)*a.az AS side FROM s a JOIN pt b ON a.sample_id = b.sample_id AND a.idx <> b.idx AND {_D} <= 0.2)
+ SELECT pt.sample_id, pt.idx, count(*) FILTER (side >= 0) AS up, count(*) FILTER (side < 0) AS down FROM pt LEFT JOIN e USING (sample_id, idx) GROUP BY ALL""")
 def half_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.half_sphere(points(spark, sf_dir), 0.2)
 
@@ -109,16 +110,17 @@ def network_mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("benchmark_alignments")
 def benchmark_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched places of neighbouring items' first 60 letters."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id"), F.substring("text", 1, 60).alias("a"))
+    """Matched places of neighbouring items' whole texts."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
     pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id").withColumnRenamed("item_id", "key")
     return geometry.alignment_pairs(pairs)
 
 
-@query("gapped_pairs", """WITH s AS (SELECT item_id AS key, replace(substr(text, 1, 40), ' ', '-') AS a, replace(substr(text, 2, 40), ' ', '-') AS b FROM benchmark WHERE length(text) >= 41),
- c AS (SELECT key, i, substr(a, i, 1) AS ca, substr(b, i, 1) AS cb FROM s, range(1, 41) t(i)), n AS (SELECT *, sum((ca <> '-')::INT) OVER w - 1 AS a_idx, sum((cb <> '-')::INT) OVER w - 1 AS b_idx FROM c WINDOW w AS (PARTITION BY key ORDER BY i))
+@query("gapped_pairs", """WITH s AS (SELECT item_id AS key, replace(substr(text, 1, length(text) - 1), ' ', '-') AS a, replace(substr(text, 2), ' ', '-') AS b, length(text) AS n FROM benchmark WHERE length(text) >= 2),
+ c AS (SELECT key, i, substr(a, i, 1) AS ca, substr(b, i, 1) AS cb FROM (SELECT *, unnest(range(1, n)) AS i FROM s)), n AS (SELECT *, sum((ca <> '-')::INT) OVER w - 1 AS a_idx, sum((cb <> '-')::INT) OVER w - 1 AS b_idx FROM c WINDOW w AS (PARTITION BY key ORDER BY i))
  SELECT key, a_idx::BIGINT AS a_idx, b_idx::BIGINT AS b_idx FROM n WHERE ca <> '-' AND cb <> '-'""")
 def gapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").where(F.length("text") >= 41)
-    rows = b.select(F.col("item_id").alias("key"), F.translate(F.substring("text", 1, 40), " ", "-").alias("a"), F.translate(F.substring("text", 2, 40), " ", "-").alias("b"))
+    """Columns of each item's whole text over itself moved by one, blanks as gaps."""
+    b = read(spark, sf_dir, "benchmark").where(F.length("text") >= 2)
+    rows = b.select(F.col("item_id").alias("key"), F.translate(F.expr("left(text, length(text) - 1)"), " ", "-").alias("a"), F.translate(F.expr("substring(text, 2)"), " ", "-").alias("b"))
     return geometry.gapped_pairs(rows)

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one where none is set and all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="stream-")
+
+
 def merge_new(spark: SparkSession, source: str, schema, key: list[str], target: str, checkpoint: str, name: str = "*") -> DataFrame:
     """Append rows of new files whose key the target lacks; each batch is written once, however often it is tried."""
 
