@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
 
+from .ranges import running_sums
+
 
 def steps(rows: DataFrame, by: list[str], label: str = "y", score: str = "score") -> DataFrame:
-    """Cumulative true and false positives at each distinct score from the highest down, with their totals."""
+    """True and false positives before and at each distinct score from the highest down, with their totals."""
     each = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    down, own = Window.partitionBy(*by).orderBy(F.desc(score)), Window.partitionBy(*by)
-    return each.select(*by, score, F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(own).alias("p"), F.sum("neg").over(own).alias("n"))
+    s = running_sums(each.withColumn("_down", -F.col(score)), by, "_down", ["pos", "neg"])
+    return s.select(*by, score, F.col("before_pos").alias("tp0"), F.col("before_neg").alias("fp0"), (F.col("before_pos") + F.col("pos")).alias("tp"), (F.col("before_neg") + F.col("neg")).alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
 
 
 def roc(rows: DataFrame, by: list[str], label: str = "y", score: str = "score") -> DataFrame:
@@ -23,10 +25,12 @@ def roc(rows: DataFrame, by: list[str], label: str = "y", score: str = "score")
 
 def areas(rows: DataFrame, by: list[str], label: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve, under the precision-recall curve (from (0, 1), trapezoids), and average precision."""
-    s = steps(rows, by, label, score).withColumns({"fpr": ratio(F.col("fp"), F.nullif(F.col("n"), F.lit(0))), "tpr": ratio(F.col("tp"), F.nullif(F.col("p"), F.lit(0))), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp"))})
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    before = lambda c, first: F.lag(c, 1, first).over(w)
-    s = s.withColumns({"fpr0": before("fpr", 0.0), "tpr0": before("tpr", 0.0), "precision0": before("precision", 1.0)})
+    rate = lambda a, b: ratio(F.col(a), F.nullif(F.col(b), F.lit(0)))
+    seen = F.col("tp0") + F.col("fp0")
+    s = steps(rows, by, label, score).withColumns({
+        "fpr": rate("fp", "n"), "tpr": rate("tp", "p"), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+        "fpr0": rate("fp0", "n"), "tpr0": rate("tp0", "p"), "precision0": F.when(seen == 0, 1.0).otherwise(ratio(F.col("tp0"), seen)),
+    })
     step = F.col("tpr") - F.col("tpr0")
     return s.groupBy(*by).agg(
         F.max("p").alias("positives"), F.max("n").alias("negatives"),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fathom.functions.clean import ratio
 from fathom.functions.vector import cosine, dot, minus, norm, vector
 
+from .ranges import with_quantiles
+
 
 def joined_predictions(residues: DataFrame, predictions: DataFrame, strict: bool = False) -> DataFrame:
     """residues with px, py, pz; a missing prediction is the zero vector, or an error if strict."""
@@ -54,14 +56,16 @@ def pooled_and_by_sample(rows: DataFrame, moving: float = 1.0) -> DataFrame:
 
 def summary_by_region(samples: DataFrame) -> DataFrame:
     """Over the samples of each region; sample_count counts all, the rest what is finite."""
-    return samples.groupBy("region").agg(
+    out = samples.groupBy("region").agg(
         F.count("*").alias("sample_count"),
         F.avg((F.col("improvement") > 0).cast("double")).alias("improvement_rate"),
         F.avg((F.col("improvement") < 0).cast("double")).alias("worse_rate"),
-        F.avg("improvement").alias("improvement_mean"), F.median("improvement").alias("improvement_median"),
-        F.avg("error_rms").alias("error_mean"), F.median("error_rms").alias("error_median"),
+        F.avg("improvement").alias("improvement_mean"), F.avg("error_rms").alias("error_mean"),
         F.avg("zero_rms").alias("zero_mean"), F.avg("mse_improvement_fraction").alias("mse_gain_mean"),
     )
+    for c, name in (("improvement", "improvement_median"), ("error_rms", "error_median")):
+        out = with_quantiles(out, samples, ["region"], c, {name: 0.5})
+    return out
 
 
 def paired_deltas(samples: DataFrame, method: str = "error_rms", raw: str = "zero_rms") -> DataFrame:
@@ -71,10 +75,12 @@ def paired_deltas(samples: DataFrame, method: str = "error_rms", raw: str = "zer
 def delta_summary(deltas: DataFrame, by: list[str]) -> DataFrame:
     """Improved means a negative difference; only an exact 0 ties."""
     d = F.col("delta")
-    return deltas.where(d.isNotNull()).groupBy(*by).agg(
+    deltas = deltas.where(d.isNotNull())
+    out = deltas.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(d < 0).alias("n_improved"), F.count_if(d > 0).alias("n_worsened"), F.count_if(d == 0).alias("n_tied"),
-        F.avg((d < 0).cast("double")).alias("fraction_improved"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"),
+        F.avg((d < 0).cast("double")).alias("fraction_improved"), F.avg(d).alias("mean_delta"),
     )
+    return with_quantiles(out, deltas, by, "delta", {"median_delta": 0.5})
 
 
 def centroids(rows: DataFrame, by: list[str], prefix: str = "") -> DataFrame:

@@ -9,28 +9,39 @@ from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
 
+from .ranges import with_quantiles
 from .stats import pearson_of, wilson
 
 
 def ranked(poses: DataFrame, target: Sequence[str], ties: Sequence[str], higher_better: bool = False) -> DataFrame:
-    """poses with position from 1: by rank where every row of all has one, else by score; nulls last, ties in order."""
-    has_rank = "rank" in poses.columns and poses.where("rank is null").limit(1).count() == 0
-    key = F.col("rank").asc_nulls_last() if has_rank else F.col("score").desc_nulls_last() if higher_better else F.col("score").asc_nulls_last()
-    return poses.withColumn("position", F.row_number().over(Window.partitionBy(*target).orderBy(key, *ties)).cast("bigint"))
+    """poses with position from 1: by rank where every row of all has one, else by score; nulls last, ties in order.
+
+    Whether all have one is a one-row aggregate in the plan, no job of its own.
+    """
+    own = F.col("score").desc_nulls_last() if higher_better else F.col("score").asc_nulls_last()
+    if "rank" in poses.columns:
+        lacking = poses.agg(F.coalesce(F.bool_or(F.col("rank").isNull()), F.lit(False)).alias("_lacking"))
+        poses = poses.crossJoin(F.broadcast(lacking)).withColumn("_rank", F.when(~F.col("_lacking"), F.col("rank"))).drop("_lacking")
+        order = [F.col("_rank").asc_nulls_last(), own]
+    else:
+        order = [own]
+    # with ranks, equal ranks fall to the ties at once, not to the score
+    if len(order) == 2:
+        order[1] = F.when(F.col("_rank").isNull(), -F.col("score") if higher_better else F.col("score")).asc_nulls_last()
+    return poses.withColumn("position", F.row_number().over(Window.partitionBy(*target).orderBy(*order, *ties)).cast("bigint")).drop("_rank")
 
 
 def top1_summary(ranked_poses: DataFrame, by: list[str], threshold: float = 2.0) -> DataFrame:
     """Rates over targets with a number for rmsd; success is strictly below the threshold."""
     top = ranked_poses.where("position = 1 and rmsd is not null")
-    q = F.percentile("rmsd", F.array(*(F.lit(x) for x in (0.25, 0.75, 0.9, 0.95))))
     hit = F.count_if(F.col("rmsd") < threshold)
     n = F.count("*")
     lo, hi = wilson(hit, n)
-    return top.groupBy(*by).agg(
+    out = top.groupBy(*by).agg(
         n.alias("n"), hit.alias("n_success"), ratio(hit, n).alias("success_rate"), lo.alias("wilson_low"), hi.alias("wilson_high"),
-        F.avg("rmsd").alias("mean_rmsd"), F.median("rmsd").alias("median_rmsd"), F.stddev_samp("rmsd").alias("sd_rmsd"), F.min("rmsd").alias("min_rmsd"), F.max("rmsd").alias("max_rmsd"),
-        q[0].alias("p25"), q[1].alias("p75"), q[2].alias("p90"), q[3].alias("p95"),
+        F.avg("rmsd").alias("mean_rmsd"), F.stddev_samp("rmsd").alias("sd_rmsd"), F.min("rmsd").alias("min_rmsd"), F.max("rmsd").alias("max_rmsd"),
     )
+    return with_quantiles(out, top, by, "rmsd", {"median_rmsd": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95})
 
 
 def topn_success(ranked_poses: DataFrame, target: list[str], by: list[str], levels: Sequence[int], threshold: float = 2.0) -> DataFrame:
@@ -77,9 +88,10 @@ def score_table(ranked_poses: DataFrame, target: str, structure: str, labels: Se
 def delta_report(rows: DataFrame, by: list[str]) -> DataFrame:
     """Differences of scores: improved below 0; the paired t is mean / (sd / sqrt(n))."""
     d = F.col("delta")
-    q = F.percentile(d, F.array(F.lit(0.1), F.lit(0.9)))
-    return rows.where(d.isNotNull()).groupBy(*by).agg(
+    rows = rows.where(d.isNotNull())
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(d < 0).alias("n_better"), F.count_if(d > 0).alias("n_worse"), F.count_if(d == 0).alias("n_tied"),
-        F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.stddev_samp(d).alias("sd_delta"),
-        ratio(F.avg(d), F.nullif(ratio(F.stddev_samp(d), F.sqrt(F.count("*"))), F.lit(0.0))).alias("t_stat"), q[0].alias("p10"), q[1].alias("p90"),
+        F.avg(d).alias("mean_delta"), F.stddev_samp(d).alias("sd_delta"),
+        ratio(F.avg(d), F.nullif(ratio(F.stddev_samp(d), F.sqrt(F.count("*"))), F.lit(0.0))).alias("t_stat"),
     )
+    return with_quantiles(out, rows, by, "delta", {"median_delta": 0.5, "p10": 0.1, "p90": 0.9})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import with_quantiles
+
 
 def value_counts(rows: DataFrame, fields: Sequence[str], missing: str = "missing") -> DataFrame:
     """field, value, n of every field's cells; blanks are counted as missing."""
@@ -15,8 +17,8 @@ def value_counts(rows: DataFrame, fields: Sequence[str], missing: str = "missing
 
 
 def describe(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return rows.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), q[1].alias("median"), F.min(column).alias("min"), F.max(column).alias("max"), q[0].alias("p10"), q[2].alias("p90"))
+    out = rows.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return with_quantiles(out, rows, by, column, {"median": 0.5, "p10": 0.1, "p90": 0.9})
 
 
 def seed_aggregate(long: DataFrame, by: list[str], alone: float | None = 0.0) -> DataFrame:

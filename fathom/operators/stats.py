@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
 
+from .ranges import rejoined, running_sums
+
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = ratio(hits, n)
@@ -28,9 +30,10 @@ def pearson_of(x: str, y: str) -> Column:
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Ranks from 1 with the mean of their places for ties."""
-    own = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(own.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0)
+    """Ranks from 1 with the mean of their places for ties; value is not null."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranks = running_sums(counts, by, value, ["_n"]).select(*by, value, (F.col("before__n") + (F.col("_n") + 1) / 2.0).alias(name))
+    return rejoined(df, ranks, [*by, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -40,10 +43,12 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def signed_ranks(deltas: DataFrame, by: list[str], least: float = 1e-12) -> DataFrame:
     """W+, W-, and the rank-biserial effect (positive if the differences are below 0)."""
-    rows = deltas.where(F.abs("delta") > least).withColumn("_a", F.abs("delta"))
-    rows = average_rank(rows, "_a", by, "_rank")
-    plus, minus = F.sum(F.when(F.col("delta") > 0, F.col("_rank")).otherwise(0.0)), F.sum(F.when(F.col("delta") < 0, F.col("_rank")).otherwise(0.0))
-    return rows.groupBy(*by).agg(F.count("*").alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), ratio(minus - plus, minus + plus).alias("effect"))
+    d = F.col("delta")
+    counts = deltas.where(F.abs(d) > least).groupBy(*by, F.abs(d).alias("_a")).agg(F.count("*").alias("_n"), F.count_if(d > 0).alias("_up"), F.count_if(d < 0).alias("_down"))
+    rank = F.col("before__n") + (F.col("_n") + 1) / 2.0
+    rows = running_sums(counts, by, "_a", ["_n"])
+    plus, minus = F.sum(rank * F.col("_up")), F.sum(rank * F.col("_down"))
+    return rows.groupBy(*by).agg(F.sum("_n").alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), ratio(minus - plus, minus + plus).alias("effect"))
 
 
 def wilcoxon_p(d: np.ndarray, least: float = 1e-12) -> tuple[str, float, float]:
