@@ -143,12 +143,3 @@ def range_split(names: Sequence[str], parts: Mapping[str, tuple[float, float]],
 
 def cache_key(payload: Mapping) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()[:12]
-
-
-def indicator_interval(hits: Sequence[bool], iterations: int = 2000, seed: int = 42) -> tuple[float, float]:
-    """Percentile bootstrap of a rate: one group's outcomes."""
-    rng, n = random.Random(seed), len(hits)
-    if not n:
-        return float("nan"), float("nan")
-    means = sorted(sum(hits[rng.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
-    return float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5))

@@ -42,56 +42,118 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def signed_ranks(deltas: DataFrame, by: list[str], least: float = 1e-12) -> DataFrame:
-    """W+, W-, and the rank-biserial effect (positive if the differences are below 0)."""
+    """W+, W-, and the rank-biserial effect (positive if the differences are below 0), with what ties add up to."""
     d = F.col("delta")
     counts = deltas.where(F.abs(d) > least).groupBy(*by, F.abs(d).alias("_a")).agg(F.count("*").alias("_n"), F.count_if(d > 0).alias("_up"), F.count_if(d < 0).alias("_down"))
     rank = F.col("before__n") + (F.col("_n") + 1) / 2.0
     rows = running_sums(counts, by, "_a", ["_n"])
-    plus, minus = F.sum(rank * F.col("_up")), F.sum(rank * F.col("_down"))
-    return rows.groupBy(*by).agg(F.sum("_n").alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), ratio(minus - plus, minus + plus).alias("effect"))
+    plus, minus, n = F.sum(rank * F.col("_up")), F.sum(rank * F.col("_down")), F.col("_n").cast("double")
+    return rows.groupBy(*by).agg(F.sum("_n").alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), ratio(minus - plus, minus + plus).alias("effect"), F.sum(n * n * n - n).alias("ties"))
 
 
-def wilcoxon_p(d: np.ndarray, least: float = 1e-12) -> tuple[str, float, float]:
-    """Status and p-values (less, two-sided): exact without ties up to 50 differences, else normal with ties."""
-    d = d[np.abs(d) > least]
-    n = len(d)
+def wilcoxon_p(n: int, w: float, ties: float) -> tuple[str, float, float]:
+    """Status and p-values (less, two-sided) of n differences with rank sum w above 0: exact without ties up to 50, else normal."""
     if not n:
         return "no_nonzero_deltas", math.nan, math.nan
-    ranks = pd.Series(np.abs(d)).rank().to_numpy()
-    w = float(ranks[d > 0].sum())
-    if n <= 50 and len(np.unique(np.abs(d))) == n:
+    if n <= 50 and not ties:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):
             ways[k:] = ways[k:] + ways[:-k]
-        below = ways[: int(w) + 1].sum() / 2.0**n
-        above = ways[int(w) :].sum() / 2.0**n
+        below, above = ways[: int(w) + 1].sum() / 2.0**n, ways[int(w) :].sum() / 2.0**n
         return "ok", float(below), float(min(1.0, 2 * min(below, above)))
-    _, t = np.unique(np.abs(d), return_counts=True)
-    var = n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     z = (w - n * (n + 1) / 4) / math.sqrt(var)
-    less = 0.5 * math.erfc(-z / math.sqrt(2))
-    return "ok", less, min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+    return "ok", 0.5 * math.erfc(-z / math.sqrt(2)), min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+
+
+#: The chance of a Poisson number of mean 1 to be at most k.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def resampled_means(deltas: DataFrame, by: str, key: str, iterations: int, seed: int) -> DataFrame:
+    """by, means: the mean of each resample. A difference is in a resample a Poisson number of times, drawn from its
+    key and the resample's number: tasks add up their own sums, wherever rows lie."""
+
+    def run(batches):
+        for pdf in batches:
+            for group, rows in pdf.groupby("g", dropna=False):
+                sums = np.zeros((2, iterations))
+                for part in range(0, len(rows), 500):
+                    d, k = (rows[c].to_numpy()[part : part + 500] for c in ("delta", "k"))
+                    x = k.astype(np.uint64)[:, None] + np.arange(iterations, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    w = np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
+                    sums += np.stack([w.sum(axis=0), d.astype(float) @ w])
+                yield pd.DataFrame({"g": [group], "sums": [np.stack(sums, axis=1).tolist()]})
+
+    kind = dict(deltas.dtypes)[by]
+    rows = deltas.select(F.col(by).alias("g"), F.col("delta").cast("double").alias("delta"), F.xxhash64(key, F.lit(seed)).alias("k"))
+    cells = rows.mapInPandas(run, f"g {kind}, sums array<array<double>>").select("g", F.posexplode("sums").alias("i", "s"))
+    each = cells.groupBy("g", "i").agg(F.sum(F.col("s")[0]).alias("w"), F.sum(F.col("s")[1]).alias("wd"))
+    return each.groupBy(F.col("g").alias(by)).agg(F.collect_list(ratio("wd", F.nullif("w", F.lit(0.0)))).alias("means"))
+
+
+def resampled_medians(deltas: DataFrame, by: str, iterations: int, seed: int) -> DataFrame:
+    """by, medians: the median of each resample. Its place among the sorted differences is an order statistic of n uniform
+    numbers, so that n tells the places, and the differences at those places are all that is gathered of a group."""
+    counts = deltas.groupBy(by, "delta").agg(F.count("*").alias("_n"))
+    placed = running_sums(counts, [by], "delta", ["_n"])
+
+    def draw(batches):
+        for pdf in batches:
+            lists = []
+            for n in pdf["n"]:
+                rng = np.random.default_rng([seed, int(n)])
+                j = (int(n) + 1) // 2
+                u = rng.beta(j, n - j + 1, iterations)
+                v = u if n % 2 else u + (1 - u) * (1 - rng.random(iterations) ** (1 / (n - j)))
+                lists.append(np.minimum(np.floor(np.stack([u, v], axis=1) * n), n - 1).astype(int).tolist())
+            yield pdf.assign(places=lists)
+
+    kind = dict(deltas.dtypes)[by]
+    places = deltas.groupBy(by).agg(F.count("*").alias("n")).mapInPandas(draw, f"`{by}` {kind}, n bigint, places array<array<bigint>>")
+    lo, hi = (f(F.flatten("places")) for f in (F.array_min, F.array_max))
+    near = rejoined(placed, places.select(by, F.array_distinct(F.flatten("places")).alias("_places"), lo.alias("_lo"), hi.alias("_hi")), [by])
+    near = near.where((F.col("before__n") <= F.col("_hi")) & (F.col("before__n") + F.col("_n") > F.col("_lo")))
+    held = F.filter("_places", lambda p: (p >= F.col("before__n")) & (p < F.col("before__n") + F.col("_n")))
+    table = near.select(by, "delta", F.explode(held).alias("place")).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("place", "delta"))).alias("at"))
+    both = rejoined(places.select(by, "places"), table, [by])
+    return both.select(by, F.transform("places", lambda p: (F.element_at("at", p[0]) + F.element_at("at", p[1])) / 2).alias("medians"))
 
 
 def paired_tests(deltas: DataFrame, by: str, order: str, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """Signed-rank p-values and percentile bootstrap intervals of mean and median of each group of differences.
 
-    One group's differences are one array: a number for each sample, in order of `order`, as the draws
-    depend on it.
+    order: what tells a group's rows apart. No group is gathered: the statistics are aggregates, the resamples of
+    means are summed by tasks, and of those of medians only the places drawn are looked up.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(order)["delta"].to_numpy(dtype=float)
-        d = d[np.isfinite(d)]
-        status, less, two = wilcoxon_p(d)
-        mean, median = np.empty(iterations), np.empty(iterations)
-        rng = np.random.default_rng(seed)
-        for k in range(iterations if len(d) else 0):
-            draw = d[rng.integers(0, len(d), len(d))]
-            mean[k], median[k] = draw.mean(), np.median(draw)
-        ends = [np.percentile(x, q) if len(d) else math.nan for x in (mean, median) for q in (2.5, 97.5)]
-        return pd.DataFrame([[pdf[by].iloc[0], len(d), status, less, two, *ends]], columns=["k", "n", "status", "p_less", "p_two", "mean_low", "mean_high", "median_low", "median_high"])
-
-    out = deltas.select(by, order, "delta").groupBy(by).applyInPandas(run, f"k {dict(deltas.dtypes)[by]}, n bigint, status string, p_less double, p_two double, mean_low double, mean_high double, median_low double, median_high double")
+    d = deltas.where(F.col("delta").isNotNull() & ~F.isnan("delta") & (F.abs("delta") < float("inf"))).select(by, order, F.col("delta").cast("double").alias("delta"))
+    n = d.groupBy(by).agg(F.count("*").alias("n"))
+    rows = rejoined(rejoined(n, signed_ranks(d, [by]), [by], "left"), resampled_means(d, by, order, iterations, seed), [by], "left")
+    rows = rejoined(rows, resampled_medians(d, by, iterations, seed), [by], "left").select(by, "n", F.coalesce("n_nonzero", F.lit(0)).alias("m"), F.coalesce("w_plus", F.lit(0.0)).alias("w"), F.coalesce("ties", F.lit(0.0)).alias("t"), "means", "medians")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for g, n, m, w, t, means, medians in pdf.itertuples(index=False):
+                ends = [float(np.nanpercentile(np.asarray(x, dtype=float), q)) for x in (means, medians) for q in (2.5, 97.5)]
+                out.append([g, n, *wilcoxon_p(int(m), w, t), *ends])
+            yield pd.DataFrame(out, columns=["k", "n", "status", "p_less", "p_two", "mean_low", "mean_high", "median_low", "median_high"])
+
+    out = rows.mapInPandas(run, f"k {dict(deltas.dtypes)[by]}, n bigint, status string, p_less double, p_two double, mean_low double, mean_high double, median_low double, median_high double")
     return out.withColumnRenamed("k", by)
+
+
+def indicator_interval(rows: DataFrame, by: list[str], hit: str, iterations: int = 2000, seed: int = 42) -> DataFrame:
+    """by, n, rate, low, high: percentile bootstrap of a rate. The hits of a resample are a binomial number, so counts are enough."""
+    counts = rows.where(F.col(hit).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("_hits"))
+
+    def run(batches):
+        for pdf in batches:
+            draws = [np.random.default_rng([seed, int(n), int(h)]).binomial(n, h / n, iterations) / n for n, h in zip(pdf["n"], pdf["_hits"], strict=True)]
+            ends = [[float(np.percentile(x, q)) for x in draws] for q in (2.5, 97.5)]
+            yield pdf.assign(rate=pdf["_hits"] / pdf["n"], low=ends[0], high=ends[1]).drop(columns="_hits")
+
+    return counts.mapInPandas(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), "n bigint, rate double, low double, high double"]))

@@ -56,7 +56,7 @@ def paired_delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT region, n_nonzero, {r('wp', 'w_plus')}, {r('wm', 'w_minus')}, {r('(wm - wp) / (wm + wp)', 'effect')} FROM w""")
 def signed_rank_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = metrics.paired_deltas(_samples(spark, sf_dir)).withColumn("delta", F.round("delta", 4))
-    return tidy(stats.signed_ranks(d, ["region"]))
+    return tidy(stats.signed_ranks(d, ["region"]).drop("ties"))
 
 
 @query("paired_tests")
