@@ -93,8 +93,9 @@ def messages(edges: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return nodes.select("sample_id", "idx").join(got, ["sample_id", "idx"], "left").fillna(0.0, ["message"])
 
 
-def submatrix(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Cells (sample_id, i, j, value) at pairs of wanted places, renumbered; missing cells are 0."""
+def submatrix(matrix: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """Cells (sample_id, i, j, value) at pairs of wanted places, renumbered; missing cells are 0, or an error if strict."""
     row, col = (wanted.select("sample_id", F.col("place").alias(c), F.col("pos").alias(f"new_{c}")) for c in "ij")
+    lost = F.raise_error(F.lit("no cell for a wanted place")).cast("double") if strict else F.lit(0.0)
     grid = row.join(col, "sample_id")
-    return grid.join(matrix, ["sample_id", "i", "j"], "left").select("sample_id", F.col("new_i").alias("i"), F.col("new_j").alias("j"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return grid.join(matrix, ["sample_id", "i", "j"], "left").select("sample_id", F.col("new_i").alias("i"), F.col("new_j").alias("j"), F.coalesce("value", lost).alias("value"))

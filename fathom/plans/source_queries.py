@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import clean
-from fathom.operators import regions
+from fathom.operators import intervals, regions
 from fathom.registry import query
 from fathom.sources import readers, sinks
 from fathom.streaming import incremental
@@ -44,19 +44,19 @@ def annotation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("range_overlap", """WITH f AS (SELECT p_partkey, p_size AS lo, p_size + p_partkey % 7 AS hi FROM part), g AS (SELECT * FROM (VALUES (1, 10, 100), (15, 30, 200), (35, 60, 300)) t(a, b, base))
  SELECT p_partkey, (greatest(lo, a) - a + base)::BIGINT AS first, (least(hi, b) - a + base)::BIGINT AS last FROM f JOIN g ON lo <= b AND hi >= a""")
 def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature ranges cut to aligned stretches and shifted; the stretches are a few literals."""
+    """Feature ranges cut to aligned stretches and shifted."""
     f = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("lo"), (F.col("p_size") + F.col("p_partkey") % 7).alias("hi"))
-    g = spark.createDataFrame([(1, 10, 100), (15, 30, 200), (35, 60, 300)], "a int, b int, base int")
-    rows = f.join(F.broadcast(g), (F.col("lo") <= F.col("b")) & (F.col("hi") >= F.col("a")))
+    g = spark.createDataFrame([(1, 10, 100), (15, 30, 200), (35, 60, 300)], "start int, end int, base int")
+    rows = intervals.overlaps(f, g, 16).withColumnsRenamed({"start": "a", "end": "b"})
     return rows.select("p_partkey", (F.greatest("lo", "a") - F.col("a") + F.col("base")).cast("bigint").alias("first"), (F.least("hi", "b") - F.col("a") + F.col("base")).cast("bigint").alias("last"))
 
 
 @query("donor_candidates", """WITH c AS (SELECT s.s_suppkey, n.n_nationkey, (s.s_nationkey % 5 = n.n_regionkey)::BIGINT AS same, (s.s_suppkey * 7 + n.n_nationkey * 3) % 100 AS identity FROM supplier s JOIN nation n ON s.s_nationkey <> n.n_nationkey),
  k AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY same DESC, identity DESC, s_suppkey) AS rank FROM c WHERE identity >= 30) SELECT n_nationkey, s_suppkey, same, identity, rank FROM k WHERE rank <= 3""")
 def donor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best donors of each target that aren't its own; the targets are 25."""
+    """The best donors of each target that aren't its own; the targets are few, and that is checked."""
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
-    rows = s.join(F.broadcast(n), F.col("s_nationkey") != F.col("n_nationkey")).select("s_suppkey", "n_nationkey", (F.col("s_nationkey") % 5 == F.col("n_regionkey")).cast("bigint").alias("same"), ((F.col("s_suppkey") * 7 + F.col("n_nationkey") * 3) % 100).alias("identity"))
+    rows = intervals.with_few(s, n, F.col("s_nationkey") != F.col("n_nationkey")).select("s_suppkey", "n_nationkey", (F.col("s_nationkey") % 5 == F.col("n_regionkey")).cast("bigint").alias("same"), ((F.col("s_suppkey") * 7 + F.col("n_nationkey") * 3) % 100).alias("identity"))
     w = Window.partitionBy("n_nationkey").orderBy(F.desc("same"), F.desc("identity"), "s_suppkey")
     return rows.where("identity >= 30").withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 3").select("n_nationkey", "s_suppkey", "same", "identity", "rank")
 

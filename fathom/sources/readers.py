@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AMINO_ACIDS = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
 
 
-def table(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str] = (), provenance: str | None = None) -> DataFrame:
-    """A delimited table with a header, all strings; tabs for .tsv and .tab. Several files are united by name."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def table(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str] = (), provenance: str | None = None, missing_ok: bool = False) -> DataFrame:
+    """A delimited table with a header, all strings; tabs for .tsv and .tab. Several files are united by name.
+
+    missing_ok: a file that isn't there has no rows; if none is, the table has the required columns only.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if missing_ok:
+        paths = [p for p in paths if exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in required) or "value string")
     out = None
     for p in paths:
         one = spark.read.csv(p, header=True, sep="\t" if p.endswith((".tsv", ".tab")) else ",", inferSchema=False, multiLine=True, escape='"')
@@ -48,15 +64,36 @@ def json_objects(rows: DataFrame, column: str, schema: str, strict: bool = False
     return rows.withColumn("object", got)
 
 
-def matrix_cells(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, i, j, value of a square JSON matrix, bare or in an object (or a list of one) under either usual name."""
+def matrix_cells(rows: DataFrame, key: str, column: str, strict: bool = False) -> DataFrame:
+    """key, i, j, value of a square JSON matrix, bare or in an object (or a list of one) under either usual name.
+
+    What isn't a square matrix has no cells, or is an error if strict.
+    """
     kinds = ("$.predicted_aligned_error", "$.pae", "$[0].predicted_aligned_error", "$[0].pae")
     text = F.coalesce(*(F.get_json_object(column, k) for k in kinds), F.col(column))
     m = F.from_json(text, "array<array<double>>")
-    rows = rows.select(key, F.posexplode(m).alias("i", "row"))
+    square = F.coalesce(~F.exists(m, lambda r: r.isNull() | (F.size(r) != F.size(m))) & (F.size(m) > 0), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("no square matrix for "), F.col(key).cast("string"))).cast("array<array<double>>") if strict else F.lit(None).cast("array<array<double>>")
+    rows = rows.select(key, F.posexplode(F.when(square, m).otherwise(wrong)).alias("i", "row"))
     return rows.select(key, F.col("i").cast("bigint").alias("i"), F.posexplode("row").alias("j", "value")).select(key, "i", F.col("j").cast("bigint").alias("j"), "value")
 
 
+def array_cells(spark: SparkSession, path: str) -> DataFrame:
+    """path, i, j, value of square numpy arrays in files; a file is one matrix, so that a task holds it whole."""
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                m = np.load(io.BytesIO(content), allow_pickle=False)
+                if m.ndim != 2 or m.shape[0] != m.shape[1]:
+                    raise ValueError(f"no square matrix in {name}")
+                i, j = np.indices(m.shape)
+                yield pd.DataFrame({"path": name, "i": i.ravel(), "j": j.ravel(), "value": m.ravel().astype(float)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, i bigint, j bigint, value double")
+
+
 def atoms(lines_of: DataFrame, key: str) -> DataFrame:
     """key, line_no and fields of fixed-width atom lines; coordinates fall back to blank-separated fields."""
     v = F.col("value")
