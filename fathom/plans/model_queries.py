@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions.vector import norm, vector
-from fathom.operators import errors, features, geometry, graphs, metrics, reports, spatial
+from fathom.operators import docking, entities, errors, features, geometry, graphs, metrics, ranking, reports, spatial, templates
 from fathom.registry import query
 
 from .spatial_queries import _PAIRS, points
-from .virtual import SQL_BRIDGE, SQL_MANIFEST, SQL_REGION, SQL_RES, SQL_ROWS, bridge, manifest, predicted, primary, r, read, tidy
+from .virtual import SQL_MANIFEST, SQL_POSES, SQL_REGION, SQL_RES, SQL_ROWS, TIES, manifest, poses, predicted, primary, r, read, tidy
 
 _T, _P, _E = "tx*tx+ty*ty+tz*tz", "px*px+py*py+pz*pz", "(px-tx)*(px-tx)+(py-ty)*(py-ty)+(pz-tz)*(pz-tz)"
 _LETTERS = "ACDEFGHIKLMNPQRSTVWY"
@@ -202,3 +201,89 @@ def tier_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("path"), F.col("user_id").alias("folder"), F.col("ts").alias("modified"), F.col("event_id").alias("name"))
     return reports.latest_run(e, ["event_type"]).withColumnRenamed("path", "latest")
+
+
+_PAIR = "(a.s_suppkey * 37 + b.s_suppkey * 11) % 101 / 100.0"
+_TEMPLATES = f"""pr AS (SELECT a.s_suppkey AS target, b.s_suppkey AS donor, {_PAIR} AS identity, (a.s_suppkey + b.s_suppkey) % 10 / 10.0 AS coverage, (a.s_suppkey * b.s_suppkey) % 50 AS fit_residues, a.s_nationkey = b.s_nationkey AS same FROM supplier a JOIN supplier b ON a.s_suppkey % 5 = b.s_suppkey % 5 WHERE a.s_suppkey <> b.s_suppkey),
+ k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY identity DESC, coverage DESC, fit_residues DESC, donor DESC) AS rank FROM pr WHERE identity >= 0.4 AND coverage >= 0.3 AND NOT same)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as targets and donors within a remainder, with made-up identities."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 5).alias("k"))
+    a, b = s.select("k", F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("na")), s.select("k", F.col("s_suppkey").alias("donor"), F.col("s_nationkey").alias("nb"))
+    t, d = F.col("target"), F.col("donor")
+    pairs = a.join(b, "k").select("target", "donor", ((t * 37 + d * 11) % 101 / 100.0).alias("identity"), ((t + d) % 10 / 10.0).alias("coverage"), (t * d % 50).alias("fit_residues"), (F.col("na") == F.col("nb")).alias("same_protein"))
+    return templates.candidates(pairs, 0.4, 0.3)
+
+
+@query("template_choices", f"""WITH {_TEMPLATES}, g AS (SELECT target, count(*) AS candidate_count, max(donor) FILTER (rank = 1) AS nearest_donor, {r('max(identity) FILTER (rank = 1)', 'nearest_identity')}, string_agg(donor::VARCHAR, ';' ORDER BY rank) FILTER (rank <= 3) AS average_donors FROM k GROUP BY target)
+ SELECT s_suppkey AS target, coalesce(candidate_count, 0) AS candidate_count, nearest_donor, nearest_identity, coalesce(average_donors, '') AS average_donors FROM supplier LEFT JOIN g ON target = s_suppkey""")
+def template_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"))
+    return tidy(templates.selection(targets, _candidates(spark, sf_dir), 3).select("target", "candidate_count", "nearest_donor", "nearest_identity", "average_donors"))
+
+
+@query("template_predictions", f"""WITH {_TEMPLATES}, v AS (SELECT donor, target, rank, i AS idx, CASE WHEN (donor + i) % 4 = 0 THEN 0 ELSE (donor % 7 + i)::DOUBLE END AS p FROM k, range(3) t(i) WHERE rank <= 3),
+ g AS (SELECT target, idx, max(p) FILTER (rank = 1) AS near, sum(p) / greatest(1, count(*) FILTER (p <> 0)) AS mean FROM v GROUP BY ALL) SELECT s_suppkey AS target, i AS idx, {r('coalesce(near, 0)', 'nx')}, {r('coalesce(mean, 0)', 'mx')} FROM supplier CROSS JOIN range(3) t(i) LEFT JOIN g ON target = s_suppkey AND idx = i""")
+def template_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest and mean transferred vectors of three residues of each target."""
+    ranked = _candidates(spark, sf_dir)
+    three = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    p = F.when((F.col("donor") + F.col("idx")) % 4 == 0, 0.0).otherwise((F.col("donor") % 7 + F.col("idx")).cast("double"))
+    moved = ranked.select("target", "donor", three.alias("idx")).select("target", "donor", F.col("idx").cast("bigint").alias("idx"), p.alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
+    residues = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), three.alias("idx")).withColumn("idx", F.col("idx").cast("bigint"))
+    return tidy(templates.predictions(residues, moved, ranked, 3).select("target", "idx", "nx", "mx"))
+
+
+@query("docking_inputs", """WITH w AS (SELECT c_custkey AS id FROM customer UNION ALL SELECT -1), o AS (SELECT o_custkey AS id, count(*) AS n, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'O') AS o FROM orders GROUP BY 1),
+ k AS (SELECT w.id, c.c_custkey IS NULL AS lost, o.n, f, o.o, c.c_mktsegment FROM w LEFT JOIN customer c ON c.c_custkey = w.id LEFT JOIN o ON o.id = w.id)
+ SELECT id AS pair_id, CASE WHEN lost THEN 'pair_id not in manifest' WHEN n IS NULL OR n < 3 THEN 'no selected ligand instance' WHEN NOT (f AND o) THEN 'missing pair or prediction file' WHEN n % 5 = 0 THEN 'ligand conversion failed' END AS reason,
+ CASE WHEN lost OR coalesce(n, 0) < 3 OR NOT (f AND o) OR n % 5 = 0 THEN 'skipped' ELSE 'included' END AS status, CASE WHEN id % 3 = 0 AND NOT lost THEN c_mktsegment ELSE 'A' END AS chain FROM k""")
+def docking_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    ids = c.select(F.col("c_custkey").alias("pair_id"))
+    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("pair_id")).agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "F").alias("has_pair"), F.bool_or(F.col("o_orderstatus") == "O").alias("has_prediction"))
+    table = c.select(F.col("c_custkey").alias("pair_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(" ").alias("chain"), F.lit(None).cast("string").alias("pdb_chain"))
+    ligands = o.select("pair_id", F.when(F.col("n") >= 3, "L").alias("ligand"), (F.col("n") % 5 != 0).alias("converted"))
+    out = docking.inputs(ids.unionByName(spark.range(1).select((F.col("id") - 1).alias("pair_id"))), table, ligands, o.select("pair_id", "has_pair", "has_prediction"))
+    return out.select("pair_id", "reason", "status", "chain")
+
+
+@query("docking_summary", f"""WITH {SQL_POSES}, b AS (SELECT target, structure, score FROM rk WHERE position = 1), t AS (SELECT target, max(score) FILTER (structure = 'A') AS a, max(score) FILTER (structure = 'R') AS r FROM b GROUP BY target), d AS (SELECT a, r, r - a AS delta FROM t WHERE a IS NOT NULL AND r IS NOT NULL),
+ n AS (SELECT structure, target, coalesce(bool_or(rmsd < 2 AND position <= 2), false)::INT AS hit FROM rk GROUP BY ALL)
+ SELECT structure, 'topn' AS section, 'top_n_2' AS metric, {r('avg(hit)', 'value')} FROM n GROUP BY structure UNION ALL SELECT structure, 'curve', 'threshold_2.0', round(avg((rmsd < 2)::INT)::DOUBLE, 6) FROM rk WHERE position = 1 GROUP BY structure
+ UNION ALL SELECT 'delta', 'delta', 'median_delta', round(median(delta)::DOUBLE, 6) FROM d UNION ALL SELECT 'delta', 'delta', 'n_better', count(*) FILTER (delta < 0)::DOUBLE FROM d UNION ALL SELECT 'delta', 'correlation', 'pearson', round(corr(a, r), 6) FROM d""")
+def docking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ranking.ranked(poses(spark, sf_dir), ["target", "structure"], TIES)
+    out = docking.summary(p, "target", "structure", ("A", "R"), (1, 2, 5))
+    shown = (("topn", "top_n_2"), ("curve", "threshold_2.0"), ("delta", "median_delta"), ("delta", "n_better"), ("correlation", "pearson"))
+    test = F.lit(False)
+    for s, m in shown:
+        test = test | ((F.col("section") == s) & (F.col("metric") == m))
+    return tidy(out.where(test))
+
+
+@query("target_correlations", f"""WITH {SQL_POSES}, q AS (SELECT target, score, rmsd, rank() OVER (PARTITION BY target ORDER BY score) + (count(*) OVER (PARTITION BY target, score) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY target ORDER BY rmsd) + (count(*) OVER (PARTITION BY target, rmsd) - 1) / 2.0 AS rr FROM rk)
+ SELECT target, count(*) AS n_poses, CASE WHEN stddev_pop(rs) > 1e-9 AND stddev_pop(rr) > 1e-9 THEN round(corr(rs, rr), 4) + 0.0 END AS spearman FROM q GROUP BY target""")
+def target_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ranking.ranked(poses(spark, sf_dir), ["target", "structure"], TIES)
+    return tidy(docking.target_correlations(p, ["target"], (1, 5)).select("target", "n_poses", "spearman"), 4)
+
+
+@query("entity_rows", """WITH l AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(upper(l_shipmode)))) AS modes, max(l_discount) AS coverage, min(l_quantity) FILTER (l_quantity > 5) AS best, arg_min(l_returnflag, l_linenumber) AS chain FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'o' ELSE ' f' END AS l_shipmode FROM lineitem) GROUP BY 1)
+ SELECT lower('E' || o_orderkey) || '_1' AS pair_id, coverage, best AS resolution, array_to_string(list_sort(list_distinct(list_transform(modes, lambda x: trim(x)))), ';') AS ligands, 'tbdt' AS family FROM orders JOIN l ON k = o_orderkey""")
+def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").withColumn("mode", F.when(F.col("l_linestatus") == "O", "o").otherwise(" f")).groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(F.col("l_discount").alias("coverage"))).alias("alignments"), F.collect_list(F.when(F.col("l_quantity") > 5, F.col("l_quantity")).otherwise(0)).alias("resolutions"), F.collect_list("mode").alias("ligands"), F.collect_list("l_returnflag").alias("chains"))
+    key = F.concat(F.lit("E"), F.col("l_orderkey").cast("string")).alias("entry")
+    each = li.select(key, F.lit("1").alias("entity"), F.array(F.lit("")).alias("accessions"), "alignments", "chains", F.lit(1).alias("length"))
+    entry = li.select(key, "resolutions", "ligands", F.lit(None).cast("string").alias("method"))
+    return entities.entity_rows(each, entry, {"family": "tbdt"}).select("pair_id", "coverage", "resolution", "ligands", "family")
+
+
+@query("localisation_rows", "SELECT event_type, user_id, CASE event_type WHEN 'click' THEN 2 ELSE 1 END::BIGINT AS method_order, (CASE user_id % 3 WHEN 0 THEN 1 ELSE 2 END)::BIGINT AS region_order, event_id FROM events WHERE event_type IN ('view', 'click') AND user_id % 3 < 2 AND event_id % 5 IN (1, 2)")
+def localisation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("region"), (F.col("event_id") % 5).alias("seed"), "user_id", "event_id")
+    out = entities.localisation(e, ["view", "click"], ["r0", "r1"], entities.checked_list("1, 2", numbers=True, least=0))
+    return out.select(F.col("method").alias("event_type"), "user_id", "method_order", "region_order", "event_id")
