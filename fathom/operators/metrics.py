@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
@@ -54,6 +54,11 @@ def pooled_and_by_sample(rows: DataFrame, moving: float = 1.0) -> DataFrame:
     return out.withColumn("scope", F.when(F.col("pooled") == 1, "pooled").otherwise("sample")).drop("pooled")
 
 
+def with_core(rows: DataFrame, by: list[str], core: str = "barrel_core", column: str = "error_rms", name: str = "core_rms") -> DataFrame:
+    """rows (one for each region of a group) with the core region's value on every row of the group; null without a core."""
+    return rows.withColumn(name, F.max(F.when(F.col("region") == core, F.col(column))).over(Window.partitionBy(*by)))
+
+
 def summary_by_region(samples: DataFrame) -> DataFrame:
     """Over the samples of each region; sample_count counts all, the rest what is finite."""
     out = samples.groupBy("region").agg(

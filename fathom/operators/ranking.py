@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions.clean import ratio
 
 from .ranges import with_quantiles
-from .stats import pearson_of, wilson
+from .stats import indicator_interval, pearson_of, wilson
 
 
 def ranked(poses: DataFrame, target: Sequence[str], ties: Sequence[str], higher_better: bool = False) -> DataFrame:
@@ -44,6 +44,11 @@ def top1_summary(ranked_poses: DataFrame, by: list[str], threshold: float = 2.0)
     return with_quantiles(out, top, by, "rmsd", {"median_rmsd": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95})
 
 
+def top1_interval(ranked_poses: DataFrame, by: list[str], threshold: float = 2.0, iterations: int = 2000, seed: int = 42) -> DataFrame:
+    """Bootstrap interval of the rate of targets whose first pose is a success."""
+    return indicator_interval(ranked_poses.where("position = 1 and rmsd is not null").withColumn("hit", F.col("rmsd") < threshold), by, "hit", iterations, seed)
+
+
 def topn_success(ranked_poses: DataFrame, target: list[str], by: list[str], levels: Sequence[int], threshold: float = 2.0) -> DataFrame:
     """Share of all targets with a hit (and a valid hit) among their first n poses."""
     hit = (F.col("rmsd") < threshold) & (F.col("position") <= F.col("top_n"))

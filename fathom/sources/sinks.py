@@ -38,6 +38,12 @@ def hashes(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
     return expected.join(found, "path", "left").withColumn("exists", F.col("bytes").isNotNull())
 
 
+def displaced(atoms: DataFrame, shifts: DataFrame, key: list[str]) -> DataFrame:
+    """atoms with every atom of a residue moved by its residue's dx, dy, dz; residues without a shift stay."""
+    moved = atoms.join(shifts.select(*key, "dx", "dy", "dz"), key, "left")
+    return moved.withColumns({c: F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) for c in "xyz"}).drop("dx", "dy", "dz")
+
+
 def atom_line(serial: Column, atom: Column, resname: Column, chain: Column, resseq: Column, x: Column, y: Column, z: Column) -> Column:
     return F.format_string("ATOM  %5d  %-3s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", serial, atom, resname, chain, resseq, x, y, z, F.lit(1.0), F.lit(0.0))
 
