@@ -37,6 +37,38 @@ def with_fallback(targets: DataFrame, means: DataFrame) -> DataFrame:
     return out.select(*targets.columns, *(F.coalesce(picked[f"m{c}"], F.lit(0.0)).alias(f"p{c}") for c in "xyz"), F.coalesce(picked["level"], F.lit("zero")).alias("level"))
 
 
+def targeted_shift(targets: DataFrame, fit: DataFrame, region: str) -> DataFrame:
+    """targets with px, py, pz: in one region the mean of the fitted samples' centroid shifts, of the most special group
+    that has one; zeros elsewhere. Both have sample_id, region, family, state; fit also tx, ty, tz."""
+    means = group_means(fit.where(F.col("region") == region), by_sample=True)
+    moved = with_fallback(targets.where(F.col("region") == region), means)
+    still = targets.where(F.col("region") != region)
+    return moved.unionByName(still, allowMissingColumns=True).fillna(0.0, ["px", "py", "pz"])
+
+
+def calibrated_scales(validation: DataFrame, regions: Sequence[str], overrides: dict[str, float] | None = None, least_residues: int = 3) -> dict[str, float]:
+    """A scale for each region: fitted on the validation rows (region, tx to tz, px to pz), 1 where it can't be, or what overrides says.
+
+    A row for each region reaches the driver.
+    """
+    from .metrics import fitted_scale
+
+    got = {r.region: float(r.scale) for r in fitted_scale(validation.where(F.col("region").isin(*regions)), ["region"], least_residues=least_residues).collect()}
+    return {name: (overrides or {}).get(name, got.get(name, 1.0)) for name in regions}
+
+
+def one_hot(rows: DataFrame, fit: DataFrame, column: str, most: int = 1000) -> tuple[DataFrame, list[str]]:
+    """rows with a 0 or 1 column for each value that the fitted rows have, and the names; a value they lack has zeros only.
+
+    More than `most` values are an error, as each is a column.
+    """
+    values = sorted(r[0] for r in fit.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    names = [f"{column}={v}" for v in values]
+    return rows.select("*", *(F.coalesce((F.col(column).cast("string") == v).cast("double"), F.lit(0.0)).alias(n) for v, n in zip(values, names, strict=True))), names
+
+
 def blend(sources: dict[str, tuple[DataFrame, float]], bridge: DataFrame, order: Sequence[str]) -> DataFrame:
     """Each residue's prediction from the source of its first region in order, scaled; sources: region to (rows, scale)."""
     owner = by_priority(bridge, order)

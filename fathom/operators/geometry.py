@@ -290,6 +290,57 @@ def frames(points: DataFrame) -> DataFrame:
     return moments(points).mapInPandas(run, "sample_id bigint, n bigint, cx double, cy double, cz double, ax double, ay double, az double")
 
 
+_AXES = [f"e{i}{j}" for i in range(3) for j in range(3)]
+
+
+def axes(points: DataFrame) -> DataFrame:
+    """sample_id, centre and three right-handed axes (e00 to e22, an axis in each row) of each sample, by falling variance.
+
+    An axis points where its largest component is positive; the third is the product of the others.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            v = pdf[["vxx", "vxy", "vxz", "vxy", "vyy", "vyz", "vxz", "vyz", "vzz"]].to_numpy(float).reshape(-1, 3, 3)
+            _, e = np.linalg.eigh(v)
+            e = e[:, :, ::-1].transpose(0, 2, 1)[:, :2]
+            e = e * np.sign(np.take_along_axis(e, np.abs(e).argmax(axis=2)[:, :, None], axis=2))
+            e = np.concatenate([e, np.cross(e[:, 0], e[:, 1])[:, None]], axis=1).reshape(-1, 9)
+            yield pdf[["sample_id", "cx", "cy", "cz"]].assign(**{c: e[:, k] for k, c in enumerate(_AXES)})
+
+    kind = points.schema["sample_id"].dataType.simpleString()
+    return moments(points).mapInPandas(run, f"sample_id {kind}, cx double, cy double, cz double, " + ", ".join(f"{c} double" for c in _AXES))
+
+
+def in_axes(rows: DataFrame, frame: DataFrame, xyz: tuple[str, str, str], vectors: bool = False) -> DataFrame:
+    """rows with their points (or vectors) in each sample's axes."""
+    both = rows.join(frame, "sample_id")
+    at = [F.col(c) - (0.0 if vectors else F.col(f"c{o}")) for c, o in zip(xyz, "xyz", strict=True)]
+    return both.withColumns({c: sum((F.col(f"e{i}{j}") * at[j] for j in range(3)), F.lit(0.0)) for i, c in enumerate(xyz)}).select(*rows.columns)
+
+
+def from_axes(rows: DataFrame, frame: DataFrame, xyz: tuple[str, str, str], vectors: bool = False) -> DataFrame:
+    """The inverse of in_axes."""
+    both = rows.join(frame, "sample_id")
+    return both.withColumns({c: sum((F.col(f"e{i}{j}") * F.col(xyz[i]) for i in range(3)), F.lit(0.0) if vectors else F.col(f"c{'xyz'[j]}")) for j, c in enumerate(xyz)}).select(*rows.columns)
+
+
+def aligned_scores(rows: DataFrame) -> DataFrame:
+    """key, idx, score of each place of `part`, from `scores` of the places of `whole` that it is aligned with; the median of the scores elsewhere."""
+
+    def run(batches):
+        for pdf in batches:
+            for key, whole, part, scores in zip(pdf["key"], pdf["whole"], pdf["part"], pdf["scores"], strict=True):
+                x = np.full(len(part), float(np.median(scores)) if len(scores) else 0.0)
+                for i, j in align(whole, part) if whole and part else []:
+                    if i < len(scores):
+                        x[j] = scores[i]
+                yield pd.DataFrame({"key": key, "idx": np.arange(len(part)), "score": x})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", F.coalesce("whole", F.lit("")).alias("whole"), F.coalesce("part", F.lit("")).alias("part"), F.coalesce("scores", F.array().cast("array<double>")).alias("scores")).mapInPandas(run, f"key {kind}, idx bigint, score double")
+
+
 def mobility(points: DataFrame, radius: float, modes: int = 20) -> DataFrame:
     """sample_id, idx, gnm, anm: squared amplitudes of the lowest modes above 1e-8, over their eigenvalues."""
 

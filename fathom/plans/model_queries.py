@@ -287,3 +287,32 @@ def localisation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("region"), (F.col("event_id") % 5).alias("seed"), "user_id", "event_id")
     out = entities.localisation(e, ["view", "click"], ["r0", "r1"], entities.checked_list("1, 2", numbers=True, least=0))
     return out.select(F.col("method").alias("event_type"), "user_id", "method_order", "region_order", "event_id")
+
+
+_HALF = f"{SQL_ROWS}, half AS (SELECT sample_id, idx, px, py, pz FROM both_rows WHERE sample_id % 2 = 0 OR idx < 10)"
+
+
+@query("joined_predictions", f"WITH {_HALF} SELECT r.sample_id, count(*) AS n, count(h.px) AS n_predicted, {r('sum(coalesce(h.px, 0))', 'sum_px')} FROM residue r LEFT JOIN half h USING (sample_id, idx) GROUP BY r.sample_id")
+def joined_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of some residues; the others are predicted not to move."""
+    from .virtual import residues
+
+    half = predicted(spark, sf_dir).where("sample_id % 2 = 0 or idx < 10").select("sample_id", "idx", "px", "py", "pz")
+    rows = metrics.joined_predictions(residues(spark, sf_dir), half)
+    n = half.groupBy("sample_id").agg(F.count("*").alias("n_predicted"))
+    out = rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("px").alias("sum_px")).join(n, "sample_id", "left").fillna(0, ["n_predicted"])
+    return tidy(out)
+
+
+@query("targeted_shift", f"""WITH {SQL_RES}, b AS (SELECT *, {SQL_REGION} AS region FROM residue), c AS (SELECT sample_id, family, state, avg(tx) AS tx FROM b WHERE region = 'plug' AND sample_id % 4 <> 0 GROUP BY ALL),
+ fs AS (SELECT family, state, avg(tx) AS m FROM c GROUP BY ALL), f AS (SELECT family, avg(tx) AS m FROM c GROUP BY ALL), s AS (SELECT state, avg(tx) AS m FROM c GROUP BY ALL), g AS (SELECT avg(tx) AS m FROM c)
+ SELECT b.sample_id, b.idx, {r("CASE WHEN region = 'plug' THEN coalesce(fs.m, f.m, s.m, g.m, 0) ELSE 0 END", 'px')} FROM b LEFT JOIN fs ON fs.family = b.family AND fs.state = b.state LEFT JOIN f ON f.family = b.family LEFT JOIN s ON s.state = b.state CROSS JOIN g WHERE b.sample_id % 4 = 0""")
+def targeted_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plug of held-out samples moved by the mean of other samples' plugs."""
+    from fathom.operators import baselines
+
+    from .virtual import residues
+
+    rows = residues(spark, sf_dir).withColumn("region", primary(F.col("idx")))
+    out = baselines.targeted_shift(rows.where("sample_id % 4 = 0").drop("tx", "ty", "tz"), rows.where("sample_id % 4 <> 0"), "plug")
+    return tidy(out.select("sample_id", "idx", "px"))

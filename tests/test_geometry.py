@@ -138,3 +138,23 @@ def test_half_sphere_at_the_ends(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 1.0, 1.0, 0.0), (2, 0, 5.0, 0.0, 0.0), (3, 0, 0.0, 0.0, 0.0), (3, 1, 0.0, 0.0, 0.0)], "sample_id long, idx long, x double, y double, z double")
     got = {(r.sample_id, r.idx): (r.up, r.down) for r in spatial.half_sphere(df, 3.0).collect()}
     assert got == {(1, 0): (2, 0), (1, 1): (1, 1), (1, 2): (0, 2), (2, 0): (0, 0), (3, 0): (1, 0), (3, 1): (1, 0)}
+
+
+def test_axes_and_back(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, k, *map(float, p)) for s in range(4) for k, p in enumerate(rng.normal(0, 1, (9, 3)) * [5, 2, 1] + 7)]
+    df = spark.createDataFrame(rows, "sample_id long, idx long, x double, y double, z double")
+    frame = geometry.axes(df)
+    inside = geometry.in_axes(df, frame, ("x", "y", "z"))
+    m = inside.groupBy("sample_id").agg(F.avg("x").alias("a"), F.var_pop("x").alias("v0"), F.var_pop("y").alias("v1"), F.var_pop("z").alias("v2"), F.covar_pop("x", "y").alias("c")).collect()
+    assert len(m) == 4 and all(abs(r.a) < 1e-9 and r.v0 >= r.v1 >= r.v2 and abs(r.c) < 1e-9 for r in m)
+    back = {(r.sample_id, r.idx): (r.x, r.y, r.z) for r in geometry.from_axes(inside, frame, ("x", "y", "z")).collect()}
+    assert all(np.allclose(back[s, k], p) for s, k, *p in rows)
+    turned = geometry.from_axes(geometry.in_axes(df, frame, ("x", "y", "z"), True), frame, ("x", "y", "z"), True)
+    assert all(np.allclose((r.x, r.y, r.z), dict(((s, k), p) for s, k, *p in rows)[r.sample_id, r.idx]) for r in turned.collect())
+
+
+def test_scores_by_alignment(spark):
+    rows = spark.createDataFrame([(1, "ACDEFGH", "CDEGH", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 9.0]), (2, None, "AC", None), (3, "AAAA", "", [1.0])], "key int, whole string, part string, scores array<double>")
+    got = {(r.key, r.idx): r.score for r in geometry.aligned_scores(rows).collect()}
+    assert got[1, 0] == 2.0 and got[1, 1] == 3.0 and got[1, 4] == 9.0 and got[2, 0] == 0.0 and not any(k == 3 for k, _ in got)

@@ -85,3 +85,15 @@ def test_caps_and_latest(spark):
     assert sorted(r.k for r in reports.first_in_tiers(rows, "tier", {"a": 2, "b": 1}, ["k"], 2).collect()) == [0, 1]
     runs = spark.createDataFrame([("m", "r1", 9, "z", "p1"), ("m", "r2", 1, "a", "p2"), ("m", "r2", 1, "b", "p3")], "model string, folder string, modified int, name string, path string")
     assert reports.latest_run(runs, ["model"]).first().path == "p3"
+
+
+def test_one_hots_and_scales(spark):
+    from fathom.operators import baselines
+
+    fit = spark.createDataFrame([("a",), ("b",), (None,)], "f string")
+    rows, names = baselines.one_hot(spark.createDataFrame([("a",), ("c",), (None,)], "f string"), fit, "f")
+    assert names == ["f=a", "f=b"] and [tuple(r)[1:] for r in rows.collect()] == [(1, 0), (0, 0), (0, 0)]
+    with pytest.raises(ValueError):
+        baselines.one_hot(fit, fit, "f", most=1)
+    val = spark.createDataFrame([("plug", 2.0, 0.0, 0.0, 1.0, 0.0, 0.0)] * 3 + [("box", 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "region string, tx double, ty double, tz double, px double, py double, pz double")
+    assert baselines.calibrated_scales(val, ["plug", "box", "loop"], {"loop": 0.5}) == {"plug": 2.0, "box": 1.0, "loop": 0.5}
