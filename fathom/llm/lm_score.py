@@ -19,7 +19,7 @@ token of a text is dealt to the task that owns its shard, by a hash of w (of a t
 also of v), with the number of the text and 40 bits of the hash of v. That task enters its shard's n-grams
 of training texts in a filter, and scores all tokens dealt to it by probing that. P(w | v)'s numerator needs
 w and (v, w), which are in one shard, and the denominators of a text are those of its own tokens. No n-gram
-is left out, and results don't depend on HOT or TASK_TOKENS but for false positives, 2**-24 a probe.
+is left out, and results don't depend on HOT or TASK_TOKENS but for false positives, about 2**-24 an entry.
 
 The base score is exact: it takes the counts of tokens themselves.
 
@@ -41,7 +41,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Words, chunks, crc_mod, cut_lineage, mix, steady, table, texts, unused
 
-PROBES, PRIOR = 24, 100.0
+#: Bits of a filter for each entry; they make false positives about as rare as 24 independent bits do.
+ENTRY_BITS, PRIOR = 64, 100.0
 #: Bounds of the tokens, and of the pairs, that are broadcast; tokens of a shard.
 HOT, TASK_TOKENS = 100_000, 2_500_000
 #: Tokens that a task gathers before it deals them out.
@@ -49,44 +50,48 @@ FLUSH = 700_000
 _U = np.uint64
 _END = 0x0E0D0C0B0A090807
 _CONTEXT = 24  # a context is known by the upper 40 bits of its token's hash, a shard by the lower 24
+_MULTIPLIERS = mix(np.arange(1, 9, dtype=np.uint64)) | _U(1)
 _SUM = np.dtype([("uid", "i8"), ("known", "u4"), ("base", "f8"), ("score", "f4")])
 
 
 class Filter:
-    """Counts of keys, as memberships of (key, number of digits so far) and (key, place of a digit)."""
+    """Counts of keys, as memberships of (key, number of digits so far) and (key, place of a digit).
+
+    An entry has 24 bits in one block of 512 bits, three in each of eight words.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         digits = np.frexp(counts.astype(np.float64))[1].astype(np.int64)
-        entries = digits.sum() + np.bitwise_count(counts.astype(_U)).sum(dtype=np.int64) - len(keys)
-        self.bits = -(-max(64, int(entries * PROBES / np.log(2))) // 64) * 64
-        self.data = np.zeros(self.bits // 8, dtype=np.uint8)
+        found = [np.zeros(0, dtype=np.uint64)]
         for j in range(1, int(digits.max(initial=0)) + 1):
-            self._enter(keys[digits >= j], j)
-            self._enter(keys[(digits > j) & (counts >> (j - 1) & 1 == 1)], -j)
-
-    def _start(self, keys: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray]:
-        a = mix(keys ^ _U(entry * 0x9E3779B97F4A7C15 % 2**64))
-        return a, mix(a) | _U(1)
-
-    def _place(self, a: np.ndarray) -> np.ndarray:
-        return ((a >> _U(32)) * _U(self.bits) >> _U(32)).astype(np.int64) if self.bits < 1 << 32 else (a % _U(self.bits)).astype(np.int64)
-
-    def _enter(self, keys: np.ndarray, entry: int) -> None:
-        a, step = self._start(keys, entry)
-        for _ in range(PROBES if len(keys) else 0):
-            at = self._place(a)
-            np.bitwise_or.at(self.data, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-            a = a + step
+            found.append(self._hash(keys[digits >= j], j))
+            found.append(self._hash(keys[(digits > j) & (counts >> (j - 1) & 1 == 1)], -j))
+        h = np.concatenate(found)
+        self.blocks = -(-max(1, len(h)) * ENTRY_BITS // 512)
+        self.data = np.zeros((8, self.blocks), dtype=np.uint64)
+        if len(h):
+            block = self._block(h)
+            order = np.argsort(block)
+            h, block = h[order], block[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            for k in range(8):
+                self.data[k, block[first]] = np.bitwise_or.reduceat(_mask(h, k), first)
+
+    @staticmethod
+    def _hash(keys: np.ndarray, entry: int) -> np.ndarray:
+        return mix(keys ^ _U(entry * 0x9E3779B97F4A7C15 % 2**64))
+
+    def _block(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> _U(32)) * _U(self.blocks) >> _U(32)).astype(np.int64)
 
     def has(self, keys: np.ndarray, entry: int) -> np.ndarray:
-        live = np.arange(len(keys))
-        a, step = self._start(keys, entry)
-        for _ in range(PROBES if len(keys) else 0):
-            at = self._place(a)
-            hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        h, live = self._hash(keys, entry), np.arange(len(keys))
+        block = self._block(h)
+        for k in range(8):
+            want = _mask(h, k)
+            hit = self.data[k, block] & want == want
             if not hit.all():
-                live, a, step = live[hit], a[hit], step[hit]
-            a = a + step
+                live, h, block = live[hit], h[hit], block[hit]
         out = np.zeros(len(keys), dtype=bool)
         out[live] = True
         return out
@@ -110,6 +115,13 @@ class Filter:
         return out
 
 
+def _mask(h: np.ndarray, k: int) -> np.ndarray:
+    """Three bits of a word, from the hash and the word's place in its block."""
+    g = h * _MULTIPLIERS[k] >> _U(46)
+    one = _U(1)
+    return one << (g & _U(63)) | one << (g >> _U(6) & _U(63)) | one << (g >> _U(12))
+
+
 def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text, token and the token before it (an end at a text's beginning) of all texts, with their ends."""
     n, docs = len(words), len(words.first) - 1
@@ -345,22 +357,27 @@ def lm_score(docs: DataFrame, model: Model, trained: Column, *keep: str) -> Data
         del keys, singles
         grams = Filter(np.r_[key, known.view(_U)], np.r_[n, c])
         del key, n
-        found = []
-        for x in kept:
-            head, token, ctx, doc = _unpacked(x)
-            new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            one, size = token[new], np.diff(np.r_[new, len(token)])
+        found, some, held = [], [], 0
+        for k, blob in enumerate(kept, 1):
+            head, token, ctx, doc = _unpacked(blob)
+            some.append((token, ctx, (doc >> 1) + head))
+            held += len(token)
+            if held < FLUSH // 2 and k < len(kept):
+                continue
+            token, ctx, uid = (np.concatenate(x) for x in zip(*some, strict=True))
+            some, held = [], 0
+            one, back = np.unique(token, return_inverse=True)
             exact, single = np.zeros(len(one), dtype=np.int64), grams.count(one.view(_U))
             for own_keys, counts in ((model.keys, model.counts), (known, c)):
                 at = _index(own_keys, one)
                 exact[at >= 0] = counts[at[at >= 0]]
                 if own_keys is model.keys:
                     single[at >= 0] = model.filter.count(one[at >= 0].view(_U))
-            score = model.log(grams.count(pair_key(token, ctx)), np.repeat(single, size))
-            who, at = np.unique(doc >> 1, return_inverse=True)
+            score = model.log(grams.count(pair_key(token, ctx)), single[back])
+            who, at = np.unique(uid, return_inverse=True)
             sums = np.zeros(len(who), dtype=_SUM)
-            sums["uid"], sums["known"], sums["score"] = who + head, np.bincount(at, np.repeat(exact > 0, size), len(who)), np.bincount(at, score, len(who))
-            sums["base"] = np.bincount(at, np.repeat(np.log10(exact + 1.0), size), len(who))
+            sums["uid"], sums["known"], sums["score"] = who, np.bincount(at, (exact > 0)[back], len(who)), np.bincount(at, score, len(who))
+            sums["base"] = np.bincount(at, np.log10(exact + 1.0)[back], len(who))
             found.append(sums)
         x = np.concatenate(found)
         rows = list(_slices(x["uid"] % parts, parts, np.arange(len(x))))
