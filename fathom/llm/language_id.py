@@ -6,7 +6,8 @@ distributions, and the set of languages is the one with the best penalised likel
 
 Cases: a null text, or one without letters, is `und` with score 0; one with letters but no trigram gets the
 language with the most training trigrams, and its share of them; rows with a null lang teach nothing; with
-no training rows every text is `und`; repeated rows are predicted row by row; other columns are ignored.
+no training rows every text is `und`; more than MOST languages are an error, as the model is broadcast; repeated
+rows are predicted row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, table, texts
+from .common import chunks, crc_mod, cut_lineage, table, texts
 
 BUCKETS, SMOOTHING = 1 << 14, 0.5
+#: Languages that a model may have: 64 KB each.
+MOST = 1000
 #: EM steps; languages below LEAST of the text aren't tried; cost of a language in units of log(trigrams).
 STEPS, LEAST, PENALTY = 12, 0.03, 2.0
 
@@ -129,8 +132,12 @@ class Languages:
 
 
 def train(docs: DataFrame) -> Languages:
-    """Fit on all rows of docs that have a lang. The driver gets languages x BUCKETS counts at most."""
-    return Languages(count_trigrams(docs).toPandas())
+    """Fit on all rows of docs that have a lang. The driver gets MOST x BUCKETS counts at most."""
+    counted = cut_lineage(count_trigrams(docs))
+    n = counted.select("lang").distinct().count()
+    if n > MOST:
+        raise ValueError(f"{n} languages to learn, {MOST} at most: clean the lang column")
+    return Languages(counted.toPandas())
 
 
 def language_id(docs: DataFrame, model: Languages, *keep: str) -> DataFrame:

@@ -134,6 +134,49 @@ def test_language_of_mixed_and_odd_texts(spark, odd):
     assert {r.lang_pred for r in language_id.language_id(odd, none).collect()} == {"und"}
 
 
+def test_mixture_by_force(spark):
+    """EM and the penalised set against a plain version, text by text, over the model's own trigrams."""
+    import numpy as np
+
+    train = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(train)
+    texts = [r.text for r in train.where("n_chars between 40 and 900").limit(25).collect()]
+    texts += [a[:300] + " " + b[:200] for a, b in zip(texts, texts[7:])]
+    got = language_id.language_id(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+
+    def em(p, c, start):
+        pi = start / start.sum()
+        for _ in range(language_id.STEPS):
+            w = pi[:, None] * p
+            pi = (w / w.sum(axis=0) * c).sum(axis=1) / c.sum()
+        return pi, (c * np.log((pi[:, None] * p).sum(axis=0))).sum()
+
+    for r in got:
+        raw = np.frombuffer(texts[r.doc_id].encode(), dtype=np.uint8)
+        bucket, c = np.unique(language_id.trigrams(raw, np.array([0, len(raw)]))[1], return_counts=True)
+        p = model.p[:, bucket].astype(float)
+        pi, _ = em(p, c, np.ones(len(p)))
+        order, best = np.argsort(-pi, kind="stable"), (-np.inf, None)
+        for m in range(1, len(p) + 1):
+            if m > 1 and pi[order[m - 1]] < language_id.LEAST:
+                break
+            start = np.zeros(len(p))
+            start[order[:m]] = np.maximum(pi[order[:m]], 1e-3)
+            own, like = em(p, c, start)
+            value = like - m * language_id.PENALTY * np.log(c.sum() + 1)
+            if value > best[0]:
+                best = (value, own)
+        assert r.lang_pred == model.names[best[1].argmax()] and abs(r.score - best[1].max()) < 1e-3
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST", 2)
+    docs = spark.createDataFrame([(k, "some words here", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    assert len(language_id.train(docs.where("doc_id < 2")).names) == 2
+    with pytest.raises(ValueError, match="3 languages"):
+        language_id.train(docs)
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = QUERIES["op6_quality_classifier"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
@@ -273,7 +316,7 @@ def test_fingerprints_find_edited_items(monkeypatch):
         for edits in range(len(item) // 5):
             window = item[: len(item) - edits] + draw.choices(vocabulary, k=edits)
             text = one_text([*draw.choices(vocabulary, k=45), *window, "after"])
-            similar = bench.similarity(one_text(window).hash, 0) >= decontaminate.SIMILARITY
+            similar = bench.similarity(decontaminate.shingle_hashes(one_text(window).hash), 0) >= decontaminate.SIMILARITY
             found = bench.search(text)
             assert bool(found) == similar or (found and found[0][3] >= decontaminate.SIMILARITY)
             near += similar
