@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,16 @@ def interpolated(points: DataFrame, by: list[str], x: str, y: str, cells: int =
     both = one.unionByName(grid).withColumn("lo", F.last(at, True).over(before)).withColumn("hi", F.first(at, True).over(after)).where("_grid = 1")
     line = F.col("lo._y") + (F.col("hi._y") - F.col("lo._y")) * ratio(F.col("_x") - F.col("lo._x"), F.nullif(F.col("hi._x") - F.col("lo._x"), F.lit(0.0)))
     return both.select(*by, F.col("_x").alias("x"), F.coalesce(line, "lo._y", "hi._y").alias("y"))
+
+
+def method_areas(rows: DataFrame, methods: Mapping[str, str], by: list[str], label: str = "y") -> DataFrame:
+    """areas of each method in each group of `by` and over all ("all"), with the rate of positives that a blind guess has.
+
+    methods: name to score column; a row without a method's score doesn't count for it.
+    """
+    scores = F.explode(F.array(*(F.struct(F.lit(n).alias("method"), F.col(c).cast("double").alias("score")) for n, c in methods.items())))
+    long = rows.select(*by, F.col(label).alias("y"), scores.alias("s")).select(*by, "y", "s.method", "s.score").where("score is not null")
+    whole = long.select(*(F.lit("all").alias(c) for c in by), "y", "method", "score")
+    both = long.select(*(F.col(c).cast("string").alias(c) for c in by), "y", "method", "score").unionByName(whole)
+    out = areas(both, ["method", *by])
+    return out.withColumn("positive_rate", ratio("positives", F.nullif(F.col("positives") + F.col("negatives"), F.lit(0))))

@@ -63,6 +63,16 @@ def length_mismatch(samples: DataFrame, expected: str, counts: Sequence[str]) ->
     return F.when(F.size(names) > 0, F.array_join(names, ","))
 
 
+def checked_graphs(samples: DataFrame, required: Sequence[str], expected: str, counts: Sequence[str]) -> DataFrame:
+    """samples, one row for each graph; a column that isn't there is an error at once, a count that differs from the
+    expected one an error of the row."""
+    if lost := [c for c in required if c not in samples.columns]:
+        raise KeyError(f"columns missing: {', '.join(lost)}")
+    wrong = length_mismatch(samples, expected, counts)
+    ok = F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("lengths differ: "), wrong)).cast("boolean")).otherwise(True)
+    return samples.withColumn("_ok", ok).where("_ok").drop("_ok")
+
+
 def dihedral(a: str, b: str, c: str, d: str) -> Column:
     """Angle of four points given by the prefixes of their x, y, z columns; 0 where one is missing."""
     at = lambda p: tuple(F.col(f"{p}{x}") for x in "xyz")

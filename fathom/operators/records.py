@@ -69,6 +69,18 @@ def gathered(wanted: DataFrame, middle: DataFrame, scores: DataFrame) -> DataFra
     return out.select("sample_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def placed_scores(wanted: DataFrame, scores: DataFrame) -> DataFrame:
+    """sample_id, idx, score of arrays of scores by place; an array of another length than the sample has residues is an error.
+
+    wanted: sample_id, idx from 0; scores: sample_id, scores (array<double>).
+    """
+    n = wanted.groupBy("sample_id").agg(F.count("*").alias("_n"))
+    rows = n.join(scores, "sample_id")
+    fits = F.when(F.size("scores") == F.col("_n"), F.col("scores")).otherwise(F.raise_error(F.concat(F.lit("number of scores of "), F.col("sample_id").cast("string"))).cast("array<double>"))
+    long = rows.select("sample_id", F.posexplode(fits).alias("idx", "score"))
+    return wanted.select("sample_id", "idx").join(long.withColumn("idx", F.col("idx").cast("bigint")), ["sample_id", "idx"], "left")
+
+
 def matched_entities(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """Each row's first entity (by position) that lists its accession and chain."""
     hit = rows.join(entities.select("entry", "entity", "pos", F.explode("accessions").alias("accession"), "chains"), ["entry", "accession"]).where(F.array_contains("chains", F.col("chain")))

@@ -97,3 +97,30 @@ def test_one_hots_and_scales(spark):
         baselines.one_hot(fit, fit, "f", most=1)
     val = spark.createDataFrame([("plug", 2.0, 0.0, 0.0, 1.0, 0.0, 0.0)] * 3 + [("box", 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "region string, tx double, ty double, tz double, px double, py double, pz double")
     assert baselines.calibrated_scales(val, ["plug", "box", "loop"], {"loop": 0.5}) == {"plug": 2.0, "box": 1.0, "loop": 0.5}
+
+
+def test_checked_graphs_and_scores(spark):
+    from fathom.operators import records
+
+    g = spark.createDataFrame([(1, 3, 3), (2, 3, 2)], "sample_id int, n int, n_pos int")
+    assert features.checked_graphs(g.where("sample_id = 1"), ["n"], "n", ["n_pos"]).count() == 1
+    with pytest.raises(Exception, match="lengths differ: n_pos"):
+        features.checked_graphs(g, ["n"], "n", ["n_pos"]).collect()
+    with pytest.raises(KeyError, match="plddt"):
+        features.checked_graphs(g, ["plddt"], "n", ["n_pos"])
+    wanted = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "sample_id long, idx long")
+    scores = spark.createDataFrame([(1, [0.5, 0.25])], "sample_id long, scores array<double>")
+    assert {(r.sample_id, r.idx): r.score for r in records.placed_scores(wanted, scores).collect()} == {(1, 0): 0.5, (1, 1): 0.25, (2, 0): None}
+    with pytest.raises(Exception, match="number of scores of 2"):
+        records.placed_scores(wanted, spark.createDataFrame([(2, [0.5, 0.25])], "sample_id long, scores array<double>")).collect()
+
+
+def test_areas_of_methods(spark):
+    from fathom.operators import curves
+
+    df = spark.createDataFrame([("p", 1, 0.9, 0.1), ("p", 0, 0.8, 0.2), ("p", 1, 0.7, None), ("q", 0, 0.1, 0.5), ("q", 1, 0.6, 0.5)], "region string, y int, a double, b double")
+    got = {(r.method, r.region): r for r in curves.method_areas(df, {"a": "a", "b": "b"}, ["region"]).collect()}
+    assert set(got) == {(m, g) for m in "ab" for g in ("p", "q", "all")}
+    assert math.isclose(got["a", "p"].auroc, 0.5) and math.isclose(got["a", "q"].auroc, 1) and math.isclose(got["a", "all"].auroc, 4 / 6)
+    assert (got["b", "p"].positives, got["b", "p"].auroc, got["b", "q"].auroc, got["a", "all"].positive_rate) == (1, 0, 0.5, 0.6)
+    assert math.isclose(got["a", "p"].average_precision, (1 + 2 / 3) / 2)
