@@ -17,6 +17,7 @@ of documents are searched row by row; an empty benchmark gives no rows; other co
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,18 +182,31 @@ class Benchmark:
         s, k = pairs // len(self.ids), pairs % len(self.ids)
         owner = np.searchsorted(words.first, s, side="right") - 1
         m = np.minimum(self.size[k], words.first[owner + 1] - words.first[owner])
+        # a window can't be similar with fewer of any item's shingles than its own item needs
+        at, h = words.runs(SHINGLE)
+        grams = np.zeros(len(words), dtype=np.uint64)
+        grams[at] = h
+        known = np.flatnonzero(self.seen[(grams >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.grams, grams[known]), max(0, len(self.grams) - 1))
+        listed = np.zeros(len(words) + 1, dtype=np.int64)
+        listed[known + 1] = self.grams[place] == grams[known] if len(self.grams) else 0
+        listed = np.cumsum(listed)
+        wide = (m >= SHINGLE) & (self.size[k] >= SHINGLE)
+        most = np.where(wide, listed[s + np.maximum(m - SHINGLE + 1, 0)] - listed[s], m)
+        total = np.maximum(m - SHINGLE + 1, 1) + np.maximum(self.size[k] - SHINGLE + 1, 1)
+        keep = ~wide | (most * (1 + SIMILARITY) >= SIMILARITY * total - 1e-6)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for t, s, m, k in zip(owner.tolist(), s.tolist(), m.tolist(), k.tolist(), strict=True):
-            sim = self.similarity(words.hash[s : s + m], k)
+        for t, s, m, k, w in zip(*(x[keep].tolist() for x in (owner, s, m, k, wide)), strict=True):
+            sim = self.similarity(grams[s : s + m - SHINGLE + 1] if w else shingle_hashes(words.hash[s : s + m]), k)
             if sim >= SIMILARITY and (-sim, s) < best.get((t, k), (1.0, 0)):
                 best[t, k] = (-sim, s)
         return [(t, k, s - int(words.first[t]), -sim) for (t, k), (sim, s) in sorted(best.items())]
 
-    def similarity(self, hashes: np.ndarray, item: int) -> float:
-        u, c = np.unique(shingle_hashes(hashes), return_counts=True)
+    def similarity(self, shingles: np.ndarray, item: int) -> float:
         own = self.shingles[item]
-        both = sum(min(n, own.get(g, 0)) for g, n in zip(u.tolist(), c.tolist(), strict=True))
-        return both / max(1, int(c.sum()) + sum(own.values()) - both)
+        count = Counter(x for x in shingles.tolist() if x in own)
+        both = sum(min(n, own[g]) for g, n in count.items())
+        return both / max(1, len(shingles) + sum(own.values()) - both)
 
 
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
