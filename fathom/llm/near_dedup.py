@@ -247,7 +247,9 @@ def near_roots(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verify_blocks(hot, sets, similarity))
         roots = components(links)
     named = nodes.select("th").join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    worded = signed.where("bands is not null").select("doc_id", "th").join(named, "th").select("doc_id", "th", "root")
+    # with a hash in the key both sides are dealt anew, and Spark may split a text of very many copies
+    key = F.xxhash64("th").alias("h")
+    worded = signed.where("bands is not null").select("doc_id", "th", key).join(named.select("*", key), ["h", "th"]).select("doc_id", "th", "root")
     # a text without words is in a class with its equals of the same doc_id only; 17 bytes, where a text key has 16
     alone = F.concat(F.unhex(F.md5(F.concat_ws(" ", F.hex("th"), F.col("doc_id").cast("string")))), F.lit(b"\0"))
     return worded.unionByName(signed.where("bands is null").select("doc_id", "th", alone.alias("root")))
