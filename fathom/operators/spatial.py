@@ -1,6 +1,7 @@
 """Neighbour joins in space: nearest k, contacts within a radius, and functions of them.
 
-Points are bucketed into cubic cells; a join sees its own and the 26 cells around, never all pairs of a sample.
+Points within a radius meet through cubic cells: a join sees its own and the 26 cells around. Nearest points are
+found over a tree of cells (`celltree`). Neither compares all pairs of a sample.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
 
+from .celltree import nearest_of
+
 
 def _distance(a: str, b: str):
     return F.sqrt(sum((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in "xyz"))
@@ -28,18 +31,16 @@ def contacts(points: DataFrame, radius: float, eps: float = 1e-9) -> DataFrame:
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
-    """sample_id, src, dst, dist of the k nearest others, ties by dst. A sample is one molecule: its size is bounded."""
-    a, b = points.alias("a"), points.alias("b")
-    pairs = a.join(b, F.col("a.sample_id") == F.col("b.sample_id")).where("a.idx <> b.idx")
-    pairs = pairs.select(F.col("a.sample_id").alias("sample_id"), F.col("a.idx").alias("src"), F.col("b.idx").alias("dst"), _distance("a", "b").alias("dist"))
+    """sample_id, src, dst, dist, rank of the k nearest others, ties by dst; a sample may have any number of points."""
+    found = nearest_of(points.select("sample_id", F.col("idx").alias("q"), *"xyz"), points, k + 1)
+    pairs = found.where("q <> dst").select("sample_id", F.col("q").alias("src"), "dst", "dist")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id", "src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
 
 
 def depth(points: DataFrame, surface: DataFrame) -> DataFrame:
-    """sample_id, idx, depth: distance to the nearest surface point of the sample."""
-    a, b = points.alias("a"), surface.alias("b")
-    pairs = a.join(b, F.col("a.sample_id") == F.col("b.sample_id"))
-    return pairs.groupBy(F.col("a.sample_id").alias("sample_id"), F.col("a.idx").alias("idx")).agg(F.min(_distance("a", "b")).alias("depth"))
+    """sample_id, idx, depth: distance to the nearest surface point of the sample; none where it has no surface point."""
+    found = nearest_of(points.select("sample_id", F.col("idx").alias("q"), *"xyz"), surface, 1)
+    return found.select("sample_id", F.col("q").alias("idx"), F.col("dist").alias("depth"))
 
 
 def coordination(points: DataFrame, radius: float) -> DataFrame:
