@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
+from fathom.streaming.incremental import stored
 
+from .ranges import rejoined, with_quantiles
 from .regions import by_priority
 
 LEVELS = (("family", "state"), ("family",), ("state",), ())
@@ -87,11 +89,12 @@ def clipped(rows: DataFrame, most: float) -> DataFrame:
 
 def normalised(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
     """Scores from 0 to 1 in each group: the median for what isn't finite, 0 where all are equal."""
-    own = Window.partitionBy(*by)
     clean = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), F.col(score))
-    out = rows.withColumn("_c", clean).withColumn("_c", F.coalesce("_c", F.median("_c").over(own)))
-    lo, hi = F.min("_c").over(own), F.max("_c").over(own)
-    return out.withColumn("normalised", F.coalesce(ratio(F.col("_c") - lo, F.nullif(hi - lo, F.lit(0.0))), F.lit(0.0))).drop("_c")
+    out = rows.withColumn("_c", clean)
+    ends = with_quantiles(out.groupBy(*by).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")), out, by, "_c", {"_mid": 0.5})
+    out = rejoined(out, stored(ends), by).withColumn("_c", F.coalesce("_c", "_mid"))
+    scaled = ratio(F.col("_c") - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
+    return out.withColumn("normalised", F.coalesce(scaled, F.lit(0.0))).drop("_c", "_lo", "_hi", "_mid")
 
 
 def ridge(rows: DataFrame, features: Sequence[str], targets: Sequence[str], alpha: float = 1.0) -> pd.DataFrame:

@@ -11,12 +11,10 @@ Of points in one place only the first k are kept, by idx, as ties go to the smal
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.streaming.incremental import shared_folder
+from fathom.streaming.incremental import stored
 
 #: Points of a cell that isn't halved, and the most halvings (points nearer than a millionth of a sample's extent stay together).
 MOST = 32
@@ -25,13 +23,6 @@ _AXES = "xyz"
 _CELL = ["sample_id", "cx", "cy", "cz"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/points-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _grid(points: DataFrame) -> DataFrame:
     """points with gx, gy, gz: their places in a grid of 2 ** DEEPEST cells along the sample's longest side."""
     box = points.groupBy("sample_id").agg(*(F.min(c).alias(f"lo_{c}") for c in _AXES), F.greatest(*(F.max(c) - F.min(c) for c in _AXES)).alias("width"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.clean import ratio
 
-from .ranges import running_sums
+from .ranges import rejoined, running_sums
 
 
 def steps(rows: DataFrame, by: list[str], label: str = "y", score: str = "score") -> DataFrame:
@@ -43,15 +43,25 @@ def areas(rows: DataFrame, by: list[str], label: str = "y", score: str = "score"
 
 
 def interpolated(points: DataFrame, by: list[str], x: str, y: str, cells: int = 200) -> DataFrame:
-    """y at cells + 1 even places of [0, 1]: the highest y of equal x, straight lines, edges held."""
-    one = points.groupBy(*by, x).agg(F.max(y).alias(y)).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(0).alias("_grid"))
-    grid = points.select(*by).distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(cells)))).select(*by, (F.col("_i") / float(cells)).alias("_x"), F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_grid"))
-    before = Window.partitionBy(*by).orderBy("_x", "_grid").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy("_x", F.desc("_grid")).rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
-    both = one.unionByName(grid).withColumn("lo", F.last(at, True).over(before)).withColumn("hi", F.first(at, True).over(after)).where("_grid = 1")
-    line = F.col("lo._y") + (F.col("hi._y") - F.col("lo._y")) * ratio(F.col("_x") - F.col("lo._x"), F.nullif(F.col("hi._x") - F.col("lo._x"), F.lit(0.0)))
-    return both.select(*by, F.col("_x").alias("x"), F.coalesce(line, "lo._y", "hi._y").alias("y"))
+    """y at cells + 1 even places of [0, 1]: the highest y of equal x, straight lines, edges held.
+
+    Points are first summed up to the lowest and the highest of each cell between two places, so that what is
+    ordered in a group is its cells, not its points.
+    """
+    one = points.groupBy(*by, x).agg(F.max(y).alias("_y")).select(*by, F.col(x).cast("double").alias("_x"), "_y").where("_x is not null and _y is not null")
+    near = F.floor(F.col("_x") * cells)
+    cell = F.when(F.col("_x") < near / float(cells), near - 1).when(F.col("_x") >= (near + 1) / float(cells), near + 1).otherwise(near).cast("int")
+    at = F.struct("_x", "_y")
+    sums = one.groupBy(*by, F.greatest(F.lit(-1), F.least(F.lit(cells), cell)).alias("_i")).agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    grid = points.select(*by).distinct().withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(cells))))
+    rows = rejoined(grid, sums, [*by, "_i"], "left").withColumn("_place", F.col("_i") / float(cells))
+    own = Window.partitionBy(*by).orderBy("_i")
+    exact = F.when(F.col("_low._x") == F.col("_place"), F.col("_low"))
+    lo = F.coalesce(exact, F.last("_high", True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    hi = F.first("_low", True).over(own.rowsBetween(0, Window.unboundedFollowing))
+    both = rows.withColumns({"lo": lo, "hi": hi}).where("_i >= 0")
+    line = F.col("lo._y") + (F.col("hi._y") - F.col("lo._y")) * ratio(F.col("_place") - F.col("lo._x"), F.nullif(F.col("hi._x") - F.col("lo._x"), F.lit(0.0)))
+    return both.select(*by, F.col("_place").alias("x"), F.coalesce(line, "lo._y", "hi._y").alias("y"))
 
 
 def method_areas(rows: DataFrame, methods: Mapping[str, str], by: list[str], label: str = "y") -> DataFrame:

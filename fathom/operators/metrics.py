@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions.clean import ratio
 from fathom.functions.vector import cosine, dot, minus, norm, vector
 
-from .ranges import with_quantiles
+from .ranges import quantiles_of, rejoined, with_quantiles
 
 
 def joined_predictions(residues: DataFrame, predictions: DataFrame, strict: bool = False) -> DataFrame:
@@ -68,9 +68,7 @@ def summary_by_region(samples: DataFrame) -> DataFrame:
         F.avg("improvement").alias("improvement_mean"), F.avg("error_rms").alias("error_mean"),
         F.avg("zero_rms").alias("zero_mean"), F.avg("mse_improvement_fraction").alias("mse_gain_mean"),
     )
-    for c, name in (("improvement", "improvement_median"), ("error_rms", "error_median")):
-        out = with_quantiles(out, samples, ["region"], c, {name: 0.5})
-    return out
+    return rejoined(out, quantiles_of(samples, ["region"], {"improvement": {"improvement_median": 0.5}, "error_rms": {"error_median": 0.5}}), ["region"], "left")
 
 
 def paired_deltas(samples: DataFrame, method: str = "error_rms", raw: str = "zero_rms") -> DataFrame:
@@ -136,9 +134,10 @@ def state_summary(states: DataFrame, by: list[str]) -> DataFrame:
     """Mean and median of each field, rates, and the counts of each pair of states ("target->predicted") in order."""
     counts = states.groupBy(*by, F.concat_ws("->", "target_state", "predicted_state").alias("pair")).agg(F.count("*").alias("n"))
     confusion = counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", "n")))).alias("confusion"))
-    means = [f(c).alias(f"{c}_{n}") for c in STATE_FIELDS for n, f in (("mean", F.avg), ("median", F.median))]
+    means = [f(c).alias(f"{c}_{n}") for c in STATE_FIELDS for n, f in (("mean", F.avg),)]
     rates = [F.avg(F.col(c).cast("double")).alias(n) for c, n in (("state_correct", "state_accuracy"), ("direction_compatible", "direction_compatible_rate"))]
     out = states.groupBy(*by).agg(F.count("*").alias("n_targets"), *means, *rates)
+    out = rejoined(out, quantiles_of(states, by, {c: {f"{c}_median": 0.5} for c in STATE_FIELDS}), by, "left")
     return out.join(confusion, by) if by else out.crossJoin(confusion)
 
 

@@ -59,11 +59,12 @@ def topn_success(ranked_poses: DataFrame, target: list[str], by: list[str], leve
 
 def first_hits(ranked_poses: DataFrame, target: list[str], by: list[str], levels: Sequence[int], threshold: float = 2.0) -> DataFrame:
     each = ranked_poses.groupBy(*target).agg(F.min(F.when(F.col("rmsd") < threshold, F.col("position"))).alias("first_hit"))
-    return each.groupBy(*by).agg(
+    out = each.groupBy(*by).agg(
         F.count("*").alias("n_targets"), F.count("first_hit").alias("n_hit"), F.avg(F.col("first_hit").isNull().cast("double")).alias("miss_rate"),
-        F.avg("first_hit").alias("mean_first_hit"), F.median("first_hit").alias("median_first_hit"),
+        F.avg("first_hit").alias("mean_first_hit"),
         *(F.avg(F.coalesce((F.col("first_hit") <= k), F.lit(False)).cast("double")).alias(f"cdf_{k}") for k in levels),
     )
+    return with_quantiles(out, each, by, "first_hit", {"median_first_hit": 0.5})
 
 
 def per_target(ranked_poses: DataFrame, target: list[str], levels: Sequence[int], threshold: float = 2.0) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import with_quantiles
+from .ranges import quantiles_of, rejoined, with_quantiles
 
 
 def value_counts(rows: DataFrame, fields: Sequence[str], missing: str = "missing") -> DataFrame:
@@ -101,8 +101,10 @@ def template_selection(rows: DataFrame) -> DataFrame:
 
     rows: candidate_count, nearest_identity and nearest_coverage as numbers (null where there is no template).
     """
-    stats = [f(c).alias(f"{c}_{n}") for c in ("candidate_count", "nearest_identity", "nearest_coverage") for n, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
-    return rows.agg(F.count("*").alias("rows"), *stats, F.count_if(F.coalesce("candidate_count", F.lit(0)) == 0).alias("targets_with_no_candidate"))
+    stats = [f(c).alias(f"{c}_{n}") for c in ("candidate_count", "nearest_identity", "nearest_coverage") for n, f in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))]
+    out = rows.agg(F.count("*").alias("rows"), *stats, F.count_if(F.coalesce("candidate_count", F.lit(0)) == 0).alias("targets_with_no_candidate"))
+    middles = quantiles_of(rows, [], {c: {f"{c}_median": 0.5} for c in ("candidate_count", "nearest_identity", "nearest_coverage")})
+    return rejoined(out, middles, [], "left")
 
 
 def first_in_tiers(rows: DataFrame, tier: str, most: dict[str, int], order: Sequence[str], limit: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
@@ -95,6 +96,41 @@ def resampled_means(deltas: DataFrame, by: str, key: str, iterations: int, seed:
     return each.groupBy(F.col("g").alias(by)).agg(F.collect_list(ratio("wd", F.nullif("w", F.lit(0.0)))).alias("means"))
 
 
+def bootstrap_intervals(rows: DataFrame, by: list[str], streams: Mapping[str, tuple[str, int]], iterations: int = 1000, ends: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """by, and <name>_low and <name>_high of each stream: percentile intervals of the mean of a column.
+
+    streams: name to (column, seed). Equal rows are counted first; a value that occurs n times is in a resample a
+    Poisson number of times with mean n, drawn from the value, the stream's seed and the group. Tasks add up
+    their own sums for all streams in one pass, so that of a group only `iterations` sums a stream are gathered.
+    """
+    values = list(dict.fromkeys(c for c, _ in streams.values()))
+    counts = rows.where(F.concat(*(F.col(c).cast("string") for c in values)).isNotNull()).groupBy(*by, *values).agg(F.count("*").alias("_n"))
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    source = counts.select(key.alias("g"), "_n", *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(values)), F.xxhash64(*by, *values).alias("h"))
+    packed = source.select(F.to_json("g", {"ignoreNullFields": "false"}).alias("j"), *source.columns)
+
+    def run(batches):
+        for pdf in batches:
+            for j, part in pdf.groupby("j", sort=False):
+                out = []
+                for column, seed in streams.values():
+                    v, total = part[f"v{values.index(column)}"].to_numpy(), np.zeros((2, iterations))
+                    for x, n, h in zip(v, part["_n"], part["h"], strict=True):
+                        w = np.random.Generator(np.random.Philox(key=[h & (2**64 - 1), seed])).poisson(n, iterations)
+                        total += np.stack([w, w * x])
+                    out.append(total.T.tolist())
+                yield pd.DataFrame({"j": [j], "sums": [out]})
+
+    cells = packed.drop("g").mapInPandas(run, "j string, sums array<array<array<double>>>")
+    cells = cells.select("j", F.posexplode("sums").alias("stream", "sums")).select("j", "stream", F.posexplode("sums").alias("i", "s"))
+    means = cells.groupBy("j", "stream", "i").agg(F.sum(F.col("s")[0]).alias("w"), F.sum(F.col("s")[1]).alias("x")).withColumn("m", ratio("x", F.nullif("w", F.lit(0.0))))
+    of = lambda k: F.percentile(F.when(F.col("stream") == k, F.col("m")), F.array(*map(F.lit, ends)))
+    found = means.groupBy("j").agg(*(of(k).alias(n) for k, n in enumerate(streams)))
+    kind = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) or "_all int"
+    found = found.select(F.from_json("j", kind).alias("g"), *streams)
+    return found.select(*(F.col("g")[c].alias(c) for c in by), *(F.col(n)[i].alias(f"{n}_{e}") for n in streams for i, e in enumerate(("low", "high"))))
+
+
 def resampled_medians(deltas: DataFrame, by: str, iterations: int, seed: int) -> DataFrame:
     """by, medians: the median of each resample. Its place among the sorted differences is an order statistic of n uniform
     numbers, so that n tells the places, and the differences at those places are all that is gathered of a group."""

@@ -52,6 +52,28 @@ def test_running_sums(groups):
         assert (r.before_n, r.all_n) == ((own[r.g] < r.v).sum(), len(own[r.g]))
 
 
+@pytest.mark.parametrize("most", [3, 40, 10**6])
+def test_ranges_are_cut_until_small(groups, most):
+    own, df = groups
+    counts = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    for r in ranges.running_sums(counts, ["g"], "v", ["n", "k"], most).collect():
+        x = own[r.g]
+        assert (r.before_n, r.all_n) == ((x < r.v).sum(), len(x)) and (r.before_k, r.all_k) == (np.flatnonzero(x < r.v).sum(), np.arange(len(x)).sum())
+    got = {r.g: r for r in ranges.quantiles_of(df.withColumn("w", -F.col("v")), ["g"], {"v": {"a": 0.1, "m": 0.5}, "w": {"b": 0.9}}, most).collect()}
+    for g, x in own.items():
+        assert np.allclose([got[g].a, got[g].m, got[g].b], [*np.quantile(x, [0.1, 0.5]), np.quantile(-x, 0.9)])
+
+
+def test_no_range_holds_more_than_the_bound(spark):
+    rng = np.random.default_rng(1)
+    rows = [(1, float(v)) for v in rng.pareto(0.3, 4000)] + [(2, float(v)) for v in range(5)]
+    cut = df = spark.createDataFrame(rows, "g int, v double").distinct().withColumn("_lo", F.lit(None).cast("double"))
+    while cut is not None:
+        df, cut = cut, ranges._cut(cut, ["g", "_lo"], "v", 30)
+    sizes = df.groupBy("g", "_lo").agg(F.count("*").alias("n"), F.min("v").alias("low")).collect()
+    assert max(r.n for r in sizes) <= 30 and sum(r.n for r in sizes) == df.count() and all(r._lo is None or r._lo < r.low for r in sizes)
+
+
 def wilcoxon_by_force(d):
     """p-values over all signs of the ranks."""
     d = d[np.abs(d) > 1e-12]
