@@ -284,9 +284,10 @@ class Coder:
             del split[0]
             new = set(split).difference(known)
             if new:
-                again = new.intersection(self.old)
-                known.update((u, self.old[u]) for u in again)
-                self.learn(new - again)
+                old = self.old
+                again = {u: old[u] for u in new if u in old}  # intersection() would go through the whole table
+                known.update(again)
+                self.learn(new.difference(again))
             parts.append(b"".join(map(known.__getitem__, split)))
             for unit in new:
                 if len(unit) > KEPT_LENGTH:
