@@ -71,3 +71,27 @@ def coordinate_tables(reports: DataFrame, regions: Sequence[str], iterations: in
     ends = bootstrap_intervals(rows, by, {"mean": ("sample_improvement", seed), "rate": ("improved", seed + 17)}, iterations)
     ends = ends.select(*by, *(F.col(f"{n}_{e}").alias(f"sample_improvement_{n}_ci95_{e}") for n in ("mean", "rate") for e in ("low", "high")))
     return rejoined(aggregate, ends, by, "left"), samples
+
+
+#: What a summary row takes from a region's metrics and from its paired differences.
+_FROM_METRICS = {"prediction_error_rms": "prediction_error_rms", "raw_rmsd": "zero_error_rms", "mse_improvement_vs_zero_fraction": "mse_improvement_vs_zero_fraction", "predicted_displacement_mean": "predicted_displacement_mean"}
+_FROM_PAIRS = ("n_targets", "n_improved", "n_worsened", "improved_fraction", "median_delta_rmsd_method_minus_raw", "median_delta_ci95_low", "median_delta_ci95_high", "wilcoxon_p_less_method_lt_raw", "signed_rank_biserial_effect_method_lt_raw")
+
+
+def summary_rows(reports: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """A row for each method and region that has metrics or paired differences; what one of both lacks is null.
+
+    A report without an effect among its paired differences may have it in a map of its own,
+    paired_effect_by_region. Rows carry `region_order`, the region's place in `regions`.
+    """
+    body = reports.select(*_ID, parsed("body").alias("v"))
+    by = [*_ID, "region"]
+    part = lambda path: exploded(body, "v", path, _ID).where(F.col("key").isin(*regions)).withColumnRenamed("key", "region")
+    own = part("$.aggregate_by_region").select(*by, *(_number(c).alias(n) for n, c in _FROM_METRICS.items()), F.lit(True).alias("_own"))
+    pair = part("$.paired_delta_by_region").select(*by, *(_number(c).alias(c) for c in _FROM_PAIRS), F.lit(True).alias("_pair"))
+    other = part("$.paired_effect_by_region").select(*by, F.try_variant_get("value", "$", "double").alias("_effect"))
+    keys = own.select(*by).unionByName(pair.select(*by)).distinct()
+    out = rejoined(rejoined(rejoined(keys, own, by, "left"), pair, by, "left"), other, by, "left")
+    effect = _FROM_PAIRS[-1]
+    out = out.withColumn(effect, F.coalesce(effect, "_effect")).drop("_own", "_pair", "_effect")
+    return out.withColumn("region_order", F.array_position(F.array(*map(F.lit, regions)), F.col("region")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import random
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -143,12 +142,29 @@ def gated_mask(rows: DataFrame, mask: Column, by: list[str]) -> Column:
     return mask & (F.col("is_eval") | ~some)
 
 
-def range_split(names: Sequence[str], parts: Mapping[str, tuple[float, float]], seed: int) -> dict[str, list[str]]:
-    """Slices of the shuffled sorted names, as a plan made before any job: names of files, not rows."""
-    order = sorted(names)
-    random.Random(seed).shuffle(order)
-    n = len(order)
-    return {k: order[int(n * lo) : int(n * hi)] for k, (lo, hi) in parts.items()}
+def range_slices(rows: DataFrame, name: str, parts: Mapping[str, tuple[float, float]], seed: int) -> DataFrame:
+    """rows with `part`: slices int(n * lo) to int(n * hi) of the names in a seeded order of hashes; rows in no slice are left out.
+
+    Names are unique. Their places are counted by the hash's first digits, so no task orders all of them.
+    """
+    keyed = rows.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")).cast("binary"), 256)).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    whole = Window.orderBy("_b")  # 4096 rows at most
+    below = sizes.select("_b", (F.sum("_n").over(whole) - F.col("_n")).alias("_before"), F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    placed = keyed.join(F.broadcast(below), "_b").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", name)) - 1)
+    part = None
+    for label, (lo, hi) in parts.items():
+        test = (F.col("_place") >= F.floor(F.col("_all") * lo)) & (F.col("_place") < F.floor(F.col("_all") * hi))
+        part = F.when(test, label) if part is None else part.when(test, label)
+    return placed.withColumn("part", part).where("part is not null").select(*rows.columns, "part")
+
+
+def cache_keys(fields: Mapping[str, Column]) -> Column:
+    """12 hex digits for each row's parameters (texts of JSON values), as cache_key gives for the same payload."""
+    body = []
+    for k in sorted(fields):
+        body += [F.lit((", " if body else "") + json.dumps(k) + ": "), fields[k]]
+    return F.substring(F.sha2(F.concat(F.lit("{"), *body, F.lit("}")).cast("binary"), 256), 1, 12)
 
 
 def cache_key(payload: Mapping) -> str:

@@ -80,6 +80,59 @@ def training_manifest(rows: DataFrame, states: Sequence[str], files: DataFrame,
     return rank_split(kept, "pair_id", given="given").drop("given"), tested.where("reason is not null").unionByName(repeated)
 
 
+#: The note that a prepared row gets, and the one that it takes the place of.
+NOTE = "training_manifest_auto_annotation"
+NOTES = ("requires region annotation before supervised training.", "auto region annotation generated for supervised smoke training.")
+
+
+def annotation_path(folder: str, target: Column, family: Column, accession: Column) -> Column:
+    """folder/<slug>.json of a target, or of its family and accession where it has no name."""
+    name = F.coalesce(blank_to_null(target), F.concat(F.coalesce(blank_to_null(family), F.lit("tbdt")), F.lit("_"), F.lower(F.coalesce(accession, F.lit("")))))
+    return F.concat(F.lit(f"{folder}/"), F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "_"), "^_+|_+$", ""), F.lit(".json"))
+
+
+def prepared_manifest(rows: DataFrame, files: DataFrame, annotations: DataFrame, found: DataFrame, folder: str, needed: Sequence[str] = ("af2_pdb", "experimental_pdb"), exclude_uncertain: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Training rows with chains, the place and source of their annotation, notes and splits; and rejected ones with their reason.
+
+    rows: position (unique), pair_id, target_id, family, uniprot_id, pdb_chain, state_label, region_annotation_json,
+    notes, split and the needed files; files: path; annotations: path, has_core of those that are there; found:
+    pair_id of rows whose entity is known, from which an annotation can be made. annotation_source: existing (the
+    row's own, or the target's beside the folder), cached, generated, or regenerated_missing_core. The first row of
+    a path that can make it does; rows behind it find it, rows before it that can't are rejected.
+    """
+    first = rows.groupBy("pair_id").agg(F.min("position").alias("_first"))
+    tested = rows.join(first, "pair_id", "left")
+    there = files.select("path").distinct()
+    for k, c in enumerate(needed):
+        tested = tested.join(there.select(F.col("path").alias(c), F.lit(True).alias(f"_file{k}")), c, "left")
+    missing = F.array_compact(F.array(*(F.when(blank_to_null(c).isNotNull() & F.col(f"_file{k}").isNull(), c) for k, c in enumerate(needed))))
+    tested = reasons(tested, [("duplicate_pair_id", F.col("position") > F.col("_first")), *([("uncertain_state", F.trim("state_label") == "uncertain")] if exclude_uncertain else [])])
+    tested = tested.withColumn("reason", F.coalesce("reason", F.when(F.size(missing) > 0, F.concat(F.lit("missing_local_files:"), F.array_join(missing, ",")))))
+    # whose annotation is there
+    known = annotations.groupBy("path").agg(F.bool_or("has_core").alias("has_core"))
+    own = F.col("region_annotation_json")
+    beside = F.concat(F.lit(folder.rpartition("/")[0] + "/"), blank_to_null("target_id"), F.lit(".json"))
+    made = annotation_path(folder, F.col("target_id"), F.col("family"), F.col("uniprot_id"))
+    tested = tested.withColumns({"_own": blank_to_null(own), "_beside": beside, "_made": made})
+    for c in ("_own", "_beside", "_made"):
+        tested = tested.join(known.select(F.col("path").alias(c), F.col("has_core").alias(f"{c}_core")), c, "left")
+    tested = tested.join(found.select("pair_id").distinct().withColumn("_found", F.lit(True)), "pair_id", "left")
+    existing = F.coalesce(F.when(F.col("_own_core").isNotNull(), F.col("_own")), F.when(F.col("_beside_core").isNotNull(), F.col("_beside")))
+    tested = tested.withColumn("_existing", existing)
+    asks = F.col("reason").isNull() & F.col("_existing").isNull() & ~F.coalesce("_made_core", F.lit(False))
+    maker = tested.where(asks & F.col("_found")).groupBy("_made").agg(F.min("position").alias("_maker"))
+    tested = tested.join(maker, "_made", "left")
+    source = F.when(F.col("_existing").isNotNull(), "existing").when(~asks, "cached").when(F.col("position") > F.col("_maker"), "cached").when(F.col("position") == F.col("_maker"), F.when(F.col("_made_core").isNull(), "generated").otherwise("regenerated_missing_core"))
+    tested = tested.withColumn("annotation_source", F.when(F.col("reason").isNull(), source))
+    tested = tested.withColumn("reason", F.when(F.col("reason").isNull() & F.col("annotation_source").isNull(), "no_matching_entity").otherwise(F.col("reason")))
+    notes = F.replace(F.coalesce("notes", F.lit("")), F.lit(NOTES[0]), F.lit(NOTES[1]))
+    kept = tested.where("reason is null").withColumns({
+        "chain": F.col("pdb_chain"), "af2_chain": F.lit("A"), "holo_chain": F.col("pdb_chain"), "region_annotation_json": F.coalesce("_existing", "_made"),
+        "notes": F.when(notes != "", F.concat(notes, F.lit(f"; {NOTE}"))).otherwise(NOTE), "given": blank_to_null(F.lower("split")),
+    }).select(*rows.columns, "chain", "af2_chain", "holo_chain", "annotation_source", "given").drop("split")
+    return rank_split(kept, "pair_id", given="given").drop("given"), tested.where("reason is not null").select("position", "pair_id", "reason")
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Add rows to a log whose columns may grow: readers merge the files' columns."""
     df.write.mode("append").parquet(path)

@@ -101,13 +101,18 @@ def state_metrics(rows: DataFrame, threshold: float) -> DataFrame:
 
     rows: sample_id, region (a residue once for each of its regions), position x, y, z, displacement tx, ty, tz and
     its prediction px, py, pz. The plug's reference is plug_core where there is one, else plug. Angles and distances
-    that aren't defined are null.
+    that aren't defined are null. The extension_* fields are the metrics of region plug_extension_nt, null without it.
     """
     def centre(region: str, *more: str) -> tuple[Column, Column, Column]:
         return tuple(F.avg(F.when(F.col("region") == region, sum((F.col(m + c) for m in more), F.col(c)))) for c in "xyz")
 
     parts = {"b0": centre("tonb_box"), "bt": centre("tonb_box", "t"), "bp": centre("tonb_box", "p"), "ref": centre("barrel_core"), "pc": centre("plug_core"), "pl": centre("plug")}
     aggs = [F.count_if(F.col("region") == "tonb_box").alias("n_box"), F.count_if(F.col("region") == "barrel_core").alias("n_barrel")]
+    outside = F.when(F.col("region") == "plug_extension_nt", F.lit(1))
+    t, p = vector("tx", "ty", "tz"), vector("px", "py", "pz")
+    of = lambda v: F.avg(F.when(outside.isNotNull(), v))
+    error = minus(p, t)
+    aggs += [F.nullif(F.count(outside), F.lit(0)).alias("extension_n"), of(dot(t, t)).alias("ext_t"), of(dot(error, error)).alias("ext_e"), of(cosine(p, t)).alias("extension_direction_cosine")]
     sums = rows.groupBy("sample_id").agg(*aggs, *(v.alias(f"{k}{c}") for k, vs in parts.items() for c, v in zip("xyz", vs, strict=True))).where("n_box > 0 and n_barrel > 0")
     sums = sums.withColumns({f"plug{c}": F.coalesce(f"pc{c}", f"pl{c}") for c in "xyz"})
     at = lambda k: vector(*(f"{k}{c}" for c in "xyz"))
@@ -122,12 +127,14 @@ def state_metrics(rows: DataFrame, threshold: float) -> DataFrame:
         exposure_state(change["bt"], threshold).alias("target_state"), exposure_state(change["bp"], threshold).alias("predicted_state"),
         angle(minus(at("bt"), at("ref")), minus(at("b0"), at("ref"))).alias("target_axis_cosine"), angle(minus(at("bp"), at("ref")), minus(at("bt"), at("ref"))).alias("predicted_axis_cosine"),
         (far("bt", "plug") - far("b0", "plug")).alias("target_plug_change"), (far("bp", "plug") - far("b0", "plug")).alias("predicted_plug_change"),
+        F.col("extension_n").alias("extension_n_residues"), F.sqrt("ext_t").alias("extension_target_rms"), F.sqrt("ext_e").alias("extension_error_rms"),
+        (1 - ratio(F.col("ext_e"), F.nullif("ext_t", F.lit(0.0)))).alias("extension_mse_improvement_fraction"), "extension_direction_cosine",
     )
     return out.withColumns({"direction_compatible": F.coalesce(F.col("displacement_cosine") >= 0.5, F.lit(False)), "state_correct": F.col("target_state") == F.col("predicted_state"), "plug_change_error": F.col("predicted_plug_change") - F.col("target_plug_change")})
 
 
 #: What a summary of states averages.
-STATE_FIELDS = ("target_displacement", "predicted_displacement", "displacement_error", "displacement_cosine", "target_exposure", "predicted_exposure", "exposure_error", "predicted_axis_cosine")
+STATE_FIELDS = ("target_displacement", "predicted_displacement", "displacement_error", "displacement_cosine", "target_exposure", "predicted_exposure", "exposure_error", "predicted_axis_cosine", "extension_error_rms", "extension_mse_improvement_fraction")
 
 
 def state_summary(states: DataFrame, by: list[str]) -> DataFrame:

@@ -215,11 +215,13 @@ def test_principal_components(spark):
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(np.abs(v @ w[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
 
 
-def test_range_split_and_key():
+def test_range_slices_and_keys(spark):
     from fathom.operators import features
 
-    parts = {"train": (0.0, 0.6), "val": (0.6, 1.0)}
-    names = [f"s{i}" for i in range(10)]
-    a = features.range_split(names, parts, 7)
-    assert a == features.range_split(reversed(names), parts, 7) and not set(a["train"]) & set(a["val"]) and len(a["train"]) == 6
+    names = spark.createDataFrame([(f"s{i}",) for i in range(10)], "name string")
+    cut = lambda df: {r.name: r.part for r in features.range_slices(df, "name", {"train": (0.0, 0.6), "val": (0.6, 1.0)}, 7).collect()}
+    a = cut(names)
+    assert a == cut(names.repartition(3)) and list(a.values()).count("train") == 6 and len(a) == 10
+    key = names.select(features.cache_keys({"b": F.lit("1"), "a": F.lit("2")}).alias("k")).first().k
+    assert key == features.cache_key({"a": 2, "b": 1})
     assert len(features.cache_key({"b": 1, "a": 2})) == 12 and features.cache_key({"b": 1, "a": 2}) == features.cache_key({"a": 2, "b": 1})
