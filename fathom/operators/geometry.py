@@ -94,64 +94,94 @@ def aligned(pairs: DataFrame, core: str | None = None) -> DataFrame:
 
 
 class Tables:
-    """Best scores of prefixes of a and b that end in a match, in a gap of b, or in a gap of a; by antidiagonal and place in a."""
+    """An alignment with affine gaps: scores by antidiagonals, of which two are kept, and a byte for the way back from each cell.
+
+    Layer 0 are prefixes that end in a match, 1 in a gap of b, 2 in a gap of a. A byte holds the best layer at its
+    cell, the best but for layer 1 and but for layer 2, and whether a gap in either goes on.
+    """
 
     def __init__(self, a: str, b: str, match: float, mismatch: float, gap_open: float, gap_more: float, local: bool):
         n, m, low = len(a), len(b), -1e9
         x, y = (np.array([ord(c) for c in t], dtype=np.int64) for t in (a, b))
-        best, gap_b, gap_a = (np.full((n + m + 1, n + 1), low) for _ in range(3))
-        best[0, 0] = 0
-        i, j = np.arange(n + 1), np.arange(m + 1)
-        if local:
-            best[i, i] = best[j, 0] = 0
-        else:
-            gap_b[i[1:], i[1:]] = gap_open + gap_more * np.arange(n)
-            gap_a[j[1:], 0] = gap_open + gap_more * np.arange(m)
-        for d in range(2, n + m + 1):
+        none = np.full((3, n + 1), low)
+        last, now = none.copy(), none.copy()
+        now[0, 0] = 0
+        self.n, self.m, self.local = n, m, local
+        self.codes: list[np.ndarray] = []
+        self.empty: list[np.ndarray] = []  # of local alignments: cells where none is worth a match
+        self.first = np.maximum(0, np.arange(n + m + 1) - m)
+        self.top, self.at = -np.inf, (n, m)
+        self._note(0, now, none, gap_more)
+        for d in range(1, n + m + 1):
+            before, last, now = last, now, none.copy()
+            if local:
+                now[0, [k for k in (0, d) if (d <= m if k == 0 else d <= n)]] = 0
+            else:
+                if d <= n:
+                    now[1, d] = gap_open + gap_more * (d - 1)
+                if d <= m:
+                    now[2, 0] = gap_open + gap_more * (d - 1)
             lo, hi = max(1, d - m), min(n, d - 1) + 1
-            if lo >= hi:
-                continue
-            here, before = slice(lo, hi), slice(lo - 1, hi - 1)
-            gap_b[d, here] = np.maximum(gap_b[d - 1, before] + gap_more, np.maximum(best[d - 1, before], gap_a[d - 1, before]) + gap_open)
-            gap_a[d, here] = np.maximum(gap_a[d - 1, here] + gap_more, np.maximum(best[d - 1, here], gap_b[d - 1, here]) + gap_open)
-            own = np.arange(lo, hi)
-            s = np.maximum(np.maximum(best[d - 2, before], gap_a[d - 2, before]), gap_b[d - 2, before]) + np.where(x[own - 1] == y[d - own - 1], match, mismatch)
-            best[d, here] = np.maximum(0.0, s) if local else s
-        self.best, self.gap_b, self.gap_a = best, gap_b, gap_a
-        self.n, self.m, self.gap_more, self.local = n, m, gap_more, local
+            if lo < hi:
+                here, up = slice(lo, hi), slice(lo - 1, hi - 1)
+                now[1, here] = np.maximum(last[1, up] + gap_more, np.maximum(last[0, up], last[2, up]) + gap_open)
+                now[2, here] = np.maximum(last[2, here] + gap_more, np.maximum(last[0, here], last[1, here]) + gap_open)
+                own = np.arange(lo, hi)
+                s = before[:, up].max(axis=0) + np.where(x[own - 1] == y[d - own - 1], match, mismatch)
+                now[0, here] = np.maximum(0.0, s) if local else s
+            self._note(d, now, last, gap_more)
+        self.end = float(now[:, n].max())
+
+    def _note(self, d: int, now: np.ndarray, last: np.ndarray, gap_more: float) -> None:
+        lo, hi = int(self.first[d]), min(self.n, d) + 1
+        t = now[:, lo:hi]
+        code = t.argmax(axis=0).astype(np.uint8)
+        for k in (1, 2):
+            held = t.copy()
+            held[k] = -1e9
+            code |= held.argmax(axis=0).astype(np.uint8) << np.uint8(2 * k)
+        i = np.arange(lo, hi)
+        longer = last[1, np.maximum(i - 1, 0)] + gap_more, last[2, lo:hi] + gap_more
+        on_b, on_a = (np.abs(x - y) <= 1e-8 + 1e-5 * np.abs(y) for x, y in zip(t[1:], longer, strict=True))
+        on_b, on_a = on_b & (i > 1), on_a & (d - i > 1)
+        self.codes.append(code | on_b.astype(np.uint8) << np.uint8(6) | on_a.astype(np.uint8) << np.uint8(7))
+        if self.local:
+            self.empty.append(np.packbits(t[0] <= 0))
+            k = int(t[0].argmax())
+            if t[0, k] > self.top or (t[0, k] == self.top and (lo + k, d - lo - k) < self.at):
+                self.top, self.at = float(t[0, k]), (lo + k, d - lo - k)
 
     def score(self) -> float:
-        return float(self.best.max()) if self.local else float(max(t[self.n + self.m, self.n] for t in (self.best, self.gap_b, self.gap_a)))
+        return self.top if self.local else self.end
 
     def pairs(self) -> list[tuple[int, int]]:
         """Matched places of a best alignment; of equal ones that with matches latest, then gaps in b."""
-        low, layers = -1e9, (self.best, self.gap_b, self.gap_a)
-        i, j = self.n, self.m
-        if self.local:
-            d, at = np.nonzero(self.best == self.best.max())
-            k = np.lexsort((d - at, at))[0]
-            i, j = int(at[k]), int(d[k] - at[k])
-        at = lambda k, i, j: layers[k][i + j, i]
-        choose = lambda i, j, ban=None: int(np.argmax([low if k == ban else at(k, i, j) for k in range(3)]))
-        layer = choose(i, j)
+        i, j = self.at if self.local else (self.n, self.m)
+        code = lambda: int(self.codes[i + j][i - self.first[i + j]])
+        layer = code() & 3
         out: list[tuple[int, int]] = []
+
+        def worthless() -> bool:
+            k = i - int(self.first[i + j])
+            return self.local and bool(self.empty[i + j][k >> 3] >> (7 - (k & 7)) & 1)
+
         while i > 0 or j > 0:
             if layer == 0:
-                if i == 0 or j == 0 or (self.local and at(0, i, j) <= 0):
+                if i == 0 or j == 0 or worthless():
                     break
                 out.append((i - 1, j - 1))
                 i, j = i - 1, j - 1
-                layer = choose(i, j)
-                if self.local and at(0, i, j) <= 0 and layer == 0:
+                layer = code() & 3
+                if layer == 0 and worthless():
                     break
             elif layer == 1:
-                more = i > 1 and np.isclose(at(1, i, j), at(1, i - 1, j) + self.gap_more)
+                more = code() >> 6 & 1
                 i -= 1
-                layer = 1 if more else choose(i, j, 1)
+                layer = 1 if more else code() >> 2 & 3
             else:
-                more = j > 1 and np.isclose(at(2, i, j), at(2, i, j - 1) + self.gap_more)
+                more = code() >> 7 & 1
                 j -= 1
-                layer = 2 if more else choose(i, j, 2)
+                layer = 2 if more else code() >> 4 & 3
         return out[::-1]
 
 

@@ -105,13 +105,18 @@ def bonds_of(bonds: DataFrame, serials: DataFrame, key: list[str]) -> DataFrame:
 
 
 def pose_deviation(atoms: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
-    """Root mean square distance of heavy atoms in order, without a fit; null where their number differs."""
+    """Root mean square distance of heavy atoms in order, without a fit; null where their number or an element differs.
+
+    An unknown element is one of its own. `ligands.symmetric_deviation` compares atoms by their bonds instead.
+    """
+    kind = F.coalesce(F.upper(F.trim("element")), F.lit(""))
     w = lambda keys: Window.partitionBy(*keys).orderBy("serial")
-    heavy = lambda df, keys, p: df.where("element <> 'H'").select(*keys, F.row_number().over(w(keys)).alias("k"), *(F.col(c).alias(f"{p}{c}") for c in "xyz"), F.count("*").over(Window.partitionBy(*keys)).alias(f"{p}n"))
+    heavy = lambda df, keys, p: df.where(~kind.isin("H", "D")).select(*keys, F.row_number().over(w(keys)).alias("k"), kind.alias(f"{p}kind"), *(F.col(c).alias(f"{p}{c}") for c in "xyz"), F.count("*").over(Window.partitionBy(*keys)).alias(f"{p}n"))
     target = by[:1]
     both = heavy(atoms, by, "a").join(heavy(reference, target, "b"), [*target, "k"])
     square = sum((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz")
-    return both.groupBy(*by).agg(F.when((F.max("an") == F.max("bn")) & (F.count("*") == F.max("an")), F.sqrt(F.avg(square))).alias("rmsd"))
+    same = (F.max("an") == F.max("bn")) & (F.count("*") == F.max("an")) & F.bool_and(F.col("akind") == F.col("bkind"))
+    return both.groupBy(*by).agg(F.when(same, F.sqrt(F.avg(square))).alias("rmsd"))
 
 
 def sequence_scores(rows: DataFrame) -> DataFrame:

@@ -25,11 +25,14 @@ def rescaled_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(li.select("l_orderkey", "l_linenumber", "l_partkey", (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))).alias("low"))).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 
-@query("sequence_features", f"""WITH k AS (SELECT item_id, upper(substr(text, 1, 1)) AS c, item_id % 40 AS i FROM benchmark) SELECT item_id, CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWYX', c) = 0 THEN 21 ELSE strpos('ACDEFGHIKLMNPQRSTVWYX', c) END::BIGINT AS letter,
- (i % 107)::BIGINT AS place, {r('sin(2 * pi() * i / 39)', 'phase_sin')}, {r('cos(2 * pi() * i / 39)', 'phase_cos')} FROM k""")
+@query("sequence_features", f"""WITH t AS (SELECT item_id, text, length(text) AS n, unnest(range(length(text))) AS i FROM benchmark), k AS (SELECT item_id, i, n, upper(substr(text, i + 1, 1)) AS c FROM t) SELECT item_id, i, CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWYX', c) = 0 THEN 21 ELSE strpos('ACDEFGHIKLMNPQRSTVWYX', c) END::BIGINT AS letter,
+ (i % 107)::BIGINT AS place, {r('sin(2 * pi() * i / greatest(1, n - 1))', 'phase_sin')}, {r('cos(2 * pi() * i / greatest(1, n - 1))', 'phase_cos')} FROM k""")
 def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").withColumns({"c": F.substring("text", 1, 1), "i": F.col("item_id") % 40, "n": F.lit(40)}).withColumn("f", features.sequence_features("c", "i", "n", "ACDEFGHIKLMNPQRSTVWYX"))
-    return tidy(b.select("item_id", F.array_position(F.slice("f", 1, 21), 1.0).alias("letter"), (F.array_position(F.slice("f", 22, 105), 1.0) - 1).alias("place"), F.get("f", F.lit(126)).alias("phase_sin"), F.get("f", F.lit(127)).alias("phase_cos")))
+    """Every letter of every item's whole text."""
+    b = read(spark, sf_dir, "benchmark").withColumn("n", F.length("text")).where("n > 0")
+    b = b.select("item_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("text", i, F.lit(1)))).alias("i", "c"))
+    b = b.withColumn("f", features.sequence_features("c", "i", "n", "ACDEFGHIKLMNPQRSTVWYX"))
+    return tidy(b.select("item_id", F.col("i").cast("bigint").alias("i"), F.array_position(F.slice("f", 1, 21), 1.0).alias("letter"), (F.array_position(F.slice("f", 22, 105), 1.0) - 1).alias("place"), F.get("f", F.lit(126)).alias("phase_sin"), F.get("f", F.lit(127)).alias("phase_cos")))
 
 
 @query("chain_dihedrals", f"""WITH {_PTS}, s AS (SELECT sample_id, idx, x - lag(x) OVER w AS ux, y - lag(y) OVER w AS uy, z - lag(z) OVER w AS uz, lead(x) OVER w - x AS vx, lead(y) OVER w - y AS vy, lead(z) OVER w - z AS vz,

@@ -72,8 +72,8 @@ def ligand_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.ligand_choice(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_suppkey"], "l_returnflag", ["R"], ["N"])
 
 
-@query("sequence_scores", "SELECT item_id AS key, (i - 1)::BIGINT AS idx, ((i + 4) * 2)::BIGINT AS score FROM benchmark, range(1, 9) t(i) WHERE length(text) >= 20 AND strpos(text, substr(text, 6, 8)) = 6")
+@query("sequence_scores", "SELECT item_id AS key, (i - 1)::BIGINT AS idx, ((i + 4) * 2)::BIGINT AS score FROM (SELECT *, unnest(range(1, length(text) - 4)) AS i FROM benchmark WHERE length(text) >= 20) WHERE strpos(text, substr(text, 6)) = 6")
 def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a part of each text by its place in the whole."""
-    b = read(spark, sf_dir, "benchmark").where("length(text) >= 20").select(F.col("item_id").alias("key"), F.col("text").alias("whole"), F.substring("text", 6, 8).alias("part"), F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: i * 2).alias("scores"))
+    """Scores of each whole text at the places where what lies behind its first five letters stands in it."""
+    b = read(spark, sf_dir, "benchmark").where("length(text) >= 20").select(F.col("item_id").alias("key"), F.col("text").alias("whole"), F.expr("substring(text, 6)").alias("part"), F.transform(F.sequence(F.lit(0), F.length("text") - 1), lambda i: i * 2).alias("scores"))
     return tidy(records.sequence_scores(b.where(F.instr("whole", F.col("part")) == 6)))

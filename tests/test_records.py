@@ -34,6 +34,10 @@ def test_pose_deviation(spark):
     ref = spark.createDataFrame([("t", 1, "C", 0.0), ("t", 2, "O", 1.0)], "target string, serial int, element string, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     got = {r.pose: r.rmsd for r in records.pose_deviation(atoms, ref, ["target", "pose"]).collect()}
     assert got == {1: 1.0, 2: None}
+    swapped = atoms.withColumn("element", F.when(F.col("serial") == 3, "N").otherwise(F.col("element")))
+    assert {r.rmsd for r in records.pose_deviation(swapped, ref, ["target", "pose"]).collect()} == {None}
+    unknown = [df.withColumn("element", F.when(F.col("element") != "O", F.col("element"))) for df in (atoms, ref)]
+    assert {r.pose: r.rmsd for r in records.pose_deviation(*unknown, ["target", "pose"]).collect()} == {1: 1.0, 2: None}
 
 
 def test_ordered_ids_and_present(spark):
