@@ -28,8 +28,8 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -50,7 +50,7 @@ BLOCK = 512
 SLICE = 1 << 18
 #: Characters of a text that are encoded at once, and the words (and their length) that a worker keeps encoded, once more for the table before.
 PIECE = 1 << 20
-KEPT_UNITS, KEPT_LENGTH = 300_000, 64
+KEPT_UNITS, KEPT_LENGTH = 450_000, 64
 WIDEST = 24
 
 
@@ -71,10 +71,11 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """The low `width` bits of each value, one after another."""
     if width == 8:
         return values.astype(np.uint8).tobytes()
-    out, shift = [], np.arange(width, dtype=np.uint32)
+    out = []
     for at in range(0, len(values), SLICE):
-        part = values[at : at + SLICE].astype(np.uint32)
-        out.append(np.packbits(((part[:, None] >> shift) & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little").tobytes())
+        part = values[at : at + SLICE].astype("<u2" if width <= 16 else "<u4", copy=False)
+        part = np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1)
+        out.append(np.packbits(np.unpackbits(part, axis=1, count=width, bitorder="little").ravel(), bitorder="little").tobytes())
     return b"".join(out)
 
 
@@ -94,9 +95,8 @@ def unpack(data: np.ndarray, first: int, n: int, width: int) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> tuple[list[int], list[tuple[bytes, bytes, bytes]]]:
     """Widths of the levels, and of each its chunks, bitmap and directory."""
-    lengths = np.zeros(34, dtype=np.int64)
-    for at in range(0, len(ids), SLICE):
-        lengths += np.bincount(np.maximum(np.frexp(ids[at : at + SLICE].astype(np.float64))[1], 1), minlength=34)
+    longer = [len(ids), *(int(np.count_nonzero(ids >= 1 << b)) for b in range(1, 8 * ids.itemsize)), 0]  # ids of more than b bits
+    lengths = np.r_[0, -np.diff(longer)]
     widths, out, rest = widths_for(lengths), [], ids
     for k, w in enumerate(widths):
         bitmap = directory = b""
@@ -195,9 +195,6 @@ _LONG_BLANKS = re.compile(rf"[{_WHITE}]{{3}}|[{_WHITE}]{{2}}\Z")
 #: What texts without such runs don't hold, for the most part: cheaper to look for.
 _SIGNS_OF_BLANKS = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200B)), *(a + b + c for a in " \n" for b in " \n" for c in " \n")]
 _CUT = re.compile(f"[^{_WHITE}](?=[ \n][^{_WHITE}])")
-#: Latin letters: whatever the version of Unicode, letters.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_MARKS = ",.;:!?"
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -223,20 +220,11 @@ def units(text: str) -> list[str] | None:
     return text.replace("\n", " \n").split(" ")
 
 
-def _byte_signs() -> dict[int, str]:
-    """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-
-
-_SIGNS = _byte_signs()
-
-
 class Coder:
     """The library's ids of texts; words met before come from a table.
 
-    A new word of Latin letters is one piece, which goes to the library's model at once; marks after it are
-    pieces of their own. Anything else goes through the whole library.
+    New words are encoded by the library in one text, which parts them as the text they came from does, and told
+    apart by the bytes that each id stands for.
     """
 
     def __init__(self, text: str):
@@ -246,57 +234,104 @@ class Coder:
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]  # these part a text before all else
-        self.kind = "<u2" if max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        top = max(vocabulary.values(), default=0) + 1
+        self.kind = "<u2" if top <= 1 << 16 else "<u4"
+        self.widths = np.zeros(top, dtype=np.int64)  # a byte-level vocabulary has a sign for each byte
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the table before; what is met again moves over
-        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of stretches that open with one blank and don't end in one."""
+        if not words:
+            return []
+        ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        ends = np.fromiter(accumulate(map(len, map(str.encode, words))), dtype=np.int64, count=len(words))
+        at = ((np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *at], at, strict=False)]
+
     def learn(self, new: set[str]) -> None:
-        model, marks, known, hard, code = self.model, self.marks, self.known, [], "H" if self.kind == "<u2" else "I"
+        plain = [u for u in new if u and not u[-1].isspace() and u[-1] not in "\u180e\u200b\ufeff"]
+        alone = list(new.difference(plain)) if len(plain) < len(new) else []
+        text = lambda units: [u if u[:1] == "\n" else " " + u for u in units]
+        self.known.update(zip(plain, self.together(text(plain)), strict=True))
+        self.known.update(zip(alone, self.whole(text(alone)), strict=True))
+
+    def looked_up(self, splits: list[list[str]]) -> list[bytes]:
+        """The joined ids of each list of stretches; new ones are learnt, all together."""
+        got = [list(map(self.known.get, s)) for s in splits]
+        gaps = [[i for i, x in enumerate(g) if x is None] if None in g else [] for g in got]
+        new = {s[i] for s, gap in zip(splits, gaps, strict=True) for i in gap}
+        if new:
+            old, known = self.old, self.known
+            again = {u: old[u] for u in new if u in old}
+            known.update(again)
+            self.learn(new.difference(again))
+            for s, g, gap in zip(splits, got, gaps, strict=True):
+                for i in gap:
+                    g[i] = known[s[i]]
+        out = [b"".join(g) for g in got]
+        self.forget(new)
+        return out
+
+    def forget(self, new: set[str]) -> None:
+        """Keep no long words, and no more words than KEPT_UNITS in a table."""
         for unit in new:
-            stem = unit.rstrip(_MARKS)
-            if _LETTERS.fullmatch(stem):
-                ids = array(code, [t.id for t in model.tokenize((" " + stem).encode().decode("latin-1").translate(_SIGNS))]).tobytes()
-                if len(stem) < len(unit):
-                    tail = unit[len(stem) :]
-                    if tail not in marks:
-                        marks[tail] = self.whole([tail])[0]
-                    ids += marks[tail]
-                known[unit] = ids
-            else:
-                hard.append(unit)
-        known.update(zip(hard, self.whole([u if u[:1] == "\n" else " " + u for u in hard]), strict=True))
+            if len(unit) > KEPT_LENGTH:
+                self.known.pop(unit, None)
+        if len(self.known) > KEPT_UNITS:
+            self.old, self.known = self.known, {}
+
+    def parted(self, text: str) -> list[str] | None:
+        return None if any(t in text for t in self.added) else units(text)
 
     def ids(self, text: str) -> np.ndarray:
-        parts, known = [], self.known
+        """The ids of a text of any length, a piece of it at a time."""
+        parts = []
         for piece in pieces(text):
-            split = None if any(t in piece for t in self.added) else units(piece)
+            split = self.parted(piece)
             if split is None:
                 parts += self.whole([piece])
                 continue
             if split[0]:
                 parts += self.whole(split[:1])
             del split[0]
-            new = set(split).difference(known)
-            if new:
-                old = self.old
-                again = {u: old[u] for u in new if u in old}  # intersection() would go through the whole table
-                known.update(again)
-                self.learn(new.difference(again))
-            parts.append(b"".join(map(known.__getitem__, split)))
-            for unit in new:
-                if len(unit) > KEPT_LENGTH:
-                    known.pop(unit, None)
-            if len(known) > KEPT_UNITS:
-                self.old, self.known, self.marks = known, {}, {}
-                known = self.known
+            parts += self.looked_up([split])
         return np.frombuffer(b"".join(parts), dtype=self.kind)
 
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of several texts, whose new words are learnt together; together they should be about as long as a piece."""
+        splits = [self.parted(t) for t in texts]
+        first = self.whole([t if s is None else s[0] for t, s in zip(texts, splits, strict=True)])
+        rest = [s for s in splits if s is not None]
+        for s in rest:
+            del s[0]
+        found = iter(self.looked_up(rest))
+        return [np.frombuffer(head if s is None else head + next(found), dtype=self.kind) for head, s in zip(first, splits, strict=True)]
+
+    def stream(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            if len(text) > PIECE // 4:
+                yield from self.ids_of(group)
+                group, size = [], 0
+                yield self.ids(text)
+                continue
+            group.append(text)
+            size += len(text)
+            if size > PIECE // 4:
+                yield from self.ids_of(group)
+                group, size = [], 0
+        yield from self.ids_of(group)
+
 
 _CODERS: dict[str, Coder] = {}
 
@@ -345,7 +380,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = coder_of(shared.value), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=coder.kind)
-        rows = ((key, np.concatenate([coder.ids(text.as_py()), end])) for b in batches for key, text in zip(b.column("doc_id"), b.column("text"), strict=True))
+        rows = ((key, np.concatenate([ids, end])) for b in batches for key, ids in zip(b.column("doc_id"), coder.stream(t.as_py() for t in b.column("text")), strict=True))
         for seq, (doc_ids, ids) in enumerate(_shards(rows, shard_tokens)):
             name, n = f"tokens-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac", sum(map(len, ids))
             write_file(f"{folder}/{name}", pa.array([k.as_py() for k in doc_ids], kind), [len(x) for x in ids], np.concatenate(ids))
