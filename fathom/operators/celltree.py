@@ -1,10 +1,11 @@
 """Nearest points by branch and bound over a tree of cells, level by level as joins.
 
-A sample's points are cut into cubic cells, halved along each axis wherever a cell holds more than MOST points.
-Every cell knows how many points it holds and the box that they fill. A query holds, at each level, the cells
-that may hold one of its k nearest: a cell is dropped before any distance is taken if the box's nearest corner
-is farther than the farthest corner of boxes that hold k points already. Only the last cells' points meet the
-query, so the work grows with the points and not with their pairs, in clusters and for far queries too.
+A sample's points fill a box; a box that holds more than MOST points is halved along each axis, and each part
+shrinks to the box that its own points fill, so that a tight cluster is cut after a few levels. Every cell knows
+its points' number and their box. A query holds, at each level, the cells that may hold one of its k nearest: a
+cell is dropped before any distance is taken if its box's nearest corner is farther than the farthest corner of
+boxes that hold k points already. Only the last cells' points meet the query, so the work grows with the points
+and not with their pairs, in clusters and for far queries too.
 
 Of points in one place only the first k are kept, by idx, as ties go to the smaller idx.
 """
@@ -16,42 +17,32 @@ from pyspark.sql import functions as F
 
 from fathom.streaming.incremental import stored
 
-#: Points of a cell that isn't halved, and the most halvings (points nearer than a millionth of a sample's extent stay together).
+#: Points of a cell that isn't halved, and the most levels (three bits each of a cell's number).
 MOST = 32
 DEEPEST = 20
 _AXES = "xyz"
-_CELL = ["sample_id", "cx", "cy", "cz"]
-
-
-def _grid(points: DataFrame) -> DataFrame:
-    """points with gx, gy, gz: their places in a grid of 2 ** DEEPEST cells along the sample's longest side."""
-    box = points.groupBy("sample_id").agg(*(F.min(c).alias(f"lo_{c}") for c in _AXES), F.greatest(*(F.max(c) - F.min(c) for c in _AXES)).alias("width"))
-    rows = points.join(box, "sample_id")
-    at = lambda c: F.least(F.lit(2**DEEPEST - 1), F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("width") * 2**DEEPEST))
-    return rows.select(*points.columns, *(F.when(F.col("width") > 0, at(c)).otherwise(0).cast("int").alias(f"g{c}") for c in _AXES))
-
-
-def _cells(rows: DataFrame, level: int) -> DataFrame:
-    """The cells of a level: points in them, and the box they fill."""
-    keyed = rows.withColumns({f"c{c}": F.shiftright(f"g{c}", DEEPEST - level) for c in _AXES})
-    return keyed.groupBy(*_CELL).agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in _AXES))
+_CELL = ["sample_id", "cell"]
 
 
 def tree(points: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """By level: the cells (with `crowded`), and the points of cells that aren't halved (with their cell)."""
-    rows, cells, leaves = stored(_grid(points)), [], []
+    """By level: the cells (number, points, box, and whether they are halved), and the points of cells that aren't.
+
+    A part's number is its cell's times eight, plus one bit for each axis.
+    """
+    rows, cells, leaves = stored(points.withColumn("cell", F.lit(0).cast("bigint"))), [], []
     for level in range(DEEPEST + 1):
-        crowded = (F.col("n") > MOST) & F.lit(level < DEEPEST)
-        own = stored(_cells(rows, level).withColumn("crowded", crowded))
+        own = rows.groupBy(*_CELL).agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in _AXES))
+        wide = F.greatest(*(F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in _AXES)) > 0
+        own = stored(own.withColumn("crowded", (F.col("n") > MOST) & wide & F.lit(level < DEEPEST)))
         cells.append(own)
-        more = bool(own.where("crowded").take(1))
-        keyed = rows.withColumns({f"c{c}": F.shiftright(f"g{c}", DEEPEST - level) for c in _AXES})
-        if not more:
-            leaves.append(keyed)
+        if not own.where("crowded").take(1):
+            leaves.append(rows)
             break
-        keyed = keyed.join(own.select(*_CELL, "crowded"), _CELL)
-        leaves.append(keyed.where("not crowded").drop("crowded"))
-        rows = stored(keyed.where("crowded").select(*rows.columns))
+        keyed = rows.join(own.drop("n"), _CELL)
+        leaves.append(keyed.where("not crowded").select(*rows.columns))
+        bits = [F.when(F.col(c) > F.col(f"lo_{c}") / 2 + F.col(f"hi_{c}") / 2, 4 >> k).otherwise(0) for k, c in enumerate(_AXES)]
+        part = F.col("cell") * 8 + bits[0] + bits[1] + bits[2]
+        rows = stored(keyed.where("crowded").withColumn("cell", part).select(*rows.columns))
     return cells, leaves
 
 
@@ -99,17 +90,17 @@ def nearest_of(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     front, found = None, None
     for level, own in enumerate(cells):
         if level == 0:
-            front = queries.join(own.drop("cx", "cy", "cz"), "sample_id").withColumns({f"c{c}": F.lit(0) for c in _AXES}).withColumn("level", F.lit(0))
+            front = queries.join(own, "sample_id").withColumn("level", F.lit(0))
         else:
-            child = own.withColumns({f"p{c}": F.shiftright(f"c{c}", 1) for c in _AXES}).withColumn("level", F.lit(level))
-            up = front.where("crowded").select("sample_id", "q", *_AXES, *(F.col(f"c{c}").alias(f"p{c}") for c in _AXES))
-            front = up.join(child, ["sample_id", "px", "py", "pz"]).drop("px", "py", "pz").unionByName(front.where("not crowded"))
+            child = own.withColumns({"up": F.shiftright("cell", 3), "level": F.lit(level)})
+            open_ = front.where("crowded").select("sample_id", "q", *_AXES, F.col("cell").alias("up"))
+            front = open_.join(child, ["sample_id", "up"]).drop("up").unionByName(front.where("not crowded"))
         if last:  # else one cell holds each sample
             front = stored(_kept(front, k))
-    keyed = [leaf.select("sample_id", F.lit(level).alias("level"), "cx", "cy", "cz", F.col("idx").alias("dst"), *(F.col(c).alias(f"p{c}") for c in _AXES)) for level, leaf in enumerate(leaves)]
-    for leaf in keyed:
+    for level, leaf in enumerate(leaves):
+        leaf = leaf.select("sample_id", F.lit(level).alias("level"), "cell", F.col("idx").alias("dst"), *(F.col(c).alias(f"p{c}") for c in _AXES))
         found = leaf if found is None else found.unionByName(leaf)
-    pairs = front.select("sample_id", "q", *_AXES, "level", "cx", "cy", "cz").join(found, ["sample_id", "level", "cx", "cy", "cz"])
+    pairs = front.select("sample_id", "q", *_AXES, "level", "cell").join(found, ["sample_id", "level", "cell"])
     dist = F.sqrt(_squares([F.col(c) - F.col(f"p{c}") for c in _AXES]))
     pairs = pairs.select("sample_id", "q", "dst", dist.alias("dist"))
     if k == 1:
