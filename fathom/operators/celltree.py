@@ -2,10 +2,10 @@
 
 A sample's points fill a box; a box that holds more than MOST points is halved along each axis, and each part
 shrinks to the box that its own points fill, so that a tight cluster is cut after a few levels. Every cell knows
-its points' number and their box. A query holds, at each level, the cells that may hold one of its k nearest: a
-cell is dropped before any distance is taken if its box's nearest corner is farther than the farthest corner of
-boxes that hold k points already. Only the last cells' points meet the query, so the work grows with the points
-and not with their pairs, in clusters and for far queries too.
+its points' number and their box. A query first goes down to a small cell with k points, whose farthest corner
+bounds its k nearest; then it takes, level by level, all cells whose nearest corner isn't farther than that. Only
+the last cells' points meet the query, so the work grows with the points and not with their pairs, in clusters
+and for far queries too.
 
 Of points in one place only the first k are kept, by idx, as ties go to the smaller idx.
 """
@@ -57,14 +57,25 @@ def _bounds() -> tuple[Column, Column]:
     return _squares(under), _squares(over)
 
 
-def _kept(rows: DataFrame, k: int) -> DataFrame:
-    """Cells that may hold one of a query's k nearest; a slack of a few last digits keeps ties."""
-    under, over = _bounds()
-    rows = rows.withColumns({"under": under, "over": over})
-    own = Window.partitionBy("sample_id", "q")
-    held = F.sum("n").over(own.orderBy("over").rangeBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("held", held).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("over"))).over(own))
-    return rows.where("bound is null or under <= bound * (1 + 1e-9)").drop("under", "over", "held", "bound")
+def _bounded(queries: DataFrame, cells: list[DataFrame], k: int) -> DataFrame:
+    """queries with `bound`: a square that k points lie within; null where the sample has fewer.
+
+    From each cell a query goes on to the part with k points whose farthest corner is nearest. Parts lie in
+    their cell's box, so the last one's corner bounds best.
+    """
+    at = queries.join(cells[0].where(F.col("n") >= k), "sample_id").withColumn("over", _bounds()[1]).select("sample_id", "q", *_AXES, "cell", "crowded", "over")
+    every = at.select("sample_id", "q", "over")
+    for own in cells[1:]:
+        child = own.where(F.col("n") >= k).withColumn("up", F.shiftright("cell", 3)).drop("n")
+        parts = at.where("crowded").select("sample_id", "q", *_AXES, F.col("cell").alias("up")).join(child, ["sample_id", "up"])
+        best = parts.groupBy("sample_id", "q").agg(F.min(F.struct(_bounds()[1].alias("over"), F.col("cell"), F.col("crowded"), *map(F.col, _AXES))).alias("m"))
+        at = stored(best.select("sample_id", "q", "m.*"))
+        every = every.unionByName(at.select("sample_id", "q", "over"))
+    return queries.join(every.groupBy("sample_id", "q").agg(F.min("over").alias("bound")), ["sample_id", "q"], "left")
+
+
+def _keyed(leaf: DataFrame) -> DataFrame:
+    return leaf.select("sample_id", "cell", F.col("idx").alias("dst"), *(F.col(c).alias(f"p{c}") for c in _AXES))
 
 
 def nearest_of(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -86,21 +97,20 @@ def nearest_of(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         first = F.row_number().over(Window.partitionBy("sample_id", *_AXES).orderBy("idx"))
         points = points.withColumn("_k", first).where(F.col("_k") <= k).drop("_k")
     cells, leaves = tree(points)
-    last = len(cells) - 1
-    front, found = None, None
-    for level, own in enumerate(cells):
-        if level == 0:
-            front = queries.join(own, "sample_id").withColumn("level", F.lit(0))
-        else:
-            child = own.withColumns({"up": F.shiftright("cell", 3), "level": F.lit(level)})
-            open_ = front.where("crowded").select("sample_id", "q", *_AXES, F.col("cell").alias("up"))
-            front = open_.join(child, ["sample_id", "up"]).drop("up").unionByName(front.where("not crowded"))
-        if last:  # else one cell holds each sample
-            front = stored(_kept(front, k))
-    for level, leaf in enumerate(leaves):
-        leaf = leaf.select("sample_id", F.lit(level).alias("level"), "cell", F.col("idx").alias("dst"), *(F.col(c).alias(f"p{c}") for c in _AXES))
-        found = leaf if found is None else found.unionByName(leaf)
-    pairs = front.select("sample_id", "q", *_AXES, "level", "cell").join(found, ["sample_id", "level", "cell"])
+    if len(cells) == 1:  # one cell holds each sample
+        pairs = queries.withColumn("cell", F.lit(0).cast("bigint")).join(_keyed(leaves[0]), _CELL)
+    else:
+        front, pairs = _bounded(queries, cells, k), None
+        near = F.col("bound").isNull() | (_bounds()[0] <= F.col("bound") * (1 + 1e-9))  # a slack of a few last digits keeps ties
+        for level, own in enumerate(cells):
+            if level == 0:
+                front = front.join(own, "sample_id")
+            else:
+                child = own.withColumn("up", F.shiftright("cell", 3))
+                front = front.where("crowded").select("sample_id", "q", *_AXES, "bound", F.col("cell").alias("up")).join(child, ["sample_id", "up"]).where(near)
+            front = stored(front.select("sample_id", "q", *_AXES, "bound", "cell", "crowded"))
+            met = front.where("not crowded").drop("bound", "crowded").join(_keyed(leaves[level]), _CELL)
+            pairs = met if pairs is None else pairs.unionByName(met)
     dist = F.sqrt(_squares([F.col(c) - F.col(f"p{c}") for c in _AXES]))
     pairs = pairs.select("sample_id", "q", "dst", dist.alias("dist"))
     if k == 1:
