@@ -26,9 +26,9 @@ def rescaled_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sequence_features", f"""WITH t AS (SELECT item_id, text, length(text) AS n, unnest(range(length(text))) AS i FROM benchmark), k AS (SELECT item_id, i, n, upper(substr(text, i + 1, 1)) AS c FROM t) SELECT item_id, i, CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWYX', c) = 0 THEN 21 ELSE strpos('ACDEFGHIKLMNPQRSTVWYX', c) END::BIGINT AS letter,
- (i % 107)::BIGINT AS place, {r('sin(2 * pi() * i / greatest(1, n - 1))', 'phase_sin')}, {r('cos(2 * pi() * i / greatest(1, n - 1))', 'phase_cos')} FROM k""")
+ CASE WHEN i % 107 < 105 THEN i % 107 ELSE -1 END::BIGINT AS place, {r('sin(2 * pi() * i / greatest(1, n - 1))', 'phase_sin')}, {r('cos(2 * pi() * i / greatest(1, n - 1))', 'phase_cos')} FROM k""")
 def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every letter of every item's whole text."""
+    """Every letter of every item's whole text; a place in the last two numbers is lost to the phase (-1)."""
     b = read(spark, sf_dir, "benchmark").withColumn("n", F.length("text")).where("n > 0")
     b = b.select("item_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("text", i, F.lit(1)))).alias("i", "c"))
     b = b.withColumn("f", features.sequence_features("c", "i", "n", "ACDEFGHIKLMNPQRSTVWYX"))

@@ -141,14 +141,14 @@ def first_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.first_existing(p, "p_partkey", ["first", "second"], listing)
 
 
-@query("inferred_columns", f"WITH {SQL_RUNS} SELECT target, method AS structure, {r('avg(value)', 'score', 4)} FROM runs GROUP BY ALL")
+@query("inferred_columns", f"WITH {SQL_RUNS} SELECT target, method AS structure, {r('avg(value)', 'score', 9)} FROM runs GROUP BY ALL")
 def inferred_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structures told from the names of score columns, then stood on end."""
     wide = runs(spark, sf_dir).groupBy("target").pivot("method").agg(F.avg("value"))
     wide = wide.select("target", *(F.col(f"`{c}`").alias(f"score_{c}") for c in wide.columns if c != "target"), F.lit(0.0).alias("other"))
     found = records.infer_columns(wide.columns, ["score_"])
     cells = F.explode(F.array(*(F.struct(F.lit(n).alias("structure"), F.col(f"`{c}`").alias("score")) for n, c in found.items())))
-    return tidy(wide.select("target", cells.alias("c")).select("target", "c.*").where("score is not null"), 4)
+    return tidy(wide.select("target", cells.alias("c")).select("target", "c.*").where("score is not null"), 9)
 
 
 @query("range_slices", """WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('5:' || o_orderkey), o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders)
