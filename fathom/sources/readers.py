@@ -95,14 +95,20 @@ def array_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atoms(lines_of: DataFrame, key: str) -> DataFrame:
-    """key, line_no and fields of fixed-width atom lines; coordinates fall back to blank-separated fields."""
+    """key, line_no and fields of fixed-width atom lines; coordinates fall back to blank-separated fields.
+
+    A serial of more than five digits that pushed the rest of its line to the right, decimal points included, is read whole.
+    """
     v = F.col("value")
-    cut = lambda a, n: F.trim(F.substring(v, a, n))
+    digits = F.length(F.regexp_extract(v, r"^.{6} *(\d+)", 1))
+    dot = lambda a: F.substring(v, a, 1) == "."
+    over = F.when((digits > 5) & ~(dot(35) & dot(43)), digits - 5).otherwise(0)
+    rows = lines_of.where(v.startswith("ATOM") | v.startswith("HETATM")).withColumn("_over", over)
+    cut = lambda a, n: F.trim(v.substr(F.lit(a) + F.col("_over"), F.lit(n)))
     parts = F.split(F.trim(v), r"\s+")
     coordinate = lambda a, k: F.coalesce(cut(a, 8).try_cast("double"), F.get(parts, F.lit(k)).try_cast("double"))
-    rows = lines_of.where(v.startswith("ATOM") | v.startswith("HETATM"))
     return rows.select(
-        key, "line_no", v.startswith("HETATM").alias("hetero"), cut(7, 5).try_cast("int").alias("serial"), cut(13, 4).alias("atom"), cut(17, 1).alias("altloc"), cut(18, 3).alias("resname"),
+        key, "line_no", v.startswith("HETATM").alias("hetero"), F.trim(v.substr(F.lit(7), F.lit(5) + F.col("_over"))).try_cast("int").alias("serial"), cut(13, 4).alias("atom"), cut(17, 1).alias("altloc"), cut(18, 3).alias("resname"),
         cut(22, 1).alias("chain"), cut(23, 4).try_cast("int").alias("resseq"), cut(27, 1).alias("icode"), coordinate(31, 6).alias("x"), coordinate(39, 7).alias("y"), coordinate(47, 8).alias("z"), cut(55, 6).try_cast("double").alias("occupancy"), cut(61, 6).try_cast("double").alias("b_factor"),
     )
 

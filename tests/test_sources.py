@@ -33,6 +33,15 @@ def test_lines_keep_their_order(spark, tmp_path):
     assert [(r.line_no, r.value) for r in readers.lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(1, "one"), (2, "two"), (3, ""), (4, "four")]
 
 
+def test_atoms_behind_wide_serials(spark):
+    line = "ATOM  {:5d}  CA  ALA B{:4d}A   {:8.3f}{:8.3f}{:8.3f}{:6.2f}{:6.2f}"
+    serials = [1, 99999, 100000, 1234567]
+    lines = spark.createDataFrame([("f", n, line.format(k, 37, -9.001, 1.5, 123.25, 0.5, 7.0)) for n, k in enumerate(serials)], "file string, line_no int, value string")
+    got = readers.atoms(lines, "file").orderBy("line_no").collect()
+    assert [r.serial for r in got] == serials
+    assert {(r.atom, r.altloc, r.resname, r.chain, r.resseq, r.icode, r.x, r.y, r.z, r.occupancy, r.b_factor) for r in got} == {("CA", "", "ALA", "B", 37, "A", -9.001, 1.5, 123.25, 0.5, 7.0)}
+
+
 def test_displaced_atoms(spark):
     atoms = spark.createDataFrame([("A", 1, 0.0, 0.0, 0.0), ("A", 1, 1.0, 0.0, 0.0), ("A", 2, 5.0, 5.0, 5.0)], "chain string, resseq int, x double, y double, z double")
     shifts = spark.createDataFrame([("A", 1, 1.0, 2.0, 3.0)], "chain string, resseq int, dx double, dy double, dz double")
