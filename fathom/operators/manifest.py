@@ -91,6 +91,13 @@ def annotation_path(folder: str, target: Column, family: Column, accession: Colu
     return F.concat(F.lit(f"{folder}/"), F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "_"), "^_+|_+$", ""), F.lit(".json"))
 
 
+def looked_up(rows: DataFrame, path: Column, table: DataFrame, unique: str) -> DataFrame:
+    """rows with the other columns of a table by path; those without a path (null or blank) are dealt out by their own number, not to one task."""
+    none = F.concat(F.lit("\0"), F.col(unique).cast("string"))  # no path has a NUL
+    key = F.when(blank_to_null(path).isNotNull(), path).otherwise(none)
+    return rows.withColumn("_path", key).join(table.withColumnRenamed("path", "_path"), "_path", "left").drop("_path")
+
+
 def prepared_manifest(rows: DataFrame, files: DataFrame, annotations: DataFrame, found: DataFrame, folder: str, needed: Sequence[str] = ("af2_pdb", "experimental_pdb"), exclude_uncertain: bool = True) -> tuple[DataFrame, DataFrame]:
     """Training rows with chains, the place and source of their annotation, notes and splits; and rejected ones with their reason.
 
@@ -104,7 +111,7 @@ def prepared_manifest(rows: DataFrame, files: DataFrame, annotations: DataFrame,
     tested = rows.join(first, "pair_id", "left")
     there = files.select("path").distinct()
     for k, c in enumerate(needed):
-        tested = tested.join(there.select(F.col("path").alias(c), F.lit(True).alias(f"_file{k}")), c, "left")
+        tested = looked_up(tested, F.col(c), there.withColumn(f"_file{k}", F.lit(True)), "position")
     missing = F.array_compact(F.array(*(F.when(blank_to_null(c).isNotNull() & F.col(f"_file{k}").isNull(), c) for k, c in enumerate(needed))))
     tested = reasons(tested, [("duplicate_pair_id", F.col("position") > F.col("_first")), *([("uncertain_state", F.trim("state_label") == "uncertain")] if exclude_uncertain else [])])
     tested = tested.withColumn("reason", F.coalesce("reason", F.when(F.size(missing) > 0, F.concat(F.lit("missing_local_files:"), F.array_join(missing, ",")))))
@@ -115,7 +122,7 @@ def prepared_manifest(rows: DataFrame, files: DataFrame, annotations: DataFrame,
     made = annotation_path(folder, F.col("target_id"), F.col("family"), F.col("uniprot_id"))
     tested = tested.withColumns({"_own": blank_to_null(own), "_beside": beside, "_made": made})
     for c in ("_own", "_beside", "_made"):
-        tested = tested.join(known.select(F.col("path").alias(c), F.col("has_core").alias(f"{c}_core")), c, "left")
+        tested = looked_up(tested, F.col(c), known.select("path", F.col("has_core").alias(f"{c}_core")), "position")
     tested = tested.join(found.select("pair_id").distinct().withColumn("_found", F.lit(True)), "pair_id", "left")
     existing = F.coalesce(F.when(F.col("_own_core").isNotNull(), F.col("_own")), F.when(F.col("_beside_core").isNotNull(), F.col("_beside")))
     tested = tested.withColumn("_existing", existing)

@@ -77,3 +77,21 @@ def test_prepared_rows_share_an_annotation(spark):
     assert got == {"b": ("generated", "ann/auto/t_1.json", f"x; {manifest.NOTE}", "C"), "c": ("cached", "ann/auto/t_1.json", manifest.NOTE, "C"), "d": ("generated", "ann/auto/f_u1.json", manifest.NOTE, "C")}
     assert [(r.pair_id, r.reason) for r in lost.collect()] == [("a", "no_matching_entity")]
     assert {r.pair_id: r.split for r in kept.collect()}["d"] == "test"
+
+
+@pytest.mark.parametrize("cell", [None, " "])
+def test_rows_without_a_path_are_dealt_out(spark, cell):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        rows = spark.range(400).select(F.col("id").alias("position"), F.when(F.col("id") < 3, "x").otherwise(F.lit(cell)).alias("path_of"))
+        table = spark.createDataFrame([("x", True), (" ", True)], "path string, there boolean")
+        got = manifest.looked_up(rows, F.col("path_of"), table, "position").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert sorted(r.position for r in got) == list(range(400)) and {r.position for r in got if r.there} == {0, 1, 2}
+    parts = [r.part for r in got]
+    assert max(map(parts.count, set(parts))) < 200
