@@ -5,6 +5,9 @@ A group is one structure (hundreds of residues), so that a group's arrays fit a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -190,6 +193,17 @@ def align(a: str, b: str, match: float = 2, mismatch: float = -3, gap_open: floa
     return Tables(a, b, match, mismatch, gap_open, gap_more, local).pairs()
 
 
+def local_alignments(most: int = 4096) -> Callable[[str, str], tuple[float, np.ndarray]]:
+    """A function for score and matched places of two chains; equal sequences recur among chains and samples, so that the last ones are kept."""
+
+    @lru_cache(maxsize=most)
+    def aligned(a: str, b: str) -> tuple[float, np.ndarray]:
+        tables = Tables(a, b, 2.0, -4.0, -10.0, -0.5, True)
+        return tables.score(), np.array(tables.pairs(), dtype=np.int32).reshape(-1, 2)
+
+    return aligned
+
+
 def select_chain(chains: DataFrame, requested: str | None = None) -> DataFrame:
     """One chain of each sample: the one that the column `requested` names, an error where it isn't there; the longest, of equal ones the first, where it is null.
 
@@ -220,19 +234,18 @@ def displacement_target(first: DataFrame, second: DataFrame, core: DataFrame | N
     kind = first.schema["sample_id"].dataType.simpleString()
     columns = ["sample_id", "status", "chain_a", "chain_b", "n", "identity", "idx", "a_idx", "b_idx", "residue_id", "dx", "dy", "dz", "ax", "ay", "az"]
 
-    def target(a: list, b: list, ids) -> dict | str:
+    def target(a: list, b: list, ids, aligned) -> dict | str:
         best, chosen = -np.inf, None
         for x in a:
             for y in b:
                 small, large = sorted((len(x["sequence"]), len(y["sequence"])))
                 if large and small / large >= ratio:
-                    tables = Tables(x["sequence"], y["sequence"], 2.0, -4.0, -10.0, -0.5, True)
-                    if tables.score() > best:
-                        best, chosen = tables.score(), (x, y, tables)
+                    score, at = aligned(x["sequence"], y["sequence"])
+                    if score > best:
+                        best, chosen = score, (x, y, at)
         if chosen is None:
             return "no_alignable_chains"
-        x, y, tables = chosen
-        at = np.array(tables.pairs(), dtype=np.int64).reshape(-1, 2)
+        x, y, at = chosen
         if len(at) < least:
             return "alignment_too_short"
         same = float(np.mean([x["sequence"][i] == y["sequence"][j] for i, j in at]))
@@ -256,13 +269,16 @@ def displacement_target(first: DataFrame, second: DataFrame, core: DataFrame | N
     kinds = dict(zip(columns, (to_arrow_type(first.schema["sample_id"].dataType), text, text, text, number, pa.float64(), number, number, number, text, *[pa.float64()] * 6), strict=True))
 
     def run(batches):
+        known = local_alignments()
         for batch in batches:
+            out: dict[str, list] = {c: [] for c in kinds}
             for row in batch.to_pylist():
-                got = target(row["a"] or [], row["b"] or [], row["core"])
+                got = target(row["a"] or [], row["b"] or [], row["core"], known)
                 got = {"status": [got]} if isinstance(got, str) else got
                 n = len(got["status"])
-                got["sample_id"] = [row["sample_id"]] * n
-                yield pa.RecordBatch.from_pydict({c: pa.array(got[c], t) if c in got else pa.nulls(n, t) for c, t in kinds.items()})
+                for c, cells in out.items():
+                    cells.extend([row["sample_id"]] * n if c == "sample_id" else got[c] if c in got else [None] * n)
+            yield pa.RecordBatch.from_pydict({c: pa.array(out[c], t) for c, t in kinds.items()})
 
     schema = f"sample_id {kind}, status string, chain_a string, chain_b string, n bigint, identity double, idx bigint, a_idx bigint, b_idx bigint, residue_id string, dx double, dy double, dz double, ax double, ay double, az double"
     return rows.mapInArrow(run, schema)

@@ -158,3 +158,10 @@ def test_scores_by_alignment(spark):
     rows = spark.createDataFrame([(1, "ACDEFGH", "CDEGH", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 9.0]), (2, None, "AC", None), (3, "AAAA", "", [1.0])], "key int, whole string, part string, scores array<double>")
     got = {(r.key, r.idx): r.score for r in geometry.aligned_scores(rows).collect()}
     assert got[1, 0] == 2.0 and got[1, 1] == 3.0 and got[1, 4] == 9.0 and got[2, 0] == 0.0 and not any(k == 3 for k, _ in got)
+
+
+def test_equal_chains_are_aligned_once():
+    known = geometry.local_alignments(2)
+    score, at = known("ACDEFGHIKL", "ACDEYGHIKL")
+    assert known("ACDEFGHIKL", "ACDEYGHIKL")[1] is at and known.cache_info().misses == 1
+    assert score == 9 * 2 - 4 and at.tolist() == [[k, k] for k in range(10)]
