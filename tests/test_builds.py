@@ -54,6 +54,13 @@ def test_bootstrap_intervals_against_arrays(spark):
     assert got[0].k is None and stats.bootstrap_intervals(df, [], {"mean": ("v", 1)}, 50).count() == 1
 
 
+def test_gathered_groups_have_the_same_intervals(spark):
+    df = spark.range(300).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 11 > 0, F.sin("id")).alias("v"), (F.col("id") % 2).cast("double").alias("up"))
+    ends = lambda few: {r.g: tuple(r)[1:] for r in stats.bootstrap_intervals(df, ["g"], {"mean": ("v", 42), "rate": ("up", 59)}, 200, few_rows=few).collect()}
+    summed, gathered, some = ends(0), ends(300), ends(39)
+    assert len(summed) == 7 and all(summed[g] == pytest.approx(more[g], abs=1e-9) for g in summed for more in (gathered, some))
+
+
 # -- tiers
 
 def greedy(tier_rows):
