@@ -1,11 +1,14 @@
 """Neighbour joins in space: nearest k, contacts within a radius, and functions of them.
 
-Points within a radius meet through cubic cells: a join sees its own and the 26 cells around. Nearest points are
-found over a tree of cells (`celltree`). Neither compares all pairs of a sample.
+Points within a radius meet through cubic cells: a join sees its own and the 26 cells around; those of a sample of few
+points all meet. Nearest points are
+found over a tree of cells (`celltree`). Neither compares all pairs of a large sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +21,33 @@ def _distance(a: str, b: str):
     return F.sqrt(sum((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in "xyz"))
 
 
-def contacts(points: DataFrame, radius: float, eps: float = 1e-9) -> DataFrame:
-    """sample_id, src, dst, dist of all ordered pairs with eps < dist <= radius."""
+#: Points of a sample that are all compared with each other.
+FEW = 64
+
+
+def _near(points: DataFrame, radius: float, source: Sequence[str], few: int) -> list[DataFrame]:
+    """sample_id, src, dst, dist, columns of source (as s_<c>) and dx, dy, dz of ordered pairs within the radius: of samples of at most `few` points, and of others.
+
+    A small sample's points meet by the sample, without copies; those of larger ones by cells.
+    """
+    sized = points.join(points.groupBy("sample_id").agg(F.count("*").alias("_points")), "sample_id")
+    own = ["sample_id", F.col("idx").alias("src"), "x", "y", "z", *(F.col(c).alias(f"s_{c}") for c in source)]
+    other = ["sample_id", F.col("idx").alias("dst"), "x", "y", "z"]
+    out = ["sample_id", "src", "dst", _distance("a", "b").alias("dist"), *(f"s_{c}" for c in source), *(F.col(f"b.{c}").alias(f"d{c}") for c in "xyz")]
+    small, large = sized.where(F.col("_points") <= few), sized.where(F.col("_points") > few)
+    within = small.select(*own).alias("a").join(small.select(*other).alias("b"), "sample_id")
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xyz"]
-    a = points.select("sample_id", F.col("idx").alias("src"), "x", "y", "z", *cell)
     shift = F.explode(F.array(*(F.struct(*(F.lit(s[k]).alias(f"d{c}") for k, c in enumerate("xyz"))) for s in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))))
-    b = points.select("sample_id", F.col("idx").alias("dst"), "x", "y", "z", *cell).withColumn("s", shift)
+    b = large.select(*other, *cell).withColumn("s", shift)
     b = b.select("sample_id", "dst", "x", "y", "z", *((F.col(f"c{c}") + F.col(f"s.d{c}")).alias(f"c{c}") for c in "xyz"))
-    keys = ["sample_id", "cx", "cy", "cz"]
-    pairs = a.alias("a").join(b.alias("b"), keys).where("src <> dst").select("sample_id", "src", "dst", _distance("a", "b").alias("dist"))
-    return pairs.where((F.col("dist") > eps) & (F.col("dist") <= radius))
+    across = large.select(*own, *cell).alias("a").join(b.alias("b"), ["sample_id", "cx", "cy", "cz"])
+    return [pairs.where("src <> dst").select(*out).where(F.col("dist") <= radius) for pairs in (within, across)]
+
+
+def contacts(points: DataFrame, radius: float, eps: float = 1e-9, few: int = FEW) -> DataFrame:
+    """sample_id, src, dst, dist of all ordered pairs with eps < dist <= radius; samples of at most `few` points meet whole."""
+    small, large = (pairs.select("sample_id", "src", "dst", "dist").where(F.col("dist") > eps) for pairs in _near(points, radius, (), few))
+    return small.unionByName(large)
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
@@ -59,21 +79,19 @@ def chain_steps(points: DataFrame) -> DataFrame:
     return out.select("sample_id", "idx", *(f"{n}_{c}" for n in ("prev", "next", "mid") for c in "xyz"))
 
 
-def half_sphere(points: DataFrame, radius: float) -> DataFrame:
+def half_sphere(points: DataFrame, radius: float, few: int = FEW) -> DataFrame:
     """sample_id, idx, up, down: neighbours on either side of the plane through a point across the chain's direction.
 
     The direction is that from the point before to the one after, at a chain's end the step that there is,
-    for a lone point the x axis; a neighbour in the plane itself counts as up.
+    for a lone point the x axis; a neighbour in the plane itself counts as up. Pairs bring both points and the direction along.
     """
     w = Window.partitionBy("sample_id").orderBy("idx")
     step = lambda c: F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))
     lone = F.lag("x").over(w).isNull() & F.lead("x").over(w).isNull()
-    axis = points.select("sample_id", F.col("idx").alias("src"), *(F.col(c).alias(f"s{c}") for c in "xyz"), *(F.when(lone, F.lit(float(c == "x"))).otherwise(step(c)).alias(f"a{c}") for c in "xyz"))
-    at = points.select("sample_id", F.col("idx").alias("dst"), *(F.col(c).alias(f"d{c}") for c in "xyz"))
-    rows = contacts(points, radius, eps=-1.0).join(axis, ["sample_id", "src"]).join(at, ["sample_id", "dst"])
-    side = sum((F.col(f"d{c}") - F.col(f"s{c}")) * F.col(f"a{c}") for c in "xyz")
-    n = rows.groupBy("sample_id", F.col("src").alias("idx")).agg(F.count_if(side >= 0).alias("up"), F.count_if(side < 0).alias("down"))
-    return points.select("sample_id", "idx").join(n, ["sample_id", "idx"], "left").fillna(0, ["up", "down"])
+    turned = points.select("sample_id", "idx", *"xyz", *(F.when(lone, F.lit(float(c == "x"))).otherwise(step(c)).alias(f"a{c}") for c in "xyz"))
+    side = sum((F.col(f"d{c}") - F.col(f"s_{c}")) * F.col(f"s_a{c}") for c in "xyz")
+    counted = [pairs.groupBy("sample_id", F.col("src").alias("idx")).agg(F.count_if(side >= 0).alias("up"), F.count_if(side < 0).alias("down")) for pairs in _near(turned, radius, ("x", "y", "z", "ax", "ay", "az"), few)]
+    return points.select("sample_id", "idx").join(counted[0].unionByName(counted[1]), ["sample_id", "idx"], "left").fillna(0, ["up", "down"])
 
 
 def radial_basis(distance: str, centres: int = 16, most: float = 20.0):

@@ -165,3 +165,13 @@ def test_equal_chains_are_aligned_once():
     score, at = known("ACDEFGHIKL", "ACDEYGHIKL")
     assert known("ACDEFGHIKL", "ACDEYGHIKL")[1] is at and known.cache_info().misses == 1
     assert score == 9 * 2 - 4 and at.tolist() == [[k, k] for k in range(10)]
+
+
+def test_small_samples_meet_as_cells_do(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, i, *map(float, rng.normal(size=3))) for s in range(4) for i in range((1, 5, 30, 90)[s])] + [(4, 0, 0.0, 0.0, 0.0), (4, 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "sample_id int, idx int, x double, y double, z double")
+    got = lambda d: sorted(map(tuple, d.collect()))
+    assert got(spatial.contacts(df, 0.9)) == got(spatial.contacts(df, 0.9, few=0)) == got(spatial.contacts(df, 0.9, few=90))
+    both = spatial.half_sphere(df, 0.9)
+    assert got(both) == got(spatial.half_sphere(df, 0.9, few=0)) and both.count() == len(rows) and (4, 0, 1, 0) in got(both)
