@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import docking, entities, ranking, templates
+from fathom.operators import docking, entities, ranking, stats, templates
 
 
 def test_templates(spark):
@@ -81,3 +81,33 @@ def test_entities_and_lists(spark):
     for bad in ({"text": ""}, {"text": "1,1"}, {"text": "a,c", "known": ["a"]}, {"text": "0", "numbers": True, "least": 1}):
         with pytest.raises(ValueError):
             entities.checked_list(**bad)
+
+
+def _few_poses(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, "AR"[k % 2], None if k == 3 else float(rng.integers(4)), None if k == 5 else float(rng.integers(5)), k % 3 > 0, k) for t in range(6) for k in range((0, 1, 3, 8, 9, 20)[t])]
+    return ranking.ranked(spark.createDataFrame(rows, "target int, structure string, score double, rmsd double, valid boolean, k int"), ["target", "structure"], ["k"])
+
+
+def test_correlations_are_those_of_ranks(spark):
+    p = _few_poses(spark)
+    wanted = {r.target: r.spearman for r in stats.spearman(p, "score", "rmsd", ["target"]).collect()}
+    out = docking.target_correlations(p, ["target"], (1, 5))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate [") == 1  # no join of separate summaries
+    got = {r.target: r.spearman for r in out.collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and all(got[t] == pytest.approx(wanted.get(t)) for t in got)
+
+
+def test_poses_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    p = _few_poses(spark)
+    n = p.count()
+    docking.summary(p.mapInArrow(count, p.schema), "target", "structure", ("A", "R"), (1, 2)).collect()
+    assert seen.value == n
