@@ -16,6 +16,8 @@ from .coordinate_tables import coordinate_tables
 FIELDS = ("evidence_level", "family", "state_label", "substrate_class", "split", "method", "af_version")
 EDGES = (0.0, 0.5, 1.0, 2.0, 5.0)
 NEURAL = ("cooper", "ablation", "neural")
+#: Inputs that are read once: their sums are stored, or they are written as they are.
+ONCE = ("checks", "selectors", "files")
 
 
 def manifest_tables(manifests: DataFrame, fields: Sequence[str], group: str) -> tuple[DataFrame, DataFrame]:
@@ -70,15 +72,16 @@ def publication_tables(inputs: Mapping[str, DataFrame], regions: Sequence[str],
     idx, region, displacement), checks (scope, pair_id, reason), reports (method, label, category, source, body),
     deltas (seed, target, region, delta), classification (label, region, positives, negatives, areas), selectors
     (selector, endpoint, seed, value), templates (candidate_count, nearest_identity, nearest_coverage), files
-    (path, bytes, sha256). What feeds several tables is stored before them.
+    (path, bytes, sha256). What feeds several tables is stored before them; of an input that is only added up, or
+    that is a table itself, the rows aren't.
     """
-    have = {n: stored(df) for n, df in inputs.items()}
+    have = {n: df if n in ONCE else stored(df) for n, df in inputs.items()}
     counts, summary = manifest_tables(have["manifests"], fields, group)
     graph, bins, whole = graph_tables(have["residues"], edges)
     coordinates, samples = (stored(df) for df in coordinate_tables(have["reports"], regions, iterations, seed))
     ablations = coordinates.where(F.col("category").isin(*neural))
     deltas, delta_rows = paired_tables(have["deltas"])
-    checks, templates = check_table(have["checks"]), reports.template_selection(have["templates"])
+    checks, templates = (stored(df) for df in (check_table(have["checks"]), reports.template_selection(have["templates"])))
     selectors = reports.seed_aggregate(have["selectors"], ["selector", "endpoint"])
     summary, bins, deltas, selectors = (stored(df) for df in (summary, bins, deltas, selectors))
     csv = {

@@ -12,17 +12,17 @@ from fathom.operators import cases, curves, ligands, loaders, metrics, publicati
 from fathom.operators import manifest as training
 from fathom.registry import query
 from fathom.streaming import builds
-from fathom.streaming.incremental import shared_folder
+from fathom.streaming.incremental import shared_folder, stored
 
-from .virtual import REGIONS, SQL_BRIDGE, SQL_MANIFEST, SQL_REGION, SQL_RES, SQL_ROWS, SQL_SCORED, bridge, manifest, predicted, r, read, residues, scored, tidy
+from .virtual import REGIONS, SQL_BRIDGE, SQL_MANIFEST, SQL_REGION, SQL_RES, SQL_ROWS, SQL_SCORED, bridge, manifest, points, predicted, r, read, residues, scored, tidy, vector_pairs
 
 _KNOWN = (*REGIONS, "eval")
 _T, _E = "tx*tx+ty*ty+tz*tz", "(px-tx)*(px-tx)+(py-ty)*(py-ty)+(pz-tz)*(pz-tz)"
 
 
-def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bodies(moves: DataFrame) -> DataFrame:
     """A report of nested JSON for every family and 64 vectors: maps by region, a list of samples with maps by region."""
-    rows = bridge(predicted(spark, sf_dir)).withColumn("method", F.concat(F.lit("m"), F.col("family").cast("string"), F.lit("_"), F.floor(F.col("sample_id") / 64).cast("string")))
+    rows = bridge(moves).withColumn("method", F.concat(F.lit("m"), F.col("family").cast("string"), F.lit("_"), F.floor(F.col("sample_id") / 64).cast("string")))
     names = {"n": "n_residues", "zero_rms": "zero_error_rms", "error_rms": "prediction_error_rms", "mse_improvement_fraction": "mse_improvement_vs_zero_fraction", "better_than_zero_rate": "better_than_zero_rate"}
     packed = lambda: F.struct(*(F.col(a).alias(b) for a, b in names.items()))
     by_map = lambda: F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", packed()))))
@@ -40,7 +40,7 @@ _CATEGORY = "CASE WHEN method < 'm3' THEN 'neural' ELSE 'baseline' END AS catego
 @query("coordinate_aggregate", f"""WITH {_NESTED} SELECT method, region, {_CATEGORY}, count(*) AS n_residues, {r(f'sqrt(avg({_T}))', 'zero_error_rms')}, {r(f'sqrt(avg({_E}))', 'prediction_error_rms')}, {r(f'1 - avg({_E}) / nullif(avg({_T}), 0)', 'mse_improvement_vs_zero_fraction')}, {r(f'avg((sqrt({_E}) < sqrt({_T}))::INT)', 'better_than_zero_rate')}, true AS ordered FROM nr GROUP BY method, region""")
 def coordinate_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by method and region from nested reports; `ordered`: both intervals lie around the samples' own values."""
-    out, samples = nested.coordinate_tables(_bodies(spark, sf_dir), _KNOWN, iterations=400)
+    out, samples = nested.coordinate_tables(_bodies(predicted(spark, sf_dir)), _KNOWN, iterations=400)
     own = samples.groupBy("method", "region").agg(F.avg("sample_improvement").alias("mean"), F.avg((F.col("sample_improvement") > 0).cast("double")).alias("rate"))
     out = out.join(own, ["method", "region"])
     end = lambda n, e: F.col(f"sample_improvement_{n}_ci95_{e}")
@@ -50,7 +50,7 @@ def coordinate_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("coordinate_samples", f"WITH {_NESTED} SELECT method, sample_id::VARCHAR AS sample_id, region, {r('zero', 'zero_error_rms')}, {r('err', 'prediction_error_rms')}, {r('zero - err', 'sample_improvement')}, {r('gain', 'mse_improvement_vs_zero_fraction')} FROM ns")
 def coordinate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = nested.sample_metrics(_bodies(spark, sf_dir), _KNOWN)
+    out = nested.sample_metrics(_bodies(predicted(spark, sf_dir)), _KNOWN)
     return tidy(out.select("method", "sample_id", "region", "zero_error_rms", "prediction_error_rms", "sample_improvement", "mse_improvement_vs_zero_fraction"))
 
 
@@ -155,8 +155,9 @@ def feature_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     m = manifest(spark, sf_dir).select(F.lit("mixed").alias("manifest"), F.col("accession").alias("uniprot_id"), F.col("pair_id").cast("string").alias("pdb_id"), F.col("accession").alias("split_group_id"), "family", "state_label", splits.hash_split("accession").alias("split"))
-    moved = bridge(predicted(spark, sf_dir)).select(F.lit("gold").alias("scope"), F.when(F.col("sample_id") % 3 == 0, "test").otherwise("train").alias("split"), "sample_id", "idx", "region", F.sqrt(F.expr("tx*tx + ty*ty + tz*tz")).alias("displacement"))
-    each = metrics.paired_deltas(metrics.region_metrics(bridge(predicted(spark, sf_dir)), ["sample_id", "region"]))
+    rows = points(stored(vector_pairs(spark, sf_dir)))  # vectors meet once for all tables
+    moved = bridge(rows).select(F.lit("gold").alias("scope"), F.when(F.col("sample_id") % 3 == 0, "test").otherwise("train").alias("split"), "sample_id", "idx", "region", F.sqrt(F.expr("tx*tx + ty*ty + tz*tz")).alias("displacement"))
+    each = metrics.paired_deltas(metrics.region_metrics(bridge(rows), ["sample_id", "region"]))
     deltas = each.select((F.col("sample_id") % 5).alias("seed"), F.floor(F.col("sample_id") / 5).alias("target"), "region", "delta")
     lines = read(spark, sf_dir, "lineitem")
     checks = lines.select(F.col("l_linestatus").alias("scope"), F.col("l_orderkey").alias("pair_id"), F.when(F.col("l_quantity") > 49, "too_long").alias("reason"))
@@ -164,7 +165,7 @@ def _report_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("selector"), (F.col("user_id") % 3).alias("endpoint"), "value")
     templates = read(spark, sf_dir, "part").select((F.col("p_size") % 4).alias("candidate_count"), (F.col("p_retailprice") / 2000).alias("nearest_identity"), (F.col("p_size") / 50).alias("nearest_coverage"))
     files = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256"))
-    return {"manifests": m, "residues": moved, "checks": checks, "reports": _bodies(spark, sf_dir), "deltas": deltas, "classification": classes, "selectors": events, "templates": templates, "files": files}
+    return {"manifests": m, "residues": moved, "checks": checks, "reports": _bodies(rows), "deltas": deltas, "classification": classes, "selectors": events, "templates": templates, "files": files}
 
 
 _COUNTS = {

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import coordinate_tables, ligands, renumber, stats, tiers
+from fathom.operators import coordinate_tables, ligands, publication, renumber, stats, tiers
+from fathom.plans import assembly_queries
 from fathom.streaming import builds
 
 
@@ -261,3 +262,14 @@ def test_reports_are_whole_or_not_there(spark, tmp_path):
     assert builds.report_table(spark, folder, "a").count() == 5 and builds.report_table(spark, folder, "b", "id long, x double").agg(F.sum("id")).first()[0] == 9
     with pytest.raises(LookupError):
         builds.report_table(spark, folder, "z")
+
+
+def test_report_inputs_meet_once_and_only_sums_are_stored(spark, monkeypatch):
+    inputs = assembly_queries._report_inputs(spark, "/root/testdata/sf0.001")
+    for name in ("residues", "deltas"):
+        assert "Join" not in inputs[name]._jdf.queryExecution().optimizedPlan().toString()
+    kept = []
+    monkeypatch.setattr(publication, "stored", lambda df: kept.append(df.columns) or df)
+    publication.publication_tables(inputs, ("plug",), fields=("family",), neural=("neural",), iterations=20)
+    assert inputs["checks"].columns not in kept and inputs["selectors"].columns not in kept
+    assert ["scope", "pair_count", "failed_pair_checks", "status"] in kept
