@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +98,16 @@ def looked_up(rows: DataFrame, path: Column, table: DataFrame, unique: str) -> D
     return rows.withColumn("_path", key).join(table.withColumnRenamed("path", "_path"), "_path", "left").drop("_path")
 
 
+def found_paths(rows: DataFrame, unique: str, paths: Mapping[str, Column], table: DataFrame, value: str) -> DataFrame:
+    """unique, name and the table's value of each of a row's named paths that the table has; a path that is null or blank is nowhere.
+
+    table: path (unique) and value. Only numbers, names and paths of rows are dealt out, not the rows.
+    """
+    at = lambda n, c: F.when(blank_to_null(c).isNotNull(), F.struct(F.lit(n).alias("name"), c.alias("path")))
+    asked = rows.select(unique, F.explode(F.array_compact(F.array(*(at(n, c) for n, c in paths.items())))).alias("_at")).select(unique, "_at.*")
+    return asked.join(table.select("path", value), "path").select(unique, "name", value)
+
+
 def prepared_manifest(rows: DataFrame, files: DataFrame, annotations: DataFrame, found: DataFrame, folder: str, needed: Sequence[str] = ("af2_pdb", "experimental_pdb"), exclude_uncertain: bool = True) -> tuple[DataFrame, DataFrame]:
     """Training rows with chains, the place and source of their annotation, notes and splits; and rejected ones with their reason.
 
@@ -107,34 +117,35 @@ def prepared_manifest(rows: DataFrame, files: DataFrame, annotations: DataFrame,
     row's own, or the target's beside the folder), cached, generated, or regenerated_missing_core. The first row of
     a path that can make it does; rows behind it find it, rows before it that can't are rejected.
     """
-    first = rows.groupBy("pair_id").agg(F.min("position").alias("_first"))
-    tested = rows.join(first, "pair_id", "left")
-    there = files.select("path").distinct()
-    for k, c in enumerate(needed):
-        tested = looked_up(tested, F.col(c), there.withColumn(f"_file{k}", F.lit(True)), "position")
-    missing = F.array_compact(F.array(*(F.when(blank_to_null(c).isNotNull() & F.col(f"_file{k}").isNull(), c) for k, c in enumerate(needed))))
-    tested = reasons(tested, [("duplicate_pair_id", F.col("position") > F.col("_first")), *([("uncertain_state", F.trim("state_label") == "uncertain")] if exclude_uncertain else [])])
-    tested = tested.withColumn("reason", F.coalesce("reason", F.when(F.size(missing) > 0, F.concat(F.lit("missing_local_files:"), F.array_join(missing, ",")))))
-    # whose annotation is there
-    known = annotations.groupBy("path").agg(F.bool_or("has_core").alias("has_core"))
-    own = F.col("region_annotation_json")
+    # what is known of a row comes from narrow tables by its position, so that the row itself is dealt out once
+    own = blank_to_null(F.col("region_annotation_json"))
     beside = F.concat(F.lit(folder.rpartition("/")[0] + "/"), blank_to_null("target_id"), F.lit(".json"))
     made = annotation_path(folder, F.col("target_id"), F.col("family"), F.col("uniprot_id"))
-    tested = tested.withColumns({"_own": blank_to_null(own), "_beside": beside, "_made": made})
-    for c in ("_own", "_beside", "_made"):
-        tested = looked_up(tested, F.col(c), known.select("path", F.col("has_core").alias(f"{c}_core")), "position")
-    tested = tested.join(found.select("pair_id").distinct().withColumn("_found", F.lit(True)), "pair_id", "left")
-    existing = F.coalesce(F.when(F.col("_own_core").isNotNull(), F.col("_own")), F.when(F.col("_beside_core").isNotNull(), F.col("_beside")))
-    tested = tested.withColumn("_existing", existing)
-    asks = F.col("reason").isNull() & F.col("_existing").isNull() & ~F.coalesce("_made_core", F.lit(False))
-    maker = tested.where(asks & F.col("_found")).groupBy("_made").agg(F.min("position").alias("_maker"))
-    tested = tested.join(maker, "_made", "left")
-    source = F.when(F.col("_existing").isNotNull(), "existing").when(~asks, "cached").when(F.col("position") > F.col("_maker"), "cached").when(F.col("position") == F.col("_maker"), F.when(F.col("_made_core").isNull(), "generated").otherwise("regenerated_missing_core"))
+    there = files.where("path is not null").groupBy("path").agg(F.lit(True).alias("value"))
+    known = annotations.groupBy("path").agg(F.bool_or("has_core").alias("value")).where("value is not null")
+    pairs = rows.where("pair_id is not null").groupBy("pair_id").agg(F.min("position").alias("position"))
+    pairs = pairs.join(found.select("pair_id").distinct().withColumn("value", F.lit(True)), "pair_id", "left")
+    facts = pairs.select("position", F.lit("first").alias("name"), F.coalesce("value", F.lit(False)).alias("value"))
+    facts = facts.unionByName(found_paths(rows, "position", {f"file{k}": F.col(c) for k, c in enumerate(needed)}, there, "value"))
+    facts = facts.unionByName(found_paths(rows, "position", {"own": own, "beside": beside, "made": made}, known, "value"))
+    names = ("first", *(f"file{k}" for k in range(len(needed))), "own", "beside", "made")
+    facts = facts.groupBy("position").agg(*(F.bool_or(F.when(F.col("name") == n, F.col("value"))).alias(f"_{n}") for n in names))
+    tested = rows.join(facts, "position", "left")
+    missing = F.array_compact(F.array(*(F.when(blank_to_null(c).isNotNull() & F.col(f"_file{k}").isNull(), c) for k, c in enumerate(needed))))
+    tested = reasons(tested, [("duplicate_pair_id", F.col("pair_id").isNotNull() & F.col("_first").isNull()), *([("uncertain_state", F.trim("state_label") == "uncertain")] if exclude_uncertain else [])])
+    tested = tested.withColumn("reason", F.coalesce("reason", F.when(F.size(missing) > 0, F.concat(F.lit("missing_local_files:"), F.array_join(missing, ",")))))
+    existing = F.coalesce(F.when(F.col("_own").isNotNull(), own), F.when(F.col("_beside").isNotNull(), beside))
+    tested = tested.withColumns({"_existing": existing, "_path": made})
+    asks = F.col("reason").isNull() & F.col("_existing").isNull() & ~F.coalesce("_made", F.lit(False))
+    asking = tested.where(asks).select("position", "_path", "_first")
+    maker = asking.where("_first").groupBy("_path").agg(F.min("position").alias("_maker"))
+    tested = tested.join(asking.join(maker, "_path").select("position", "_maker"), "position", "left")
+    source = F.when(F.col("_existing").isNotNull(), "existing").when(~asks, "cached").when(F.col("position") > F.col("_maker"), "cached").when(F.col("position") == F.col("_maker"), F.when(F.col("_made").isNull(), "generated").otherwise("regenerated_missing_core"))
     tested = tested.withColumn("annotation_source", F.when(F.col("reason").isNull(), source))
     tested = tested.withColumn("reason", F.when(F.col("reason").isNull() & F.col("annotation_source").isNull(), "no_matching_entity").otherwise(F.col("reason")))
     notes = F.replace(F.coalesce("notes", F.lit("")), F.lit(NOTES[0]), F.lit(NOTES[1]))
     kept = tested.where("reason is null").withColumns({
-        "chain": F.col("pdb_chain"), "af2_chain": F.lit("A"), "holo_chain": F.col("pdb_chain"), "region_annotation_json": F.coalesce("_existing", "_made"),
+        "chain": F.col("pdb_chain"), "af2_chain": F.lit("A"), "holo_chain": F.col("pdb_chain"), "region_annotation_json": F.coalesce("_existing", "_path"),
         "notes": F.when(notes != "", F.concat(notes, F.lit(f"; {NOTE}"))).otherwise(NOTE), "given": blank_to_null(F.lower("split")),
     }).select(*rows.columns, "chain", "af2_chain", "holo_chain", "annotation_source", "given").drop("split")
     return rank_split(kept, "pair_id", given="given").drop("given"), tested.where("reason is not null").select("position", "pair_id", "reason")

@@ -95,3 +95,31 @@ def test_rows_without_a_path_are_dealt_out(spark, cell):
     assert sorted(r.position for r in got) == list(range(400)) and {r.position for r in got if r.there} == {0, 1, 2}
     parts = [r.part for r in got]
     assert max(map(parts.count, set(parts))) < 200
+
+
+def test_a_prepared_row_is_dealt_out_once_for_its_lookups(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {c: spark.conf.get(c) for c in conf}
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (lambda s: [s.apply(i) for i in range(s.size())])(sc.statusStore().executorList(False)))
+
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        text = lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+        wide = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 256) for i in range(60)))
+        rows = spark.range(300).select(F.col("id").alias("position"), F.when(F.col("id") % 50 != 7, text("p")).alias("pair_id"), text("T").alias("target_id"), F.lit("f").alias("family"), F.lit("u").alias("uniprot_id"), F.lit("C").alias("pdb_chain"), F.lit("holo").alias("state_label"), F.lit(None).cast("string").alias("region_annotation_json"), wide.alias("notes"), F.lit("test").alias("split"), text("m").alias("af2_pdb"))
+        files, known = rows.where("position > 9").select(F.col("af2_pdb").alias("path")), spark.createDataFrame([("ann/T20.json", False), ("ann/auto/t21.json", True)], "path string, has_core boolean")
+        before = shuffled()
+        kept, lost = manifest.prepared_manifest(rows, files, known, rows.where("position > 19").select("pair_id"), "ann/auto", needed=["af2_pdb"])
+        got = {r.position: r.annotation_source for r in kept.collect()}
+        written = shuffled() - before
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert got == {p: {20: "existing", 21: "cached"}.get(p, "generated") for p in range(20, 300) if p % 50 != 7}
+    assert {r.position: r.reason for r in lost.collect()} == {p: "missing_local_files:af2_pdb" if p < 10 else "no_matching_entity" for p in range(300) if p < 20 or p % 50 == 7}
+    assert written < 4 * 300 * 60 * 64
